@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigilseq.operators.evaluate import class_metrics, confusion, f1_of, ratio
 from vigilseq.operators.ordered import GROUP_ROWS, running_totals
@@ -19,19 +20,19 @@ from vigilseq.operators.ordered import GROUP_ROWS, running_totals
 TRIAL_ROWS = 200_000_000  # rows x trials up to which labels are shuffled row by row
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_upper(z: pd.Series) -> pd.Series:
     """P(Z > z)."""
     return z.map(lambda v: 0.5 * math.erfc(v / math.sqrt(2)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p of a t statistic."""
     return pd.Series([_t_two_sided(a, b) for a, b in zip(t, df)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ks_upper(lam: pd.Series) -> pd.Series:
     """Asymptotic Kolmogorov tail at lambda."""
 
