@@ -51,16 +51,11 @@ def band(minutes: Column, cuts: list[float] = OPENSTACK_CUTS, names: list[str] =
 
 
 def edges_below(value: Column, edges: list[float], strict: bool = False) -> Column:
-    """How many sorted ``edges`` are <= value (< value when ``strict``): a binary search in codegen."""
-
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        edge = F.lit(float(edges[mid]))
-        return F.when(value > edge if strict else value >= edge, search(mid + 1, hi)).otherwise(search(lo, mid))
-
-    return F.when(value.isNotNull(), search(0, len(edges)))
+    """How many of a short list of ``edges`` are <= value (< value when ``strict``)."""
+    listed = F.lit([float(e) for e in edges])
+    return F.when(
+        value.isNotNull(), F.size(F.filter(listed, lambda e: e < value if strict else e <= value))
+    )
 
 
 def bucketize(value: Column, edges: list[float]) -> Column:

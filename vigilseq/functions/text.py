@@ -77,23 +77,36 @@ def strip(text: Column, chars: str = BLANKS) -> Column:
     return F.btrim(text, F.lit(chars))
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it occurs."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def short_label_os(raw: Column) -> Column:
     """Short label of a raw error message, OpenStack rules."""
-    text = strip(strip(raw), '"')
-    body = text
-    for mark in reversed(CUT_MARKS):  # the first listed mark wins, so it is tested last
-        at = F.instr(text, mark)
-        body = F.when(at > 1, strip(F.left(text, at - 1))).otherwise(body)
-    line = strip(F.substring_index(body, "\n", 1))
-    colon = F.instr(line, ":") - 1
-    cut = F.when((colon > 0) & (colon < 100), F.left(line, colon + 60)).otherwise(F.left(line, F.lit(120)))
-    label = strip(F.when(F.length(line) > 120, cut).otherwise(line), ' "')
-    label = F.concat(label, F.when(F.length(body) > 120, F.lit("...")).otherwise(F.lit("")))
-    return (
-        F.when(raw.isNull(), F.lit(UNKNOWN_LABEL))
-        .when(F.startswith(text, F.lit("Failure")), F.lit(FAILURE_LABEL))
-        .otherwise(label)
-    )
+
+    def cut_at_mark(text: Column) -> Column:
+        body = text
+        for mark in reversed(CUT_MARKS):  # the first listed mark wins, so it is tested last
+            at = F.instr(text, mark)
+            body = F.when(at > 1, strip(F.left(text, at - 1))).otherwise(body)
+        return body
+
+    def first_line(body: Column) -> Column:
+        line = strip(F.substring_index(body, "\n", 1))
+        dots = F.when(F.length(body) > 120, F.lit("...")).otherwise(F.lit(""))
+        return F.concat(_once(line, shorten), dots)
+
+    def shorten(line: Column) -> Column:
+        colon = F.instr(line, ":") - 1
+        cut = F.when((colon > 0) & (colon < 100), F.left(line, colon + 60)).otherwise(F.left(line, F.lit(120)))
+        return strip(F.when(F.length(line) > 120, cut).otherwise(line), ' "')
+
+    def label(text: Column) -> Column:
+        failed = F.startswith(text, F.lit("Failure"))
+        return F.when(failed, F.lit(FAILURE_LABEL)).otherwise(_once(cut_at_mark(text), first_line))
+
+    return F.coalesce(_once(strip(strip(raw), '"'), label), F.lit(UNKNOWN_LABEL))
 
 
 def short_label_hdfs(raw: Column, n: int = 100) -> Column:

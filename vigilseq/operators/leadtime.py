@@ -41,16 +41,20 @@ def steps_before_error(detections: DataFrame) -> DataFrame:
 
 
 def lead_interpolated(detections: DataFrame) -> DataFrame:
-    """Lead when events have no usable time: the alert is placed by its share of the session.
-
-    An exact ``lead_min`` is kept when the table has any.
-    """
+    """Lead when events have no usable time: the alert is placed by its share of the session."""
     seconds = minutes_between(F.col("end_ts"), F.col("start_ts")) * 60
     at = seconds * F.col("alert_pos") / F.col("n_events")
     to_error = minutes_between(F.col("first_error_ts"), F.col("start_ts"))
     return detections.withColumn("lead_est_min", to_error - at / 60)
 
 
+def lead_or_estimate(detections: DataFrame) -> DataFrame:
+    """Exact leads when the table has any, else the interpolated ones, as ``lead_used_min``."""
+    exact = detections.agg(F.count("lead_min").alias("_exact"))  # one row
+    used = F.when(F.col("_exact") > 0, F.col("lead_min")).otherwise(F.col("lead_est_min"))
+    return lead_interpolated(detections).join(F.broadcast(exact)).withColumn("lead_used_min", used).drop("_exact")
+
+
 def lead_class(lead: Column) -> Column:
     """Four disjoint classes of a true positive."""
     return (

@@ -56,14 +56,17 @@ def running_totals(
     running: dict[str, Column],
     totals: dict[str, Column] | None = None,
     group_rows: int = GROUP_ROWS,
+    hot: list | None = None,
 ) -> DataFrame:
     """Add per row the sum of ``running`` over the rows before it in its group.
 
-    ``order`` must be unique inside a group.  ``totals`` are aggregates over the
-    whole group (``{"n": F.count("*")}``), repeated on each of its rows.
+    ``order`` should be unique inside a group.  ``totals`` are aggregates over the
+    whole group (``{"n": F.count("*")}``), repeated on each of its rows.  ``hot``
+    saves the size check when the caller has made it on the same groups.
     """
     keys, totals = list(keys), totals or {}
-    hot = hot_groups(df, keys, group_rows)
+    if hot is None:
+        hot = hot_groups(df, keys, group_rows)
     if not hot:
         return _plain_totals(df, keys, order, running, totals)
 

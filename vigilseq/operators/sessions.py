@@ -13,6 +13,7 @@ from vigilseq.operators.ordered import (
     GROUP_ROWS,
     chunk_window,
     drop_halo,
+    hot_groups,
     running_totals,
     with_halo,
 )
@@ -216,7 +217,7 @@ def gap_sessions(events: DataFrame, key: str, gap_seconds: int, group_rows: int
     slot is reduced before the shuffle and only slots are ordered per key.
     """
     slots = (
-        events.withColumn("slot", F.floor(F.unix_micros("ts") / (gap_seconds * 1_000_000)))
+        events.withColumn("slot", F.expr(f"unix_micros(ts) div {gap_seconds * 1_000_000}"))
         .groupBy(key, "slot")
         .agg(
             F.min("ts").alias("lo"),
@@ -225,13 +226,14 @@ def gap_sessions(events: DataFrame, key: str, gap_seconds: int, group_rows: int
             F.max("label").alias("slot_label"),
         )
     )
-    numbered = running_totals(slots, [key], ["slot"], {"pos": F.lit(1)}, group_rows=group_rows)
+    hot = hot_groups(slots, [key], group_rows)
+    numbered = running_totals(slots, [key], ["slot"], {"pos": F.lit(1)}, group_rows=group_rows, hot=hot)
     halo = with_halo(numbered, back=1, keys=[key])
     halo = drop_halo(halo.withColumn("_hi", F.lag("hi").over(chunk_window([key]))))
     pause = F.unix_micros("lo") - F.unix_micros("_hi")
     opens = F.when(F.col("_hi").isNull() | (pause > gap_seconds * 1_000_000), 1).otherwise(0)
     marked = halo.withColumn("_opens", opens)
-    marked = running_totals(marked, [key], ["slot"], {"_earlier": F.col("_opens")}, group_rows=group_rows)
+    marked = running_totals(marked, [key], ["slot"], {"_earlier": F.col("_opens")}, group_rows=group_rows, hot=hot)
     return (
         marked.withColumn("gap_no", F.col("_earlier") + F.col("_opens") - 1)
         .groupBy(key, "gap_no")

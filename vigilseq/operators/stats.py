@@ -10,14 +10,15 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigilseq.operators.evaluate import class_metrics, confusion, f1_of, ratio
 from vigilseq.operators.ordered import GROUP_ROWS, running_totals
 
-TRIAL_ROWS = 200_000_000  # rows x trials up to which labels are shuffled row by row
+TRIAL_ROWS = 20_000_000  # rows x trials up to which every row is drawn in every trial
+COUNTS = "tp long, fp long, tn long, fn long"
 
 
 @F.pandas_udf(T.DoubleType())
@@ -181,10 +182,15 @@ def roc_auc(df: DataFrame, score: str, label: str, group_rows: int = GROUP_ROWS)
 # -- resampling ---------------------------------------------------------------
 
 
-def _uniform(trial, key, seed: str):
-    """Uniform draw in [0, 1) that depends only on seed, trial and key."""
-    digest = F.substring(F.md5(F.concat_ws("|", F.lit(seed), trial.cast("string"), key.cast("string"))), 1, 8)
-    return F.conv(digest, 16, 10).cast("bigint") / F.lit(float(1 << 32))
+def _draw(trial: Column, key: Column, seed: str) -> Column:
+    """Eight hex digits that depend only on seed, trial and key; as text they sort like a uniform draw."""
+    return F.substring(F.md5(F.concat_ws("|", F.lit(seed), trial.cast("string"), key.cast("string"))), 1, 8)
+
+
+def _draw_limit(share: Column) -> Column:
+    """Draws below this text have the given chance."""
+    limit = F.lower(F.hex(F.ceil(share * float(1 << 32)).cast("bigint")))
+    return F.when(share >= 1, F.lit("g")).otherwise(F.lpad(limit, 8, "0"))
 
 
 def _spread(rows: DataFrame) -> DataFrame:
@@ -204,11 +210,11 @@ def random_trials(detections: DataFrame, trials: int = 1000, seed: str = "42") -
     Every task draws for its own rows and reduces them to one row per trial, so
     only trials x tasks rows are shuffled.
     """
-    share = detections.agg(F.avg(F.col("label").cast("double")).alias("share"))
+    share = detections.agg(_draw_limit(F.avg(F.col("label").cast("double"))).alias("limit"))
     rows = _spread(detections.select("session_id", "label"))
     drawn = rows.join(F.broadcast(share))  # one row
     drawn = drawn.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-    hit = _uniform(F.col("trial"), F.col("session_id"), seed) < F.col("share")
+    hit = _draw(F.col("trial"), F.col("session_id"), seed) < F.col("limit")
     counts = drawn.groupBy("trial").agg(
         F.count_if(hit & (F.col("label") == 1)).alias("tp"),
         F.count_if(hit & (F.col("label") == 0)).alias("fp"),
@@ -251,19 +257,22 @@ def _hypergeometric(rng, good: int, bad: int, drawn: int) -> int:
     return int(min(good, drawn, max(0, drawn - bad, round(rng.normal(mean, math.sqrt(var))))))
 
 
-def random_baseline(detections: DataFrame, trials: int = 1000, seed: int = 42, by_rows: bool = True) -> DataFrame:
+def random_baseline(
+    detections: DataFrame, trials: int = 1000, seed: int = 42, trial_rows: int = TRIAL_ROWS
+) -> DataFrame:
     """Mean and deviation of the random F1, distance of the model in sigmas, improvement, verdict.
 
-    ``by_rows=False`` draws the counts from their binomial law: one pass over the
-    table whatever the number of trials.
+    Above ``trial_rows`` rows x trials the hits of a trial are drawn from their
+    exact law, the binomial one, given the class counts: one pass over the table.
     """
-    table = class_metrics(confusion(detections))
-    if by_rows:
+    row = confusion(detections).first()
+    table = detections.sparkSession.createDataFrame([row], COUNTS)
+    if sum(row) * trials <= trial_rows:
         drawn = random_trials(detections, trials, str(seed))
     else:
-        drawn = _trial_f1(_sampled_counts(confusion(detections), trials, seed, "random"))
+        drawn = _trial_f1(_sampled_counts(table, trials, seed, "random"))
     out = drawn.agg(F.avg("f1").alias("random_f1_mean"), F.stddev_pop("f1").alias("random_f1_std"))
-    out = out.join(F.broadcast(table.select(F.col("f1").alias("model_f1"))))
+    out = out.join(F.broadcast(class_metrics(table).select(F.col("f1").alias("model_f1"))))
     gap = F.col("model_f1") - F.col("random_f1_mean")
     return out.withColumns(
         {
@@ -275,34 +284,58 @@ def random_baseline(detections: DataFrame, trials: int = 1000, seed: int = 42, b
 
 
 def permutation_trials(
-    detections: DataFrame, trials: int = 1000, seed: int = 42, trial_rows: int = TRIAL_ROWS, group_rows: int = GROUP_ROWS
+    detections: DataFrame, trials: int = 1000, seed: int = 42, trial_rows: int = TRIAL_ROWS
 ) -> DataFrame:
     """F1 of the fixed predictions under shuffled labels.
 
-    Up to ``trial_rows`` rows x trials the labels are shuffled: in each trial the
-    n1 sessions with the lowest draw carry label 1.  Above that, or when one
-    trial would exceed a task, the hits of a shuffle are drawn from their exact
-    law, the hypergeometric one, given the confusion counts.
+    Up to ``trial_rows`` rows x trials the labels are shuffled row by row: in
+    each trial the n1 sessions with the lowest draw carry label 1.  Above that
+    the hits of a shuffle are drawn from their exact law, the hypergeometric
+    one, given the confusion counts.
     """
     row = confusion(detections).first()
     n1, n = row["tp"] + row["fn"], sum(row)
-    if n * trials > trial_rows or n > group_rows:
-        table = detections.sparkSession.createDataFrame([row], "tp long, fp long, tn long, fn long")
+    flagged = row["tp"] + row["fp"]
+    if n1 == 0 or n * trials > trial_rows:
+        table = detections.sparkSession.createDataFrame([row], COUNTS)
         return _trial_f1(_sampled_counts(table, trials, seed, "permute"))
+
     drawn = _spread(detections.select("session_id", "predicted")).withColumn(
         "trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))
     )
-    drawn = drawn.withColumn("u", _uniform(F.col("trial"), F.col("session_id"), str(seed)))
-    place = F.row_number().over(Window.partitionBy("trial").orderBy("u", "session_id"))
-    one, hit = F.col("place") <= n1, F.col("predicted") == 1
-    counts = (
-        drawn.withColumn("place", place)
-        .groupBy("trial")
-        .agg(F.count_if(one & hit).alias("tp"), F.count_if(~one & hit).alias("fp"), F.count_if(one & ~hit).alias("fn"))
+    drawn = drawn.withColumn("u", _draw(F.col("trial"), F.col("session_id"), str(seed)))
+    hits = _lowest_hits(drawn, n1, digits=max(1, math.ceil(math.log(max(n, 2) / 500, 16))))
+    counts = hits.select(
+        "trial", "tp", (F.lit(flagged) - F.col("tp")).alias("fp"), (F.lit(n1) - F.col("tp")).alias("fn")
     )
     return _trial_f1(counts)
 
 
+def _lowest_hits(drawn: DataFrame, n1: int, digits: int) -> DataFrame:
+    """Flagged rows among the ``n1`` lowest draws of each trial.
+
+    Draws are counted by their first digits in every task, so rows are not
+    shuffled; only those of the one group that holds the n1-th draw are sorted.
+    """
+    drawn = drawn.withColumn("prefix", F.left("u", F.lit(digits)))
+    groups = drawn.groupBy("trial", "prefix").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("predicted") == 1).alias("hits")
+    )
+    up_to = Window.partitionBy("trial").orderBy("prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    groups = groups.withColumn("up_to", F.sum("n").over(up_to))
+    before = F.col("up_to") - F.col("n")
+    holds_last = (F.col("up_to") >= n1) & (before < n1)  # one group per trial
+    cut = groups.groupBy("trial").agg(
+        F.sum(F.when(F.col("up_to") < n1, F.col("hits")).otherwise(0)).alias("sure"),
+        F.max(F.when(holds_last, F.struct("prefix", (n1 - before).alias("wanted")))).alias("last"),
+    )
+    cut = F.broadcast(cut.select("trial", "sure", "last.prefix", "last.wanted"))
+    place = F.row_number().over(Window.partitionBy("trial").orderBy("u", "session_id"))
+    at_cut = drawn.join(cut, ["trial", "prefix"]).withColumn("place", place)
+    hit = (F.col("place") <= F.col("wanted")) & (F.col("predicted") == 1)
+    return at_cut.groupBy("trial").agg((F.max("sure") + F.count_if(hit)).alias("tp"))
+
+
 def permutation_test(detections: DataFrame, trials: int = 1000, seed: int = 42, **limits) -> DataFrame:
     """Mean, deviation and best shuffled F1, and the share of shuffles at least as good as the model."""
     model = class_metrics(confusion(detections)).select(F.col("f1").alias("model_f1"))  # one row

@@ -22,6 +22,7 @@ QUERIES: dict[str, Query] = {}
 
 STREAM_DELAY_HOURS = 1
 TRIALS = 1000
+TIE_SHIFT = 1.234567e-9  # engines round exact halves differently; none is left after this shift
 PERCENTS = [25, 50, 75, 90, 95, 99]
 
 
@@ -31,7 +32,7 @@ def tidy(df: DataFrame) -> DataFrame:
     for field in df.schema.fields:
         column, kind = F.col(f"`{field.name}`"), field.dataType
         if isinstance(kind, (T.DoubleType, T.FloatType)):
-            column = F.round(column, 6)
+            column = F.round(column + TIE_SHIFT, 6)
         elif isinstance(kind, T.TimestampType):
             column = F.unix_micros(column)
         elif isinstance(kind, (T.IntegerType, T.ShortType, T.ByteType, T.BooleanType)):
@@ -442,6 +443,11 @@ def m5(spark, folder):
     return splits.split_by_time(_week_sessions(spark, folder), "2024-01-22 00:00:00")
 
 
+@query("m5_split_by_share")
+def m5_share(spark, folder):
+    return splits.split_by_share(_week_sessions(spark, folder), 0.8)
+
+
 @query("m6_leakage_audit")
 def m6(spark, folder):
     every = _week_sessions(spark, folder)
@@ -472,7 +478,7 @@ def n2(spark, folder):
 
 @query("n3_topk_miss")
 def n3(spark, folder):
-    contexts = detection.labelled_contexts(logs.day_log(spark, folder))
+    contexts = detection.stored_contexts(logs.day_log(spark, folder))
     scored = model.score_events(contexts.filter("split = 'test'"), detection.fit(contexts), k=reports.TOP_K)
     return detect.topk_miss(scored).select("session_id", "pos", "ts", "event")
 
@@ -484,7 +490,7 @@ def n4(spark, folder):
 
 @query("n4_event_loss_backoff")
 def n4_backoff(spark, folder):
-    contexts = detection.labelled_contexts(logs.week_log(spark, folder), 2)
+    contexts = detection.stored_contexts(logs.week_log(spark, folder), 2)
     scored = model.score_events(contexts, detection.fit(contexts, 2), 2, k=5, skip=1, min_ctx=20)
     return scored.select("session_id", "pos", "loss", "in_topk")
 
@@ -571,7 +577,8 @@ def l3(spark, folder):
 
 @query("l4_lead_interpolated")
 def l4(spark, folder):
-    return leadtime.lead_interpolated(reports.topk_table(spark, folder)).select("session_id", "lead_est_min")
+    out = leadtime.lead_or_estimate(reports.topk_table(spark, folder))
+    return out.select("session_id", "lead_est_min", "lead_used_min")
 
 
 @query("l5_lead_outcome")
@@ -629,6 +636,12 @@ def l13(spark, folder):
     return leadtime.histogram(hits, "lead_min", 50, (0.01, 0.99))
 
 
+@query("l13_lead_histogram_zoom")
+def l13_zoom(spark, folder):
+    hits = reports.topk_table(spark, folder).filter(leadtime.TRUE_POSITIVE).filter("lead_min <= 60")
+    return leadtime.histogram(hits, "lead_min", 30)
+
+
 @query("l14_lead_ecdf")
 def l14(spark, folder):
     hits = reports.threshold_table(spark, folder).filter(leadtime.TRUE_POSITIVE)
@@ -787,6 +800,18 @@ def e17(spark, folder):
     return evaluate.percentiles(_scores(spark, folder), "score", ["label"], PERCENTS)
 
 
+@query("e17_alert_loss_percentiles")
+def e17_alerts(spark, folder):
+    hits = reports.threshold_table(spark, folder).filter(leadtime.TRUE_POSITIVE)
+    return evaluate.percentiles(hits, "alert_loss", [], [10, *PERCENTS])
+
+
+@query("e18_alert_loss_histogram")
+def e18_alerts(spark, folder):
+    flagged = reports.threshold_table(spark, folder).filter("predicted = 1")
+    return leadtime.histogram(flagged, "alert_loss", 50, by="label")
+
+
 @query("e18_loss_histogram")
 def e18(spark, folder):
     positive = _scores(spark, folder).filter("score > 0")

@@ -9,9 +9,11 @@ from vigilseq.operators.detect import detect_threshold, detect_topk
 from vigilseq.operators.leadtime import lead_to_end, lead_to_first_error, steps_before_error
 from vigilseq.operators.model import fit_next_event, score_events
 from vigilseq.operators.sessions import sessionize, with_previous
-from vigilseq.operators.splits import split_name
+from vigilseq.operators.splits import hash_pct, split_name
 from vigilseq.sources.staging import stage
 
+CUTS = (80, 90)  # percent of the normal sessions up to which they train and validate
+
 
 def labelled_contexts(events: DataFrame, order: int = 1) -> DataFrame:
     """Events with position, session label, split and the events before them.
@@ -21,7 +23,16 @@ def labelled_contexts(events: DataFrame, order: int = 1) -> DataFrame:
     """
     rows = sessionize(events.withColumn("event", F.coalesce("event", F.lit(""))))
     rows = with_previous(rows, order)
-    return rows.withColumn("split", split_name(F.col("session_id"), F.col("session_label")))
+    return rows.withColumn("split", split_name(F.col("session_id"), F.col("session_label"), CUTS))
+
+
+def stored_contexts(events: DataFrame, order: int = 1) -> DataFrame:
+    """The labelled contexts as a staged table, one folder per split.
+
+    Model and scoring both need them: the log is shuffled once, and each of the
+    two reads only the files of its split.
+    """
+    return stage(labelled_contexts(events, order), "contexts", "split")
 
 
 def fit(contexts: DataFrame, order: int = 1, normal_scope: str = "session") -> DataFrame:
@@ -30,19 +41,24 @@ def fit(contexts: DataFrame, order: int = 1, normal_scope: str = "session") -> D
     ``normal_scope='session'`` trains on normal sessions of the train split;
     ``'row'`` on every row labelled normal, whatever its session.
     """
-    rows = contexts.filter("split = 'train'") if normal_scope == "session" else contexts.filter("label = 0")
+    rows = contexts.filter("label = 0") if normal_scope == "row" else train_rows(contexts)
     return stage(fit_next_event(rows, order), "ngrams")
 
 
+def train_rows(contexts: DataFrame) -> DataFrame:
+    """Rows of the train split; the hash alone is tested too, because it can be pushed below the windows."""
+    return contexts.filter(hash_pct(F.col("session_id")) < CUTS[0]).filter("split = 'train'")
+
+
 def topk_detections(events: DataFrame, order: int = 1, k: int = 5) -> DataFrame:
     """Test sessions flagged when an event is not among the K likeliest, with lead to the first error."""
-    contexts = labelled_contexts(events, order)
+    contexts = stored_contexts(events, order)
     scored = score_events(contexts.filter("split = 'test'"), fit(contexts, order), order, k)
     return steps_before_error(lead_to_first_error(detect_topk(scored)))
 
 
 def threshold_detections(events: DataFrame, threshold: float, order: int = 1, skip: int = 3) -> DataFrame:
     """Test sessions flagged when an event surprises more than the threshold, with lead to the end."""
-    contexts = labelled_contexts(events, order)
+    contexts = stored_contexts(events, order)
     scored = score_events(contexts.filter("split = 'test'"), fit(contexts, order), order, skip=skip)
     return steps_before_error(lead_to_end(detect_threshold(scored, threshold, skip)))

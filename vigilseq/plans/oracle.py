@@ -6,14 +6,14 @@ from vigilseq.functions import numeric as num
 from vigilseq.functions import text as txt
 from vigilseq.operators.vocab import PAD, SEP, UNK
 from vigilseq.plans import reports
-from vigilseq.plans.catalog import PERCENTS, STREAM_DELAY_HOURS, TRIALS
+from vigilseq.plans.catalog import PERCENTS, STREAM_DELAY_HOURS, TIE_SHIFT, TRIALS
 
 SQL: dict[str, str] = {}
 
 _CASTS = {
     "s": "{c}::VARCHAR",
     "i": "{c}::BIGINT",
-    "d": "round({c}::DOUBLE, 6) + 0.0",
+    "d": f"round({{c}}::DOUBLE + {TIE_SHIFT}, 6) + 0.0",
     "t": "epoch_us({c})",
     "l": "array_to_string({c}, ' ')",
 }
@@ -485,6 +485,13 @@ put(
     "SELECT *, CASE WHEN start_ts < TIMESTAMP '2024-01-22 00:00:00' THEN 'train' ELSE 'test' END AS split FROM ses",
     f"{WEEK}, {SUMMARY}",
 )
+put(
+    "m5_split_by_share",
+    "session_id:s label:i start_ts:t split:s",
+    """SELECT *, CASE WHEN epoch_us(start_ts) < (SELECT quantile_cont(epoch_us(start_ts), 0.8) FROM ses) THEN 'train' ELSE 'test' END AS split
+       FROM ses""",
+    f"{WEEK}, {SUMMARY}",
+)
 put(
     "m6_leakage_audit",
     "session_id:s n_splits:i anomaly_leak:i",
@@ -607,8 +614,8 @@ put("l2_lead_to_first_error", "session_id:s alert_ts:t first_error_ts:t lead_min
 put("l3_steps_before_error", "session_id:s steps_before_error:i", "SELECT * FROM det", TOPK)
 put(
     "l4_lead_interpolated",
-    "session_id:s lead_est_min:d",
-    """SELECT session_id, (epoch_us(first_error_ts) - epoch_us(start_ts)) / 6e7
+    "session_id:s lead_est_min:d lead_used_min:d",
+    """SELECT session_id, lead_min AS lead_used_min, (epoch_us(first_error_ts) - epoch_us(start_ts)) / 6e7
          - (epoch_us(end_ts) - epoch_us(start_ts)) / 6e7 * alert_pos / n_events AS lead_est_min FROM det""",
     TOPK,
 )
@@ -707,6 +714,12 @@ put(
     f"""{TOPK}, tp AS (SELECT lead_min FROM det WHERE {TP} AND lead_min IS NOT NULL),
     cl AS (SELECT * FROM tp WHERE lead_min BETWEEN (SELECT quantile_cont(lead_min, 0.01) FROM tp) AND (SELECT quantile_cont(lead_min, 0.99) FROM tp))""",
 )
+put(
+    "l13_lead_histogram_zoom",
+    "bin_no:i lo:d hi:d count:i",
+    histogram("lead_min", "tp", 30),
+    f"{TOPK}, tp AS (SELECT lead_min FROM det WHERE {TP} AND lead_min <= 60)",
+)
 put(
     "l14_lead_ecdf",
     "lead_min:d cum_pct:d",
@@ -901,6 +914,18 @@ put(
     "SELECT label, " + ", ".join(f"quantile_cont(score, {q / 100}) AS p{q}" for q in PERCENTS) + " FROM sco GROUP BY 1",
     SCORES,
 )
+put(
+    "e17_alert_loss_percentiles",
+    " ".join(f"p{q}:d" for q in [10, *PERCENTS]),
+    "SELECT " + ", ".join(f"quantile_cont(alert_loss, {q / 100}) AS p{q}" for q in [10, *PERCENTS]) + f" FROM det WHERE {TP}",
+    THRESHOLD,
+)
+put(
+    "e18_alert_loss_histogram",
+    "label:i bin_no:i lo:d hi:d count:i",
+    histogram("alert_loss", "fl", 50, "label"),
+    f"{THRESHOLD}, fl AS (SELECT * FROM det WHERE predicted = 1)",
+)
 put(
     "e18_loss_histogram",
     "label:i bin_no:i lo:d hi:d count:i",

@@ -9,7 +9,7 @@ from vigilseq.functions.text import categorize
 from vigilseq.operators.evaluate import grid
 from vigilseq.operators.model import score_events
 from vigilseq.plans import logs
-from vigilseq.plans.detection import fit, labelled_contexts, threshold_detections, topk_detections
+from vigilseq.plans.detection import fit, stored_contexts, threshold_detections, topk_detections
 from vigilseq.sources.staging import staging_path
 
 TOP_K = 12  # the day log has 16 normal symbols, so a small K would flag nearly every session
@@ -60,7 +60,7 @@ def scored_table(spark: SparkSession, folder: str) -> DataFrame:
     """Scored events of all splits of the week log."""
 
     def build() -> DataFrame:
-        contexts = labelled_contexts(logs.week_log(spark, folder))
+        contexts = stored_contexts(logs.week_log(spark, folder))
         return score_events(contexts, fit(contexts), skip=SKIP)
 
     return _store(spark, folder, "scored", build)

@@ -32,9 +32,9 @@ def staging_path(spark: SparkSession, name: str = "table") -> str:
     return f"{staging_root(spark)}/vigilseq/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str = "table") -> DataFrame:
+def stage(df: DataFrame, name: str = "table", partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and return the written table."""
     spark = df.sparkSession
     path = staging_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=partition_by)
     return spark.read.schema(df.schema).parquet(path)

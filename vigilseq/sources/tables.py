@@ -13,25 +13,43 @@ from vigilseq.schema import LogSchema, canonical
 DEFAULT_THRESHOLD = 5.0  # fixed value of the reference, used when no tuned one exists
 
 RESULT_FIELDS = "session_id string, label int, is_detected boolean, lead_time_minutes double, alert_loss double, final_log string"
+TOPK_HEADER = (
+    "detection_method string, precision double, recall double, f1_score double, accuracy double, "
+    "tp bigint, fp bigint, tn bigint, fn bigint"
+)
+TOPK_FIELDS = (
+    "test_id: string, label: int, predicted: int, first_anomaly_step: int, n_events: int, log_desc: string, "
+    "log_hash: string, error_template: string, first_error_template: string, first_error_timestamp: string, "
+    "first_error_index: int, first_error_eventid: string, alert_timestamp: string, lead_time_seconds: double, "
+    "lead_time_minutes: double, alert_step_before_error: int"
+)
 RESULT_FILE = (
-    "metrics struct<precision double, recall double, f1 double, accuracy double, confusion_matrix array<array<bigint>>>, "
-    "threshold double, results array<struct<session_id string, label int, is_detected boolean, "
-    "lead_time_minutes double, alert_loss double, final_log string>>"
+    "metrics struct<precision: double, recall: double, f1: double, accuracy: double, confusion_matrix: array<array<bigint>>>, "
+    "threshold double, results array<struct<session_id: string, label: int, is_detected: boolean, "
+    "lead_time_minutes: double, alert_loss: double, final_log: string>>"
 )
 
 
 def read_events(
-    spark: SparkSession, path: str, schema: LogSchema, fmt: str = "parquet", struct: T.StructType | None = None
+    spark: SparkSession,
+    path: str,
+    schema: LogSchema,
+    fmt: str = "parquet",
+    struct: T.StructType | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """Event table from parquet or from CSV with header; only the log columns are read."""
+    """Event table from parquet or from CSV with header; only the log columns are read.
+
+    ``multi_line`` is for CSV whose quoted texts hold line breaks; such a file is
+    read by one task, so split it or convert it to parquet when it is large.
+    """
     reader = spark.read
     if struct is not None:
         reader = reader.schema(struct)
     if fmt == "csv":
         if struct is None:
             raise ValueError("a CSV log needs its column types")
-        # Templates may hold quotes and line breaks.
-        reader = reader.options(header=True, multiLine=True, quote='"', escape='"')
+        reader = reader.options(header=True, multiLine=multi_line, quote='"', escape='"')
     return canonical(reader.format(fmt).load(path), schema)
 
 
@@ -87,8 +105,14 @@ def read_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     )
 
 
+def read_topk_file(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Records and header of Top-K result files that nest all records in one JSON object."""
+    whole = spark.read.schema(f"{TOPK_HEADER}, results array<struct<{TOPK_FIELDS}>>").json(path, multiLine=True)
+    return whole.select(F.explode("results").alias("r")).select("r.*"), whole.drop("results")
+
+
 def read_result_file(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Records and header of result files that nest all records in one JSON object."""
+    """Records and header of threshold result files that nest all records in one JSON object."""
     whole = spark.read.schema(RESULT_FILE).json(path, multiLine=True)
     records = whole.select(F.explode("results").alias("r")).select("r.*")
     matrix = F.col("metrics.confusion_matrix")
