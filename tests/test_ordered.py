@@ -75,6 +75,19 @@ def test_quantiles_match_numpy(spark, group_rows):
             assert row[name] == pytest.approx(np.quantile(group, q))
 
 
+@pytest.mark.parametrize("group_rows", [50, 10_000])
+def test_sessions_with_previous_events(skewed, group_rows):
+    names = ["session_id", "tiebreak", "pos", "session_label", "n_events", "prev1", "prev2"]
+    wanted = sessions.with_previous(sessions.sessionize(skewed), 2).select(names)
+    found = sessions.sessionize_with_previous(skewed, 2, group_rows).select(names)
+    assert sorted(map(str, found.collect())) == sorted(map(str, wanted.collect()))
+
+
+def test_one_shuffle_and_one_sort_of_the_rows(skewed):
+    plan = sessions.sessionize_with_previous(skewed, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count(" Sort ") == 1
+
+
 def test_one_shuffle_of_the_rows(skewed):
     plan = sessions.with_previous(sessions.sessionize(skewed), 2)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1

@@ -27,6 +27,10 @@ def with_position(events: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
 
 def sessionize(events: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Position plus session label and length, in one shuffle by session."""
+    return _sessionize(events, group_rows, None)
+
+
+def _sessionize(events: DataFrame, group_rows: int, hot: list | None) -> DataFrame:
     return running_totals(
         events,
         ["session_id"],
@@ -34,9 +38,20 @@ def sessionize(events: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
         {"pos": F.lit(1)},
         {"session_label": F.max("label"), "n_events": F.count(F.lit(1))},
         group_rows,
+        hot,
     )
 
 
+def sessionize_with_previous(events: DataFrame, order: int, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """``sessionize`` and ``with_previous`` together: one shuffle and one sort unless a session is too large."""
+    hot = hot_groups(events, ["session_id"], group_rows)
+    if hot:
+        return with_previous(_sessionize(events, group_rows, hot), order)
+    before = Window.partitionBy("session_id").orderBy(*EVENT_ORDER)
+    lags = {f"prev{i}": F.lag("event", i).over(before) for i in range(1, order + 1)}
+    return _sessionize(events.withColumns(lags) if order else events, group_rows, hot)
+
+
 def session_labels(events: DataFrame) -> DataFrame:
     """A session is anomalous when any of its rows is."""
     return events.groupBy("session_id").agg(F.max("label").alias("label"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vigilseq.functions.text import null_event
 from vigilseq.operators.detect import detect_threshold, detect_topk
 from vigilseq.operators.leadtime import lead_to_end, lead_to_first_error, steps_before_error
 from vigilseq.operators.model import fit_next_event, score_events
-from vigilseq.operators.sessions import sessionize, with_previous
+from vigilseq.operators.sessions import sessionize_with_previous
 from vigilseq.operators.splits import hash_pct, split_name
 from vigilseq.sources.staging import stage
 
@@ -21,8 +22,7 @@ def labelled_contexts(events: DataFrame, order: int = 1) -> DataFrame:
     One shuffle by session; label and split are columns of the row, so no later
     step joins rows to a session table.
     """
-    rows = sessionize(events.withColumn("event", F.coalesce("event", F.lit(""))))
-    rows = with_previous(rows, order)
+    rows = sessionize_with_previous(events.withColumn("event", null_event(F.col("event"))), order)
     return rows.withColumn("split", split_name(F.col("session_id"), F.col("session_label"), CUTS))
 
 
