@@ -45,6 +45,17 @@ def test_joined_text(events):
     assert text == "E1 \n E2 \n E2 \n E5"
 
 
+def test_head_of_the_text(events):
+    log = sessions.with_position(events([(1, i, "", 0) for i in range(80)] + [(2, 0, "ab", 0), (2, 1, "cd", 0)]))
+    assert rows_of(sessions.session_head(log)) == [("1", " " * 50), ("2", "ab cd")]
+
+
+def test_windows_as_sessions(events):
+    log = sessions.with_position(events([(1, i, "e", 0) for i in range(45)]))
+    cut = sessions.windows_as_sessions(sessions.count_windows(log, 20))
+    assert rows_of(cut.groupBy("session_id").count()) == [("1#0", 20), ("1#1", 20), ("1#2", 5)]
+
+
 def test_pack_blocks_drop_only_the_remainder(events):
     log = events([(s, i, f"e{i}", 0) for s in range(7) for i in range(5)])
     known = vocab.fit_vocab(log)

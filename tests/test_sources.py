@@ -62,6 +62,19 @@ def test_raw_lines(spark):
     assert left.filter("label is null").first()["session_id"] == "blk_9"
 
 
+def test_raw_files(spark, tmp_path):
+    lines = [f"081109 2035{i // 10:02d} {i} INFO dfs: Receiving block blk_{i % 2}" for i in range(60)] + ["no time blk_0"]
+    (tmp_path / "raw.log").write_text("\n".join(lines) + "\n")
+    (tmp_path / "labels.csv").write_text("BlockId,Label\nblk_0,Normal\nblk_1,Anomaly\n")
+    raw = tables.read_lines(spark, str(tmp_path / "raw.log"), r"^[0-9]{6} [0-9]{6}", "yyMMdd HHmmss")
+    assert [r["line"] for r in raw.orderBy("tiebreak").collect()] == lines
+    assert raw.filter("ts is null").count() == 1
+    assert raw.agg(F.min("ts").cast("string")).first()[0] == "2008-11-09 20:35:00"
+    labels = tables.read_labels(spark, str(tmp_path / "labels.csv"), "BlockId", "Label")
+    events = tables.events_from_raw(raw, labels, r"blk_-?[0-9]+")
+    assert rows_of(events.groupBy("session_id", "label").count()) == [("blk_0", 0, 31), ("blk_1", 1, 30)]
+
+
 def test_threshold_file(spark, tmp_path):
     path = tmp_path / "threshold_config.json"
     assert tables.load_threshold(spark, str(path)).first()[0] == 5.0

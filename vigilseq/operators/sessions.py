@@ -83,6 +83,14 @@ def session_sequences(positioned: DataFrame, sep: str | None = None, max_events:
     return out
 
 
+def session_head(positioned: DataFrame, chars: int = 50, sep: str = " ") -> DataFrame:
+    """First ``chars`` characters of the joined text of each session, from as many events as that can take."""
+    first = positioned.filter((F.col("pos") <= chars) & F.col("event").isNotNull())
+    items = F.sort_array(F.collect_list(F.struct("pos", "event")))
+    joined = F.array_join(F.transform("items", lambda x: x["event"]), sep)
+    return first.groupBy("session_id").agg(items.alias("items")).select("session_id", F.left(joined, F.lit(chars)).alias("head"))
+
+
 def session_summary(events: DataFrame) -> DataFrame:
     """Start, end, count, last event, duration and error rows; needs no positions."""
     last = F.max(F.struct("ts", "tiebreak", "event"))
@@ -128,6 +136,12 @@ def count_windows(positioned: DataFrame, n: int = 20) -> DataFrame:
     return positioned.withColumn("window_no", F.floor(F.col("pos") / n)).withColumn("window_pos", F.col("pos") % n)
 
 
+def windows_as_sessions(windowed: DataFrame) -> DataFrame:
+    """Events with each count window as a session of its own."""
+    key = F.concat_ws("#", F.col("session_id").cast("string"), F.col("window_no").cast("string"))
+    return windowed.select(key.alias("session_id"), "ts", "tiebreak", "event", "label")
+
+
 def window_table(windowed: DataFrame) -> DataFrame:
     """One row per count window: label by max, length, events in order."""
     return (

@@ -291,6 +291,11 @@ def g4(spark, folder):
     return sessions.session_sequences(sessions.with_position(logs.talk_log(spark, folder)), " \n ")
 
 
+@query("g4_session_head")
+def g4_head(spark, folder):
+    return sessions.session_head(sessions.with_position(logs.user_log(spark, folder)))
+
+
 @query("g5_session_summary")
 def g5(spark, folder):
     return sessions.session_summary(logs.week_log(spark, folder))
@@ -557,6 +562,24 @@ def n12(spark, folder):
 # -- lead time ----------------------------------------------------------------
 
 
+@query("n6_detect_topk_windows")
+def n6_windows(spark, folder):
+    cut = sessions.count_windows(sessions.with_position(logs.user_log(spark, folder)), 20)
+    found = detection.topk_detections(sessions.windows_as_sessions(cut), 1, 17)
+    return found.select("session_id", "label", "predicted", "alert_pos", "first_error_pos", "steps_before_error")
+
+
+@query("n7_unscorable")
+def n7_unscorable(spark, folder):
+    return detect.unscorable(reports.threshold_table(spark, folder), reports.SKIP)
+
+
+def _with_head(spark, folder):
+    """Top-K detections with the start of the session's text, which describes an alert."""
+    heads = sessions.session_head(sessions.with_position(logs.day_log(spark, folder)))
+    return reports.topk_table(spark, folder).join(heads, "session_id", "left")
+
+
 @query("l1_lead_to_end")
 def l1(spark, folder):
     found = reports.threshold_table(spark, folder).drop("lead_min")
@@ -610,7 +633,7 @@ def l9(spark, folder):
 
 @query("l10_failure_diversity")
 def l10(spark, folder):
-    return leadtime.failure_diversity(reports.topk_table(spark, folder), F.col("first_error_event"))
+    return leadtime.failure_diversity(_with_head(spark, folder), F.col("head"))
 
 
 @query("l11_best_and_worst_leads")
@@ -893,7 +916,7 @@ def e27(spark, folder):
 
 @query("e28_alert_report")
 def e28(spark, folder):
-    return evaluate.alert_report(reports.topk_table(spark, folder), F.col("last_event"))
+    return evaluate.alert_report(_with_head(spark, folder), F.col("head"))
 
 
 @query("first_alerts_with_lead")

@@ -68,6 +68,7 @@ POS = """p AS (
   SELECT *, row_number() OVER s - 1 AS pos, max(label) OVER g AS session_label, count(*) OVER g AS n_events,
          lag(event, 1) OVER s AS prev1, lag(event, 2) OVER s AS prev2
   FROM ev WINDOW s AS (PARTITION BY session_id ORDER BY ts, tiebreak), g AS (PARTITION BY session_id))"""
+HEAD = "hd AS (SELECT session_id, substr(string_agg(event, ' ' ORDER BY pos), 1, 50) AS head FROM p GROUP BY 1)"
 SUMMARY = """ses AS (
   SELECT session_id, max(label) AS label, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n_events,
          sum(label) AS n_error_events, arg_max(event, (ts, tiebreak)) AS last_event,
@@ -337,6 +338,7 @@ put(
               array_to_string(list(event ORDER BY pos), ' ' || chr(10) || ' ') AS text FROM p GROUP BY 1""",
     f"{TALK}, {POS}",
 )
+put("g4_session_head", "session_id:i head:s", "SELECT * FROM hd", f"{USER}, {POS}, {HEAD}")
 put(
     "g5_session_summary",
     "session_id:s label:i start_ts:t end_ts:t n_events:i n_error_events:i last_event:s duration_sec:d",
@@ -570,6 +572,21 @@ put(
     "SELECT * FROM det",
     THRESHOLD,
 )
+WINDOW_LOG = f"""{USER.replace('ev AS', 'ev0 AS')}, ev AS (
+  SELECT session_id::VARCHAR || '#' || ((row_number() OVER (PARTITION BY session_id ORDER BY ts, tiebreak) - 1) // 20)::VARCHAR AS session_id,
+         ts, tiebreak, event, label FROM ev0)"""
+put(
+    "n6_detect_topk_windows",
+    "session_id:s label:i predicted:i alert_pos:i first_error_pos:i steps_before_error:i",
+    "SELECT *, first_error_pos - alert_pos AS steps_before_error FROM d0",
+    f"{scored(WINDOW_LOG, 17, 1)}, {detected(WEEK_TEST, 'NOT in_topk')}",
+)
+put(
+    "n7_unscorable",
+    "label:i n_unscorable:i",
+    f"SELECT label, count(*) AS n_unscorable FROM det WHERE n_events <= {reports.SKIP} GROUP BY 1",
+    THRESHOLD,
+)
 put(
     "n8_detect_avg_loss",
     "session_id:s label:i avg_loss:d max_loss:d n_scored:i predicted:i",
@@ -663,9 +680,9 @@ put(
 put(
     "l10_failure_diversity",
     "pattern:s count:i example_id:s example_step:i",
-    f"""SELECT substr(md5(substr(first_error_event, 1, 50)), 1, 8) AS pattern, count(*) AS count, min(session_id) AS example_id,
-          arg_min(first_anomaly_step, session_id) AS example_step FROM det WHERE {TP} GROUP BY 1""",
-    TOPK,
+    f"""SELECT substr(md5(head), 1, 8) AS pattern, count(*) AS count, min(det.session_id) AS example_id,
+          arg_min(first_anomaly_step, det.session_id) AS example_step FROM det JOIN hd ON det.session_id = hd.session_id WHERE {TP} GROUP BY 1""",
+    f"{TOPK}, {HEAD}",
 )
 put(
     "l11_best_and_worst_leads",
@@ -1024,11 +1041,11 @@ put(
     "e28_alert_report",
     "session_id:s label:i predicted:i first_anomaly_step:i n_events:i log_desc:s log_hash:s first_error_event:s first_error_ts:t "
     "first_error_pos:i alert_ts:t lead_time_seconds:d lead_time_minutes:d alert_step_before_error:i outcome:s",
-    """SELECT *, substr(last_event, 1, 50) AS log_desc, substr(md5(substr(last_event, 1, 50)), 1, 8) AS log_hash,
+    """SELECT det.*, head AS log_desc, substr(md5(head), 1, 8) AS log_hash,
          lead_sec AS lead_time_seconds, lead_min AS lead_time_minutes, steps_before_error AS alert_step_before_error,
          CASE WHEN lead_min > 0 THEN 'anticipated' WHEN lead_min = 0 THEN 'simultaneous' WHEN lead_min < 0 THEN 'reactive'
-              ELSE 'unknown' END AS outcome FROM det""",
-    TOPK,
+              ELSE 'unknown' END AS outcome FROM det JOIN hd ON det.session_id = hd.session_id""",
+    f"{TOPK}, {HEAD}",
 )
 put(
     "first_alerts_with_lead",

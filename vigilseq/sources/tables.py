@@ -53,6 +53,31 @@ def read_events(
     return canonical(reader.format(fmt).load(path), schema)
 
 
+def read_lines(spark: SparkSession, path: str, ts_regex: str, ts_format: str) -> DataFrame:
+    """Raw log lines (ts, tiebreak, line); ``tiebreak`` follows the order of lines in their file.
+
+    It joins the start of the file split, in MiB, with the row number inside the
+    task, which grows along a split.  Files are read in splits, not as a whole.
+    """
+    rows = spark.read.text(path).select(
+        F.col("value").alias("line"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    stamp = F.nullif(F.regexp_extract("line", ts_regex, 0), F.lit(""))
+    return rows.select(
+        F.try_to_timestamp(stamp, F.lit(ts_format)).alias("ts"),
+        F.expr("shiftleft(start div 1048576, 33) + (row & 8589934591)").alias("tiebreak"),
+        "line",
+    )
+
+
+def read_labels(spark: SparkSession, path: str, id_column: str, label_column: str, anomalous: str = "Anomaly") -> DataFrame:
+    """Label per block (session_id, label) from a CSV file with header."""
+    labels = spark.read.schema(f"`{id_column}` string, `{label_column}` string").csv(path, header=True)
+    return labels.select(F.col(id_column).alias("session_id"), (F.col(label_column) == anomalous).cast("int").alias("label"))
+
+
 def events_from_raw(
     lines: DataFrame,
     labels: DataFrame,
