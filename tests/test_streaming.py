@@ -49,6 +49,15 @@ def test_first_alerts_match_batch(spark, tmp_path, order):
     assert sorted((r["session_id"], r["pos"], r["event"]) for r in found.collect()) == wanted
 
 
+def test_only_rows_before_the_watermark_leave():
+    sessions = {"a": (3, 0, ["x", "y"])}
+    waiting = [("a", 9_000, 1, "late"), ("b", 2_000, 5, "q"), ("a", 2_000, 4, "z"), ("a", 2_000, 3, "w")]
+    rows, rest = first_alert._in_order(waiting, sessions, mark=9, order=2)
+    assert rows == [("a", 3, 2_000, "w", "y", "x"), ("a", 4, 2_000, "z", "w", "y"), ("b", 0, 2_000, "q", None, None)]
+    assert rest == [("a", 9_000, 1, "late")]
+    assert sessions == {"a": (5, 2_000, ["w", "z"]), "b": (1, 2_000, ["q"])}
+
+
 def test_rows_leave_in_order_with_context(spark, tmp_path):
     rows = log_rows()[:10]
     source = str(tmp_path / "in")

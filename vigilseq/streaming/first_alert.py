@@ -17,9 +17,20 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from vigilseq.operators.model import score_events
+from vigilseq.operators.sessions import hash_bucket
 
-STATE = "ts array<bigint>, tie array<bigint>, event array<string>, recent array<string>, pos bigint"
-IDLE_MS = 24 * 3600 * 1000  # a session without events for this long is forgotten
+# Rows that wait for the watermark, and per open session its next position, last time and last events.
+STATE = (
+    "session array<string>, ts array<bigint>, tie array<bigint>, event array<string>, "
+    "open array<string>, pos array<bigint>, seen array<bigint>, recent array<string>"
+)
+JOINER = "\x01"
+IDLE_HOURS = 24  # a session without events for this long is forgotten
+BUCKETS = 256  # groups of sessions that share one state; fixed for the life of a stream
+
+
+def _names(order: int) -> list[str]:
+    return ["session_id", "pos", "ts", "event", *[f"prev{i}" for i in range(1, order + 1)]]
 
 
 def _context_schema(order: int) -> str:
@@ -27,51 +38,68 @@ def _context_schema(order: int) -> str:
     return f"session_id string, pos bigint, ts timestamp, event string{previous}"
 
 
-def stream_contexts(stream: DataFrame, order: int, watermark: str, idle_ms: int = IDLE_MS) -> DataFrame:
+def _in_order(waiting: list, sessions: dict, mark: int, order: int) -> tuple[list, list]:
+    """Rows before the watermark, in time order with position and previous events; and the rest."""
+    rows, rest = [], []
+    for session, micros, tie, event in sorted(waiting, key=lambda w: (w[1], w[2])):
+        if micros // 1000 >= mark:
+            rest.append((session, micros, tie, event))
+            continue
+        pos, _, recent = sessions.get(session, (0, 0, []))
+        rows.append((session, pos, micros, event, *[recent[-i] if len(recent) >= i else None for i in range(1, order + 1)]))
+        sessions[session] = (pos + 1, micros, (recent + [event])[-order:] if order else [])
+    return rows, rest
+
+
+def stream_contexts(
+    stream: DataFrame, order: int, watermark: str, idle_hours: float = IDLE_HOURS, buckets: int = BUCKETS
+) -> DataFrame:
     """Events (session_id, ts, tiebreak, event) in time order with ``pos`` and ``prev*``.
 
-    State of a session: the rows newer than the watermark, the last ``order``
-    events and the next position.  It is dropped after ``idle_ms`` without rows.
+    State is kept per bucket of sessions, because one Python call per session and
+    micro-batch costs more than the work in it.  Use more buckets the more
+    sessions are open at a time: the state of a bucket is written as one.
     """
-    names = ["session_id", "pos", "ts", "event", *[f"prev{i}" for i in range(1, order + 1)]]
+    idle_ms = int(idle_hours * 3_600_000)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, recent, pos = [], [], 0
+        waiting, sessions = [], {}
         if state.exists:
-            ts, tie, event, recent, pos = state.get
-            waiting, recent = list(zip(ts, tie, event)), list(recent)
-        had_rows = False
+            session, ts, tie, event, names, pos, seen, recent = state.get
+            waiting = list(zip(session, ts, tie, event))
+            last = (r.split(JOINER) if r is not None else [] for r in recent)
+            sessions = {n: (p, t, r) for n, p, t, r in zip(names, pos, seen, last)}
         for pdf in batches:
-            had_rows = had_rows or len(pdf) > 0
-            micros = pdf["ts"].astype("datetime64[us]").astype("int64")
-            waiting += zip(micros.tolist(), pdf["tiebreak"].tolist(), pdf["event"].tolist())
+            micros = pdf["ts"].to_numpy("datetime64[us]").astype("int64")
+            waiting += zip(pdf["session_id"].tolist(), micros.tolist(), pdf["tiebreak"].tolist(), pdf["event"].tolist())
+
         mark = state.getCurrentWatermarkMs()
-        waiting.sort()
-        ready = [w for w in waiting if w[0] // 1000 < mark]
-        waiting = waiting[len(ready):]
-
-        rows = []
-        for micros, _, event in ready:
-            previous = [recent[-i] if len(recent) >= i else None for i in range(1, order + 1)]
-            rows.append((key[0], pos, micros, event, *previous))
-            recent = (recent + [event])[-order:] if order else []
-            pos += 1
-        if not waiting and not ready and not had_rows and state.hasTimedOut:
+        rows, waiting = _in_order(waiting, sessions, mark, order)
+        sessions = {n: s for n, s in sessions.items() if s[1] // 1000 + idle_ms >= mark}
+        if waiting or sessions:
+            last = [JOINER.join(r) if r else None for _, _, r in sessions.values()]
+            columns = [[w[i] for w in waiting] for i in range(4)]
+            open_ = [[s[i] for s in sessions.values()] for i in range(2)]
+            state.update((*columns, list(sessions), *open_, last))
+            due = min((w[1] // 1000 + 1 for w in waiting), default=mark + idle_ms)
+            state.setTimeoutTimestamp(max(due, mark + 1))
+        elif state.exists:
             state.remove()
-            return
-        ts, tie, event = ([w[i] for w in waiting] for i in range(3))
-        state.update((ts, tie, event, recent, pos))
-        due = waiting[0][0] // 1000 + 1 if waiting else mark + idle_ms
-        state.setTimeoutTimestamp(max(due, mark + 1))
         if rows:
-            out = pd.DataFrame(rows, columns=names)
+            out = pd.DataFrame(rows, columns=_names(order))
             out["ts"] = pd.to_datetime(out["ts"], unit="us")
             yield out
 
     return (
-        stream.select(F.col("session_id").cast("string").alias("session_id"), "ts", "tiebreak", "event")
+        stream.select(
+            F.col("session_id").cast("string").alias("session_id"),
+            "ts",
+            "tiebreak",
+            F.coalesce("event", F.lit("")).alias("event"),
+        )
         .withWatermark("ts", watermark)
-        .groupBy("session_id")
+        .withColumn("bucket", hash_bucket(F.col("session_id"), buckets))
+        .groupBy("bucket")
         .applyInPandasWithState(
             step, _context_schema(order), STATE, "append", GroupStateTimeout.EventTimeTimeout
         )
@@ -87,6 +115,7 @@ def stream_first_alert(
     k: int = 5,
     skip: int = 3,
     watermark: str = "1 hour",
+    buckets: int = BUCKETS,
     **trigger,
 ) -> StreamingQuery:
     """Start the detector; alerts go to ``path``, one folder per micro-batch.
@@ -94,7 +123,7 @@ def stream_first_alert(
     A repeated micro-batch overwrites its own folder, so alerts are written once.
     Pass a saved model.  Read the result with ``read_first_alerts``.
     """
-    contexts = stream_contexts(stream, order, watermark)
+    contexts = stream_contexts(stream, order, watermark, buckets=buckets)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         scored = score_events(batch, ngrams, order, k, skip)
