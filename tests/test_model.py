@@ -143,6 +143,14 @@ def test_detection_does_not_depend_on_partitioning(spark, events):
     assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
 
 
+def test_detection_does_not_depend_on_group_size(events):
+    rows = [("hot", i, f"e{i * 7 % 5}", int(i == 350)) for i in range(400)]
+    rows += [(f"s{i % 30}", i, f"e{i % 4}", 0) for i in range(240)]
+    found = [detection.topk_detections(events(rows), 2, 1, group_rows) for group_rows in (60, 10_000)]
+    assert sorted(map(str, found[0].collect())) == sorted(map(str, found[1].collect()))
+    assert found[0].filter("session_id = 'hot'").first()["n_events"] == 400
+
+
 def test_hybrid(spark, events):
     log = events([("s", 0, "a", 0), ("s", 1, "rare", 0), ("t", 0, "error", 1), ("u", 0, "a", 0)])
     found = spark.createDataFrame([("s", 0, 0, 2), ("t", 1, 0, 1), ("u", 0, 0, 1)], "session_id string, label int, predicted int, n_events long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilseq.functions.numeric import edges_below
@@ -79,6 +79,13 @@ def grid(lo: float, hi: float, n: int) -> list[float]:
     return [round(lo + (hi - lo) * i / (n - 1), 6) for i in range(n)]
 
 
+# Grids of the published sweeps (fixed values).
+SENSITIVITY_GRID = grid(0.1, 2.0, 50)
+VALIDATION_GRID = grid(0.05, 2.5, 100)
+COARSE_GRID = grid(1.0, 20.0, 39)
+FINE_GRID = grid(1.0, 20.0, 191)
+
+
 def threshold_sweep(df: DataFrame, score: str, label: str, thresholds: Sequence[float]) -> DataFrame:
     """Confusion counts and metrics for every threshold of a sorted grid, strict ``score > t``.
 

@@ -91,7 +91,8 @@ def s2(spark, folder):
     broken = F.when(F.col("tiebreak") % 10 == 0, F.lit("not a time")).otherwise(F.col("ts").cast("string"))
     path = _as_csv(spark, folder, broken)
     out = tables.read_events(spark, path, schema.HDFS, "csv", schema.STRUCTS["hdfs"])
-    return out.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.count("ts").alias("n_ts"), F.max("ts").alias("last_ts"))
+    counted = [F.count(F.lit(1)).alias("n"), F.count("ts").alias("n_ts"), F.max("ts").alias("last_ts")]
+    return out.groupBy("session_id").agg(*counted)
 
 
 @query("s3_events_from_raw")
@@ -569,6 +570,12 @@ def n6_windows(spark, folder):
     return found.select("session_id", "label", "predicted", "alert_pos", "first_error_pos", "steps_before_error")
 
 
+@query("n7_detect_ksigma")
+def n7_ksigma(spark, folder):
+    found = detection.ksigma_detections(logs.week_log(spark, folder), 1.0)
+    return found.select("session_id", "label", "predicted", "alert_pos", "alert_loss", "lead_min")
+
+
 @query("n7_unscorable")
 def n7_unscorable(spark, folder):
     return detect.unscorable(reports.threshold_table(spark, folder), reports.SKIP)
@@ -737,6 +744,13 @@ def e5(spark, folder):
     return evaluate.threshold_sweep(_scores(spark, folder), "score", "label", reports.GRID)
 
 
+@query("e5_threshold_sweep_censored")
+def e5_censored(spark, folder):
+    """The published sweep: the loss at the first alert, 0 without one."""
+    found = reports.threshold_table(spark, folder)
+    return evaluate.threshold_sweep(found, "alert_loss", "label", evaluate.COARSE_GRID)
+
+
 @query("e6_calibrate")
 def e6(spark, folder):
     return evaluate.calibrate(_scores(spark, folder), "score", "label", reports.GRID)

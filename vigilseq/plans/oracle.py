@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from vigilseq.functions import numeric as num
 from vigilseq.functions import text as txt
+from vigilseq.operators.evaluate import COARSE_GRID
 from vigilseq.operators.vocab import PAD, SEP, UNK
 from vigilseq.plans import reports
 from vigilseq.plans.catalog import PERCENTS, STREAM_DELAY_HOURS, TIE_SHIFT, TRIALS
@@ -581,6 +582,14 @@ put(
     "SELECT *, first_error_pos - alert_pos AS steps_before_error FROM d0",
     f"{scored(WINDOW_LOG, 17, 1)}, {detected(WEEK_TEST, 'NOT in_topk')}",
 )
+_KSIGMA = f"""pos >= {reports.SKIP} AND loss > (SELECT avg(m) + stddev_pop(m) FROM (
+    SELECT max(loss) AS m FROM sc WHERE split = 'val' GROUP BY session_id) AS v)"""
+put(
+    "n7_detect_ksigma",
+    "session_id:s label:i predicted:i alert_pos:i alert_loss:d lead_min:d",
+    "SELECT *, CASE WHEN predicted = 1 THEN (epoch_us(end_ts) - epoch_us(alert_ts)) / 6e7 ELSE 0.0 END AS lead_min FROM d0",
+    f"{ALL_WEEK}, {detected(WEEK_TEST, _KSIGMA)}",
+)
 put(
     "n7_unscorable",
     "label:i n_unscorable:i",
@@ -810,6 +819,13 @@ def sweep(listed: str) -> str:
 GRID = "(VALUES " + ", ".join(f"({i}, {t!r}::DOUBLE)" for i, t in enumerate(reports.GRID)) + ") AS g(no, threshold)"
 _SWEEP = f"grid_no:i threshold:d {METRIC_COLUMNS}"
 put("e5_threshold_sweep", _SWEEP, "SELECT no AS grid_no, * FROM sw", f"{SCORES}, {sweep(GRID)}")
+COARSE = "(VALUES " + ", ".join(f"({i}, {t!r}::DOUBLE)" for i, t in enumerate(COARSE_GRID)) + ") AS g(no, threshold)"
+put(
+    "e5_threshold_sweep_censored",
+    _SWEEP,
+    "SELECT no AS grid_no, * FROM sw",
+    f"{THRESHOLD}, sco AS (SELECT label, alert_loss AS score FROM det), {sweep(COARSE)}",
+)
 put("e6_calibrate", _SWEEP, "SELECT no AS grid_no, * FROM sw ORDER BY f1 DESC, threshold LIMIT 1", f"{SCORES}, {sweep(GRID)}")
 KS_GRID = """(SELECT no, m + no / 10.0::DOUBLE * s AS threshold FROM range(31) AS r(no)
     CROSS JOIN (SELECT avg(score) AS m, stddev_pop(score) AS s FROM sco WHERE label = 0) AS b) AS g"""
