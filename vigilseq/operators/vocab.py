@@ -53,6 +53,17 @@ def decode(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     return tokens.join(known, "token_id", "left").withColumn("event", F.coalesce("event", F.lit(UNK)))
 
 
+def event_dictionary(events: DataFrame) -> DataFrame:
+    """Template text of each event id, from events that carry both."""
+    return events.filter(F.col("event").isNotNull()).groupBy("event").agg(F.min("template").alias("template"))
+
+
+def with_template(detections: DataFrame, dictionary: DataFrame, column: str) -> DataFrame:
+    """Add the template of the event id in ``column``, null where it has none."""
+    named = dictionary.select(F.col("event").alias(column), F.col("template").alias(f"{column}_template"))
+    return detections.join(named, column, "left")
+
+
 def event_labels(events: DataFrame) -> DataFrame:
     """Per event: rows, and whether normal and anomalous rows carry it."""
     return (

@@ -102,6 +102,16 @@ def s3(spark, folder):
     return tables.events_from_raw(logs.raw_lines(spark, folder), labels, r"blk_-?[0-9]+").drop("ts")
 
 
+@query("s3_event_dictionary")
+def s3_dictionary(spark, folder):
+    """First errors of the raw log with their template, by the event's id."""
+    blocks = F.concat(F.lit("blk_"), F.col("session_id").cast("string"))
+    labels = sessions.session_labels(logs.user_log(spark, folder)).select(blocks.alias("session_id"), "label")
+    log = tables.events_from_raw(logs.raw_lines(spark, folder), labels, r"blk_-?[0-9]+")
+    first = sessions.first_error(sessions.with_position(log.drop("template")))
+    return vocab.with_template(first.drop("first_error_ts"), vocab.event_dictionary(log), "first_error_event")
+
+
 @query("s4_detections_round_trip")
 def s4(spark, folder):
     found = reports.threshold_table(spark, folder)
@@ -696,6 +706,12 @@ def l17(spark, folder):
 
 @query("l18_value_frequency")
 def l18(spark, folder):
+    hits = reports.threshold_table(spark, folder).filter(leadtime.TRUE_POSITIVE)
+    return leadtime.value_frequency(hits, "lead_min")
+
+
+@query("l18_steps_frequency")
+def l18_steps(spark, folder):
     hits = reports.topk_table(spark, folder).filter(leadtime.TRUE_POSITIVE)
     return leadtime.value_frequency(hits, "steps_before_error")
 
@@ -873,10 +889,12 @@ def e21(spark, folder):
 @query("e22_top_alerts")
 def e22(spark, folder):
     found = reports.threshold_table(spark, folder)
-    kinds = {"highest_loss": ("alert_loss", True), "quickest": ("lead_min", False), "earliest": ("lead_min", True)}
+    early = found.filter("lead_min > 0")
     names = ["session_id", "alert_loss", "lead_min", "category", "n_events"]
-    parts = [evaluate.top_alerts(found, c, 20, d).select(F.lit(k).alias("kind"), *names) for k, (c, d) in kinds.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    highest = evaluate.top_alerts(found, "alert_loss").select(F.lit("highest_loss").alias("kind"), *names)
+    quickest = evaluate.top_alerts(early, "lead_min", descending=False).select(F.lit("quickest").alias("kind"), *names)
+    earliest = evaluate.top_alerts(early, "lead_min").select(F.lit("earliest").alias("kind"), *names)
+    return highest.unionByName(quickest).unionByName(earliest)
 
 
 @query("e23_length_profile")

@@ -182,6 +182,15 @@ put(
         JOIN (SELECT user_id, max({RARE}) AS label FROM coded GROUP BY 1) AS b ON l.user_id = b.user_id""",
     LINES,
 )
+put(
+    "s3_event_dictionary",
+    "session_id:s first_error_pos:i first_error_event:s first_error_event_template:s",
+    f"""SELECT 'blk_' || user_id AS session_id, min(pos) AS first_error_pos, arg_min(substr(md5(template), 1, 8), pos) AS first_error_event,
+          arg_min(template, pos) AS first_error_event_template
+        FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, tiebreak) - 1 AS pos, {mask('line')} AS template FROM lines) AS l
+        WHERE user_id IN (SELECT user_id FROM coded WHERE {RARE} = 1) GROUP BY user_id""",
+    LINES,
+)
 put(
     "s4_detections_round_trip",
     "session_id:s label:i is_detected:i lead_time_minutes:d alert_loss:d final_log:s tp:i fp:i f1:d",
@@ -777,6 +786,12 @@ put(
 put("l17_loss_vs_lead", "session_id:s alert_loss:d lead_min:d", f"SELECT * FROM det WHERE {TP}", THRESHOLD)
 put(
     "l18_value_frequency",
+    "lead_min:d count:i",
+    f"SELECT lead_min, count(*) AS count FROM det WHERE {TP} GROUP BY 1",
+    THRESHOLD,
+)
+put(
+    "l18_steps_frequency",
     "steps_before_error:i count:i",
     f"SELECT steps_before_error, count(*) AS count FROM det WHERE {TP} GROUP BY 1",
     TOPK,
@@ -992,14 +1007,14 @@ put(
 )
 
 
-def top(kind: str, order: str) -> str:
-    return f"SELECT * FROM (SELECT '{kind}' AS kind, * FROM det WHERE {TP} ORDER BY {order}, session_id LIMIT 20) AS {kind}"
+def top(kind: str, order: str, where: str = "true") -> str:
+    return f"SELECT * FROM (SELECT '{kind}' AS kind, * FROM det WHERE {TP} AND {where} ORDER BY {order}, session_id LIMIT 20) AS {kind}"
 
 
 put(
     "e22_top_alerts",
     "kind:s session_id:s alert_loss:d lead_min:d category:s n_events:i",
-    " UNION ALL ".join([top("highest_loss", "alert_loss DESC"), top("quickest", "lead_min"), top("earliest", "lead_min DESC")]),
+    " UNION ALL ".join([top("highest_loss", "alert_loss DESC"), top("quickest", "lead_min", "lead_min > 0"), top("earliest", "lead_min DESC", "lead_min > 0")]),
     THRESHOLD,
 )
 put(
