@@ -83,8 +83,9 @@ def running_totals(
 
 
 def _plain_totals(df, keys, order, running, totals):
-    group = Window.partitionBy(*keys)
-    ordered = group.orderBy(*order)
+    ordered = Window.partitionBy(*keys).orderBy(*order)
+    # The same order for all, so that one window operator serves them.
+    group = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     added = {n: _before(c, ordered) for n, c in running.items()}
     added |= {n: c.over(group) for n, c in totals.items()}
     return df.withColumns(added)
