@@ -151,6 +151,28 @@ def test_detection_does_not_depend_on_group_size(events):
     assert found[0].filter("session_id = 'hot'").first()["n_events"] == 400
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fitting_reads_only_the_training_files(log):
+    plan = plan_of(model.fit_next_event(detection.train_rows(detection.stored_contexts(log)), 1))
+    assert "PartitionFilters: [isnotnull(split" in plan
+    assert "tiebreak" not in plan and "n_events" not in plan
+
+
+def test_ranks_are_limited_before_the_shuffle(log):
+    counts = stage(model.fit_next_event(contexts(log, 1), 1).drop("rank"))
+    assert plan_of(model.topk_next(counts, 3)).count("WindowGroupLimit") == 2
+
+
+def test_small_models_leave_the_rows_in_place(log):
+    stored = detection.stored_contexts(log)
+    scored = model.score_events(stored.filter("split = 'test'"), detection.fit(stored), 1)
+    plan = plan_of(scored)
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 3
+
+
 def test_hybrid(spark, events):
     log = events([("s", 0, "a", 0), ("s", 1, "rare", 0), ("t", 0, "error", 1), ("u", 0, "a", 0)])
     found = spark.createDataFrame([("s", 0, 0, 2), ("t", 1, 0, 1), ("u", 0, 0, 1)], "session_id string, label int, predicted int, n_events long")

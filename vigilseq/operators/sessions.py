@@ -176,7 +176,8 @@ def pack_blocks(tokens: DataFrame, block: int, buckets: int, group_rows: int = G
 
     ``tokens`` has (session_id, pos, token_id).  A bucket is the batch: sessions
     follow each other by id, and the remainder of a bucket is dropped.  Only the
-    session lengths are ordered per bucket, never the tokens themselves.
+    session lengths are ordered per bucket, never the tokens themselves.  Pass a
+    stored table: it is read for the lengths and for the blocks.
     """
     lengths = tokens.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_tokens"))
     lengths = lengths.withColumn("bucket", hash_bucket(F.col("session_id"), buckets))

@@ -351,7 +351,8 @@ def _tokens(spark, folder):
 
 @query("g11_pack_blocks")
 def g11(spark, folder):
-    return sessions.pack_blocks(_tokens(spark, folder), 16, 8)
+    tokens = stage(_tokens(spark, folder), "tokens")  # read for the lengths and for the blocks
+    return sessions.pack_blocks(tokens, 16, 8)
 
 
 @query("g12_head_events")
