@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilseq.llm import ppm, simhash
+from vigilseq.llm import ppm, simhash, substring_dedup
 from vigilseq.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,12 @@ def op1_ppm_scores(spark: SparkSession, folder: str) -> DataFrame:
     return ppm.score_documents(read_table(spark, folder, "documents"), held_out).withColumnRenamed("id", "doc_id")
 
 
+@query
+def op3_fm_index_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(read_table(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
 @query
 def op6_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, folder, "documents"))
