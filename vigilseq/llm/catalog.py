@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilseq.llm import ppm, simhash, substring_dedup
+from vigilseq.llm import ppm, pq_dedup, simhash, substring_dedup
 from vigilseq.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,17 @@ def op3_fm_index_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
+@query
+def op4_pq_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = pq_dedup.near_vectors(read_table(spark, folder, "embeddings"))
+    return found.select(
+        F.col("id").alias("vec_id"),
+        "n_links",
+        "component_id",
+        F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"),
+    )
+
+
 @query
 def op6_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, folder, "documents"))
