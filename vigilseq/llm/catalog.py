@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilseq.llm import ppm, pq_dedup, simhash, substring_dedup
+from vigilseq.llm import ppm, pq_dedup, secrets, simhash, substring_dedup
 from vigilseq.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,11 @@ def op4_pq_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op5_entropy_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.secrets(read_table(spark, folder, "documents"))
+
+
 @query
 def op6_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, folder, "documents"))
