@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilseq.llm import ppm, pq_dedup, secrets, simhash, substring_dedup
+from vigilseq.llm import mixing, ppm, pq_dedup, secrets, simhash, substring_dedup
 from vigilseq.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,11 @@ def op1_ppm_scores(spark: SparkSession, folder: str) -> DataFrame:
     return ppm.score_documents(read_table(spark, folder, "documents"), held_out).withColumnRenamed("id", "doc_id")
 
 
+@query
+def op2_poisson_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.replicate(read_table(spark, folder, "documents"))
+
+
 @query
 def op3_fm_index_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = substring_dedup.remove_repeats(read_table(spark, folder, "documents"))
