@@ -68,12 +68,11 @@ def slow_auroc(pairs):
     return u, u / (len(ones) * len(zeros))
 
 
-@pytest.mark.parametrize("group_rows", [2, 1000])
-def test_rank_statistics_with_ties(scored, group_rows):
+def test_rank_statistics_with_ties(scored):
     u, auroc = slow_auroc(SCORED)
-    row = stats.rank_test(scored, "score", "label", group_rows).first()
+    row = stats.rank_test(scored, "score", "label").first()
     assert (row["u"], row["auroc"]) == (u, pytest.approx(auroc))
-    assert stats.roc_auc(scored, "score", "label", group_rows).first()[0] == pytest.approx(auroc)
+    assert stats.roc_auc(scored, "score", "label").first()[0] == pytest.approx(auroc)
 
 
 def test_pr_curve_has_one_point_per_score(scored):

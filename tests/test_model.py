@@ -143,10 +143,14 @@ def test_detection_does_not_depend_on_partitioning(spark, events):
     assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
 
 
-def test_detection_does_not_depend_on_group_size(events):
+def test_detection_does_not_depend_on_the_pieces(events, spark):
     rows = [("hot", i, f"e{i * 7 % 5}", int(i == 350)) for i in range(400)]
     rows += [(f"s{i % 30}", i, f"e{i % 4}", 0) for i in range(240)]
-    found = [detection.topk_detections(events(rows), 2, 1, group_rows) for group_rows in (60, 10_000)]
+    found, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    for pieces in ("1", "13"):
+        spark.conf.set("spark.sql.shuffle.partitions", pieces)
+        found.append(detection.topk_detections(events(rows), 2, 1))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
     assert sorted(map(str, found[0].collect())) == sorted(map(str, found[1].collect()))
     assert found[0].filter("session_id = 'hot'").first()["n_events"] == 400
 

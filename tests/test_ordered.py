@@ -10,18 +10,18 @@ from vigilseq.operators import ordered, sessions
 from vigilseq.sources import staging
 
 
-@pytest.mark.parametrize("group_rows", [50, 399, 10_000])
-def test_positions_do_not_depend_on_the_path(skewed, group_rows):
+@pytest.mark.parametrize("pieces", [1, 7, 40])
+def test_positions_do_not_depend_on_the_pieces(skewed, pieces):
     w = Window.partitionBy("session_id").orderBy("ts", "tiebreak")
     wanted = skewed.select("session_id", "tiebreak", (F.row_number().over(w) - 1).cast("bigint"))
-    found = sessions.with_position(skewed, group_rows).select("session_id", "tiebreak", "pos")
+    found = sessions.with_position(skewed, pieces).select("session_id", "tiebreak", "pos")
     assert rows_of(found) == rows_of(wanted)
 
 
 def test_totals_and_sums_of_a_hot_group(skewed):
     arguments = (["session_id"], ["ts", "tiebreak"], {"before": F.col("label")}, {"n": F.count(F.lit(1))})
     plain = ordered.running_totals(skewed, *arguments)
-    split = ordered.running_totals(skewed, *arguments, group_rows=30)
+    split = ordered.running_totals(skewed, *arguments, pieces=9)
     names = ["session_id", "tiebreak", "before", "n"]
     assert rows_of(plain.select(names)) == rows_of(split.select(names))
 
@@ -29,14 +29,14 @@ def test_totals_and_sums_of_a_hot_group(skewed):
 def test_global_order_is_split_too(skewed):
     arguments = ([], [F.desc("tiebreak")], {"at": F.lit(1)})
     plain = ordered.running_totals(skewed, *arguments).select("tiebreak", "at")
-    split = ordered.running_totals(skewed, *arguments, group_rows=100).select("tiebreak", "at")
+    split = ordered.running_totals(skewed, *arguments, pieces=5).select("tiebreak", "at")
     assert rows_of(plain) == rows_of(split)
 
 
 def test_null_keys_form_a_group(skewed):
     keyed = skewed.withColumn("session_id", F.when(F.col("session_id") != "hot", F.col("session_id")))
     plain = sessions.with_position(keyed).select("tiebreak", "pos")
-    split = sessions.with_position(keyed, 50).select("tiebreak", "pos")
+    split = sessions.with_position(keyed, 9).select("tiebreak", "pos")
     assert rows_of(plain) == rows_of(split)
 
 
@@ -63,34 +63,36 @@ def test_sliding_windows_cross_chunk_edges(skewed):
     assert plain.filter("session_id = 'hot'").count() == len(range(0, 381, 5))
 
 
-@pytest.mark.parametrize("group_rows", [10, 10_000])
-def test_quantiles_match_numpy(spark, group_rows):
+@pytest.mark.parametrize("pieces", [1, 9])
+def test_quantiles_match_numpy(spark, pieces):
     rng = np.random.default_rng(1)
     values = [("a", float(v)) for v in rng.integers(0, 40, 333)] + [("b", float(v)) for v in rng.normal(size=50)]
     df = spark.createDataFrame(values, "g string, v double")
     qs = {"q0": 0.0, "q1": 0.1, "q5": 0.5, "q99": 0.99, "q100": 1.0}
-    for row in ordered.quantiles(df, "v", qs, ["g"], group_rows).collect():
+    for row in ordered.quantiles(df, "v", qs, ["g"], pieces).collect():
         group = [v for g, v in values if g == row["g"]]
         for name, q in qs.items():
             assert row[name] == pytest.approx(np.quantile(group, q))
 
 
-@pytest.mark.parametrize("group_rows", [50, 10_000])
-def test_sessions_with_previous_events(skewed, group_rows):
+@pytest.mark.parametrize("pieces", [1, 9, 300])
+def test_sessions_with_previous_events(skewed, pieces):
     names = ["session_id", "tiebreak", "pos", "session_label", "n_events", "prev1", "prev2"]
     wanted = sessions.with_previous(sessions.sessionize(skewed), 2).select(names)
-    found = sessions.sessionize_with_previous(skewed, 2, group_rows).select(names)
+    found = sessions.sessionize_with_previous(skewed, 2, pieces).select(names)
     assert sorted(map(str, found.collect())) == sorted(map(str, wanted.collect()))
 
 
-def test_one_shuffle_and_one_sort_of_the_rows(skewed):
-    plan = sessions.sessionize_with_previous(skewed, 2)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1 and plan.count(" Sort ") == 1
-
-
-def test_one_shuffle_of_the_rows(skewed):
-    plan = sessions.with_previous(sessions.sessionize(skewed), 2)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+def test_building_starts_no_count_job(spark, skewed):
+    """The only jobs are the sampling and the writing of the ranged rows; no group is counted or collected."""
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "running totals")
+    ordered.running_totals(skewed, ["session_id"], ["ts", "tiebreak"], {"at": F.lit(1)}, pieces=6)
+    jobs = len(tracker.getJobIdsForGroup("building"))
+    spark.sparkContext.setJobGroup("writing", "ranged rows")
+    staging.stage(skewed.repartitionByRange(6, "session_id", "ts", "tiebreak"))
+    assert jobs == len(tracker.getJobIdsForGroup("writing"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_staged_tables_go_to_the_named_folder(spark, skewed):

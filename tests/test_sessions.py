@@ -62,8 +62,6 @@ def test_pack_blocks_drop_only_the_remainder(events):
     blocks = sessions.pack_blocks(vocab.encode(sessions.with_position(log), known), 4, 1)
     tokens = [t for r in sorted(blocks.collect(), key=lambda r: r["block_no"]) for t in r["tokens"]]
     assert tokens == ([3, 4, 5, 6, 7] * 7)[:32]
-    split = sessions.pack_blocks(vocab.encode(sessions.with_position(log), known), 4, 1, group_rows=2)
-    assert rows_of(split) == rows_of(blocks)
 
 
 def test_context(events):
@@ -79,9 +77,8 @@ def test_order_check(events):
 
 def test_gap_sessions(events):
     log = events([("b", t, "e", 0) for t in (0, 50, 110, 111, 171, 172, 300)] + [("c", 5, "e", 1)])
-    for group_rows in (2, 1000):
-        found = sessions.gap_sessions(log, "session_id", 60, group_rows)
-        assert rows_of(found.select("session_id", "gap_no", "n_events", "label")) == [("b", 0, 6, 0), ("b", 1, 1, 0), ("c", 0, 1, 1)]
+    found = sessions.gap_sessions(log, "session_id", 60)
+    assert rows_of(found.select("session_id", "gap_no", "n_events", "label")) == [("b", 0, 6, 0), ("b", 1, 1, 0), ("c", 0, 1, 1)]
 
 
 def test_event_counts(mixed):
@@ -94,7 +91,7 @@ def test_vocabulary_round_trip(events):
     train = events([(1, 0, "E2", 0), (1, 1, "E1", 0), (1, 2, "E3", 0), (1, 3, "E0", 1), (1, 4, None, 0)])
     known = vocab.fit_vocab(train)
     assert rows_of(known) == [("E1", 3), ("E2", 4), ("E3", 5)]
-    assert rows_of(vocab.fit_vocab(train, group_rows=1)) == rows_of(known)
+    assert rows_of(vocab.fit_vocab(train)) == rows_of(known)
     sample = sessions.sessionize(events([(9, i, e, 0) for i, e in enumerate(["E1", "E2", "E3", "NEVER_SEEN_EVENT"])]))
     plain = vocab.encode(sample, known)
     assert rows_of(plain) == [("9", 0, 3), ("9", 1, 4), ("9", 2, 5), ("9", 3, 1)]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from vigilseq.functions.numeric import edges_below
 from vigilseq.functions.text import pattern_hash, short_desc
 from vigilseq.operators.leadtime import TRUE_POSITIVE, lead_class
-from vigilseq.operators.ordered import GROUP_ROWS, quantiles
+from vigilseq.operators.ordered import quantiles
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -162,10 +162,10 @@ def trivial_baselines(detections: DataFrame) -> DataFrame:
 
 
 def percentiles(
-    df: DataFrame, column: str, by: Sequence[str], qs: Sequence[int], group_rows: int = GROUP_ROWS
+    df: DataFrame, column: str, by: Sequence[str], qs: Sequence[int]
 ) -> DataFrame:
     """Exact percentile table, one column per percent."""
-    return quantiles(df, column, {f"p{q}": q / 100 for q in qs}, by, group_rows)
+    return quantiles(df, column, {f"p{q}": q / 100 for q in qs}, by)
 
 
 def approx_percentiles(df: DataFrame, column: str, by: Sequence[str], qs: Sequence[int], accuracy: int = 10000) -> DataFrame:
@@ -175,7 +175,7 @@ def approx_percentiles(df: DataFrame, column: str, by: Sequence[str], qs: Sequen
     return out.select(*by, *[F.col("_p")[i].alias(f"p{q}") for i, q in enumerate(qs)])
 
 
-def category_report(detections: DataFrame, category: str = "category", group_rows: int = GROUP_ROWS) -> DataFrame:
+def category_report(detections: DataFrame, category: str = "category") -> DataFrame:
     """Anomalous sessions per category: total, detected, missed, recall and lead of the detected."""
     anomalous = detections.filter("label = 1")
     lead = F.when(F.col("predicted") == 1, F.col("lead_min"))
@@ -188,7 +188,7 @@ def category_report(detections: DataFrame, category: str = "category", group_row
         F.min("_lead").alias("lead_min"),
         F.max("_lead").alias("lead_max"),
     )
-    median = quantiles(hit, "_lead", {"lead_median": 0.5}, [category], group_rows)
+    median = quantiles(hit, "_lead", {"lead_median": 0.5}, [category])
     return stats.join(median, category, "left").withColumn("recall", ratio(F.col("detected"), F.col("total")))
 
 
@@ -202,7 +202,7 @@ def fn_report(detections: DataFrame, category: str = "category", short: int = 2)
     )
 
 
-def fp_report(detections: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+def fp_report(detections: DataFrame) -> DataFrame:
     """False alarms: count, loss range, mean, median and share of the normal sessions."""
     false = detections.filter("label = 0 and predicted = 1")
     stats = detections.filter("label = 0").agg(
@@ -212,7 +212,7 @@ def fp_report(detections: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
         F.avg(F.when(F.col("predicted") == 1, F.col("alert_loss"))).alias("loss_mean"),
         F.count(F.lit(1)).alias("n_normal"),
     )
-    median = quantiles(false, "alert_loss", {"loss_median": 0.5}, [], group_rows)  # one row
+    median = quantiles(false, "alert_loss", {"loss_median": 0.5}, [])  # one row
     out = stats.join(F.broadcast(median), F.lit(True), "left")
     return out.withColumn("pct_of_normal", 100.0 * ratio(F.col("n_fp"), F.col("n_normal")))
 
@@ -223,10 +223,10 @@ def top_alerts(detections: DataFrame, by: str, n: int = 20, descending: bool = T
     return hits.orderBy(F.desc(by) if descending else F.asc(by), "session_id").limit(n)
 
 
-def length_profile(sessions: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+def length_profile(sessions: DataFrame) -> DataFrame:
     """Five-number summary of session length per class."""
     names = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
-    return quantiles(sessions, "n_events", names, ["label"], group_rows)
+    return quantiles(sessions, "n_events", names, ["label"])
 
 
 def dataset_profile(events: DataFrame) -> DataFrame:

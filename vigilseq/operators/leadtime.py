@@ -17,7 +17,7 @@ from vigilseq.functions.numeric import (
     position_pct,
 )
 from vigilseq.functions.text import pattern_hash
-from vigilseq.operators.ordered import GROUP_ROWS, quantiles, running_totals
+from vigilseq.operators.ordered import quantiles, running_totals
 
 TRUE_POSITIVE = "label = 1 and predicted = 1"
 
@@ -76,12 +76,12 @@ def lead_outcome(detections: DataFrame) -> DataFrame:
     return out.withColumn("anticipated_pct", pct)
 
 
-def lead_stats(detections: DataFrame, positive_only: bool = False, group_rows: int = GROUP_ROWS) -> DataFrame:
+def lead_stats(detections: DataFrame, positive_only: bool = False) -> DataFrame:
     """Count, mean, median, min, max and sample deviation of the lead of true positives."""
     leads = detections.filter(TRUE_POSITIVE).filter(F.col("lead_min").isNotNull()).select("lead_min")
     if positive_only:
         leads = leads.filter("lead_min > 0")
-    return _with_median(leads, "lead_min", [], _moments("lead_min"), "median_min", group_rows)
+    return _with_median(leads, "lead_min", [], _moments("lead_min"), "median_min")
 
 
 def _moments(column: str) -> list[Column]:
@@ -94,9 +94,9 @@ def _moments(column: str) -> list[Column]:
     ]
 
 
-def _with_median(df, column, by, aggregates, name, group_rows) -> DataFrame:
+def _with_median(df, column, by, aggregates, name) -> DataFrame:
     stats = df.groupBy(*by).agg(*aggregates)
-    median = quantiles(df, column, {name: 0.5}, by, group_rows)
+    median = quantiles(df, column, {name: 0.5}, by)
     if not by:
         stats, median, by = stats.withColumn("_k", F.lit(1)), median.withColumn("_k", F.lit(1)), ["_k"]
     renamed = median.select(*[F.col(k).alias(f"_m_{k}") for k in by], name)
@@ -104,7 +104,7 @@ def _with_median(df, column, by, aggregates, name, group_rows) -> DataFrame:
     return stats.join(renamed, match, "left").drop("_k", *[f"_m_{k}" for k in by])
 
 
-def lead_by_category(detections: DataFrame, category: str = "category", group_rows: int = GROUP_ROWS) -> DataFrame:
+def lead_by_category(detections: DataFrame, category: str = "category") -> DataFrame:
     """Lead of true positives per failure category, highest mean first."""
     valid = detections.filter(TRUE_POSITIVE).filter(F.col("lead_min").isNotNull())
     aggregates = [
@@ -115,12 +115,12 @@ def lead_by_category(detections: DataFrame, category: str = "category", group_ro
         F.min("lead_min").alias("min_min"),
         F.avg("steps_before_error").alias("mean_steps"),
     ]
-    out = _with_median(valid, "lead_min", [category], aggregates, "median_min", group_rows)
+    out = _with_median(valid, "lead_min", [category], aggregates, "median_min")
     pct = F.round(100.0 * F.col("anticipated") / F.col("count"), 1)
     return out.withColumn("pct_anticipated", pct).orderBy(F.desc("mean_min"), category)
 
 
-def lead_by_event(detections: DataFrame, top: int = 15, group_rows: int = GROUP_ROWS) -> DataFrame:
+def lead_by_event(detections: DataFrame, top: int = 15) -> DataFrame:
     """Lead of true positives per first error event, the ``top`` most frequent."""
     valid = detections.filter(TRUE_POSITIVE).filter(F.col("lead_min").isNotNull())
     aggregates = [
@@ -129,7 +129,7 @@ def lead_by_event(detections: DataFrame, top: int = 15, group_rows: int = GROUP_
         F.count_if(F.col("lead_min") > 0).alias("anticipated"),
         F.min("category").alias("sample_category"),
     ]
-    out = _with_median(valid, "lead_min", ["first_error_event"], aggregates, "median_min", group_rows)
+    out = _with_median(valid, "lead_min", ["first_error_event"], aggregates, "median_min")
     return out.orderBy(F.desc("count"), "first_error_event").limit(top)
 
 
@@ -221,7 +221,6 @@ def histogram(
     bins: int,
     clip: tuple[float, float] | None = None,
     by: str | None = None,
-    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Equal-width histogram (bin_no 0..bins-1, lo, hi, count); the last bin includes its edge.
 
@@ -229,7 +228,7 @@ def histogram(
     """
     values = df.filter(F.col(column).isNotNull())
     if clip:
-        edge = quantiles(values, column, {"_q_lo": clip[0], "_q_hi": clip[1]}, [], group_rows)
+        edge = quantiles(values, column, {"_q_lo": clip[0], "_q_hi": clip[1]}, [])
         values = values.join(F.broadcast(edge)).filter(F.col(column).between(F.col("_q_lo"), F.col("_q_hi")))
     bounds = F.broadcast(values.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi")))  # one row
     width = (F.col("_hi") - F.col("_lo")) / bins
@@ -251,14 +250,14 @@ def histogram(
     )
 
 
-def ecdf(df: DataFrame, column: str, group_rows: int = GROUP_ROWS) -> DataFrame:
+def ecdf(df: DataFrame, column: str) -> DataFrame:
     """Cumulative percent per distinct value."""
     counts = value_frequency(df.filter(F.col(column).isNotNull()), column)
-    placed = running_totals(counts, [], [column], {"_below": F.col("count")}, {"_n": F.sum("count")}, group_rows)
+    placed = running_totals(counts, [], [column], {"_below": F.col("count")}, {"_n": F.sum("count")})
     return placed.select(column, (100.0 * (F.col("_below") + F.col("count")) / F.col("_n")).alias("cum_pct"))
 
 
-def five_number(df: DataFrame, column: str, by: str, top: int | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
+def five_number(df: DataFrame, column: str, by: str, top: int | None = None) -> DataFrame:
     """Min, quartiles and max per group; with ``top`` only the largest groups, by median."""
     values = df.filter(F.col(column).isNotNull())
     sizes = values.groupBy(by).agg(F.count(F.lit(1)).alias("count"))
@@ -266,7 +265,7 @@ def five_number(df: DataFrame, column: str, by: str, top: int | None = None, gro
         sizes = sizes.orderBy(F.desc("count"), by).limit(top)
         values = values.join(F.broadcast(sizes.select(by)), by, "left_semi")
     names = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
-    return quantiles(values, column, names, [by], group_rows).join(sizes, by).orderBy("median", by)
+    return quantiles(values, column, names, [by]).join(sizes, by).orderBy("median", by)
 
 
 def detection_vs_error(detections: DataFrame) -> DataFrame:

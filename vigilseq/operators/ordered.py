@@ -1,9 +1,10 @@
 """Order-dependent primitives that hold when one group has most of the rows.
 
-``running_totals`` numbers rows and sums along an order inside each group.
-Groups up to ``group_rows`` rows use one plain window.  Larger groups are cut by
-range partitioning on (keys, order), so that a group spreads over many tasks;
-the totals of the pieces before a piece are its offset.  The result is the same.
+``running_totals`` numbers rows and sums along an order inside each group.  Rows
+are range-partitioned by (keys, order) and stored, so that a large group spreads
+over many tasks.  Sums run inside the pieces; a group that goes on from the piece
+before starts from the totals of its earlier pieces.  A piece has one such group at
+most, so the offsets are one row per piece, and nothing is counted beforehand.
 
 ``with_halo`` prepares bounded look-back and look-ahead (lag, framed lists): rows
 already numbered by ``pos`` are cut in chunks of fixed length and the few rows
@@ -12,7 +13,6 @@ next to a chunk's edge are copied into the neighbouring chunk.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from vigilseq.sources.staging import stage
 
-GROUP_ROWS = 4_000_000  # rows of one group that a single task sorts
 CHUNK_ROWS = 65_536  # rows of one session that a look-back window holds
 
 
@@ -29,24 +28,14 @@ def _name(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str], group_rows: int = GROUP_ROWS) -> list:
-    """Keys and sizes of groups above ``group_rows``; at most rows / group_rows of them."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return sizes.filter(F.col("_rows") > group_rows).collect()
-
-
 def _match(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return reduce(
         lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys], F.lit(True)
     )
 
 
-def _exclusive(window) -> object:
-    return window.rowsBetween(Window.unboundedPreceding, -1)
-
-
 def _before(column: Column, window) -> Column:
-    return F.coalesce(F.sum(column).over(_exclusive(window)), F.lit(0))
+    return F.coalesce(F.sum(column).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
 def running_totals(
@@ -55,74 +44,83 @@ def running_totals(
     order: Sequence[str | Column],
     running: dict[str, Column],
     totals: dict[str, Column] | None = None,
-    group_rows: int = GROUP_ROWS,
-    hot: list | None = None,
+    previous: tuple[str, int] | None = None,
+    pieces: int | None = None,
 ) -> DataFrame:
     """Add per row the sum of ``running`` over the rows before it in its group.
 
     ``order`` should be unique inside a group.  ``totals`` are aggregates over the
-    whole group (``{"n": F.count("*")}``), repeated on each of its rows.  ``hot``
-    saves the size check when the caller has made it on the same groups.
+    whole group (``{"n": F.count("*")}``), repeated on each of its rows.  ``previous``
+    is a column and a number n: its values in the n rows before become ``prev1`` (the
+    nearest) to ``prevn``.  ``pieces`` is the number of ranges, by default the number
+    of shuffle partitions.
     """
     keys, totals = list(keys), totals or {}
-    if hot is None:
-        hot = hot_groups(df, keys, group_rows)
-    if not hot:
-        return _plain_totals(df, keys, order, running, totals)
-
-    spark = df.sparkSession
-    if not keys:
-        return _ranged_totals(df, keys, order, running, totals, hot, group_rows)
-    hot_keys = spark.createDataFrame(hot, df.select(*keys, F.lit(0).cast("bigint").alias("_rows")).schema)
-    hot_keys = F.broadcast(hot_keys.select(*keys))  # at most rows / group_rows keys
-    cold_rows = df.join(hot_keys, _match(df, hot_keys, keys), "left_anti")
-    hot_rows = df.join(hot_keys, _match(df, hot_keys, keys), "left_semi")
-    return _plain_totals(cold_rows, keys, order, running, totals).unionByName(
-        _ranged_totals(hot_rows, keys, order, running, totals, hot, group_rows)
-    )
-
-
-def _plain_totals(df, keys, order, running, totals):
-    ordered = Window.partitionBy(*keys).orderBy(*order)
-    # The same order for all, so that one window operator serves them.
-    group = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    added = {n: _before(c, ordered) for n, c in running.items()}
-    added |= {n: c.over(group) for n, c in totals.items()}
-    return df.withColumns(added)
-
-
-def _ranged_totals(df, keys, order, running, totals, hot, group_rows):
-    pieces = 2 * math.ceil(sum(r["_rows"] for r in hot) / group_rows)
+    look_back, depth = previous or ("", 0)
     values = {f"_v_{n}": c for n, c in running.items()}
-    rows = (
-        df.withColumns(values)
-        .repartitionByRange(pieces, *[_name(c) for c in [*keys, *order]])
-        .withColumn("_piece", F.spark_partition_id())
-    )
-    rows = stage(rows, "ranged")  # piece numbers must not change between the two reads
-
-    # One row per piece and key: at most pieces + len(hot) rows.
-    sums = rows.groupBy("_piece", *keys).agg(*[F.sum(v).alias(v) for v in values])
-    along = Window.partitionBy(*keys).orderBy("_piece")
-    offsets = sums.select(
-        "_piece", *keys, *[_before(F.col(f"_v_{n}"), along).alias(f"_o_{n}") for n in running]
+    place = [_name(c) for c in [*keys, *order]]
+    rows = df.withColumns(values)
+    rows = rows.repartitionByRange(pieces, *place) if pieces else rows.repartitionByRange(*place)
+    # Stored, as piece numbers must not change between the reads below.
+    rows = stage(rows.withColumn("_piece", F.spark_partition_id()), "ranged")
+
+    # One row per piece: its first and last group, and the sums of the last one.
+    key = F.struct(*[F.col(k) for k in keys], F.lit(0).alias("_all"))
+    edges = rows.groupBy("_piece").agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
+    at_end = rows.join(F.broadcast(edges), "_piece").filter(key.eqNullSafe(F.col("_last")))
+    ends = at_end.groupBy("_piece").agg(
+        F.first("_first").alias("_first"), F.first("_last").alias("_last"), *[F.sum(v).alias(v) for v in values]
     )
-    offsets = F.broadcast(offsets)
-    on = _match(rows, offsets, ["_piece", *keys])
-    out = rows.join(offsets, on).select(rows["*"], *[offsets[f"_o_{n}"] for n in running])
+    along, alike = Window.orderBy("_piece"), Window.partitionBy("_last").orderBy("_piece")
+    ends = ends.withColumns({v: F.sum(v).over(alike) for v in values})
+    if depth:
+        from_end = F.row_number().over(Window.partitionBy("_piece").orderBy(*[_reversed(c) for c in order]))
+        nearest = at_end.withColumn("_n", from_end).filter(F.col("_n") <= depth).groupBy("_piece")
+        nearest = nearest.agg(F.sort_array(F.collect_list(F.struct("_n", F.col(look_back).alias("_value")))).alias("_near"))
+        ends = ends.join(F.broadcast(nearest), "_piece")
+        earlier = F.flatten(F.reverse(F.collect_list("_near").over(alike)))  # nearest first
+        ends = ends.withColumn("_near", F.slice(earlier, 1, depth))
+    goes_on = F.lag("_last").over(along).eqNullSafe(F.col("_first")) & (F.row_number().over(along) > 1)
+    offsets = ends.select(
+        "_piece",
+        "_first",
+        goes_on.alias("_goes_on"),
+        *([F.lag("_near").over(along).alias("_near")] if depth else []),
+        *[F.coalesce(F.lag(v).over(along), F.lit(0)).alias(f"_o_{n}") for n, v in zip(running, values)],
+    ).filter("_goes_on")
+    # At most one row per piece: the groups that go on from the piece before.
+    out = rows.join(F.broadcast(offsets.withColumnRenamed("_piece", "_p")), F.col("_piece") == F.col("_p"), "left")
+    goes_on = F.col("_goes_on") & key.eqNullSafe(F.col("_first"))
 
     inside = Window.partitionBy("_piece", *keys).orderBy(*order)
     out = out.withColumns(
-        {n: _before(F.col(f"_v_{n}"), inside) + F.col(f"_o_{n}") for n in running}
+        {n: _before(F.col(v), inside) + F.when(goes_on, F.col(f"_o_{n}")).otherwise(0) for n, v in zip(running, values)}
     )
-    if totals:
-        whole = rows.groupBy(*keys).agg(*[c.alias(n) for n, c in totals.items()])
-        whole = F.broadcast(whole)  # one row per hot key
-        names = [c for c in out.columns]
-        out = out.join(whole, _match(out, whole, keys)).select(
-            *[out[c] for c in names], *[whole[n] for n in totals]
-        )
-    return out.drop("_piece", *values, *[f"_o_{n}" for n in running])
+    at = F.row_number().over(inside)
+    for i in range(1, depth + 1):
+        kept = F.try_element_at(F.col("_near"), (F.lit(i + 1) - at).cast("int"))["_value"]
+        out = out.withColumn(f"prev{i}", F.when(at > i, F.lag(look_back, i).over(inside)).when(goes_on, kept))
+    if totals and not keys:
+        whole = F.broadcast(rows.agg(*[c.alias(n) for n, c in totals.items()]))  # one row
+        out = out.join(whole)
+    elif totals:
+        # The same order for all, so that one window operator serves them.
+        group = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        cut = F.broadcast(offsets.select("_first.*").drop("_all").distinct())
+        whole = rows.join(cut, _match(rows, cut, keys), "left_semi").groupBy(*keys)
+        whole = whole.agg(*[c.alias(f"_t_{n}") for n, c in totals.items()], F.lit(True).alias("_cut"))
+        whole = F.broadcast(whole.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_cut", *[f"_t_{n}" for n in totals]))
+        same = reduce(lambda a, b: a & b, [out[k].eqNullSafe(whole[f"_k_{k}"]) for k in keys], F.lit(True))
+        out = out.withColumns({n: c.over(group) for n, c in totals.items()}).join(whole, same, "left")
+        out = out.withColumns({n: F.when(F.col("_cut"), F.col(f"_t_{n}")).otherwise(F.col(n)) for n in totals})
+    return out.select(*df.columns, *[f"prev{i}" for i in range(1, depth + 1)], *running, *totals)
+
+
+def _reversed(c: str | Column) -> Column:
+    """Descending order of a name; other columns are turned round by the caller's own descending form."""
+    if not isinstance(c, str):
+        raise ValueError("look-back needs an order given by names")
+    return F.desc(c)
 
 
 def with_halo(
@@ -163,7 +161,7 @@ def quantiles(
     column: str,
     qs: dict[str, float],
     by: Sequence[str] = (),
-    group_rows: int = GROUP_ROWS,
+    pieces: int | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated percentiles per group, one column per name in ``qs``.
 
@@ -174,7 +172,7 @@ def quantiles(
     values = df.filter(F.col(column).isNotNull())
     counts = values.groupBy(*by, F.col(column).alias("_value")).agg(F.count(F.lit(1)).alias("_cnt"))
     placed = running_totals(
-        counts, by, ["_value"], {"_start": F.col("_cnt")}, {"_n": F.sum("_cnt")}, group_rows
+        counts, by, ["_value"], {"_start": F.col("_cnt")}, {"_n": F.sum("_cnt")}, pieces=pieces
     )
 
     def at(rank: Column) -> Column:

@@ -10,48 +10,37 @@ from pyspark.sql import functions as F
 from vigilseq.functions.numeric import minutes_between
 from vigilseq.operators.ordered import (
     CHUNK_ROWS,
-    GROUP_ROWS,
     chunk_window,
     drop_halo,
-    hot_groups,
     running_totals,
     with_halo,
 )
 from vigilseq.schema import EVENT_ORDER
 
 
-def with_position(events: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+def with_position(events: DataFrame, pieces: int | None = None) -> DataFrame:
     """0-based position of each event in its session, by (ts, tiebreak)."""
-    return running_totals(events, ["session_id"], EVENT_ORDER, {"pos": F.lit(1)}, group_rows=group_rows)
+    return running_totals(events, ["session_id"], EVENT_ORDER, {"pos": F.lit(1)}, pieces=pieces)
 
 
-def sessionize(events: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Position plus session label and length, in one shuffle by session."""
-    return _sessionize(events, group_rows, None)
+def sessionize(events: DataFrame) -> DataFrame:
+    """Position plus session label and length."""
+    return sessionize_with_previous(events, 0)
 
 
-def _sessionize(events: DataFrame, group_rows: int, hot: list | None) -> DataFrame:
+def sessionize_with_previous(events: DataFrame, order: int, pieces: int | None = None) -> DataFrame:
+    """``sessionize`` and ``with_previous`` together, in the same shuffles."""
     return running_totals(
         events,
         ["session_id"],
         EVENT_ORDER,
         {"pos": F.lit(1)},
         {"session_label": F.max("label"), "n_events": F.count(F.lit(1))},
-        group_rows,
-        hot,
+        ("event", order),
+        pieces,
     )
 
 
-def sessionize_with_previous(events: DataFrame, order: int, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """``sessionize`` and ``with_previous`` together: one shuffle and one sort unless a session is too large."""
-    hot = hot_groups(events, ["session_id"], group_rows)
-    if hot:
-        return with_previous(_sessionize(events, group_rows, hot), order)
-    before = Window.partitionBy("session_id").orderBy(*EVENT_ORDER)
-    lags = {f"prev{i}": F.lag("event", i).over(before) for i in range(1, order + 1)}
-    return _sessionize(events.withColumns(lags) if order else events, group_rows, hot)
-
-
 def session_labels(events: DataFrame) -> DataFrame:
     """A session is anomalous when any of its rows is."""
     return events.groupBy("session_id").agg(F.max("label").alias("label"))
@@ -171,7 +160,7 @@ def clean_windows(windows: DataFrame) -> DataFrame:
     return windows.filter("label = 0")
 
 
-def pack_blocks(tokens: DataFrame, block: int, buckets: int, group_rows: int = GROUP_ROWS) -> DataFrame:
+def pack_blocks(tokens: DataFrame, block: int, buckets: int) -> DataFrame:
     """Concatenate the tokens of the sessions of a bucket and cut equal blocks.
 
     ``tokens`` has (session_id, pos, token_id).  A bucket is the batch: sessions
@@ -182,7 +171,7 @@ def pack_blocks(tokens: DataFrame, block: int, buckets: int, group_rows: int = G
     lengths = tokens.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_tokens"))
     lengths = lengths.withColumn("bucket", hash_bucket(F.col("session_id"), buckets))
     starts = running_totals(
-        lengths, ["bucket"], ["session_id"], {"start": F.col("n_tokens")}, {"total": F.sum("n_tokens")}, group_rows
+        lengths, ["bucket"], ["session_id"], {"start": F.col("n_tokens")}, {"total": F.sum("n_tokens")}
     )
     placed = tokens.join(starts.select("session_id", "bucket", "start", "total"), "session_id")
     at = F.col("start") + F.col("pos")
@@ -221,9 +210,9 @@ def with_previous(positioned: DataFrame, order: int, chunk_rows: int = CHUNK_ROW
     return drop_halo(out.withColumns({f"prev{i}": F.lag("event", i).over(window) for i in range(1, order + 1)}))
 
 
-def order_check(events: DataFrame, ordinal: str, group_rows: int = GROUP_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def order_check(events: DataFrame, ordinal: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Sessions whose input order (by ``ordinal``) is not time order, with the number of steps back."""
-    numbered = running_totals(events, ["session_id"], [ordinal], {"pos": F.lit(1)}, group_rows=group_rows)
+    numbered = running_totals(events, ["session_id"], [ordinal], {"pos": F.lit(1)})
     out = with_halo(numbered, back=1, chunk_rows=chunk_rows)
     out = drop_halo(out.withColumn("_before", F.lag("ts").over(chunk_window())))
     return (
@@ -240,7 +229,7 @@ def event_counts(events: DataFrame, vocab: Sequence[str] | None = None) -> DataF
     )
 
 
-def gap_sessions(events: DataFrame, key: str, gap_seconds: int, group_rows: int = GROUP_ROWS) -> DataFrame:
+def gap_sessions(events: DataFrame, key: str, gap_seconds: int) -> DataFrame:
     """Merge the events of a key into sessions broken by a pause longer than the gap.
 
     Events in one time slot no wider than the gap always belong together, so each
@@ -256,14 +245,13 @@ def gap_sessions(events: DataFrame, key: str, gap_seconds: int, group_rows: int
             F.max("label").alias("slot_label"),
         )
     )
-    hot = hot_groups(slots, [key], group_rows)
-    numbered = running_totals(slots, [key], ["slot"], {"pos": F.lit(1)}, group_rows=group_rows, hot=hot)
+    numbered = running_totals(slots, [key], ["slot"], {"pos": F.lit(1)})
     halo = with_halo(numbered, back=1, keys=[key])
     halo = drop_halo(halo.withColumn("_hi", F.lag("hi").over(chunk_window([key]))))
     pause = F.unix_micros("lo") - F.unix_micros("_hi")
     opens = F.when(F.col("_hi").isNull() | (pause > gap_seconds * 1_000_000), 1).otherwise(0)
     marked = halo.withColumn("_opens", opens)
-    marked = running_totals(marked, [key], ["slot"], {"_earlier": F.col("_opens")}, group_rows=group_rows, hot=hot)
+    marked = running_totals(marked, [key], ["slot"], {"_earlier": F.col("_opens")})
     return (
         marked.withColumn("gap_no", F.col("_earlier") + F.col("_opens") - 1)
         .groupBy(key, "gap_no")

@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilseq.operators.ordered import GROUP_ROWS, quantiles
+from vigilseq.operators.ordered import quantiles
 
 
 def hash_pct(key: Column, seed: str = "42") -> Column:
@@ -60,10 +60,10 @@ def split_by_time(sessions: DataFrame, at: datetime.datetime | str) -> DataFrame
     return sessions.select("session_id", "label", "start_ts", name.alias("split"))
 
 
-def split_by_share(sessions: DataFrame, train: float = 0.8, group_rows: int = GROUP_ROWS) -> DataFrame:
+def split_by_share(sessions: DataFrame, train: float = 0.8) -> DataFrame:
     """Chronological split at the start time before which a share of the sessions lies."""
     starts = sessions.withColumn("_start", F.unix_micros("start_ts"))
-    cut = F.broadcast(quantiles(starts, "_start", {"_cut": train}, [], group_rows))  # one row
+    cut = F.broadcast(quantiles(starts, "_start", {"_cut": train}, []))  # one row
     name = F.when(F.col("_start") < F.col("_cut"), "train").otherwise("test")
     return starts.join(cut).select("session_id", "label", "start_ts", name.alias("split"))
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigilseq.operators.evaluate import class_metrics, confusion, f1_of, ratio
-from vigilseq.operators.ordered import GROUP_ROWS, running_totals
+from vigilseq.operators.ordered import running_totals
 
 TRIAL_ROWS = 20_000_000  # rows x trials up to which every row is drawn in every trial
 COUNTS = "tp long, fp long, tn long, fn long"
@@ -59,7 +59,7 @@ def _t_two_sided(t: float, df: float) -> float:
 
 
 def prefix_counts(
-    df: DataFrame, score: str, label: str, descending: bool = False, group_rows: int = GROUP_ROWS
+    df: DataFrame, score: str, label: str, descending: bool = False
 ) -> DataFrame:
     """One row per distinct score: n1, n0, counts before it (b1, b0) and totals (t1, t0)."""
     counts = df.groupBy(F.col(score).alias("score")).agg(
@@ -72,13 +72,12 @@ def prefix_counts(
         [order],
         {"b1": F.col("n1"), "b0": F.col("n0")},
         {"t1": F.sum("n1"), "t0": F.sum("n0")},
-        group_rows,
     )
 
 
-def rank_test(df: DataFrame, score: str, label: str, group_rows: int = GROUP_ROWS) -> DataFrame:
+def rank_test(df: DataFrame, score: str, label: str) -> DataFrame:
     """Mann-Whitney U of label 1 over label 0 (one-sided greater), AUROC, z and p."""
-    placed = prefix_counts(df, score, label, group_rows=group_rows)
+    placed = prefix_counts(df, score, label)
     ties = (F.col("n1") + F.col("n0")).cast("double")
     out = placed.agg(
         F.sum(F.col("n1") * (F.col("b0") + F.col("n0") / 2)).alias("u"),
@@ -112,9 +111,9 @@ def welch(df: DataFrame, score: str, label: str) -> DataFrame:
     return out.withColumn("p_value", t_two_sided("t", "df"))
 
 
-def ks(df: DataFrame, score: str, label: str, group_rows: int = GROUP_ROWS) -> DataFrame:
+def ks(df: DataFrame, score: str, label: str) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance and asymptotic p."""
-    placed = prefix_counts(df, score, label, group_rows=group_rows)
+    placed = prefix_counts(df, score, label)
     cdf1 = (F.col("b1") + F.col("n1")) / F.col("t1")
     cdf0 = (F.col("b0") + F.col("n0")) / F.col("t0")
     out = placed.agg(
@@ -135,21 +134,21 @@ def cohens_d(df: DataFrame, score: str, label: str) -> DataFrame:
     return out.withColumn("effect", word)
 
 
-def pr_curve(df: DataFrame, score: str, label: str, group_rows: int = GROUP_ROWS) -> DataFrame:
+def pr_curve(df: DataFrame, score: str, label: str) -> DataFrame:
     """Precision and recall after each distinct score, from the highest down."""
-    placed = prefix_counts(df, score, label, descending=True, group_rows=group_rows)
+    placed = prefix_counts(df, score, label, descending=True)
     tp, fp = F.col("b1") + F.col("n1"), F.col("b0") + F.col("n0")
     return placed.select(
         "score", tp.alias("tp"), fp.alias("fp"), ratio(tp, tp + fp).alias("precision"), ratio(tp, F.col("t1")).alias("recall")
     )
 
 
-def auprc(df: DataFrame, score: str, label: str, group_rows: int = GROUP_ROWS) -> DataFrame:
+def auprc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the PR curve by trapezoids between its points; no first point is added.
 
     The point before is known from the row's own running counts.
     """
-    placed = prefix_counts(df, score, label, descending=True, group_rows=group_rows)
+    placed = prefix_counts(df, score, label, descending=True)
     tp, fp = F.col("b1") + F.col("n1"), F.col("b0") + F.col("n0")
     before = ratio(F.col("b1"), F.col("b1") + F.col("b0"))
     area = F.col("n1") / F.col("t1") * (before + ratio(tp, tp + fp)) / 2
@@ -157,23 +156,23 @@ def auprc(df: DataFrame, score: str, label: str, group_rows: int = GROUP_ROWS) -
     return placed.agg(F.sum(F.when(first, 0.0).otherwise(area)).alias("auprc"))
 
 
-def average_precision(df: DataFrame, score: str, label: str, group_rows: int = GROUP_ROWS) -> DataFrame:
+def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
     """Sum of precision times recall step."""
-    placed = prefix_counts(df, score, label, descending=True, group_rows=group_rows)
+    placed = prefix_counts(df, score, label, descending=True)
     tp, fp = F.col("b1") + F.col("n1"), F.col("b0") + F.col("n0")
     return placed.agg(F.sum(F.col("n1") / F.col("t1") * ratio(tp, tp + fp)).alias("average_precision"))
 
 
-def roc_curve(df: DataFrame, score: str, label: str, group_rows: int = GROUP_ROWS) -> DataFrame:
+def roc_curve(df: DataFrame, score: str, label: str) -> DataFrame:
     """False and true positive rate after each distinct score, from the highest down."""
-    placed = prefix_counts(df, score, label, descending=True, group_rows=group_rows)
+    placed = prefix_counts(df, score, label, descending=True)
     tp, fp = F.col("b1") + F.col("n1"), F.col("b0") + F.col("n0")
     return placed.select("score", ratio(fp, F.col("t0")).alias("fpr"), ratio(tp, F.col("t1")).alias("tpr"))
 
 
-def roc_auc(df: DataFrame, score: str, label: str, group_rows: int = GROUP_ROWS) -> DataFrame:
+def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the ROC curve by trapezoids."""
-    placed = prefix_counts(df, score, label, descending=True, group_rows=group_rows)
+    placed = prefix_counts(df, score, label, descending=True)
     step = F.col("n0") / F.col("t0")
     height = (2 * F.col("b1") + F.col("n1")) / F.col("t1") / 2
     return placed.agg(F.sum(step * height).alias("roc_auc"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilseq.operators.ordered import GROUP_ROWS, running_totals
+from vigilseq.operators.ordered import running_totals
 from vigilseq.operators.rows import normal_rows
 
 # Fixed special tokens of the reference.
@@ -13,10 +13,10 @@ PAD, UNK, SEP = "<PAD>", "<UNK>", "<SEP>"
 PAD_ID, UNK_ID, SEP_ID, FIRST_ID = 0, 1, 2, 3
 
 
-def fit_vocab(events: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+def fit_vocab(events: DataFrame) -> DataFrame:
     """Ids of the distinct events of normal rows, sorted by code point, from 3 on."""
     distinct = normal_rows(events).select("event").distinct()
-    numbered = running_totals(distinct, [], ["event"], {"at": F.lit(1)}, group_rows=group_rows)
+    numbered = running_totals(distinct, [], ["event"], {"at": F.lit(1)})
     return numbered.select("event", (F.col("at") + FIRST_ID).cast("int").alias("token_id"))
 
 

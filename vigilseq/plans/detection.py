@@ -10,7 +10,6 @@ from vigilseq.operators.detect import detect_threshold, detect_topk
 from vigilseq.operators.evaluate import ksigma_threshold
 from vigilseq.operators.leadtime import lead_to_end, lead_to_first_error, steps_before_error
 from vigilseq.operators.model import fit_next_event, score_events, session_loss
-from vigilseq.operators.ordered import GROUP_ROWS
 from vigilseq.operators.sessions import sessionize_with_previous
 from vigilseq.operators.splits import hash_pct, split_name
 from vigilseq.sources.staging import stage
@@ -18,24 +17,24 @@ from vigilseq.sources.staging import stage
 CUTS = (80, 90)  # percent of the normal sessions up to which they train and validate
 
 
-def labelled_contexts(events: DataFrame, order: int = 1, group_rows: int = GROUP_ROWS) -> DataFrame:
+def labelled_contexts(events: DataFrame, order: int = 1) -> DataFrame:
     """Events with position, session label, split and the events before them.
 
     One shuffle by session; label and split are columns of the row, so no later
     step joins rows to a session table.
     """
     named = events.withColumn("event", null_event(F.col("event")))
-    rows = sessionize_with_previous(named, order, group_rows)
+    rows = sessionize_with_previous(named, order)
     return rows.withColumn("split", split_name(F.col("session_id"), F.col("session_label"), CUTS))
 
 
-def stored_contexts(events: DataFrame, order: int = 1, group_rows: int = GROUP_ROWS) -> DataFrame:
+def stored_contexts(events: DataFrame, order: int = 1) -> DataFrame:
     """The labelled contexts as a staged table, one folder per split.
 
     Model and scoring both need them: the log is shuffled once, and each of the
     two reads only the files of its split.
     """
-    return stage(labelled_contexts(events, order, group_rows), "contexts", "split")
+    return stage(labelled_contexts(events, order), "contexts", "split")
 
 
 def fit(contexts: DataFrame, order: int = 1, normal_scope: str = "session") -> DataFrame:
@@ -53,9 +52,9 @@ def train_rows(contexts: DataFrame) -> DataFrame:
     return contexts.filter(hash_pct(F.col("session_id")) < CUTS[0]).filter("split = 'train'")
 
 
-def topk_detections(events: DataFrame, order: int = 1, k: int = 5, group_rows: int = GROUP_ROWS) -> DataFrame:
+def topk_detections(events: DataFrame, order: int = 1, k: int = 5) -> DataFrame:
     """Test sessions flagged when an event is not among the K likeliest, with lead to the first error."""
-    contexts = stored_contexts(events, order, group_rows)
+    contexts = stored_contexts(events, order)
     scored = score_events(contexts.filter("split = 'test'"), fit(contexts, order), order, k)
     return steps_before_error(lead_to_first_error(detect_topk(scored)))
 
