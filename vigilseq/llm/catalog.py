@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilseq.llm import mixing, ppm, pq_dedup, secrets, simhash, substring_dedup
+from vigilseq.llm import kd_sharding, mixing, ppm, pq_dedup, secrets, simhash, substring_dedup
 from vigilseq.llm.common import read_table
 
+SHARDS = 24
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -55,3 +57,8 @@ def op5_entropy_secrets(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, folder, "documents"))
+
+
+@query
+def op8_kd_tree_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return kd_sharding.document_shards(read_table(spark, folder, "documents"), SHARDS)
