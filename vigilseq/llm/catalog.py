@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilseq.llm import kd_sharding, mixing, ppm, pq_dedup, secrets, simhash, substring_dedup
+from vigilseq.llm import kd_sharding, language, mixing, ppm, pq_dedup, secrets, simhash, substring_dedup, token_counts
 from vigilseq.llm.common import read_table
 
 SHARDS = 24
@@ -59,6 +59,16 @@ def op6_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, folder, "documents"))
 
 
+@query
+def op7_length_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_histogram(read_table(spark, folder, "documents"))
+
+
 @query
 def op8_kd_tree_shards(spark: SparkSession, folder: str) -> DataFrame:
     return kd_sharding.document_shards(read_table(spark, folder, "documents"), SHARDS)
+
+
+@query
+def op9_language_fusion(spark: SparkSession, folder: str) -> DataFrame:
+    return language.documents_and_pages(read_table(spark, folder, "documents"), read_table(spark, folder, "pages"))

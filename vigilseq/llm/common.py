@@ -7,8 +7,12 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vigilseq.sources.staging import stage
 
 LEAST = -(2**63)  # stands for a null id where a plain integer is needed
+BROADCAST_ROWS = 200_000  # rows of a lookup table that are sent to every executor
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -90,3 +94,22 @@ def local_roots(n: int, left: np.ndarray, right: np.ndarray, root: np.ndarray |
                 break
             root = above
     return root
+
+
+def look_up(rows: DataFrame, table: DataFrame, key: str, rows_limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Left join on ``key`` with a written table of one row per key, sent to the executors if it is small.
+
+    Beyond the limit it is a plain join, whose hot keys adaptive execution splits.
+    """
+    return rows.join(F.broadcast(table) if table.count() <= rows_limit else table, key, "left")
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` written to the shared folder with a row number ``_row`` that stays the same."""
+    return stage(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
+def without(rows: DataFrame, dropped: DataFrame, rows_limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Numbered rows that are not in ``dropped(_row)``; few dropped rows are sent to the executors."""
+    gone = stage(dropped.select("_row"), "dropped")
+    return rows.join(F.broadcast(gone) if gone.count() <= rows_limit else gone, "_row", "left_anti")
