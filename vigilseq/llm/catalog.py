@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilseq.llm import kd_sharding, language, mixing, ppm, pq_dedup, secrets, simhash, substring_dedup, token_counts
+from vigilseq.llm import decontamination, kd_sharding, language, mixing, ppm, pq_dedup, secrets, simhash, substring_dedup, token_counts
 from vigilseq.llm.common import read_table
 
 SHARDS = 24
@@ -72,3 +72,9 @@ def op8_kd_tree_shards(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_language_fusion(spark: SparkSession, folder: str) -> DataFrame:
     return language.documents_and_pages(read_table(spark, folder, "documents"), read_table(spark, folder, "pages"))
+
+
+@query
+def op10_latent_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.find_leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
