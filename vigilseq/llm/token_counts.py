@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilseq.llm.common import text_bytes
+from vigilseq.sources.staging import stage
 
 FOLDER = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -69,6 +70,7 @@ def histogram(found: DataFrame) -> DataFrame:
     """
     counts = found.groupBy("length").agg(F.count(F.lit(1)).alias("n_docs"))
     counts = counts.withColumn("block", F.floor(F.col("length") / BLOCK)).withColumn("tokens", F.col("length") * F.col("n_docs"))
+    counts = stage(counts, "lengths")  # read twice below; documents are encoded once
     inside = Window.partitionBy("block").orderBy("length").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own = counts.withColumns({"docs_in": F.sum("n_docs").over(inside), "tokens_in": F.sum("tokens").over(inside)})
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("n"), F.sum("tokens").alias("t"))
