@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -144,21 +145,47 @@ def test_published_random_and_permuted_f1(spark):
     assert shuffled["p_value"] == 0.0 and shuffled["passed"]
 
 
-def test_shuffled_labels_by_rows_and_by_law_agree(spark):
-    found = expand(spark, *COUNTS, scale=100)
-    rows = stats.permutation_test(found, 200).first()
-    law = stats.permutation_test(found, 200, trial_rows=0).first()
-    assert rows["permuted_f1_mean"] == pytest.approx(law["permuted_f1_mean"], abs=0.01)
-    assert rows["permuted_f1_std"] == pytest.approx(law["permuted_f1_std"], rel=0.35)
-    by_rows, by_law = stats.random_baseline(found, 200).first(), stats.random_baseline(found, 200, trial_rows=0).first()
-    assert by_rows["random_f1_mean"] == pytest.approx(by_law["random_f1_mean"], abs=0.01)
+def test_hits_follow_their_laws(spark):
+    draw = np.random.default_rng(5)
+    counts = evaluate.confusion(expand(spark, 30, 10, 40, 20)).first()
+    drawn = stats.random_trials(counts, spark, 4000)
+    for name, n in (("tp", 50), ("fp", 50)):
+        found = np.array([r[name] for r in drawn.select(name).collect()])
+        assert abs(found.mean() - n / 2) < 0.3 and abs(found.std() - np.sqrt(n) / 2) < 0.2
+    hits = np.array([r["tp"] for r in stats.permutation_trials(counts, spark, 4000).collect()])
+    wanted = draw.hypergeometric(50, 50, 40, 100_000)
+    assert abs(hits.mean() - wanted.mean()) < 0.2 and abs(hits.std() - wanted.std()) < 0.1
 
 
 def test_shuffle_keeps_the_class_sizes(spark):
-    found = expand(spark, 30, 10, 40, 20)
-    n = 100
-    for row in stats.permutation_trials(found, 20).collect():
-        assert row["tp"] + row["fn"] == 50 and row["tp"] + row["fp"] == 40 and 0 <= row["tp"] <= n
+    counts = evaluate.confusion(expand(spark, 30, 10, 40, 20)).first()
+    for row in stats.permutation_trials(counts, spark, 20).collect():
+        assert row["tp"] + row["fn"] == 50 and row["tp"] + row["fp"] == 40 and 0 <= row["tp"] <= 40
+
+
+def test_one_class_only(spark):
+    for cells in ((0, 3, 7, 0), (4, 0, 0, 2), (0, 0, 0, 0)):
+        counts = Row(**dict(zip(("tp", "fp", "tn", "fn"), cells)))
+        n1, flagged = cells[0] + cells[3], cells[0] + cells[1]
+        assert {(r["tp"], r["fn"]) for r in stats.random_trials(counts, spark, 5).collect()} == {(n1, 0)}
+        assert {r["tp"] + r["fp"] for r in stats.permutation_trials(counts, spark, 5).collect()} == {flagged}
+
+
+def test_counts_above_a_billion(spark):
+    counts = Row(tp=2 * 10**9, fp=10**9, tn=6 * 10**9, fn=10**9)
+    hits = np.array([r["tp"] for r in stats.permutation_trials(counts, spark, 400).collect()], float)
+    mean, n = 3e9 * 0.3, 1e10
+    std = np.sqrt(mean * 0.7 * (n - 3e9) / (n - 1))
+    assert abs(hits.mean() - mean) < 5 * std / 20 and 0.8 < hits.std() / std < 1.2
+    first = np.array([r["tp"] for r in stats.random_trials(counts, spark, 400).collect()], float)
+    assert abs(first.mean() - mean) < 5 * np.sqrt(mean * 0.7) / 20
+
+
+def test_sweep_of_an_unsorted_grid(spark):
+    rows = spark.createDataFrame([(0.1, 0), (0.6, 1), (1.2, 0), (2.5, 1)], "score double, label int")
+    up = {r["threshold"]: r["f1"] for r in evaluate.threshold_sweep(rows, "score", "label", [0.5, 2.0]).collect()}
+    down = {r["threshold"]: r["f1"] for r in evaluate.threshold_sweep(rows, "score", "label", [2.0, 0.5]).collect()}
+    assert up == down and len(up) == 2
 
 
 # -- lead time ----------------------------------------------------------------

@@ -22,8 +22,23 @@ def log_rows():
     return out
 
 
+STREAM = EVENTS + ", session_end timestamp"
+
+
+@pytest.fixture
+def session(spark):
+    """A session of its own with the state store that the stream needs."""
+    own = spark.newSession()
+    own.conf.set(first_alert.PROVIDER, first_alert.ROCKSDB)
+    return own
+
+
+def ending(rows, days=30):
+    return [(*r, START + dt.timedelta(days=days)) for r in rows]
+
+
 @pytest.mark.parametrize("order", [1, 2])
-def test_first_alerts_match_batch(spark, tmp_path, order):
+def test_first_alerts_match_batch(spark, session, tmp_path, order):
     rows = log_rows()
     end = ("late", START + dt.timedelta(days=2), 0, "a", 0)  # moves the watermark past all other rows
     batch = spark.createDataFrame(rows, EVENTS)
@@ -39,8 +54,8 @@ def test_first_alerts_match_batch(spark, tmp_path, order):
     early = [r for r in rows if r[1] < times[len(times) // 2]]
     rest = [r for r in rows if r not in early]
     for part in (list(reversed(early)), rest[::2] + rest[1::2], [end]):
-        spark.createDataFrame(part, EVENTS).coalesce(1).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(EVENTS).parquet(source)
+        spark.createDataFrame(ending(part), STREAM).coalesce(1).write.mode("append").parquet(source)
+        stream = session.readStream.schema(STREAM).parquet(source)
         query = first_alert.stream_first_alert(
             stream, ngrams, 2.0, result, order=order, skip=3, watermark="30 minutes", availableNow=True
         )
@@ -49,24 +64,39 @@ def test_first_alerts_match_batch(spark, tmp_path, order):
     assert sorted((r["session_id"], r["pos"], r["event"]) for r in found.collect()) == wanted
 
 
-def test_only_rows_before_the_watermark_leave():
-    sessions = {"a": (3, 0, ["x", "y"])}
-    waiting = [("a", 9_000, 1, "late"), ("b", 2_000, 5, "q"), ("a", 2_000, 4, "z"), ("a", 2_000, 3, "w")]
-    rows, rest = first_alert._in_order(waiting, sessions, mark=9, order=2)
-    assert rows == [("a", 3, 2_000, "w", "y", "x"), ("a", 4, 2_000, "z", "w", "y"), ("b", 0, 2_000, "q", None, None)]
-    assert rest == [("a", 9_000, 1, "late")]
-    assert sessions == {"a": (5, 2_000, ["w", "z"]), "b": (1, 2_000, ["q"])}
-
-
-def test_rows_leave_in_order_with_context(spark, tmp_path):
+def test_rows_leave_in_order_with_context(spark, session, tmp_path):
     rows = log_rows()[:10]
     source = str(tmp_path / "in")
     end = ("late", START + dt.timedelta(days=2), 0, "a", 0)
-    spark.createDataFrame(list(reversed(rows)) + [end], EVENTS).coalesce(1).write.parquet(source)
-    contexts = first_alert.stream_contexts(spark.readStream.schema(EVENTS).parquet(source), 2, "30 minutes")
+    spark.createDataFrame(ending(list(reversed(rows)) + [end]), STREAM).coalesce(1).write.parquet(source)
+    contexts = first_alert.stream_contexts(session.readStream.schema(STREAM).parquet(source), 2, "30 minutes")
     query = contexts.writeStream.format("memory").queryName("ordered").trigger(availableNow=True).start()
     query.awaitTermination()
-    found = [r for r in spark.table("ordered").filter(F.col("session_id") == "s0").orderBy("pos").collect()]
+    found = [r for r in session.table("ordered").filter(F.col("session_id") == "s0").orderBy("pos").collect()]
     events = [r[3] for r in rows]
     assert [r["event"] for r in found] == events
     assert [r["prev2"] for r in found] == [None, None, *events[:-2]]
+
+
+def test_a_long_pause_does_not_restart_a_session(spark, session, tmp_path):
+    """One micro-batch per row, pauses of days: positions and contexts go on until the session's end."""
+    source, events = str(tmp_path / "in"), ["a", "b", "c", "d"]
+    for i, event in enumerate(events):
+        row = ("s", START + dt.timedelta(days=5 * i), i, event, 0)
+        spark.createDataFrame(ending([row]), STREAM).coalesce(1).write.mode("append").parquet(source)
+    end = ("late", START + dt.timedelta(days=60), 0, "a", 0)
+    spark.createDataFrame(ending([end], 90), STREAM).coalesce(1).write.mode("append").parquet(source)
+    stream = session.readStream.schema(STREAM).option("maxFilesPerTrigger", 1).parquet(source)
+    contexts = first_alert.stream_contexts(stream, 1, "1 hour")
+    query = contexts.writeStream.format("memory").queryName("paused").trigger(availableNow=True).start()
+    query.awaitTermination()
+    found = session.table("paused").filter("session_id = 's'").orderBy("pos").collect()
+    assert [(r["pos"], r["event"], r["prev1"]) for r in found] == [(0, "a", None), (1, "b", "a"), (2, "c", "b"), (3, "d", "c")]
+
+
+def test_the_state_store_is_asked_for(spark, session):
+    stream = spark.readStream.format("rate").load().selectExpr(
+        "cast(value as string) session_id", "timestamp ts", "value tiebreak", "'a' event", "timestamp session_end"
+    )
+    with pytest.raises(ValueError):
+        first_alert.stream_contexts(stream, 1, "1 hour")

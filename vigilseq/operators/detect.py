@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilseq.functions.text import categorize
+from vigilseq.operators.vocab import BROADCAST_EVENTS
+from vigilseq.sources.staging import stage
 
 
 def detect(scored: DataFrame, alert: Column) -> DataFrame:
@@ -84,7 +86,9 @@ def unscorable(detections: DataFrame, skip: int = 3) -> DataFrame:
 
 def unseen_event_alert(events: DataFrame, vocab: DataFrame) -> DataFrame:
     """Sessions with events outside the normal vocabulary, and how many."""
-    unseen = events.filter(F.col("event").isNotNull()).join(vocab.select("event"), "event", "left_anti")
+    known = stage(vocab.select("event"), "known")
+    small = known.count() <= BROADCAST_EVENTS
+    unseen = events.filter(F.col("event").isNotNull()).join(F.broadcast(known) if small else known, "event", "left_anti")
     return unseen.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_unseen"), F.min("ts").alias("first_unseen_ts"))
 
 
@@ -96,12 +100,14 @@ def hybrid_detect(
     short: int = 2,
 ) -> DataFrame:
     """Sequence alert, or a rare event, or for short sessions a rule on the event text."""
-    rare_ids = events.join(rare.select("event"), "event", "left_semi").select("session_id").distinct()
-    rule_hit = F.max((categorize(F.col("event"), rules, "") != "").cast("int"))
-    by_rule = events.groupBy("session_id").agg(rule_hit.alias("rule_hit"))
-    out = detections.join(rare_ids.withColumn("rare_hit", F.lit(1)), "session_id", "left").join(
-        by_rule, "session_id", "left"
+    listed = stage(rare.select("event", F.lit(1).alias("_rare")), "rare")
+    small = listed.count() <= BROADCAST_EVENTS
+    marked = events.join(F.broadcast(listed) if small else listed, "event", "left")
+    flags = marked.groupBy("session_id").agg(
+        F.max(F.coalesce("_rare", F.lit(0))).alias("rare_hit"),
+        F.max((categorize(F.col("event"), rules, "") != "").cast("int")).alias("rule_hit"),
     )
+    out = detections.join(flags, "session_id", "left")
     rare_hit = F.coalesce("rare_hit", F.lit(0))
     rule = F.when(F.col("n_events") <= short, F.coalesce("rule_hit", F.lit(0))).otherwise(0)
     return out.select(

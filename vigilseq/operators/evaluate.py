@@ -87,27 +87,28 @@ FINE_GRID = grid(1.0, 20.0, 191)
 
 
 def threshold_sweep(df: DataFrame, score: str, label: str, thresholds: Sequence[float]) -> DataFrame:
-    """Confusion counts and metrics for every threshold of a sorted grid, strict ``score > t``.
+    """Confusion counts and metrics for every threshold of a grid in any order, strict ``score > t``.
 
     Each score is put in its grid bucket once; the counts above a threshold are
     sums over the buckets, of which there are only as many as thresholds.
     """
-    at = edges_below(F.coalesce(F.col(score), F.lit(0.0)), list(thresholds), strict=True)
+    ranked = sorted(range(len(thresholds)), key=lambda i: thresholds[i])
+    at = edges_below(F.coalesce(F.col(score), F.lit(0.0)), [thresholds[i] for i in ranked], strict=True)
     buckets = df.groupBy(at.alias("above")).agg(
         F.count_if(F.col(label) == 1).alias("n1"), F.count_if(F.col(label) == 0).alias("n0")
     )
-    rows = [(i, float(t)) for i, t in enumerate(thresholds)]
-    listed = df.sparkSession.createDataFrame(rows, "grid_no int, threshold double")
+    rows = [(place, i, float(thresholds[i])) for place, i in enumerate(ranked)]
+    listed = df.sparkSession.createDataFrame(rows, "place int, grid_no int, threshold double")
     # Bucket i is above the thresholds 0 .. i-1; the grid is a short list.
-    spread = buckets.withColumn("grid_no", F.explode(F.sequence(F.lit(0), F.lit(len(rows) - 1))))
-    hit = F.col("above") > F.col("grid_no")
-    counts = spread.groupBy("grid_no").agg(
+    spread = buckets.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(len(rows) - 1))))
+    hit = F.col("above") > F.col("place")
+    counts = spread.groupBy("place").agg(
         F.sum(F.when(hit, F.col("n1")).otherwise(0)).alias("tp"),
         F.sum(F.when(hit, F.col("n0")).otherwise(0)).alias("fp"),
         F.sum(F.when(~hit, F.col("n0")).otherwise(0)).alias("tn"),
         F.sum(F.when(~hit, F.col("n1")).otherwise(0)).alias("fn"),
     )
-    return class_metrics(listed.join(counts, "grid_no"))
+    return class_metrics(listed.join(counts, "place").drop("place"))
 
 
 def calibrate(df: DataFrame, score: str, label: str, thresholds: Sequence[float]) -> DataFrame:

@@ -3,7 +3,7 @@
 The model table is ``ngrams(order, ctx, next, cnt, ctx_cnt, rank)``.  ``ctx`` is
 the ``order`` events before ``next``, oldest first, joined by a control
 character.  ``rank`` numbers the likeliest successors of a context by
-(cnt desc, next asc) and is null below the kept top.
+(cnt desc, next asc); all of them are kept, so any K can be asked for.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilseq.functions.numeric import perplexity
+from vigilseq.functions.text import null_event
 
 JOINER = "\x01"
 BROADCAST_BYTES = 64 << 20  # largest model that is broadcast to every executor
@@ -23,11 +24,11 @@ def context_text(order: int) -> Column:
     """Context key of ``order`` events from the prev columns; null when there are fewer."""
     if order == 0:
         return F.lit("")
-    parts = [F.col(f"prev{i}") for i in range(order, 0, -1)]
-    return F.when(parts[0].isNotNull(), F.concat_ws(JOINER, *parts))
+    first, *rest = [F.col(f"prev{i}") for i in range(order, 0, -1)]
+    return F.when(first.isNotNull(), F.concat_ws(JOINER, first, *[null_event(p) for p in rest]))
 
 
-def fit_next_event(contexts: DataFrame, order: int = 1, top: int = 50) -> DataFrame:
+def fit_next_event(contexts: DataFrame, order: int = 1) -> DataFrame:
     """Count successors of every context of up to ``order`` events.
 
     ``contexts`` are the training rows from ``with_previous``.  They are reduced
@@ -47,8 +48,9 @@ def fit_next_event(contexts: DataFrame, order: int = 1, top: int = 50) -> DataFr
         .agg(F.sum("cnt").alias("cnt"))
     )
     sums = counts.groupBy("order", "ctx").agg(F.sum("cnt").alias("ctx_cnt"))
-    ranked = topk_next(counts, top).select("order", "ctx", "next", "rank")
-    return counts.join(sums, ["order", "ctx"]).join(ranked, ["order", "ctx", "next"], "left")
+    likeliest = Window.partitionBy("order", "ctx").orderBy(F.desc("cnt"), "next")
+    # The window holds the successors of a context: at most the vocabulary.
+    return counts.join(sums, ["order", "ctx"]).withColumn("rank", F.row_number().over(likeliest))
 
 
 def topk_next(ngrams: DataFrame, k: int = 5) -> DataFrame:
@@ -121,14 +123,15 @@ def score_events(
     alpha: float = 1.0,
     min_ctx: int = 1,
     broadcast_bytes: int = BROADCAST_BYTES,
+    size: ModelSize | None = None,
 ) -> DataFrame:
     """Loss and Top-K membership of every event; null for the first ``skip`` of a session.
 
-    Pass a staged or saved model: its size is read first.  A small model is
+    Pass a staged or saved model: its size is read first unless given.  A small model is
     broadcast, so rows are scored where they are.  A large one is joined to the
     distinct patterns, and only the scored patterns are joined to the rows.
     """
-    size = ModelSize.of(ngrams)
+    size = size or ModelSize.of(ngrams)
     small = size.data_bytes <= broadcast_bytes
     arguments = (ngrams, size, order, k, alpha, min_ctx, small)
     if small:

@@ -28,17 +28,21 @@ def sessionize(events: DataFrame) -> DataFrame:
     return sessionize_with_previous(events, 0)
 
 
-def sessionize_with_previous(events: DataFrame, order: int, pieces: int | None = None) -> DataFrame:
-    """``sessionize`` and ``with_previous`` together, in the same shuffles."""
-    return running_totals(
+def sessionize_with_previous(events: DataFrame, order: int, pieces: int | None = None, timed: bool = False) -> DataFrame:
+    """``sessionize`` and ``with_previous`` together, in the same shuffles.
+
+    Rows without time come first.  ``timed`` leaves out sessions that have such rows.
+    """
+    out = running_totals(
         events,
         ["session_id"],
         EVENT_ORDER,
         {"pos": F.lit(1)},
-        {"session_label": F.max("label"), "n_events": F.count(F.lit(1))},
+        {"session_label": F.max("label"), "n_events": F.count(F.lit(1)), "_untimed": F.count_if(F.col("ts").isNull())},
         ("event", order),
         pieces,
     )
+    return (out.filter("_untimed = 0") if timed else out).drop("_untimed")
 
 
 def session_labels(events: DataFrame) -> DataFrame:
@@ -50,11 +54,11 @@ def session_lengths(events: DataFrame) -> DataFrame:
     return events.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_events"))
 
 
-def session_sequences(positioned: DataFrame, sep: str | None = None, max_events: int = CHUNK_ROWS) -> DataFrame:
-    """Ordered event list per session, or text joined by ``sep``.
+def session_sequences(positioned: DataFrame, sep: str | None = None, *, max_events: int) -> DataFrame:
+    """Ordered event list per (session, chunk), or text joined by ``sep``.
 
-    Sessions longer than ``max_events`` come as several rows numbered by
-    ``chunk_no``: nothing is dropped and no row grows without bound.
+    A row holds at most ``max_events`` events, so a longer session has several, told
+    apart by ``chunk_no``, which is part of the key; no separator stands between them.
     """
     out = (
         positioned.withColumn("chunk_no", F.floor(F.col("pos") / max_events))

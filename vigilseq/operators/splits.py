@@ -60,6 +60,24 @@ def split_by_time(sessions: DataFrame, at: datetime.datetime | str) -> DataFrame
     return sessions.select("session_id", "label", "start_ts", name.alias("split"))
 
 
+def calibration_set(rows: DataFrame, percent: int = 30, seed: str = "calibrate") -> DataFrame:
+    """Rows to calibrate on: the validation split, and a hash part of the anomalous sessions.
+
+    The rows carry ``session_id``, ``label`` of the session and ``split``; the part of the
+    anomalous sessions is held out from the final test by ``test_after_calibration``.
+    """
+    return rows.filter((F.col("split") == "val") | _held_out(percent, seed))
+
+
+def test_after_calibration(rows: DataFrame, percent: int = 30, seed: str = "calibrate") -> DataFrame:
+    """Rows of the test split without those that were calibrated on."""
+    return rows.filter((F.col("split") == "test") & ~_held_out(percent, seed))
+
+
+def _held_out(percent: int, seed: str) -> Column:
+    return (F.col("label") == 1) & (hash_pct(F.col("session_id"), seed) < percent)
+
+
 def split_by_share(sessions: DataFrame, train: float = 0.8) -> DataFrame:
     """Chronological split at the start time before which a share of the sessions lies."""
     starts = sessions.withColumn("_start", F.unix_micros("start_ts"))

@@ -10,14 +10,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigilseq.operators.evaluate import class_metrics, confusion, f1_of, ratio
 from vigilseq.operators.ordered import running_totals
 
-TRIAL_ROWS = 20_000_000  # rows x trials up to which every row is drawn in every trial
 COUNTS = "tp long, fp long, tn long, fn long"
 
 
@@ -181,20 +180,49 @@ def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
 # -- resampling ---------------------------------------------------------------
 
 
-def _draw(trial: Column, key: Column, seed: str) -> Column:
-    """Eight hex digits that depend only on seed, trial and key; as text they sort like a uniform draw."""
-    return F.substring(F.md5(F.concat_ws("|", F.lit(seed), trial.cast("string"), key.cast("string"))), 1, 8)
+SPREAD = 12  # standard deviations of a law that are tabulated; beyond them a double holds nothing
 
 
-def _draw_limit(share: Column) -> Column:
-    """Draws below this text have the given chance."""
-    limit = F.lower(F.hex(F.ceil(share * float(1 << 32)).cast("bigint")))
-    return F.when(share >= 1, F.lit("g")).otherwise(F.lpad(limit, 8, "0"))
+def _uniform(trial: Column, part: str, seed: int) -> Column:
+    """Number in (0, 1) that depends only on seed, part and trial."""
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(part), trial.cast("string"))), 1, 13)
+    return (F.conv(digits, 16, 10).cast("bigint").cast("double") + 0.5) / float(1 << 52)
 
 
-def _spread(rows: DataFrame) -> DataFrame:
-    """Even out narrow rows over all cores before each becomes one row per trial."""
-    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+def _drawn(spark: SparkSession, trials: int, seed: int, part: str, least: int, most: int, mean: float, std: float, ratio: Column) -> DataFrame:
+    """(trial, part): one number per trial by inverting the law with ``ratio`` = P(k + 1) / P(k) over column ``k``.
+
+    The law is tabulated ``SPREAD`` deviations around its mean, so the table grows with the
+    root of the counts.  Uniforms and cumulative chances are merged in one order.
+    """
+    low = max(least, math.floor(mean - SPREAD * std - SPREAD)) if std > 0 else round(mean)
+    high = min(most, math.ceil(mean + SPREAD * std + SPREAD)) if std > 0 else round(mean)
+    along = Window.orderBy("k")
+    steps = spark.range(low, high + 1).withColumnRenamed("id", "k").withColumn("_step", F.when(F.col("k") < high, F.log(ratio)).otherwise(0.0))
+    weights = steps.withColumn("_log", F.coalesce(F.sum("_step").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    top = F.max("_log").over(Window.partitionBy())
+    weights = weights.withColumn("_w", F.exp(F.col("_log") - top))
+    chance = F.sum("_w").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)) / F.sum("_w").over(Window.partitionBy())
+    law = weights.select(chance.alias("_at"), F.lit(1).alias("_law"), F.lit(None).cast("bigint").alias("trial"))
+    wanted = spark.range(trials).select(_uniform(F.col("id"), part, seed).alias("_at"), F.lit(0).alias("_law"), F.col("id").alias("trial"))
+    merged = law.unionByName(wanted)
+    below = F.sum("_law").over(Window.orderBy("_at", "_law").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = merged.withColumn(part, F.least(F.lit(high), F.lit(low) + below))
+    return found.filter("_law = 0").select("trial", part)
+
+
+def _binomial(spark: SparkSession, trials: int, seed: int, part: str, n: int, p: float) -> DataFrame:
+    k = F.col("k")
+    ratio = (F.lit(n) - k) / (k + 1.0) * F.lit(p / (1 - p) if p < 1 else 0.0)
+    return _drawn(spark, trials, seed, part, 0, n, n * p, math.sqrt(n * p * (1 - p)), ratio)
+
+
+def _hypergeometric(spark: SparkSession, trials: int, seed: int, part: str, good: int, bad: int, taken: int) -> DataFrame:
+    k, n = F.col("k"), good + bad
+    mean = taken * good / n if n else 0.0
+    std = math.sqrt(mean * (bad / n) * ((n - taken) / (n - 1))) if n > 1 else 0.0
+    ratio = (F.lit(good) - k).cast("double") * (F.lit(taken) - k) / ((k + 1.0) * (F.lit(bad - taken) + k + 1))
+    return _drawn(spark, trials, seed, part, max(0, taken - bad), min(good, taken), mean, std, ratio)
 
 
 def _trial_f1(counts: DataFrame) -> DataFrame:
@@ -203,73 +231,22 @@ def _trial_f1(counts: DataFrame) -> DataFrame:
     return out.withColumn("f1", f1_of("precision", "recall"))
 
 
-def random_trials(detections: DataFrame, trials: int = 1000, seed: str = "42") -> DataFrame:
+def random_trials(counts: Row, spark: SparkSession, trials: int = 1000, seed: int = 42) -> DataFrame:
     """F1 of ``trials`` classifiers that flag each session with the share of anomalies as chance.
 
-    Every task draws for its own rows and reduces them to one row per trial, so
-    only trials x tasks rows are shuffled.
+    Given the class counts the hits of a trial are two binomial numbers, whatever the size.
     """
-    share = detections.agg(_draw_limit(F.avg(F.col("label").cast("double"))).alias("limit"))
-    rows = _spread(detections.select("session_id", "label"))
-    drawn = rows.join(F.broadcast(share))  # one row
-    drawn = drawn.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-    hit = _draw(F.col("trial"), F.col("session_id"), seed) < F.col("limit")
-    counts = drawn.groupBy("trial").agg(
-        F.count_if(hit & (F.col("label") == 1)).alias("tp"),
-        F.count_if(hit & (F.col("label") == 0)).alias("fp"),
-        F.count_if(~hit & (F.col("label") == 1)).alias("fn"),
-    )
-    return _trial_f1(counts)
-
-
-def _sampled_counts(table: DataFrame, trials: int, seed: int, kind: str) -> DataFrame:
-    """Trial counts drawn from their exact law given the confusion counts (one row)."""
-
-    def draw(batches):
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples():
-                rng = np.random.default_rng([seed, r.trial])
-                n1, n0 = r.tp + r.fn, r.fp + r.tn
-                if kind == "random":
-                    p = n1 / max(1, n1 + n0)
-                    tp, fp = rng.binomial(n1, p), rng.binomial(n0, p)
-                else:
-                    flagged = r.tp + r.fp
-                    tp = _hypergeometric(rng, n1, n0, flagged)
-                    fp = flagged - tp
-                rows.append((r.trial, int(tp), int(fp), int(n1 - tp)))
-            yield pd.DataFrame(rows, columns=["trial", "tp", "fp", "fn"])
-
-    spark = table.sparkSession
-    ids = spark.range(trials).withColumnRenamed("id", "trial")
-    return ids.join(F.broadcast(table)).mapInPandas(draw, "trial long, tp long, fp long, fn long")
-
-
-def _hypergeometric(rng, good: int, bad: int, drawn: int) -> int:
-    """Hypergeometric draw; beyond numpy's range (10^9) its normal limit, rounded into the support."""
-    if max(good, bad) < 10**9:
-        return int(rng.hypergeometric(good, bad, drawn))
-    n = good + bad
-    mean = drawn * (good / n)
-    var = mean * (bad / n) * ((n - drawn) / (n - 1))
-    return int(min(good, drawn, max(0, drawn - bad, round(rng.normal(mean, math.sqrt(var))))))
-
-
-def random_baseline(
-    detections: DataFrame, trials: int = 1000, seed: int = 42, trial_rows: int = TRIAL_ROWS
-) -> DataFrame:
-    """Mean and deviation of the random F1, distance of the model in sigmas, improvement, verdict.
+    n1, n0 = counts["tp"] + counts["fn"], counts["fp"] + counts["tn"]
+    p = n1 / max(1, n1 + n0)
+    both = _binomial(spark, trials, seed, "tp", n1, p).join(_binomial(spark, trials, seed, "fp", n0, p), "trial")
+    return _trial_f1(both.withColumn("fn", F.lit(n1) - F.col("tp")))
 
-    Above ``trial_rows`` rows x trials the hits of a trial are drawn from their
-    exact law, the binomial one, given the class counts: one pass over the table.
-    """
-    row = confusion(detections).first()
-    table = detections.sparkSession.createDataFrame([row], COUNTS)
-    if sum(row) * trials <= trial_rows:
-        drawn = random_trials(detections, trials, str(seed))
-    else:
-        drawn = _trial_f1(_sampled_counts(table, trials, seed, "random"))
+
+def random_baseline(detections: DataFrame, trials: int = 1000, seed: int = 42) -> DataFrame:
+    """Mean and deviation of the random F1, distance of the model in sigmas, improvement, verdict."""
+    spark, row = detections.sparkSession, confusion(detections).first()
+    table = spark.createDataFrame([row], COUNTS)
+    drawn = random_trials(row, spark, trials, seed)
     out = drawn.agg(F.avg("f1").alias("random_f1_mean"), F.stddev_pop("f1").alias("random_f1_std"))
     out = out.join(F.broadcast(class_metrics(table).select(F.col("f1").alias("model_f1"))))
     gap = F.col("model_f1") - F.col("random_f1_mean")
@@ -282,63 +259,18 @@ def random_baseline(
     )
 
 
-def permutation_trials(
-    detections: DataFrame, trials: int = 1000, seed: int = 42, trial_rows: int = TRIAL_ROWS
-) -> DataFrame:
-    """F1 of the fixed predictions under shuffled labels.
-
-    Up to ``trial_rows`` rows x trials the labels are shuffled row by row: in
-    each trial the n1 sessions with the lowest draw carry label 1.  Above that
-    the hits of a shuffle are drawn from their exact law, the hypergeometric
-    one, given the confusion counts.
-    """
-    row = confusion(detections).first()
-    n1, n = row["tp"] + row["fn"], sum(row)
-    flagged = row["tp"] + row["fp"]
-    if n1 == 0 or n * trials > trial_rows:
-        table = detections.sparkSession.createDataFrame([row], COUNTS)
-        return _trial_f1(_sampled_counts(table, trials, seed, "permute"))
-
-    drawn = _spread(detections.select("session_id", "predicted")).withColumn(
-        "trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))
-    )
-    drawn = drawn.withColumn("u", _draw(F.col("trial"), F.col("session_id"), str(seed)))
-    hits = _lowest_hits(drawn, n1, digits=max(1, math.ceil(math.log(max(n, 2) / 500, 16))))
-    counts = hits.select(
-        "trial", "tp", (F.lit(flagged) - F.col("tp")).alias("fp"), (F.lit(n1) - F.col("tp")).alias("fn")
-    )
-    return _trial_f1(counts)
-
-
-def _lowest_hits(drawn: DataFrame, n1: int, digits: int) -> DataFrame:
-    """Flagged rows among the ``n1`` lowest draws of each trial.
-
-    Draws are counted by their first digits in every task, so rows are not
-    shuffled; only those of the one group that holds the n1-th draw are sorted.
-    """
-    drawn = drawn.withColumn("prefix", F.left("u", F.lit(digits)))
-    groups = drawn.groupBy("trial", "prefix").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("predicted") == 1).alias("hits")
-    )
-    up_to = Window.partitionBy("trial").orderBy("prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    groups = groups.withColumn("up_to", F.sum("n").over(up_to))
-    before = F.col("up_to") - F.col("n")
-    holds_last = (F.col("up_to") >= n1) & (before < n1)  # one group per trial
-    cut = groups.groupBy("trial").agg(
-        F.sum(F.when(F.col("up_to") < n1, F.col("hits")).otherwise(0)).alias("sure"),
-        F.max(F.when(holds_last, F.struct("prefix", (n1 - before).alias("wanted")))).alias("last"),
-    )
-    cut = F.broadcast(cut.select("trial", "sure", "last.prefix", "last.wanted"))
-    place = F.row_number().over(Window.partitionBy("trial").orderBy("u", "session_id"))
-    at_cut = drawn.join(cut, ["trial", "prefix"]).withColumn("place", place)
-    hit = (F.col("place") <= F.col("wanted")) & (F.col("predicted") == 1)
-    return at_cut.groupBy("trial").agg((F.max("sure") + F.count_if(hit)).alias("tp"))
+def permutation_trials(counts: Row, spark: SparkSession, trials: int = 1000, seed: int = 42) -> DataFrame:
+    """F1 of the fixed predictions under shuffled labels: the hits of a shuffle are a hypergeometric number."""
+    n1, n0, flagged = counts["tp"] + counts["fn"], counts["fp"] + counts["tn"], counts["tp"] + counts["fp"]
+    hits = _hypergeometric(spark, trials, seed, "tp", n1, n0, flagged)
+    return _trial_f1(hits.withColumns({"fp": F.lit(flagged) - F.col("tp"), "fn": F.lit(n1) - F.col("tp")}))
 
 
-def permutation_test(detections: DataFrame, trials: int = 1000, seed: int = 42, **limits) -> DataFrame:
+def permutation_test(detections: DataFrame, trials: int = 1000, seed: int = 42) -> DataFrame:
     """Mean, deviation and best shuffled F1, and the share of shuffles at least as good as the model."""
-    model = class_metrics(confusion(detections)).select(F.col("f1").alias("model_f1"))  # one row
-    shuffled = permutation_trials(detections, trials, seed, **limits).join(F.broadcast(model))
+    spark, row = detections.sparkSession, confusion(detections).first()
+    model = class_metrics(spark.createDataFrame([row], COUNTS)).select(F.col("f1").alias("model_f1"))  # one row
+    shuffled = permutation_trials(row, spark, trials, seed).join(F.broadcast(model))
     out = shuffled.agg(
         F.avg("f1").alias("permuted_f1_mean"),
         F.stddev_pop("f1").alias("permuted_f1_std"),

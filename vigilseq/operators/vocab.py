@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from vigilseq.operators.ordered import running_totals
 from vigilseq.operators.rows import normal_rows
+from vigilseq.sources.staging import stage
 
 # Fixed special tokens of the reference.
 PAD, UNK, SEP = "<PAD>", "<UNK>", "<SEP>"
 PAD_ID, UNK_ID, SEP_ID, FIRST_ID = 0, 1, 2, 3
+BROADCAST_EVENTS = 500_000  # events of a vocabulary that are sent to every executor
 
 
 def fit_vocab(events: DataFrame) -> DataFrame:
@@ -34,8 +36,9 @@ def encode(positioned: DataFrame, vocab: DataFrame, add_sep: bool = False) -> Da
     With ``add_sep`` a separator stands between the events of a session, which
     needs ``n_events`` (see ``sessionize``); positions then count tokens.
     """
-    known = vocab.select("event", "token_id")
-    out = positioned.join(known, "event", "left").withColumn(
+    known = stage(vocab.select("event", "token_id"), "vocab")
+    small = known.count() <= BROADCAST_EVENTS
+    out = positioned.join(F.broadcast(known) if small else known, "event", "left").withColumn(
         "token_id", F.coalesce("token_id", F.lit(UNK_ID))
     )
     if not add_sep:
@@ -49,8 +52,9 @@ def encode(positioned: DataFrame, vocab: DataFrame, add_sep: bool = False) -> Da
 
 def decode(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     """Event text of each token id; unknown ids become ``<UNK>``."""
-    known = with_special(vocab)
-    return tokens.join(known, "token_id", "left").withColumn("event", F.coalesce("event", F.lit(UNK)))
+    known = stage(with_special(vocab), "vocab")
+    small = known.count() <= BROADCAST_EVENTS
+    return tokens.join(F.broadcast(known) if small else known, "token_id", "left").withColumn("event", F.coalesce("event", F.lit(UNK)))
 
 
 def event_dictionary(events: DataFrame) -> DataFrame:

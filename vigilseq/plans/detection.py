@@ -11,7 +11,7 @@ from vigilseq.operators.evaluate import ksigma_threshold
 from vigilseq.operators.leadtime import lead_to_end, lead_to_first_error, steps_before_error
 from vigilseq.operators.model import fit_next_event, score_events, session_loss
 from vigilseq.operators.sessions import sessionize_with_previous
-from vigilseq.operators.splits import hash_pct, split_name
+from vigilseq.operators.splits import hash_pct, split_name, test_after_calibration
 from vigilseq.sources.staging import stage
 
 CUTS = (80, 90)  # percent of the normal sessions up to which they train and validate
@@ -20,11 +20,11 @@ CUTS = (80, 90)  # percent of the normal sessions up to which they train and val
 def labelled_contexts(events: DataFrame, order: int = 1) -> DataFrame:
     """Events with position, session label, split and the events before them.
 
-    One shuffle by session; label and split are columns of the row, so no later
-    step joins rows to a session table.
+    Label and split are columns of the row, so no later step joins rows to a session
+    table.  A session with a row without time has no order and is left out.
     """
     named = events.withColumn("event", null_event(F.col("event")))
-    rows = sessionize_with_previous(named, order)
+    rows = sessionize_with_previous(named, order, timed=True)
     return rows.withColumn("split", split_name(F.col("session_id"), F.col("session_label"), CUTS))
 
 
@@ -65,10 +65,20 @@ def ksigma_detections(events: DataFrame, k: float, order: int = 1, skip: int = 3
     ngrams = fit(contexts, order)
     healthy = score_events(contexts.filter("split = 'val'"), ngrams, order, skip=skip)
     threshold = ksigma_threshold(session_loss(healthy), k).first()["threshold"]  # one row
+    if threshold is None:
+        raise ValueError("no validation session has a scored event, so there is no threshold")
     scored = score_events(contexts.filter("split = 'test'"), ngrams, order, skip=skip)
     return steps_before_error(lead_to_end(detect_threshold(scored, threshold, skip)))
 
 
+def stored_threshold_detections(contexts: DataFrame, ngrams: DataFrame, threshold: DataFrame, skip: int = 3) -> DataFrame:
+    """Detections of the test sessions that were not calibrated on, with a stored threshold (one row)."""
+    value = threshold.first()["threshold"]
+    rows = test_after_calibration(contexts.withColumn("_row_label", F.col("label")).withColumn("label", F.col("session_label")))
+    rows = rows.withColumn("label", F.col("_row_label")).drop("_row_label")
+    return steps_before_error(lead_to_end(detect_threshold(score_events(rows, ngrams, skip=skip), value, skip)))
+
+
 def threshold_detections(events: DataFrame, threshold: float, order: int = 1, skip: int = 3) -> DataFrame:
     """Test sessions flagged when an event surprises more than the threshold, with lead to the end."""
     contexts = stored_contexts(events, order)

@@ -7,14 +7,14 @@ from vigilseq.functions import text as txt
 from vigilseq.operators.evaluate import COARSE_GRID
 from vigilseq.operators.vocab import PAD, SEP, UNK
 from vigilseq.plans import reports
-from vigilseq.plans.catalog import PERCENTS, STREAM_DELAY_HOURS, TIE_SHIFT, TRIALS
+from vigilseq.plans.catalog import PERCENTS, LARGE, TRIALS
 
 SQL: dict[str, str] = {}
 
 _CASTS = {
     "s": "{c}::VARCHAR",
     "i": "{c}::BIGINT",
-    "d": f"round({{c}}::DOUBLE + {TIE_SHIFT}, 6) + 0.0",
+    "d": f"CASE WHEN abs({{c}}::DOUBLE) < {LARGE} THEN floor({{c}}::DOUBLE * 1e6 + 0.5) / 1e6 ELSE {{c}}::DOUBLE END",
     "t": "epoch_us({c})",
     "l": "array_to_string({c}, ' ')",
 }
@@ -55,6 +55,9 @@ USER = f"""{CODED}, ev AS (
 GAPPY = f"""{CODED}, ev AS (
   SELECT user_id AS session_id, ts, event_id AS tiebreak,
          CASE WHEN NOT value < 2 THEN {SYMBOL} END AS event, {RARE} AS label FROM coded)"""
+FINE = f"""{CODED}, ev AS (
+  SELECT user_id::VARCHAR || '#' || (event_id % 5)::VARCHAR AS session_id, ts, event_id AS tiebreak, event_type || ':' || code::VARCHAR AS event,
+         {RARE} AS label FROM coded)"""
 TALK = """ev AS (
   SELECT conv_id AS session_id, make_timestamp(turn * 1000000) AS ts, turn AS tiebreak, role AS event,
          CASE WHEN role = 'system' THEN 1 ELSE 0 END AS label FROM conversations)"""
@@ -517,32 +520,31 @@ put(
 # -- model and detection ------------------------------------------------------
 
 
-def ngrams(train: str, top: int) -> str:
+def ngrams(train: str) -> str:
     """CTE ``ng``: the model table of order 2."""
     return f"""tr AS (SELECT * FROM x WHERE {train}), co AS (
       SELECT 0 AS "order", '' AS ctx, event AS next, count(*) AS cnt FROM tr GROUP BY ALL UNION ALL
       SELECT 1, prev1, event, count(*) FROM tr WHERE prev1 IS NOT NULL GROUP BY ALL UNION ALL
       SELECT 2, prev2 || chr(1) || prev1, event, count(*) FROM tr WHERE prev2 IS NOT NULL GROUP BY ALL),
     ng AS (SELECT "order", ctx, next, cnt, sum(cnt) OVER (PARTITION BY "order", ctx) AS ctx_cnt,
-      CASE WHEN row_number() OVER (PARTITION BY "order", ctx ORDER BY cnt DESC, next) <= {top}
-           THEN row_number() OVER (PARTITION BY "order", ctx ORDER BY cnt DESC, next) END AS rank FROM co)"""
+      row_number() OVER (PARTITION BY "order", ctx ORDER BY cnt DESC, next) AS rank FROM co)"""
 
 
 WEEK_X = f"{WEEK}, {POS}, x AS (SELECT *, {split('session_id', 'session_label')} AS split FROM p)"
 DAY_X = f"{DAY}, {POS}, x AS (SELECT *, {split('session_id', 'session_label')} AS split FROM p)"
 _TRAIN = "split = 'train'"
-put("n1_fit_next_event", "order:i ctx:s next:s cnt:i ctx_cnt:i rank:i", "SELECT * FROM ng", f"{WEEK_X}, {ngrams(_TRAIN, 5)}")
+put("n1_fit_next_event", "order:i ctx:s next:s cnt:i ctx_cnt:i rank:i", "SELECT * FROM ng", f"{WEEK_X}, {ngrams(_TRAIN)}")
 put(
     "n1_fit_row_scope",
     "order:i ctx:s next:s cnt:i ctx_cnt:i",
     'SELECT * FROM ng WHERE "order" < 2',
-    f"{WEEK_X}, {ngrams('label = 0', 50)}",
+    f"{WEEK_X}, {ngrams('label = 0')}",
 )
 put(
     "n2_topk_next",
     "order:i ctx:s next:s cnt:i ctx_cnt:i rank:i",
     'SELECT * FROM ng WHERE "order" < 2 AND rank <= 5',
-    f"{DAY_X}, {ngrams(_TRAIN, 5)}",
+    f"{DAY_X}, {ngrams(_TRAIN)}",
 )
 put(
     "n3_topk_miss",
@@ -567,7 +569,7 @@ put(
          LEFT JOIN ng AS g2 ON g2."order" = 2 AND g2.ctx = pair AND g2.next = event
          LEFT JOIN ng AS g1 ON g1."order" = 1 AND g1.ctx = prev1 AND g1.next = event
          LEFT JOIN ng AS g0 ON g0."order" = 0 AND g0.next = event) AS a""",
-    f"{WEEK_X}, {ngrams(_TRAIN, 50)}",
+    f"{WEEK_X}, {ngrams(_TRAIN)}",
 )
 put("n5_session_loss", "session_id:s label:i avg_loss:d max_loss:d n_scored:i", "SELECT * FROM sl", LOSSES)
 put(
@@ -582,6 +584,12 @@ put(
     "SELECT * FROM det",
     THRESHOLD,
 )
+put(
+    "n6_detect_topk_large_k",
+    "session_id:s label:i predicted:i first_anomaly_step:i alert_pos:i alert_event:s",
+    "SELECT *, coalesce(alert_pos - 1, -1) AS first_anomaly_step FROM d0",
+    f"{scored(FINE, 60, 1)}, {detected(WEEK_TEST, 'NOT in_topk')}",
+)
 WINDOW_LOG = f"""{USER.replace('ev AS', 'ev0 AS')}, ev AS (
   SELECT session_id::VARCHAR || '#' || ((row_number() OVER (PARTITION BY session_id ORDER BY ts, tiebreak) - 1) // 20)::VARCHAR AS session_id,
          ts, tiebreak, event, label FROM ev0)"""
@@ -638,7 +646,7 @@ put(
     "n12_stream_first_alert",
     "session_id:s pos:i ts:t event:s loss:d",
     f"""SELECT session_id, min(pos) AS pos, arg_min(ts, pos) AS ts, arg_min(event, pos) AS event, arg_min(loss, pos) AS loss FROM sc
-        WHERE {_HIT} AND epoch_us(ts) // 1000 < (SELECT epoch_us(max(ts)) // 1000 - {STREAM_DELAY_HOURS * 3600000} FROM ev) GROUP BY 1""",
+        WHERE {_HIT} GROUP BY 1""",
     ALL_WEEK,
 )
 
@@ -841,7 +849,18 @@ put(
     "SELECT no AS grid_no, * FROM sw",
     f"{THRESHOLD}, sco AS (SELECT label, alert_loss AS score FROM det), {sweep(COARSE)}",
 )
-put("e6_calibrate", _SWEEP, "SELECT no AS grid_no, * FROM sw ORDER BY f1 DESC, threshold LIMIT 1", f"{SCORES}, {sweep(GRID)}")
+HELD_OUT = f"(session_label = 1 AND {pct('session_id', 'calibrate')} < 30)"
+CALIBRATION = f"""{ALL_WEEK}, sco AS (SELECT session_id, max(session_label) AS label, coalesce(max(loss), 0.0) AS score FROM sc
+    WHERE split = 'val' OR split = 'test' AND {HELD_OUT} GROUP BY 1), {sweep(GRID)},
+    be AS (SELECT no AS grid_no, * FROM sw ORDER BY f1 DESC, threshold LIMIT 1)"""
+put("e6_calibrate", _SWEEP, "SELECT * FROM be", CALIBRATION)
+_STORED_HIT = f"loss > (SELECT threshold FROM be) AND pos >= {reports.SKIP}"
+put(
+    "n7_detect_stored_threshold",
+    "session_id:s label:i predicted:i alert_pos:i alert_loss:d",
+    "SELECT * FROM d0",
+    f"{CALIBRATION}, {detected(f'(SELECT * FROM sc WHERE split = {chr(39)}test{chr(39)} AND NOT {HELD_OUT})', _STORED_HIT)}",
+)
 KS_GRID = """(SELECT no, m + no / 10.0::DOUBLE * s AS threshold FROM range(31) AS r(no)
     CROSS JOIN (SELECT avg(score) AS m, stddev_pop(score) AS s FROM sco WHERE label = 0) AS b) AS g"""
 put(
@@ -861,23 +880,42 @@ put(
 )
 
 
-def draw(trial: str, key: str) -> str:
-    return f"(('0x' || substr(md5('42|' || {trial} || '|' || {key}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+def uniform(part: str) -> str:
+    return f"((('0x' || substr(md5('42|{part}|' || trial), 1, 13))::BIGINT + 0.5::DOUBLE) / {1 << 52}.0::DOUBLE)"
+
+
+def law_ctes(name: str, part: str, shape: str, ratio: str, trials: int) -> str:
+    """CTE ``name``: (trial, part) by inverting a law over k.
+
+    ``shape`` gives one row with least, most, mean, std and whatever ``ratio`` = P(k + 1) / P(k) uses.
+    """
+    return f"""{name}s AS (SELECT *, CASE WHEN std > 0 THEN greatest(least, floor(mean - 12 * std - 12)) ELSE round(mean) END::BIGINT AS low,
+        CASE WHEN std > 0 THEN least(most, ceil(mean + 12 * std + 12)) ELSE round(mean) END::BIGINT AS high FROM ({shape}) AS z),
+    {name}k AS (SELECT *, unnest(range(low, high + 1)) AS k FROM {name}s),
+    {name}l AS (SELECT k, low, high, coalesce(sum(CASE WHEN k < high THEN ln({ratio}) ELSE 0.0 END)
+        OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS lw FROM {name}k),
+    {name}w AS (SELECT k, low, high, exp(lw - max(lw) OVER ()) AS w FROM {name}l),
+    {name}c AS (SELECT low, high, sum(w) OVER (ORDER BY k) / sum(w) OVER () AS c FROM {name}w),
+    {name} AS (SELECT trial, least(max(high), max(low) + count(*) FILTER (c < {uniform(part)})) AS {part} FROM {name}c
+        CROSS JOIN range({trials}) AS t(trial) GROUP BY trial)"""
 
 
 def random_ctes(table: str, trials: int) -> str:
-    return f"""rt AS (SELECT trial, count(*) FILTER (hit AND label = 1) AS tp, count(*) FILTER (hit AND label = 0) AS fp, 0 AS tn,
-      count(*) FILTER (NOT hit AND label = 1) AS fn FROM (
-        SELECT t.trial, label, {draw('t.trial', 'session_id')} < (SELECT avg(label) FROM {table}) AS hit FROM {table}
-        CROSS JOIN range({trials}) AS t(trial)) AS a GROUP BY 1), rm AS ({metrics('rt')})"""
+    def binomial(name: str, part: str, n: str) -> str:
+        shape = f"SELECT 0 AS least, {n} AS most, n, p, n * p AS mean, sqrt(n * p * (1 - p)) AS std FROM (SELECT ({n})::DOUBLE AS n, (tp + fn)::DOUBLE / (tp + fp + tn + fn) AS p, * FROM cf) AS y"
+        return law_ctes(name, part, shape, "(n - k) / (k + 1.0::DOUBLE) * (p / (1 - p))", trials)
+
+    return f"""{binomial('rt1', 'tp', 'tp + fn')}, {binomial('rt0', 'fp', 'fp + tn')},
+      rt AS (SELECT trial, rt1.tp, rt0.fp, 0 AS tn, (SELECT tp + fn FROM cf) - rt1.tp AS fn FROM rt1 JOIN rt0 USING (trial)), rm AS ({metrics('rt')})"""
 
 
 def permute_ctes(table: str, trials: int) -> str:
-    return f"""pt AS (SELECT trial, count(*) FILTER (one AND predicted = 1) AS tp, count(*) FILTER (NOT one AND predicted = 1) AS fp, 0 AS tn,
-      count(*) FILTER (one AND predicted = 0) AS fn FROM (
-        SELECT trial, predicted, row_number() OVER (PARTITION BY trial ORDER BY u, session_id) <= (SELECT sum(label) FROM {table}) AS one FROM (
-          SELECT t.trial, session_id, predicted, {draw('t.trial', 'session_id')} AS u FROM {table}
-          CROSS JOIN range({trials}) AS t(trial)) AS a) AS b GROUP BY 1), pm AS ({metrics('pt')})"""
+    shape = """SELECT greatest(0, taken - bad) AS least, least(good, taken) AS most, *, taken * good / n AS mean,
+        sqrt(taken * good / n * (bad / n) * ((n - taken) / (n - 1))) AS std
+      FROM (SELECT (tp + fn)::DOUBLE AS good, (fp + tn)::DOUBLE AS bad, (tp + fp)::DOUBLE AS taken, (tp + fp + tn + fn)::DOUBLE AS n FROM cf) AS y"""
+    law = law_ctes("pt1", "tp", shape, "(good - k) * (taken - k) / ((k + 1.0::DOUBLE) * (bad - taken + k + 1))", trials)
+    return f"""{law}, pt AS (SELECT trial, pt1.tp, cf.tp + cf.fp - pt1.tp AS fp, 0 AS tn, cf.tp + cf.fn - pt1.tp AS fn FROM pt1 CROSS JOIN cf),
+      pm AS ({metrics('pt')})"""
 
 
 MODEL = f"mo AS (SELECT f1 AS model_f1, tp, fp, tn, fn, accuracy FROM ({metrics('cf')}) AS z)"
@@ -921,20 +959,34 @@ def rank(source: str, label: str) -> str:
           (count(*) FILTER ({label} = 0) OVER ())::DOUBLE AS n0 FROM {source}) AS a) AS b"""
 
 
-put("e11_rank_test", "u:d n1:i n0:i auroc:d z:d", rank("sco", "label"), SCORES)
+NORMAL_P = """0.5::DOUBLE - sign(z) * (SELECT sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+      * exp(-power(abs(z) * i / 4000.0::DOUBLE, 2) / 2)) FROM range(4001) AS s(i)) * abs(z) / 4000 / 3 / sqrt(2 * pi())"""
+
+
+def with_p(body: str, p: str) -> str:
+    """A row with the integral ``p`` over its own columns."""
+    return f"SELECT *, {p} AS p_value FROM ({body}) AS q"
+
+
+put("e11_rank_test", "u:d n1:i n0:i auroc:d z:d p_value:d", with_p(rank("sco", "label"), NORMAL_P), SCORES)
 put(
     "e11_rank_test_documents",
-    "u:d n1:i n0:i auroc:d z:d",
-    rank("(SELECT n_chars::DOUBLE AS score, toxic FROM documents JOIN labels USING (doc_id)) AS dl", "toxic"),
+    "u:d n1:i n0:i auroc:d z:d p_value:d",
+    with_p(rank("(SELECT n_chars::DOUBLE AS score, toxic FROM documents JOIN labels USING (doc_id)) AS dl", "toxic"), NORMAL_P),
 )
 MOMENTS = f"""{SCORES}, mom AS (SELECT avg(score) FILTER (label = 1) AS mean1, avg(score) FILTER (label = 0) AS mean0,
     var_samp(score) FILTER (label = 1) AS var1, var_samp(score) FILTER (label = 0) AS var0, stddev_pop(score) FILTER (label = 1) AS std1,
     stddev_pop(score) FILTER (label = 0) AS std0, count(*) FILTER (label = 1) AS n1, count(*) FILTER (label = 0) AS n0 FROM sco)"""
 put(
     "e12_welch",
-    "t:d df:d",
-    """SELECT (mean1 - mean0) / sqrt(var1 / n1 + var0 / n0) AS t,
+    "t:d df:d p_value:d",
+    with_p(
+        """SELECT (mean1 - mean0) / sqrt(var1 / n1 + var0 / n0) AS t,
          power(var1 / n1 + var0 / n0, 2) / (power(var1 / n1, 2) / (n1 - 1) + power(var0 / n0, 2) / (n0 - 1)) AS df FROM mom""",
+        """least(1.0::DOUBLE, 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2) - 0.5 * ln(pi())) * (pi() / 2 - atan(abs(t) / sqrt(df))) / 20000 / 3
+          * (SELECT sum(CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * power(greatest(0.0::DOUBLE,
+              cos(atan(abs(t) / sqrt(df)) + (pi() / 2 - atan(abs(t) / sqrt(df))) * i / 20000.0::DOUBLE)), df - 1)) FROM range(20001) AS s(i)))""",
+    ),
     MOMENTS,
 )
 CUM = f"""{SCORES}, ds AS (SELECT score, count(*) FILTER (label = 1) AS n1, count(*) FILTER (label = 0) AS n0 FROM sco GROUP BY 1),
@@ -942,7 +994,16 @@ CUM = f"""{SCORES}, ds AS (SELECT score, count(*) FILTER (label = 1) AS n1, coun
     dn AS (SELECT *, sum(n1) OVER (ORDER BY score DESC) AS tp, sum(n0) OVER (ORDER BY score DESC) AS fp, sum(n1) OVER () AS t1, sum(n0) OVER () AS t0 FROM ds),
     pr AS (SELECT *, tp::DOUBLE / (tp + fp) AS precision, tp::DOUBLE / t1 AS recall, fp::DOUBLE / t0 AS fpr, lag(tp::DOUBLE / (tp + fp)) OVER w AS p0,
            lag(tp::DOUBLE / t1) OVER w AS r0, lag(fp::DOUBLE / t0) OVER w AS f0 FROM dn WINDOW w AS (ORDER BY score DESC))"""
-put("e13_ks", "ks:d n1:i n0:i", "SELECT max(abs(c1::DOUBLE / t1 - c0::DOUBLE / t0)) AS ks, max(t1) AS n1, max(t0) AS n0 FROM up", CUM)
+put(
+    "e13_ks",
+    "ks:d n1:i n0:i p_value:d",
+    with_p(
+        "SELECT max(abs(c1::DOUBLE / t1 - c0::DOUBLE / t0)) AS ks, max(t1) AS n1, max(t0) AS n0 FROM up",
+        """CASE WHEN ks * sqrt(n1 * n0 / (n1 + n0)::DOUBLE) < 0.2 THEN 1.0 ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, 2 * (SELECT sum(
+             CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END * exp(-2.0::DOUBLE * j * j * ks * ks * n1 * n0 / (n1 + n0))) FROM range(1, 101) AS s(j)))) END""",
+    ),
+    CUM,
+)
 _EFFECT = """SELECT *, CASE WHEN abs(d) >= 0.8 THEN 'LARGE' WHEN abs(d) >= 0.5 THEN 'MEDIUM' WHEN abs(d) >= 0.2 THEN 'SMALL' ELSE 'NEGLIGIBLE' END AS effect
     FROM (SELECT mean1, std1, mean0, std0, (mean1 - mean0) / sqrt((std1 * std1 + std0 * std0) / 2) AS d FROM mom) AS a"""
 put("e14_cohens_d", "mean1:d std1:d mean0:d std0:d d:d effect:s", _EFFECT, MOMENTS)
