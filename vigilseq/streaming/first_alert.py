@@ -1,9 +1,16 @@
 """First alert per session on a live event stream.
 
-The stateful step only restores event order: rows wait until the watermark has
-passed them and leave with their position and the events before them.  Scoring
-is the batch operator, applied to each micro-batch, so the model may be of any
-size; the sink keeps the first alert of a session.
+The stateful step only restores event order: rows of a session wait until the
+watermark has passed them and leave with their position and the events before
+them.  Its state is kept per session, and a timer set to the first waiting row
+wakes it.  Scoring is the batch operator, applied to each micro-batch, so the
+model may be of any size; the sink keeps the first alert of a session.
+
+A session lasts until the time in its ``session_end`` column, however long it
+pauses; its state is dropped when the watermark passes that time.  The batch
+detector has no notion of pauses either, so both give the same alerts.
+
+Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
 """
 
 from __future__ import annotations
@@ -14,23 +21,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from vigilseq.operators.model import score_events
-from vigilseq.operators.sessions import hash_bucket
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-# Rows that wait for the watermark, and per open session its next position, last time and last events.
-STATE = (
-    "session array<string>, ts array<bigint>, tie array<bigint>, event array<string>, "
-    "open array<string>, pos array<bigint>, seen array<bigint>, recent array<string>"
-)
-JOINER = "\x01"
-IDLE_HOURS = 24  # a session without events for this long is forgotten
-BUCKETS = 256  # groups of sessions that share one state; fixed for the life of a stream
+from vigilseq.operators.model import ModelSize, score_events
 
-
-def _names(order: int) -> list[str]:
-    return ["session_id", "pos", "ts", "event", *[f"prev{i}" for i in range(1, order + 1)]]
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STREAM_COLUMNS = ["session_id", "ts", "tiebreak", "event", "session_end"]
 
 
 def _context_schema(order: int) -> str:
@@ -38,71 +35,77 @@ def _context_schema(order: int) -> str:
     return f"session_id string, pos bigint, ts timestamp, event string{previous}"
 
 
-def _in_order(waiting: list, sessions: dict, mark: int, order: int) -> tuple[list, list]:
-    """Rows before the watermark, in time order with position and previous events; and the rest."""
-    rows, rest = [], []
-    for session, micros, tie, event in sorted(waiting, key=lambda w: (w[1], w[2])):
-        if micros // 1000 >= mark:
-            rest.append((session, micros, tie, event))
-            continue
-        pos, _, recent = sessions.get(session, (0, 0, []))
-        rows.append((session, pos, micros, event, *[recent[-i] if len(recent) >= i else None for i in range(1, order + 1)]))
-        sessions[session] = (pos + 1, micros, (recent + [event])[-order:] if order else [])
-    return rows, rest
-
-
-def stream_contexts(
-    stream: DataFrame, order: int, watermark: str, idle_hours: float = IDLE_HOURS, buckets: int = BUCKETS
-) -> DataFrame:
-    """Events (session_id, ts, tiebreak, event) in time order with ``pos`` and ``prev*``.
-
-    State is kept per bucket of sessions, because one Python call per session and
-    micro-batch costs more than the work in it.  Use more buckets the more
-    sessions are open at a time: the state of a bucket is written as one.
-    """
-    idle_ms = int(idle_hours * 3_600_000)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, sessions = [], {}
-        if state.exists:
-            session, ts, tie, event, names, pos, seen, recent = state.get
-            waiting = list(zip(session, ts, tie, event))
-            last = (r.split(JOINER) if r is not None else [] for r in recent)
-            sessions = {n: (p, t, r) for n, p, t, r in zip(names, pos, seen, last)}
-        for pdf in batches:
-            micros = pdf["ts"].to_numpy("datetime64[us]").astype("int64")
-            waiting += zip(pdf["session_id"].tolist(), micros.tolist(), pdf["tiebreak"].tolist(), pdf["event"].tolist())
-
-        mark = state.getCurrentWatermarkMs()
-        rows, waiting = _in_order(waiting, sessions, mark, order)
-        sessions = {n: s for n, s in sessions.items() if s[1] // 1000 + idle_ms >= mark}
-        if waiting or sessions:
-            last = [JOINER.join(r) if r else None for _, _, r in sessions.values()]
-            columns = [[w[i] for w in waiting] for i in range(4)]
-            open_ = [[s[i] for s in sessions.values()] for i in range(2)]
-            state.update((*columns, list(sessions), *open_, last))
-            due = min((w[1] // 1000 + 1 for w in waiting), default=mark + idle_ms)
-            state.setTimeoutTimestamp(max(due, mark + 1))
-        elif state.exists:
-            state.remove()
-        if rows:
-            out = pd.DataFrame(rows, columns=_names(order))
-            out["ts"] = pd.to_datetime(out["ts"], unit="us")
-            yield out
-
+class InOrder(StatefulProcessor):
+    """Rows of one session in time order, with position and the ``order`` events before."""
+
+    def __init__(self, order: int) -> None:
+        self.order = order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "micros bigint, tie bigint, event string")
+        self.open = handle.getValueState("open", "pos bigint, ends bigint, recent array<string>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        ends = None
+        for pdf in rows:
+            micros = pdf["ts"].to_numpy("datetime64[us]").astype("int64").tolist()
+            self.waiting.appendList(list(zip(micros, pdf["tiebreak"].tolist(), pdf["event"].tolist())))
+            ends = int(pdf["session_end"].to_numpy("datetime64[us]").astype("int64").max() // 1000)
+        pos, known, recent = self.open.get() if self.open.exists() else (0, None, [])
+        self.open.update((pos, ends if known is None else max(known, ends or known), list(recent)))
+        yield from self._leave(key[0], timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._leave(key[0], timerValues.getCurrentWatermarkInMs())
+
+    def _leave(self, session: str, mark: int) -> Iterator[pd.DataFrame]:
+        """Emit what the watermark has passed; set the next timer, or forget an ended session."""
+        pos, ends, recent = self.open.get()
+        recent, ready, rest = list(recent), [], []
+        for row in sorted(tuple(r) for r in self.waiting.get()):
+            (ready if row[0] // 1000 < mark else rest).append(row)
+        out = []
+        for micros, _, event in ready:
+            out.append((session, pos, micros, event, *[recent[-i] if len(recent) >= i else None for i in range(1, self.order + 1)]))
+            pos, recent = pos + 1, (recent + [event])[-self.order :] if self.order else []
+        if rest:
+            if ready:
+                self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        if rest or ends is None or ends >= mark:
+            self.open.update((pos, ends, recent))
+            due = rest[0][0] // 1000 + 1 if rest else ends + 1
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(max(due, mark + 1))
+        else:
+            self.open.clear()
+        if out:
+            pdf = pd.DataFrame(out, columns=["session_id", "pos", "ts", "event", *[f"prev{i}" for i in range(1, self.order + 1)]])
+            pdf["ts"] = pd.to_datetime(pdf["ts"], unit="us")
+            yield pdf
+
+    def close(self) -> None:
+        pass
+
+
+def stream_contexts(stream: DataFrame, order: int, watermark: str) -> DataFrame:
+    """Events (session_id, ts, tiebreak, event, session_end) in time order with ``pos`` and ``prev*``."""
+    if stream.sparkSession.conf.get(PROVIDER) != ROCKSDB:
+        raise ValueError(f"set {PROVIDER} to {ROCKSDB}")
+    rows = stream.select(
+        F.col("session_id").cast("string").alias("session_id"),
+        "ts",
+        "tiebreak",
+        F.coalesce("event", F.lit("")).alias("event"),
+        "session_end",
+    )
     return (
-        stream.select(
-            F.col("session_id").cast("string").alias("session_id"),
-            "ts",
-            "tiebreak",
-            F.coalesce("event", F.lit("")).alias("event"),
-        )
-        .withWatermark("ts", watermark)
-        .withColumn("bucket", hash_bucket(F.col("session_id"), buckets))
-        .groupBy("bucket")
-        .applyInPandasWithState(
-            step, _context_schema(order), STATE, "append", GroupStateTimeout.EventTimeTimeout
-        )
+        rows.withWatermark("ts", watermark)
+        .groupBy("session_id")
+        .transformWithStateInPandas(InOrder(order), _context_schema(order), "Append", "EventTime")
     )
 
 
@@ -115,7 +118,6 @@ def stream_first_alert(
     k: int = 5,
     skip: int = 3,
     watermark: str = "1 hour",
-    buckets: int = BUCKETS,
     **trigger,
 ) -> StreamingQuery:
     """Start the detector; alerts go to ``path``, one folder per micro-batch.
@@ -123,13 +125,16 @@ def stream_first_alert(
     A repeated micro-batch overwrites its own folder, so alerts are written once.
     Pass a saved model.  Read the result with ``read_first_alerts``.
     """
-    contexts = stream_contexts(stream, order, watermark, buckets=buckets)
+    contexts = stream_contexts(stream, order, watermark)
+    size = ModelSize.of(ngrams)  # once; the model does not change while the stream runs
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        scored = score_events(batch, ngrams, order, k, skip)
+        batch = batch.persist()  # a large model is joined to its patterns and to its rows
+        scored = score_events(batch, ngrams, order, k, skip, size=size)
         alerts = scored.filter((F.col("loss") > threshold) & (F.col("pos") >= skip))
         first = alerts.groupBy("session_id").agg(F.min(F.struct("pos", "ts", "event", "loss")).alias("alert"))
         first.write.mode("overwrite").parquet(f"{path}/alerts/batch={batch_id}")
+        batch.unpersist()
 
     return (
         contexts.writeStream.foreachBatch(write)
