@@ -264,13 +264,20 @@ def window_candidates(hashes: np.ndarray, offsets: np.ndarray, features: Feature
     wanted = wanted[:count]
     if not wanted.any() or not len(items):
         return
+    # Words of the wanted blocks side by side; the last row of the weighted space is zero.
+    weighted = np.concatenate((space[np.arange(len(features.words)) % SLOTS] * features.weights[:, None], np.zeros((1, space.shape[1]))))
+    weighted = weighted.astype(np.float32)
+    kept = np.flatnonzero(wanted)
+    compact = np.cumsum(wanted) - 1
     some = known[wanted[own[known]]]
+    beside = np.full((len(kept), STEP), len(weighted) - 1)
+    beside[compact[own[some]], (some - np.repeat(offsets[:-1], np.diff(offsets))[some]) % STEP] = at[some]
+    near_vectors = np.zeros((len(kept), space.shape[1]), np.float32)
+    for low in range(0, len(kept), 1_024):
+        for place in range(STEP):
+            near_vectors[low : low + 1_024] += weighted[beside[low : low + 1_024, place]]
     vectors = np.zeros((count, space.shape[1]), np.float32)
-    if len(some):
-        block = own[some]
-        edge = np.flatnonzero(np.diff(block, prepend=-1))
-        scaled = space[at[some] % SLOTS] * features.weights[at[some]].astype(np.float32)[:, None]
-        vectors[block[edge]] = np.add.reduceat(scaled, edge, axis=0)
+    vectors[kept] = near_vectors
     padded = np.concatenate((vectors, np.zeros((max(SIZES), space.shape[1]), np.float32)))
     for size, start in zip(SIZES, near):
         for low in range(0, len(start), 8_192):
