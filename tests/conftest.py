@@ -3,6 +3,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import SparkSession
 
+from vigilseq.sources.staging import release
+
 EVENTS = "session_id string, ts timestamp, tiebreak long, event string, label int"
 
 
@@ -20,6 +22,7 @@ def spark(tmp_path_factory):
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release(session)
     session.stop()
 
 

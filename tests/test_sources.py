@@ -129,3 +129,24 @@ def test_no_local_folder_on_a_cluster():
         staging.staging_root(Session())
     Session.conf = Conf(**{"spark.master": "yarn", "spark.checkpoint.dir": "hdfs://nn/shared/"})
     assert staging.staging_root(Session()) == "hdfs://nn/shared"
+
+
+def test_template_and_other_columns_survive(spark, tmp_path):
+    rows = [(1, "2024-01-01 00:00:00", "E1", "t <*>", "t 5", "svc", 0), (1, "2024-01-01 00:00:00", "E2", None, "u", "svc", 1)]
+    table = spark.createDataFrame(
+        rows, "test_id long, timestamp string, EventId string, EventTemplate string, Content string, service string, anom_label int"
+    )
+    table.coalesce(1).write.parquet(str(tmp_path / "log"))
+    log = tables.read_events(spark, str(tmp_path / "log"), schema.OPENSTACK)
+    assert log.columns == ["session_id", "ts", "tiebreak", "event", "label", "template", "Content", "service"]
+    assert [r["event"] for r in log.orderBy("ts", "tiebreak").collect()] == ["E1", "E2"]
+
+
+def test_equal_times_keep_the_order_of_each_file(spark, tmp_path):
+    for part in ("a", "b"):
+        (tmp_path / f"{part}.log").write_text("".join(f"2024-01-01 00:00:00 {part}{i}\n" for i in range(3)))
+    raw = tables.read_lines(spark, str(tmp_path), r"^\S+ \S+", "yyyy-MM-dd HH:mm:ss")
+    rows = raw.orderBy("ts", "tiebreak").collect()
+    assert len({(r["ts"], r["tiebreak"]) for r in rows}) == 6
+    for part in ("a", "b"):
+        assert [r["line"][-2:] for r in rows if r["line"][-2] == part] == [f"{part}{i}" for i in range(3)]

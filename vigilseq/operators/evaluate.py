@@ -12,6 +12,7 @@ from vigilseq.functions.numeric import edges_below
 from vigilseq.functions.text import pattern_hash, short_desc
 from vigilseq.operators.leadtime import TRUE_POSITIVE, lead_class
 from vigilseq.operators.ordered import quantiles
+from vigilseq.operators.vocab import with_template
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -306,9 +307,10 @@ def verdicts(tests: dict[str, tuple[DataFrame, Column, Column]]) -> DataFrame:
     )
 
 
-def alert_report(detections: DataFrame, description: Column) -> DataFrame:
-    """Alert detail per session, as stored with the results."""
-    return detections.select(
+def alert_report(detections: DataFrame, description: Column, dictionary: DataFrame) -> DataFrame:
+    """Alert detail per session, as stored with the results; ``dictionary`` has the template of each event."""
+    named = with_template(with_template(detections, dictionary, "alert_event"), dictionary, "first_error_event")
+    return named.select(
         "session_id",
         "label",
         "predicted",
@@ -316,6 +318,8 @@ def alert_report(detections: DataFrame, description: Column) -> DataFrame:
         "n_events",
         short_desc(description, dots=False).alias("log_desc"),
         pattern_hash(description).alias("log_hash"),
+        F.col("alert_event_template").alias("error_template"),
+        F.col("first_error_event_template").alias("first_error_template"),
         "first_error_event",
         "first_error_ts",
         "first_error_pos",

@@ -86,6 +86,40 @@ def s1(spark, folder):
     return out.select("session_id", "ts", "event", "label")
 
 
+@query("s1_read_openstack")
+def s1_openstack(spark, folder):
+    """All columns of the layout survive the read."""
+    log = logs.coded_events(spark, folder)
+    text = F.col("ts").cast("string")
+    rows_ = log.select(
+        F.col("user_id").alias("test_id"),
+        text.alias("timestamp"),
+        F.substring(text, 1, 13).alias("time_hour"),
+        F.concat_ws(":", "event_type", "code").alias("EventId"),
+        F.concat(F.lit("event <*>, \"kind\" "), F.col("event_type")).alias("EventTemplate"),
+        F.concat_ws(" ", F.lit("code"), F.col("code").cast("string")).alias("Content"),
+        F.concat(F.lit("svc"), (F.col("user_id") % 3).cast("string")).alias("service"),
+        (F.col("event_type") == "error").cast("int").alias("anom_label"),
+    )
+    path = staging_path(spark, "openstack")
+    rows_.write.options(header=True, quote='"', escape='"').csv(path)
+    out = tables.read_events(spark, path, schema.OPENSTACK, "csv", schema.STRUCTS["openstack"])
+    return out.drop("tiebreak")
+
+
+@query("s1_read_bgl")
+def s1_bgl(spark, folder):
+    """Times in whole seconds: rows of one second keep the order of the file."""
+    log = logs.user_log(spark, folder)
+    hour = F.expr("unix_micros(ts) div 3600000000") * 3600
+    lines = log.select("session_id", hour.alias("timestamp"), "event", "label", "tiebreak").orderBy("tiebreak")
+    lines = lines.select(F.col("session_id").alias("node_id"), "timestamp", F.col("event").alias("EventTemplate"), "label")
+    path = staging_path(spark, "bgl")
+    lines.coalesce(1).write.option("header", True).csv(path)
+    out = tables.read_events(spark, path, schema.BGL, "csv", schema.STRUCTS["bgl"])
+    return positioned(out).select("session_id", "pos", "ts", "event", "label")
+
+
 @query("s2_read_columns_coerce_ts")
 def s2(spark, folder):
     broken = F.when(F.col("tiebreak") % 10 == 0, F.lit("not a time")).otherwise(F.col("ts").cast("string"))
@@ -102,6 +136,26 @@ def s3(spark, folder):
     return tables.events_from_raw(logs.raw_lines(spark, folder), labels, r"blk_-?[0-9]+").drop("ts")
 
 
+@query("s3_read_lines")
+def s3_lines(spark, folder):
+    """Two files of raw lines with times in whole hours, and a label file, read back in line order."""
+    hour = F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH:mm:ss")
+    raw = logs.raw_lines(spark, folder).withColumn("text", F.concat_ws(" ", hour, "line"))
+    block = F.regexp_extract("line", "blk_([0-9]+)", 1).cast("bigint")
+    path = staging_path(spark, "lines")
+    for part in range(2):
+        own = raw.filter(block % 2 == part).orderBy("tiebreak").select("text")
+        own.coalesce(1).write.mode("append").text(path)
+    blocks = F.concat(F.lit("blk_"), F.col("session_id").cast("string")).alias("BlockId")
+    truth = F.when(F.col("label") == 1, "Anomaly").otherwise("Normal").alias("Label")
+    sessions.session_labels(logs.user_log(spark, folder)).select(blocks, truth).write.option("header", True).csv(f"{path}-labels")
+    lines = tables.read_lines(spark, path, r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d", "yyyy-MM-dd HH:mm:ss")
+    lines = lines.withColumn("line", F.regexp_replace("line", r"^\S+ \S+ ", ""))
+    labels = tables.read_labels(spark, f"{path}-labels", "BlockId", "Label")
+    log = tables.events_from_raw(lines, labels, r"blk_-?[0-9]+")
+    return positioned(log).select("session_id", "pos", "ts", "event", "label", "template")
+
+
 @query("s3_event_dictionary")
 def s3_dictionary(spark, folder):
     """First errors of the raw log with their template, by the event's id."""
@@ -972,7 +1026,9 @@ def e27(spark, folder):
 
 @query("e28_alert_report")
 def e28(spark, folder):
-    return evaluate.alert_report(_with_head(spark, folder), F.col("head"))
+    template = F.concat(F.lit("event "), F.split("event", ":")[0])
+    known = vocab.event_dictionary(logs.day_log(spark, folder).withColumn("template", template))
+    return evaluate.alert_report(_with_head(spark, folder), F.col("head"), stage(known, "dictionary"))
 
 
 @query("first_alerts_with_lead")

@@ -170,6 +170,20 @@ METRIC_COLUMNS = "tp:i fp:i tn:i fn:i precision:d recall:d accuracy:d specificit
 # -- sources ------------------------------------------------------------------
 
 put("s1_read_events_csv", "session_id:s ts:t event:s label:i", "SELECT * FROM ev", DAY)
+put(
+    "s1_read_openstack",
+    "session_id:i ts:t event:s label:i template:s Content:s service:s",
+    """SELECT user_id AS session_id, ts, event_type || ':' || code AS event, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS label,
+              'event <*>, "kind" ' || event_type AS template, 'code ' || code AS Content, 'svc' || (user_id % 3) AS service FROM coded""",
+    CODED,
+)
+put(
+    "s1_read_bgl",
+    "session_id:s pos:i ts:t event:s label:i",
+    """SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY date_trunc('hour', ts), tiebreak) - 1 AS pos,
+              date_trunc('hour', ts)::TIMESTAMP AS ts, event, label FROM ev""",
+    USER,
+)
 put(
     "s2_read_columns_coerce_ts",
     "session_id:s n:i n_ts:i last_ts:t",
@@ -185,6 +199,15 @@ put(
         JOIN (SELECT user_id, max({RARE}) AS label FROM coded GROUP BY 1) AS b ON l.user_id = b.user_id""",
     LINES,
 )
+put(
+    "s3_read_lines",
+    "session_id:s pos:i ts:t event:s label:i template:s",
+    f"""SELECT 'blk_' || l.user_id AS session_id, row_number() OVER (PARTITION BY l.user_id ORDER BY date_trunc('hour', ts), tiebreak) - 1 AS pos,
+          date_trunc('hour', ts)::TIMESTAMP AS ts, substr(md5(template), 1, 8) AS event, b.label, template
+        FROM (SELECT *, {mask('line')} AS template FROM lines) AS l
+        JOIN (SELECT user_id, max({RARE}) AS label FROM coded GROUP BY 1) AS b ON l.user_id = b.user_id""",
+    LINES,
+)
 put(
     "s3_event_dictionary",
     "session_id:s first_error_pos:i first_error_event:s first_error_event_template:s",
@@ -1131,9 +1154,10 @@ put(
 )
 put(
     "e28_alert_report",
-    "session_id:s label:i predicted:i first_anomaly_step:i n_events:i log_desc:s log_hash:s first_error_event:s first_error_ts:t "
+    "session_id:s label:i predicted:i first_anomaly_step:i n_events:i log_desc:s log_hash:s error_template:s first_error_template:s first_error_event:s first_error_ts:t "
     "first_error_pos:i alert_ts:t lead_time_seconds:d lead_time_minutes:d alert_step_before_error:i outcome:s",
-    """SELECT det.*, head AS log_desc, substr(md5(head), 1, 8) AS log_hash,
+    """SELECT det.*, head AS log_desc, substr(md5(head), 1, 8) AS log_hash, 'event ' || split_part(alert_event, ':', 1) AS error_template,
+         'event ' || split_part(first_error_event, ':', 1) AS first_error_template,
          lead_sec AS lead_time_seconds, lead_min AS lead_time_minutes, steps_before_error AS alert_step_before_error,
          CASE WHEN lead_min > 0 THEN 'anticipated' WHEN lead_min = 0 THEN 'simultaneous' WHEN lead_min < 0 THEN 'reactive'
               ELSE 'unknown' END AS outcome FROM det JOIN hd ON det.session_id = hd.session_id""",

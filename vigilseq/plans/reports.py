@@ -1,4 +1,4 @@
-"""Result tables that reports share: scored events and detections, stored once per log folder."""
+"""Result tables that reports share: scored events and detections, stored once per state of a log's files."""
 
 from __future__ import annotations
 
@@ -30,8 +30,8 @@ def categorized(detections: DataFrame) -> DataFrame:
 
 
 def _store(spark: SparkSession, folder: str, name: str, build) -> DataFrame:
-    """The named table of a log folder: computed and written on first use, read afterwards."""
-    key = (spark.sparkContext.applicationId, folder, name)
+    """The named table of a log folder: computed and written on first use, read while the log stays the same."""
+    key = (spark.sparkContext.applicationId, folder, f"{name} {logs.version(spark, folder, 'events')}")
     if key not in _stored:
         path = staging_path(spark, name)
         build().write.parquet(path)

@@ -6,7 +6,7 @@ Every operator after the sources works on these event columns:
 
 ``ts`` is a TimestampType, ``label`` the 0/1 label of the row, ``tiebreak`` a
 bigint that orders rows of equal time.  ``LogSchema`` says how an input table
-names them.
+names them, which column holds the ``template`` and what else is kept.
 """
 
 from __future__ import annotations
@@ -31,14 +31,18 @@ class LogSchema:
     label: str
     tiebreak: str | None = None
     ts_kind: str = "timestamp"  # timestamp | text | epoch
+    template: str | None = None
+    extra: tuple[str, ...] = ()  # further columns, kept under their names
 
     def columns(self) -> list[str]:
         names = [self.session, self.ts, self.event, self.label]
-        return names + ([self.tiebreak] if self.tiebreak else [])
+        return names + [c for c in (self.tiebreak, self.template) if c] + list(self.extra)
 
 
 # The three log layouts of the reference (fixed column names).
-OPENSTACK = LogSchema("test_id", "timestamp", "EventId", "anom_label", ts_kind="text")
+OPENSTACK = LogSchema(
+    "test_id", "timestamp", "EventId", "anom_label", ts_kind="text", template="EventTemplate", extra=("Content", "service")
+)
 HDFS = LogSchema("session_id", "timestamp", "EventTemplate", "anom_label", ts_kind="text")
 BGL = LogSchema("node_id", "timestamp", "EventTemplate", "label", ts_kind="epoch")
 
@@ -77,8 +81,9 @@ STRUCTS = {
 def canonical(df: DataFrame, schema: LogSchema) -> DataFrame:
     """Project an input table to the event columns.
 
-    Text timestamps that do not parse become null.  Without a tiebreak column a
-    hash of the row's content is used: rows that still tie are identical.
+    Text timestamps that do not parse become null.  Without a tiebreak column rows of
+    equal time keep the order they have in the input: a running number that grows along
+    each file and differs between files.  Its values belong to one read.
     """
     ts = F.col(schema.ts)
     if schema.ts_kind == "epoch":
@@ -92,11 +97,13 @@ def canonical(df: DataFrame, schema: LogSchema) -> DataFrame:
     if schema.tiebreak:
         tiebreak = F.col(schema.tiebreak).cast("bigint")
     else:
-        tiebreak = F.xxhash64(event, label)
+        tiebreak = F.monotonically_increasing_id()
     return df.select(
         F.col(schema.session).alias("session_id"),
         ts.alias("ts"),
         tiebreak.alias("tiebreak"),
         event.alias("event"),
         label.alias("label"),
+        *([F.col(schema.template).cast("string").alias("template")] if schema.template else []),
+        *schema.extra,
     )

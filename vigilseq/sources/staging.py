@@ -3,10 +3,16 @@
 A staged table cuts lineage, survives lost executors, keeps the partition
 numbers stored in it stable, and tells Catalyst its exact size, so that joins
 against it are broadcast only when the files are small enough.
+
+Staged tables belong to the Spark application that wrote them: they lie in a folder
+of its name and stay while results may still read them.  ``release`` removes them.
 """
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -16,20 +22,25 @@ _local_root: str | None = None
 
 
 def staging_root(spark: SparkSession) -> str:
-    """Folder from ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    """Folder from ``spark.checkpoint.dir``; where it is unset, a temporary one of a single-process session."""
     global _local_root
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _local_root is None:
         _local_root = tempfile.mkdtemp(prefix="vigilseq-")
+        atexit.register(shutil.rmtree, _local_root, ignore_errors=True)
     return _local_root
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{staging_root(spark)}/vigilseq/{spark.sparkContext.applicationId}"
+
+
 def staging_path(spark: SparkSession, name: str = "table") -> str:
-    return f"{staging_root(spark)}/vigilseq/{name}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str = "table", partition_by: str | None = None) -> DataFrame:
@@ -38,3 +49,9 @@ def stage(df: DataFrame, name: str = "table", partition_by: str | None = None) -
     path = staging_path(spark, name)
     df.write.parquet(path, partitionBy=partition_by)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all tables this application has staged; results that still read them are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

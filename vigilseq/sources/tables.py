@@ -38,7 +38,7 @@ def read_events(
     struct: T.StructType | None = None,
     multi_line: bool = False,
 ) -> DataFrame:
-    """Event table from parquet or from CSV with header; only the log columns are read.
+    """Event table from parquet or from CSV with header; only the columns of the schema are read.
 
     ``multi_line`` is for CSV whose quoted texts hold line breaks; such a file is
     read by one task, so split it or convert it to parquet when it is large.
@@ -56,18 +56,14 @@ def read_events(
 def read_lines(spark: SparkSession, path: str, ts_regex: str, ts_format: str) -> DataFrame:
     """Raw log lines (ts, tiebreak, line); ``tiebreak`` follows the order of lines in their file.
 
-    It joins the start of the file split, in MiB, with the row number inside the
-    task, which grows along a split.  Files are read in splits, not as a whole.
+    It is a running number of the read, which grows along each file and differs between
+    files.  Files are read in splits, not as a whole.
     """
-    rows = spark.read.text(path).select(
-        F.col("value").alias("line"),
-        F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("row"),
-    )
+    rows = spark.read.text(path).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("tiebreak"))
     stamp = F.nullif(F.regexp_extract("line", ts_regex, 0), F.lit(""))
     return rows.select(
         F.try_to_timestamp(stamp, F.lit(ts_format)).alias("ts"),
-        F.expr("shiftleft(start div 1048576, 33) + (row & 8589934591)").alias("tiebreak"),
+        "tiebreak",
         "line",
     )
 
