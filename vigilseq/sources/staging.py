@@ -5,20 +5,24 @@ numbers stored in it stable, and tells Catalyst its exact size, so that joins
 against it are broadcast only when the files are small enough.
 
 Staged tables belong to the Spark application that wrote them: they lie in a folder
-of its name and stay while results may still read them.  ``release`` removes them.
+of its name and stay while results may still read them.  ``release`` removes them, all
+or those of a ``scope``.
 """
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_root: str | None = None
+_scope: list[str] = []
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -40,7 +44,17 @@ def _own_folder(spark: SparkSession) -> str:
 
 
 def staging_path(spark: SparkSession, name: str = "table") -> str:
-    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return "/".join([_own_folder(spark), *_scope, f"{name}-{uuid.uuid4().hex}"])
+
+
+@contextlib.contextmanager
+def scope(name: str) -> Iterator[None]:
+    """Tables staged inside belong to the scope of this name."""
+    _scope.append(f"scope-{name}")
+    try:
+        yield
+    finally:
+        _scope.pop()
 
 
 def stage(df: DataFrame, name: str = "table", partition_by: str | None = None) -> DataFrame:
@@ -51,7 +65,8 @@ def stage(df: DataFrame, name: str = "table", partition_by: str | None = None) -
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Remove all tables this application has staged; results that still read them are lost."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+def release(spark: SparkSession, name: str | None = None) -> None:
+    """Remove the tables this application has staged, all or those of a scope; results that still read them are lost."""
+    folder = "/".join([_own_folder(spark), *([f"scope-{name}"] if name else [])])
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
