@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilseq.llm.common import numbered, text_bytes
-from vigilseq.llm.words import text_slices, word_hashes
+from vigilseq.llm.words import text_parts, word_hashes
 from vigilseq.sources.staging import stage
 
 PASSAGE = 64
@@ -95,9 +95,8 @@ def fit_weights(docs: DataFrame, vocabulary: np.ndarray) -> Features:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, passages = np.zeros(len(vocabulary) + 1, np.int64), 0
         for batch in batches:
-            texts = text_bytes(batch.column(0))
-            for low, high in text_slices(texts):
-                hashes, offsets = plain_words(texts[low:high])
+            for _, _, texts in text_parts(batch.column(0)):
+                hashes, offsets = plain_words(texts)
                 place, own, count = _blocks(offsets, PASSAGE)
                 at = plain.number(hashes)
                 known = np.flatnonzero(at >= 0)
@@ -328,9 +327,9 @@ def _search(rows: DataFrame, features: Features, space: np.ndarray, block: Block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids = text_bytes(batch.column(1)), batch.column(0)
-            for low, high in text_slices(texts):
-                found = leaks(texts[low:high])
+            ids = batch.column(0)
+            for low, _, texts in text_parts(batch.column(1)):
+                found = leaks(texts)
                 if found:
                     text, item, cosine, share, answer = zip(*found)
                     columns = [

@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilseq.llm.common import look_up, text_bytes
-from vigilseq.llm.words import text_slices
+from vigilseq.llm.common import look_up
+from vigilseq.llm.words import text_parts
 from vigilseq.sources.staging import stage
 
 UNKNOWN = "und"
@@ -66,9 +66,9 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndar
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
         for batch in batches:
-            labels, texts = batch.column(0).to_pylist(), text_bytes(batch.column(1))
-            for low, high in text_slices(texts):
-                slots, starts = trigrams(texts[low:high])
+            labels = batch.column(0).to_pylist()
+            for low, high, texts in text_parts(batch.column(1)):
+                slots, starts = trigrams(texts)
                 for i, label in enumerate(labels[low:high]):
                     own = held.setdefault(label, np.zeros(SLOTS, np.int64))
                     own += np.bincount(slots[starts[i] : starts[i + 1]], minlength=SLOTS)
@@ -98,17 +98,17 @@ def text_likelihoods(rows: DataFrame, model: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = text_bytes(batch.column("text"))
-            total, letters = np.zeros((len(texts), model.shape[1])), np.zeros(len(texts), np.int64)
-            for low, high in text_slices(texts):
-                slots, starts = trigrams(texts[low:high])
+            n = batch.num_rows
+            total, letters = np.zeros((n, model.shape[1])), np.zeros(n, np.int64)
+            for low, high, texts in text_parts(batch.column("text")):
+                slots, starts = trigrams(texts)
                 letters[low:high] = np.diff(starts)
                 some = np.flatnonzero(np.diff(starts))
                 if len(some):
                     total[low + some] = np.add.reduceat(model[slots], starts[some], axis=0, dtype=np.float64)
             total *= TEXT_WEIGHT
             best = np.where(letters > 0, total.argmax(1), -1)
-            values = pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * model.shape[1], pa.array(total.ravel()))
+            values = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * model.shape[1], pa.array(total.ravel()))
             columns = [*[batch.column(c) for c in others], values, pa.array(best.astype(np.int32)), pa.array(letters)]
             yield pa.RecordBatch.from_arrays(columns, [*others, "ll", "best", "letters"])
 

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from vigilseq.llm.common import LEAST, sorted_groups, text_bytes
 from vigilseq.llm.fm_index import FMIndex, matching_windows
-from vigilseq.llm.words import run_hashes, text_slices, word_hashes
+from vigilseq.llm.words import run_hashes, text_parts, word_hashes
 from vigilseq.sources.staging import stage
 
 WINDOW = 20
@@ -103,9 +103,9 @@ def _segments(keyed: DataFrame, hot: np.ndarray, window: int, anchor: int) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
-            doc, tag, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), text_bytes(batch.column(2))
-            for low, high in text_slices(texts):
-                hashes, offsets = word_hashes(texts[low:high])
+            doc, tag = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for low, high, texts in text_parts(batch.column(2)):
+                hashes, offsets = word_hashes(texts)
                 key, content, first, windows = cut_segments(hashes, offsets, window, anchor)
                 if len(hot):
                     common = np.isin(key, hot)
@@ -202,9 +202,8 @@ def _contents(keyed: DataFrame, wanted: DataFrame, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(batch.column("cuts").is_valid())
-            texts = text_bytes(batch.column("text"))
-            for low, high in text_slices(texts):
-                hashes, offsets = word_hashes(texts[low:high])
+            for low, high, texts in text_parts(batch.column("text")):
+                hashes, offsets = word_hashes(texts)
                 cuts = batch.column("cuts").slice(low, high - low)
                 row = np.repeat(np.arange(high - low), cuts.value_lengths().to_numpy(zero_copy_only=False))
                 key, start, n = (c.to_numpy(zero_copy_only=False) for c in cuts.flatten().flatten())

@@ -5,6 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from vigilseq.llm.common import text_bytes
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -33,16 +37,18 @@ class Powers:
 POWERS = Powers()
 
 
-def text_slices(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of about ``limit`` bytes of text."""
+def text_parts(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Row ranges of about ``limit`` bytes with their texts; null is empty."""
+    data = column.cast(pa.binary())
+    sizes = pc.fill_null(pc.binary_length(data), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
-    for i, text in enumerate(texts):
-        if held and held + len(text) > limit:
-            yield start, i
+    for i, size in enumerate(sizes.tolist()):
+        if held and held + size > limit:
+            yield start, i, text_bytes(data.slice(start, i - start))
             start, held = i, 0
-        held += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+        held += size
+    if start < len(sizes):
+        yield start, len(sizes), text_bytes(data.slice(start))
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
