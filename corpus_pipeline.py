@@ -5,22 +5,43 @@ documents; the last one adds shard, slot and size.  Stages number the rows they
 repeated and null ids are harmless: a row stays or goes by itself.  Between stages the
 documents are written to the shared folder, so a lost executor costs one stage at most.
 
+A stage's result has been written and read again when the next stage is called, so that
+one begins by removing the tables its predecessor left in the shared folder.
+
 Rejected rows are few or many; they are sent to the executors only below a checked number
 (see ``without``).  An empty table passes through all stages.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilseq.llm import decontamination, kd_sharding, language, mixing, simhash
 from vigilseq.llm.common import numbered, read_table, without
-from vigilseq.sources.staging import stage
+from vigilseq.sources.staging import release, scope, stage
 
 SHARDS = 24
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def cleared(function: Stage) -> Stage:
+    """Stage that removes what the stage before it left behind."""
+
+    @functools.wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, "pipeline")
+        with scope("pipeline"):
+            return function(spark, docs, sf_dir)
+
+    return run
+
 
 
+@cleared
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose language is known; null, empty and letterless texts go."""
     rows = numbered(docs)
@@ -29,6 +50,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return without(rows, found.filter(~F.col("accepted"))).select(docs.columns)
 
 
+@cleared
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep of each group of near-duplicates the document with the smallest id."""
     rows = numbered(docs)
@@ -40,6 +62,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return without(rows, named.join(kept, "_row", "left_anti")).select(docs.columns)
 
 
+@cleared
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that hold no passage of the benchmark."""
     rows = numbered(docs)
@@ -47,11 +70,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return without(rows, leaks.select(F.col("id").alias("_row")).distinct()).select(docs.columns)
 
 
+@cleared
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or leave out documents so that the sources meet their tempered shares, in shuffled order."""
     return mixing.replicate(docs).select(docs.columns)
 
 
+@cleared
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put every document into one of ``SHARDS`` shards of near-equal bytes."""
     return kd_sharding.kd_shards(docs, kd_sharding.text_size(), ["n_chars", "source", "lang", "doc_id"], SHARDS)
