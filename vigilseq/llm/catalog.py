@@ -78,3 +78,29 @@ def op9_language_fusion(spark: SparkSession, folder: str) -> DataFrame:
 def op10_latent_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.find_leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
     return found.withColumnRenamed("id", "doc_id")
+
+
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+SQL["op3_fm_index_dedup"] = f"""
+WITH d AS (SELECT doc_id, {WORDS} AS ws FROM documents),
+w AS (SELECT doc_id, unnest(range(1, len(ws) - {substring_dedup.WINDOW - 2})) AS pos, ws FROM d),
+h AS (SELECT doc_id, pos, sha256(array_to_string(ws[pos:pos + {substring_dedup.WINDOW - 1}], ' ')) AS h FROM w),
+later AS (SELECT doc_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, pos) AS no FROM h) AS n WHERE no > 1),
+gone AS (SELECT DISTINCT doc_id, pos + j AS pos FROM later CROSS JOIN range({substring_dedup.WINDOW}) AS r(j)),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS text, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, pos) GROUP BY 1)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)"""
+
+SQL["op4_pq_near_dedup"] = f"""
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v
+  WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u AS a JOIN u AS b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= {pq_dedup.COSINE}),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY 1),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
+SELECT v.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v JOIN least ON least.a = v.vec_id LEFT JOIN counts ON counts.a = v.vec_id"""
