@@ -104,3 +104,54 @@ least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY 1),
 counts AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
 SELECT v.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, v.vec_id = component_id AS kept
 FROM v JOIN least ON least.a = v.vec_id LEFT JOIN counts ON counts.a = v.vec_id"""
+
+
+def _secret_sql() -> str:
+    """The scan with its windows as rows; letters of the names in both cases, as its engine folds others too."""
+    names = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in n) for n in ("password", "passwd", "secret", "token", "api_?key"))
+    assign = secrets.ASSIGN.replace("(?i:password|passwd|secret|token|api_?key)", names).replace("'", "''")
+    allowed = " AND ".join(f"NOT regexp_matches(piece, '{p}')" for p in secrets.ALLOWED)
+    run = next(c.pattern for c in secrets.CLASSES if c.name == "entropy_base64")
+    ctes, base, added = [], [], []
+
+    def found(name: str, pattern: str) -> str:
+        """CTE of the matches of a pattern: (doc, start, piece)."""
+        return f"""{name}p AS (SELECT doc_id, doc, unnest(parts) AS piece, generate_subscripts(parts, 1) AS no FROM (
+            SELECT doc_id, doc, string_split(regexp_replace(t, '{pattern}', chr(1) || '\\0' || chr(1), 'g'), chr(1)) AS parts FROM d) AS x),
+          {name} AS (SELECT * FROM (SELECT *, (sum(length(piece)) OVER (PARTITION BY doc ORDER BY no) - length(piece))::BIGINT AS start
+            FROM {name}p) AS y WHERE no % 2 = 0)"""
+
+    for kind, (name, pattern, more) in enumerate(
+        (
+            ("assign", assign, f"length(regexp_extract(piece, '{assign}', 2)) >= {secrets.ASSIGN_LENGTH}"),
+            ("access", secrets.ACCESS, "true"),
+            ("hexes", secrets.HEX, "true"),
+        )
+    ):
+        ctes.append(found(name, pattern))
+        base.append(f"SELECT doc, {kind} AS kind, start, start + length(piece) AS stop FROM {name} WHERE {more}")
+    ctes.append(found("runs", run))
+    for kind, c in enumerate(secrets.CLASSES, 3):
+        whole = "regexp_full_match(piece, '[0-9a-fA-F]{20,}')" if c.name == "entropy_hex" else "true"
+        added.append(
+            f"""SELECT doc, {kind} AS kind, min(at_) AS start, max(at_) + {secrets.WINDOW} AS stop FROM (
+              SELECT *, sum(opens) OVER (PARTITION BY doc, start ORDER BY at_) AS island FROM (
+                SELECT *, CASE WHEN at_ <= lag(at_) OVER (PARTITION BY doc, start ORDER BY at_) + {secrets.WINDOW} THEN 0 ELSE 1 END AS opens FROM (
+                  SELECT doc, start, start + i AS at_, piece, i FROM (SELECT doc, start, piece,
+                    unnest(range(0, length(piece) - {secrets.WINDOW - 1})) AS i FROM runs WHERE {whole} AND {allowed}) AS a) AS b
+                WHERE list_aggregate(string_split(substr(piece, i + 1, {secrets.WINDOW}), ''), 'entropy') >= {c.bits} - {secrets.TOLERANCE}) AS c) AS e
+            GROUP BY doc, start, island"""
+        )
+    label = "CASE kind " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(secrets.KINDS)) + " END"
+    joined = f"string_agg({label} || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop)"
+    counts = ", ".join(f"count(*) FILTER (kind = {i}) AS n_{n}" for i, n in enumerate(secrets.KINDS[:3]))
+    return f"""WITH d AS (SELECT doc_id, row_number() OVER () AS doc, translate(coalesce(text, ''), chr(1), chr(2)) AS t FROM documents),
+      {", ".join(ctes)}, base AS ({" UNION ALL ".join(base)}), added AS ({" UNION ALL ".join(added)}),
+      every AS (SELECT * FROM base UNION ALL SELECT * FROM added WHERE NOT EXISTS (
+        SELECT 1 FROM base AS b WHERE b.doc = added.doc AND b.start <= added.start AND added.stop <= b.stop)),
+      b1 AS (SELECT doc, {counts}, {joined} AS spans FROM base GROUP BY doc), e1 AS (SELECT doc, {joined} AS spans FROM every GROUP BY doc)
+    SELECT doc_id, {", ".join(f"coalesce(n_{n}, 0)::BIGINT AS n_{n}" for n in secrets.KINDS[:3])},
+      sha256(coalesce(b1.spans, '')) AS base_sha256, coalesce(e1.spans, '') AS spans FROM d LEFT JOIN b1 USING (doc) LEFT JOIN e1 USING (doc)"""
+
+
+SQL["op5_entropy_secrets"] = _secret_sql()
