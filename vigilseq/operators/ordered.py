@@ -66,14 +66,14 @@ def running_totals(
 
     # One row per piece: its first and last group, and the sums of the last one.
     key = F.struct(*[F.col(k) for k in keys], F.lit(0).alias("_all"))
-    edges = rows.groupBy("_piece").agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
-    at_end = rows.join(F.broadcast(edges), "_piece").filter(key.eqNullSafe(F.col("_last")))
-    ends = at_end.groupBy("_piece").agg(
-        F.first("_first").alias("_first"), F.first("_last").alias("_last"), *[F.sum(v).alias(v) for v in values]
-    )
+    parts = rows.groupBy("_piece", key.alias("_key")).agg(*[F.sum(v).alias(v) for v in values])
+    last = F.max_by(F.struct(*values), "_key") if values else F.lit(None)
+    ends = parts.groupBy("_piece").agg(F.min("_key").alias("_first"), F.max("_key").alias("_last"), last.alias("_sums"))
+    ends = ends.select("_piece", "_first", "_last", *[F.col(f"_sums.{v}").alias(v) for v in values])
     along, alike = Window.orderBy("_piece"), Window.partitionBy("_last").orderBy("_piece")
     ends = ends.withColumns({v: F.sum(v).over(alike) for v in values})
     if depth:
+        at_end = rows.join(F.broadcast(ends.select("_piece", "_last")), "_piece").filter(key.eqNullSafe(F.col("_last")))
         from_end = F.row_number().over(Window.partitionBy("_piece").orderBy(*[_reversed(c) for c in order]))
         nearest = at_end.withColumn("_n", from_end).filter(F.col("_n") <= depth).groupBy("_piece")
         nearest = nearest.agg(F.sort_array(F.collect_list(F.struct("_n", F.col(look_back).alias("_value")))).alias("_near"))
