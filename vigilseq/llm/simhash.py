@@ -27,8 +27,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilseq.llm.common import local_roots, sorted_groups, text_bytes
+from vigilseq.llm.common import local_roots, sorted_groups
 from vigilseq.llm.components import components
+from vigilseq.llm.words import text_parts
 from vigilseq.sources.staging import stage
 
 SEED = 42
@@ -63,7 +64,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t) for t in text_bytes(batch.column(1))], np.uint64)
+            found = np.array([fingerprint(t) for _, _, texts in text_parts(batch.column(1)) for t in texts], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["id", "fp"])
 
     kept = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))

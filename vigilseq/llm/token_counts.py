@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilseq.llm.common import text_bytes
+from vigilseq.llm.words import text_parts
 from vigilseq.sources.staging import stage
 
 FOLDER = "/opt/tokenizers"
@@ -55,7 +55,8 @@ def lengths(docs: DataFrame, vocabulary: bytes, text_col: str = "text") -> DataF
         encode = None
         for batch in batches:
             encode = encode or encoder(vocabulary).encode_ordinary
-            found = [len(encode(t.decode("utf-8", "replace"))) if t else 0 for t in text_bytes(batch.column(0))]
+            parts = (texts for _, _, texts in text_parts(batch.column(0)))
+            found = [len(encode(t.decode("utf-8", "replace"))) if t else 0 for texts in parts for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["length"])
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "length bigint")

@@ -15,7 +15,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that powers can be undone
 _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
 _BYTE[_SPACE] = 0
-SLICE_BYTES = 2 << 20  # text hashed at once, or one document
+SLICE_BYTES = 1 << 19  # text hashed at once, or one document
 
 
 class Powers:
