@@ -88,7 +88,8 @@ def running_totals(
         *([F.lag("_near").over(along).alias("_near")] if depth else []),
         *[F.coalesce(F.lag(v).over(along), F.lit(0)).alias(f"_o_{n}") for n, v in zip(running, values)],
     ).filter("_goes_on")
-    # At most one row per piece: the groups that go on from the piece before.
+    # At most one row per piece: the groups that go on from the piece before.  Stored, as it is read several times.
+    offsets = stage(offsets, "offsets")
     out = rows.join(F.broadcast(offsets.withColumnRenamed("_piece", "_p")), F.col("_piece") == F.col("_p"), "left")
     goes_on = F.col("_goes_on") & key.eqNullSafe(F.col("_first"))
 
