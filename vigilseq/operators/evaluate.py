@@ -80,11 +80,8 @@ def grid(lo: float, hi: float, n: int) -> list[float]:
     return [round(lo + (hi - lo) * i / (n - 1), 6) for i in range(n)]
 
 
-# Grids of the published sweeps (fixed values).
-SENSITIVITY_GRID = grid(0.1, 2.0, 50)
-VALIDATION_GRID = grid(0.05, 2.5, 100)
+# Grid of a published sweep (fixed value).
 COARSE_GRID = grid(1.0, 20.0, 39)
-FINE_GRID = grid(1.0, 20.0, 191)
 
 
 def threshold_sweep(df: DataFrame, score: str, label: str, thresholds: Sequence[float]) -> DataFrame:
@@ -170,13 +167,6 @@ def percentiles(
     return quantiles(df, column, {f"p{q}": q / 100 for q in qs}, by)
 
 
-def approx_percentiles(df: DataFrame, column: str, by: Sequence[str], qs: Sequence[int], accuracy: int = 10000) -> DataFrame:
-    """Percentile table from mergeable sketches, for a first look at a very large table."""
-    found = F.percentile_approx(column, [q / 100 for q in qs], accuracy)
-    out = df.groupBy(*by).agg(found.alias("_p"))
-    return out.select(*by, *[F.col("_p")[i].alias(f"p{q}") for i, q in enumerate(qs)])
-
-
 def category_report(detections: DataFrame, category: str = "category") -> DataFrame:
     """Anomalous sessions per category: total, detected, missed, recall and lead of the detected."""
     anomalous = detections.filter("label = 1")
