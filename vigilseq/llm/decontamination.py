@@ -24,7 +24,6 @@ often as they occur.  Columns other than ids and texts are ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
