@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilseq.llm import decontamination, kd_sharding, language, mixing, simhash
+from vigilseq.llm import decontamination, kd_sharding, language, mixing, near_copies
 from vigilseq.llm.common import numbered, read_table, without
 from vigilseq.sources.staging import release, scope, stage
 
@@ -52,10 +52,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 @cleared
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each group of near-duplicates the document with the smallest id."""
+    """Keep of each group of near-duplicates (five-word shingles, Jaccard 0.8 or more) the document with the smallest id."""
     rows = numbered(docs)
-    groups = simhash.simhash_components(rows, "_row").select("id", F.col("component_id").alias("group"))
-    named = stage(groups.join(rows.select("_row", "doc_id"), F.col("id") == F.col("_row")).select("_row", "group", "doc_id"), "groups")
+    groups = near_copies.near_copy_groups(rows)
+    named = stage(groups.join(rows.select("_row", "doc_id"), "_row").select("_row", "group", "doc_id"), "groups")
     # Null ids come last, equal ids by row.
     first = named.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first"))
     kept = stage(first.select(F.col("first._row").alias("_row")), "kept")

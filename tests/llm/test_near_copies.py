@@ -1,0 +1,90 @@
+"""Near copies against the exact Jaccard similarity of all pairs."""
+
+import os
+import random
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from vigilseq.llm import near_copies
+from vigilseq.llm.common import local_roots, numbered
+
+SCHEMA = "doc_id bigint, text string"
+FOLDER = "/root/testdata/sf0.01"
+
+
+def shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def plain_groups(texts):
+    sets, places, shared = [shingles(t) for t in texts], {}, {}
+    for i, own in enumerate(sets):
+        for s in own:
+            for j in places.setdefault(s, []):
+                shared[j, i] = shared.get((j, i), 0) + 1
+            places[s].append(i)
+    near = [p for p, n in shared.items() if 5 * n >= 4 * (len(sets[p[0]]) + len(sets[p[1]]) - n)]
+    return local_roots(len(texts), *np.array(near, int).reshape(-1, 2).T).tolist()
+
+
+def edited(pick, words, edits):
+    out = list(words)
+    for at in pick.sample(range(len(out)), edits):
+        out[at] = f"new{pick.random()}"
+    return " ".join(out)
+
+
+def planted(seed=1):
+    """Texts of 20 to 400 words with copies in which 1 to 6 % of the words differ: similarities around 0.8."""
+    pick = random.Random(seed)
+    out = []
+    for _ in range(120):
+        words = [f"w{pick.randrange(3_000)}" for _ in range(pick.randrange(20, 400))]
+        out.append(" ".join(words))
+        for _ in range(pick.randrange(4)):
+            out.append(edited(pick, words, max(1, round(len(words) * pick.uniform(0.01, 0.06)))))
+    return out + ["", None, "a b", "A  b", "a b c d e", "a b c d e f", out[0].upper()]
+
+
+def groups_of(spark, texts, **options):
+    rows = numbered(spark.createDataFrame([*enumerate(texts)], SCHEMA)).cache()
+    place = {r["_row"]: r["doc_id"] for r in rows.collect()}
+    found = [(place[r["_row"]], r["group"]) for r in near_copies.near_copy_groups(rows, **options).collect()]
+    assert len(found) == len(texts)
+    least = {}
+    for i, group in sorted(found):
+        least.setdefault(group, i)
+    return [least[group] for _, group in sorted(found)]
+
+
+@pytest.mark.parametrize("bucket_rows", [near_copies.BUCKET_ROWS, 2])
+def test_groups_equal_exact_jaccard(spark, bucket_rows):
+    texts = planted()
+    assert groups_of(spark, texts, bucket_rows=bucket_rows) == plain_groups(texts)
+
+
+def test_large_group(spark):
+    pick = random.Random(5)
+    words = [f"w{pick.randrange(3_000)}" for _ in range(200)]
+    texts = [edited(pick, words, 1 + i % 5) for i in range(700)]
+    assert groups_of(spark, texts) == plain_groups(texts)
+
+
+def test_stage_drops_copies_at_the_limit_and_keeps_what_is_less_similar(spark):
+    pick = random.Random(7)
+    words = [f"w{i}" for i in range(300)]
+    far = [" ".join(words), edited(pick, words, 20)]  # similar below 0.8
+    other = [f"v{i}" for i in range(300)]
+    near = [" ".join(other), " ".join(other[:-30])]  # 266 of 296 shingles
+    docs = spark.createDataFrame([*enumerate(far + near)], SCHEMA)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted(r["doc_id"] for r in kept) == [0, 1, 2]
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="given tables not found")
+def test_given_documents(spark):
+    texts = [r["text"] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").orderBy("doc_id").collect()]
+    assert groups_of(spark, texts) == plain_groups(texts)

@@ -1,0 +1,234 @@
+"""Near copies: documents whose sets of five-word shingles have a Jaccard similarity of ``SIMILAR`` or more.
+
+1. Texts with the same set of shingles are reduced to one.  Each set gets a SimHash of
+   ``64 * WORDS_OF_BITS`` bits, and ``BANDS`` block keys of ``BAND`` min-hashes each: sets
+   at the limit share a key but for 3 in 100,000.
+2. Inside the buckets of a key SimHashes are compared bit-sliced.  At the limit they are
+   about 39 of 256 bits apart, 48 for sets of four and five shingles, so ``RADIUS`` lets
+   both pass by some four standard deviations.
+3. Candidates are confirmed by the Jaccard similarity of their sets.  First each row's
+   link to the least row it is close to is confirmed, which joins groups without their
+   pairs; then all close pairs whose ends are still apart.  So a pair is left out only if
+   its ends are already in one component, and components hold confirmed links alone.
+
+Words are parted by white space, in lower case.  A text of fewer words is one shingle;
+texts without words, null ones too, are copies of each other.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from vigilseq.llm.common import mix64, sorted_groups
+from vigilseq.llm.components import components
+from vigilseq.llm.simhash import _lanes, _planes
+from vigilseq.llm.words import run_hashes, text_parts, word_hashes
+from vigilseq.sources.staging import stage
+
+SHINGLE = 5  # words
+SIMILAR = (4, 5)  # least similarity, as a fraction
+WORDS_OF_BITS = 4
+RADIUS = 72  # of 256 bits
+COUNTER = 7  # planes of the counter: RADIUS < 2 ** COUNTER
+BANDS, BAND = 20, 4
+BUCKET_ROWS = 8_192  # a larger bucket is compared in pairs of blocks of about this size
+SLICE = 1 << 12  # shingles hashed at once
+
+_random = np.random.default_rng(20260301)
+_FLIP = _random.integers(0, 2**63, (BANDS * BAND, 1), dtype=np.uint64)
+_TIMES = _random.integers(0, 2**63, (BANDS * BAND, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MORE = _random.integers(0, 2**63, (1, WORDS_OF_BITS), dtype=np.uint64)
+_FOLD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text in lower case."""
+    hashes, offsets = word_hashes(texts)
+    words = np.diff(offsets)
+    count = np.where(words > 0, np.maximum(words - SHINGLE + 1, 1), 0)
+    bounds = np.concatenate(([0], np.cumsum(count)))
+    starts = np.arange(bounds[-1]) + np.repeat(offsets[:-1] - bounds[:-1], count)
+    found = run_hashes(hashes, starts, np.repeat(np.minimum(words, SHINGLE), count))
+    return [np.unique(found[a:b]) for a, b in zip(bounds, bounds[1:])]
+
+
+def sketch(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """SimHash words and block keys of a set that is not empty."""
+    least = np.full(BANDS * BAND, ~np.uint64(0))
+    counts = np.zeros(64 * WORDS_OF_BITS, np.int64)
+    for at in range(0, len(shingles), SLICE):
+        some = shingles[at : at + SLICE]
+        least = np.minimum(least, ((some[None, :] ^ _FLIP) * _TIMES).min(axis=1))
+        spread = mix64(some[:, None] ^ _MORE)
+        counts += np.unpackbits(spread.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    bits = np.packbits(counts * 2 > len(shingles), bitorder="little").view(np.uint64)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for part in least.reshape(BANDS, BAND).T:
+        keys = mix64(keys * _FOLD + part)
+    return bits, keys
+
+
+def sketches(rows: DataFrame) -> DataFrame:
+    """(_row, own, bits, keys) of numbered documents; ``own`` is the hash of the set, 0 of the empty one."""
+    schema = pa.schema([("_row", pa.int64()), ("own", pa.int64()), ("bits", pa.binary()), ("keys", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, texts in text_parts(batch.column(1)):
+                own, bits, keys = [], [], []
+                for shingles in shingle_sets(texts):
+                    if len(shingles):
+                        word, key = sketch(shingles)
+                        own.append(xxhash.xxh64_intdigest(shingles.tobytes()))
+                        bits.append(word.tobytes())
+                        keys.append(key.view(np.int64))
+                    else:
+                        own.append(0)
+                        bits.append(bytes(8 * WORDS_OF_BITS))
+                        keys.append(np.zeros(0, np.int64))
+                columns = [batch.column(0).slice(low, high - low), pa.array(np.array(own, np.uint64).view(np.int64))]
+                columns += [pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    texts = rows.select("_row", F.lower("text").alias("text"))
+    return texts.mapInArrow(run, "_row bigint, own bigint, bits binary, keys array<bigint>")
+
+
+def _bucketed(distinct: DataFrame, bucket_rows: int) -> DataFrame:
+    """(key, block, own, bits): rows of the buckets with two sets or more, large ones in pairs of blocks."""
+    rows = distinct.select("own", F.explode("keys").alias("key"))
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    rows = rows.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / bucket_rows).cast("int"))
+    own = F.pmod(F.xxhash64("own"), F.col("blocks")).cast("int")
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.least(x, own) * F.col("blocks") + F.greatest(x, own)
+    )
+    return rows.select("key", F.explode(pairs).alias("block"), "own").join(distinct.select("own", "bits"), "own")
+
+
+def _within(differing, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words with pairs in the radius, and those pairs' bits; see ``simhash._within``.
+
+    The counter starts so far up that it runs over at the first bit beyond the radius.
+    """
+    alive = np.arange(words)
+    start = (1 << COUNTER) - 1 - RADIUS
+    counter = [np.full(words, ~np.uint64(0) if start >> p & 1 else np.uint64(0)) for p in range(COUNTER)]
+    over = np.zeros(words, np.uint64)
+    for b in range(64 * WORDS_OF_BITS):
+        carry = differing(b, alive)
+        for p in range(COUNTER):
+            counter[p], carry = counter[p] ^ carry, counter[p] & carry
+        over |= carry
+        if b % 32 == 31:
+            keep = np.flatnonzero(~over)
+            if len(keep) < 0.7 * len(alive):
+                alive, over, counter = alive[keep], over[keep], [c[keep] for c in counter]
+                if not len(alive):
+                    break
+    return alive, ~over
+
+
+def close_pairs(bits: np.ndarray, starts: np.ndarray, large: int = 256, queries: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (left, right) of one group within the radius, left < right, from the words of SimHashes that lie group by group."""
+    sizes = np.diff(np.append(starts, len(bits)))
+    for i in np.flatnonzero(sizes > large):
+        own, n = bits[starts[i] : starts[i] + sizes[i]], int(sizes[i])
+        planes = np.concatenate([_planes(own[:, k]) for k in range(WORDS_OF_BITS)])
+        for at in range(0, n, queries):
+            some = own[at : at + queries]
+            first = at // 64  # earlier words were compared as queries
+            across = planes.shape[1] - first
+            on = np.unpackbits(np.ascontiguousarray(some).view(np.uint8), axis=1, bitorder="little").astype(bool)
+            spread = np.where(on, ~np.uint64(0), np.uint64(0))
+
+            def differing(b, alive):
+                return planes[b][first + alive % across] ^ spread[alive // across, b]
+
+            lane = _lanes(*_within(differing, len(some) * across))
+            left, right = at + lane // (across * 64), first * 64 + lane % (across * 64)
+            kept = (left < right) & (right < n)
+            yield starts[i] + left[kept], starts[i] + right[kept]
+    small = np.flatnonzero((sizes > 1) & (sizes <= large))
+    small = small[np.argsort(-sizes[small], kind="stable")]
+    if not len(small):
+        return
+    size = sizes[small]
+    place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    at = np.repeat(starts[small], size) + place
+    left_in = np.repeat(size, size) - place  # rows of the group from this one on
+    for shift in range(1, int(size[0])):
+        one = np.flatnonzero(left_in[: int(size[size > shift].sum())] > shift)
+        differ = bits[at[one]] ^ bits[at[one + shift]]
+        planes = np.concatenate([_planes(differ[:, k]) for k in range(WORDS_OF_BITS)])
+        lane = _lanes(*_within(lambda b, alive: planes[b][alive], planes.shape[1]))
+        lane = one[lane[lane < len(one)]]
+        yield at[lane], at[lane + shift]
+
+
+def _links(bucketed: DataFrame, roots: bool) -> DataFrame:
+    """Close pairs (a, b), a < b: of each row that with the least row, or with ``roots`` all whose ``root`` differs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in sorted_groups(batches, ["key", "block"]):
+            own = table.column("own").to_numpy()
+            bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, WORDS_OF_BITS)
+            if roots:
+                root = table.column("root").to_numpy()
+                for left, right in close_pairs(bits, starts):
+                    apart = root[left] != root[right]
+                    if apart.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(own[left[apart]]), pa.array(own[right[apart]])], ["a", "b"])
+            else:
+                least = np.arange(len(own))
+                for left, right in close_pairs(bits, starts):
+                    np.minimum.at(least, right, left)
+                linked = np.flatnonzero(least < np.arange(len(own)))
+                yield pa.RecordBatch.from_arrays([pa.array(own[least[linked]]), pa.array(own[linked])], ["a", "b"])
+
+    placed = bucketed.repartition("key", "block").sortWithinPartitions("key", "block", "own")
+    return placed.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _similar() -> Column:
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    return shared * SIMILAR[1] >= (F.size("set_a") + F.size("set_b") - shared) * SIMILAR[0]
+
+
+def confirmed(links: DataFrame, distinct: DataFrame, rows: DataFrame) -> DataFrame:
+    """The staged links whose sets of shingles are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, texts in text_parts(batch.column(1)):
+                sets = pa.array([s.view(np.int64) for s in shingle_sets(texts)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), sets], ["own", "shingles"])
+
+    ends = links.select(F.explode(F.array("a", "b")).alias("own")).distinct()
+    texts = ends.join(distinct.select("own", "_row"), "own").join(rows.select("_row", "text"), "_row")
+    sets = stage(texts.select("own", F.lower("text").alias("text")).mapInArrow(run, "own bigint, shingles array<bigint>"), "sets")
+    pairs = links.join(sets.select(F.col("own").alias("a"), F.col("shingles").alias("set_a")), "a")
+    pairs = pairs.join(sets.select(F.col("own").alias("b"), F.col("shingles").alias("set_b")), "b")
+    return stage(pairs.filter(_similar()).select("a", "b"), "confirmed")
+
+
+def near_copy_groups(rows: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(_row, group) of numbered documents: one group per component of near copies."""
+    found = stage(sketches(rows), "sketches")
+    distinct = stage(found.groupBy("own").agg(F.min("_row").alias("_row"), F.first("bits").alias("bits"), F.first("keys").alias("keys")), "distinct")
+    bucketed = stage(_bucketed(distinct, bucket_rows), "bucketed")
+    first = stage(_links(bucketed, False), "close")
+    joined = confirmed(first, distinct, rows)
+    roots = components(joined)
+    labelled = bucketed.join(roots, bucketed["own"] == roots["node"], "left").select(
+        "key", "block", "own", "bits", F.coalesce("root", "own").alias("root")
+    )
+    second = stage(_links(labelled, True).join(first, ["a", "b"], "left_anti"), "close")
+    roots = components(joined.unionByName(confirmed(second, distinct, rows)))
+    return found.join(roots, found["own"] == roots["node"], "left").select("_row", F.coalesce("root", "own").alias("group"))
