@@ -6,9 +6,12 @@
 2. A distributed randomised SVD of the benchmark's TF-IDF rows gives the latent space: tasks
    add up ``A'(A W)`` for a random ``W``, an orthonormal basis of it is sent back, and the
    Gram matrix of the projected rows yields the singular directions.
-3. Documents are read in overlapping windows of two sizes.  A window whose weight lies
+3. Documents are read in overlapping windows of two sizes, of more where the block has longer
+   items, so that the largest holds each of them, and in finer steps where it has items
+   of fewer than ``SHORT`` words.  A window whose weight lies
    mostly on words that the benchmark lacks is passed over, as its cosine with any item is
-   bounded by that share; the others are compared with all items by latent cosine.
+   bounded by that share (with short items in the block, one that holds fewer known words than
+   ``PARAPHRASE`` of the shortest); the others are compared with all items by latent cosine.
 4. Candidates are decided on the words around the window: the longest common subsequence
    with a part of them little longer than the item must cover ``COPY`` of the item, or ``PARAPHRASE`` of it and ``ANSWER`` of its answer, the
    last quarter of its words.
@@ -24,6 +27,7 @@ often as they occur.  Columns other than ids and texts are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,6 +43,7 @@ from vigilseq.sources.staging import stage
 PASSAGE = 64
 STEP = 16  # words between windows
 SIZES = (2, 4)  # steps in a window
+SHORT = 9  # words of an item that is lost in a window of 2 * STEP words
 RANK = 128
 EXTRA = 16  # columns of the random matrix beyond the rank
 SLOTS = 1 << 16
@@ -228,6 +233,24 @@ class Block:
     words: list[list[int]]
     vectors: np.ndarray
 
+    def windows(self) -> tuple[int, tuple[int, ...]]:
+        """Words between windows and steps in a window, from the lengths of the items."""
+        lengths = [len(w) for w in self.words] or [SHORT]
+        step, sizes = (STEP, SIZES) if min(lengths) >= SHORT else (STEP // 2, (SIZES[0], *(2 * s for s in SIZES)))
+        while sizes[-1] * step < max(lengths):
+            sizes = (*sizes, 2 * sizes[-1])
+        return step, sizes
+
+    def least(self) -> int:
+        """Known words a window must hold to be compared, where the block has short items; else 0."""
+        shortest = min(map(len, self.words), default=SHORT)
+        return math.ceil(PARAPHRASE * shortest) if shortest < SHORT else 0
+
+    def slack(self, item: int, words: int) -> int:
+        """Words to add on each side of a window; a long item and its insertions fit in wherever the window meets it."""
+        n = len(self.words[item])
+        return STEP if n <= SIZES[-1] * STEP else max(STEP, n + n // 4 + COMPACT_STEP + STEP - words)
+
 
 def _block(table: pa.Table, features: Features, space: np.ndarray) -> Block:
     texts, ids = text_bytes(table.column("text")), table.column("item_id").to_pylist()
@@ -239,24 +262,30 @@ def _block(table: pa.Table, features: Features, space: np.ndarray) -> Block:
     return Block([ids[i] for i in kept], [words[i] for i in kept], vectors.astype(np.float32))
 
 
-def window_candidates(hashes: np.ndarray, offsets: np.ndarray, features: Features, space: np.ndarray, items: np.ndarray):
+def window_candidates(
+    hashes: np.ndarray, offsets: np.ndarray, features: Features, space: np.ndarray, items: np.ndarray, step: int = STEP, sizes: tuple = SIZES, least: int = 0
+):
     """(text, first word, end word, item, cosine) of windows near an item, from the words of some texts."""
     at = features.number(hashes)
     known = np.flatnonzero(at >= 0)
-    first, own, count = _blocks(offsets, STEP)
+    first, own, count = _blocks(offsets, step)
     weights = np.where(at >= 0, features.weights[np.maximum(at, 0)] if len(features.weights) else 0.0, features.other)
     whole = np.bincount(own, weights**2, minlength=count)
     mine = np.bincount(own[known], weights[known] ** 2, minlength=count)
-    text = np.repeat(np.arange(len(first)), -(-np.diff(offsets) // STEP))
+    text = np.repeat(np.arange(len(first)), -(-np.diff(offsets) // step))
     last = np.append(first[1:], count)[text]  # first block after the text
 
     def sums(values: np.ndarray, size: int) -> np.ndarray:
         total = np.concatenate((np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0)))
         return total[np.minimum(np.arange(count) + size, last)] - total[:count]
 
-    near = [np.flatnonzero(sums(mine, size) >= KNOWN_SHARE * sums(whole, size)) for size in SIZES]
-    wanted = np.zeros(count + max(SIZES), bool)
-    for size, start in zip(SIZES, near):
+    if least:  # short items weigh too little in a window for its share
+        holds = np.bincount(own[known], minlength=count)
+        near = [np.flatnonzero(sums(holds, size) >= least) for size in sizes]
+    else:
+        near = [np.flatnonzero(sums(mine, size) >= KNOWN_SHARE * sums(whole, size)) for size in sizes]
+    wanted = np.zeros(count + max(sizes), bool)
+    for size, start in zip(sizes, near):
         for ahead in range(size):
             wanted[start + ahead] = True
     wanted = wanted[:count]
@@ -268,16 +297,16 @@ def window_candidates(hashes: np.ndarray, offsets: np.ndarray, features: Feature
     kept = np.flatnonzero(wanted)
     compact = np.cumsum(wanted) - 1
     some = known[wanted[own[known]]]
-    beside = np.full((len(kept), STEP), len(weighted) - 1)
-    beside[compact[own[some]], (some - np.repeat(offsets[:-1], np.diff(offsets))[some]) % STEP] = at[some]
+    beside = np.full((len(kept), step), len(weighted) - 1)
+    beside[compact[own[some]], (some - np.repeat(offsets[:-1], np.diff(offsets))[some]) % step] = at[some]
     near_vectors = np.zeros((len(kept), space.shape[1]), np.float32)
     for low in range(0, len(kept), 1_024):
-        for place in range(STEP):
+        for place in range(step):
             near_vectors[low : low + 1_024] += weighted[beside[low : low + 1_024, place]]
     vectors = np.zeros((count, space.shape[1]), np.float32)
     vectors[kept] = near_vectors
-    padded = np.concatenate((vectors, np.zeros((max(SIZES), space.shape[1]), np.float32)))
-    for size, start in zip(SIZES, near):
+    padded = np.concatenate((vectors, np.zeros((max(sizes), space.shape[1]), np.float32)))
+    for size, start in zip(sizes, near):
         for low in range(0, len(start), 8_192):
             begin = start[low : low + 8_192]
             window = sum(padded[begin + ahead] * (begin + ahead < last[begin])[:, None] for ahead in range(size))
@@ -285,8 +314,8 @@ def window_candidates(hashes: np.ndarray, offsets: np.ndarray, features: Feature
             cosine = window @ items.T
             row, item = np.nonzero(cosine >= COSINE)
             place = begin[row]
-            from_word = offsets[text[place]] + (place - first[text[place]]) * STEP
-            end_word = np.minimum(from_word + size * STEP, offsets[text[place] + 1])
+            from_word = offsets[text[place]] + (place - first[text[place]]) * step
+            end_word = np.minimum(from_word + size * step, offsets[text[place] + 1])
             yield text[place], from_word, end_word, item, cosine[row, item]
 
 
@@ -309,16 +338,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def _search(rows: DataFrame, features: Features, space: np.ndarray, block: Block) -> DataFrame:
     names = ["id", "item_id", "cosine", "lcs_share", "answer_share"]
+    step, sizes = block.windows()
 
     def leaks(texts: list[bytes]) -> list[tuple[int, int, float, float, float]]:
         hashes, offsets = plain_words(texts)
         best: dict[tuple[int, int], tuple] = {}
-        for parts in window_candidates(hashes, offsets, features, space, block.vectors):
+        for parts in window_candidates(hashes, offsets, features, space, block.vectors, step, sizes, block.least()):
             order = np.argsort(-parts[4], kind="stable")
             for text, begin, end, item, cosine in zip(*(p[order].tolist() for p in parts)):
                 if (text, item) in best:
                     continue
-                low, high = max(offsets[text], begin - STEP), min(offsets[text + 1], end + STEP)
+                slack = block.slack(item, end - begin)
+                low, high = max(offsets[text], begin - slack), min(offsets[text + 1], end + slack)
                 share, answer = overlap(block.words[item], hashes[low:high].tolist())
                 if is_leak(share, answer):
                     best[text, item] = (text, item, cosine, share, answer)
