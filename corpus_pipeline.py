@@ -20,27 +20,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilseq.llm import decontamination, kd_sharding, language, mixing, near_copies
+from vigilseq.llm import decontamination, kd_sharding, language, mixing, simhash
 from vigilseq.llm.common import numbered, read_table, without
 from vigilseq.sources.staging import release, scope, stage
 
 SHARDS = 24
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")  # of the documents that stages read
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def cleared(function: Stage) -> Stage:
-    """Stage that removes what the stage before it left behind."""
+    """Stage that removes what the stage before it left behind.
+
+    Columns that stages do not know pass under names that cannot clash with their own; a
+    column with the name of one that a stage adds gives way to it.
+    """
 
     @functools.wraps(function)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         release(spark, "pipeline")
+        aside = {c: f"extra_column_{i}" for i, c in enumerate(docs.columns) if c not in COLUMNS}
+        back = {hidden: c for c, hidden in aside.items()}
         with scope("pipeline"):
-            return function(spark, docs, sf_dir)
+            out = function(spark, docs.select(*[docs[f"`{c}`"].alias(aside.get(c, c)) for c in docs.columns]), sf_dir)
+        own = [c for c in out.columns if back.get(c) not in out.columns]
+        return out.select(*[F.col(c).alias(back.get(c, c)) for c in own])
 
     return run
 
 
-
 @cleared
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose language is known; null, empty and letterless texts go."""
@@ -52,9 +60,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 @cleared
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each group of near-duplicates (five-word shingles, Jaccard 0.8 or more) the document with the smallest id."""
+    """Keep of each group of near-duplicates the document with the smallest id; groups are those of the SimHash operator."""
     rows = numbered(docs)
-    groups = near_copies.near_copy_groups(rows)
+    groups = simhash.simhash_components(rows, "_row").select(F.col("id").alias("_row"), F.col("component_id").alias("group"))
     named = stage(groups.join(rows.select("_row", "doc_id"), "_row").select("_row", "group", "doc_id"), "groups")
     # Null ids come last, equal ids by row.
     first = named.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first"))
