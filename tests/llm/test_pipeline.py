@@ -75,15 +75,18 @@ def test_stages_equal_plain_versions(spark):
 
 
 def test_run_and_edge_rows(spark, tmp_path):
-    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, _extra string"
-    rows = [(None, None, None, None, None, "x"), (1, "", "en", "s", 0, "y"), (1, "", "en", "s", 0, "y"), (2, "%% 12", "en", None, 5, "z")]
-    rows += [(i, f"the words of the text number {i} are here to be kept {i * 7} and so on", "en", "s", 50, "k") for i in range(10, 30)]
-    rows += [rows[-1], (None, rows[5][1], "en", "s", 50, "k")]
+    clashing = ("_row", "_text", "_times", "rate", "shard")
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{c} string" for c in clashing)
+    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "%% 12", "en", None, 5)]
+    rows += [(i, f"the words of the text number {i} are here to be kept {i * 7} and so on", "en", "s", 50) for i in range(10, 30)]
+    rows += [rows[-1], (None, rows[5][1], "en", "s", 50)]
+    rows = [(*r, *[f"{c} of {r[0]}" for c in clashing]) for r in rows]
     folder = str(tmp_path)
     spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
     spark.read.parquet(f"{FOLDER}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
     out = corpus_pipeline.run(spark, folder).collect()
-    assert out and all(r["doc_id"] >= 10 and r["_extra"] == "k" for r in out)
+    assert out and all(r["doc_id"] >= 10 and all(r[c] == f"{c} of {r['doc_id']}" for c in clashing[:-1]) for r in out)
+    assert all(r["shard"] in range(corpus_pipeline.SHARDS) for r in out)
     empty = str(tmp_path / "empty")
     spark.createDataFrame([], schema).write.parquet(f"{empty}/documents.parquet")
     spark.read.parquet(f"{FOLDER}/benchmark.parquet").write.parquet(f"{empty}/benchmark.parquet")
