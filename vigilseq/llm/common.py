@@ -104,6 +104,14 @@ def look_up(rows: DataFrame, table: DataFrame, key: str, rows_limit: int = BROAD
     return rows.join(F.broadcast(table) if table.count() <= rows_limit else table, key, "left")
 
 
+def unused(name: str, columns: Sequence[str]) -> str:
+    """``name``, with underscores until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """``docs`` written to the shared folder with a row number ``_row`` that stays the same."""
     return stage(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
