@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilseq.llm import decontamination, kd_sharding, language, mixing, periodic_runs, ppm, pq_dedup, secrets, simhash, substring_dedup, token_counts
+from vigilseq.llm import decontamination, kd_sharding, language, mixing, periodic_runs, ppm, pq_dedup, secrets, simhash, substring_dedup, token_alignment, token_counts
 from vigilseq.llm.common import read_table
 
 SHARDS = 24
@@ -80,6 +80,11 @@ def op10_latent_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+@query
+def op12_asof_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return token_alignment.document_alignment(read_table(spark, folder, "documents"))
+
+
 @query
 def op13_recompression_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periodic_runs.document_runs(read_table(spark, folder, "documents"))
