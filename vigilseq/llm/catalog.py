@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilseq.llm import decontamination, kd_sharding, language, mixing, periodic_runs, ppm, pq_dedup, secrets, simhash, substring_dedup, token_alignment, token_counts
+from vigilseq.llm import collision_search, decontamination, kd_sharding, language, mixing, periodic_runs, ppm, pq_dedup, secrets, simhash, substring_dedup, token_alignment, token_counts
 from vigilseq.llm.common import read_table
 
 SHARDS = 24
@@ -80,6 +80,12 @@ def op10_latent_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+@query
+def op11_collision_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    found = collision_search.nearest_vectors(read_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 @query
 def op12_asof_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return token_alignment.document_alignment(read_table(spark, folder, "documents"))
@@ -115,6 +121,16 @@ counts AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
 SELECT v.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, v.vec_id = component_id AS kept
 FROM v JOIN least ON least.a = v.vec_id LEFT JOIN counts ON counts.a = v.vec_id"""
 
+# Equal as long as the search finds every neighbour, as it does on the given tables.
+SQL["op11_collision_neighbours"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v
+  WHERE vec_id IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+s AS (SELECT q.vec_id AS query_id, u.vec_id, list_dot_product(q.e, u.e) / (q.n * u.n) AS score
+  FROM u AS q JOIN u ON q.vec_id % 50 = 0 AND q.vec_id <> u.vec_id AND len(q.e) = len(u.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5"""
+
 
 def _secret_sql() -> str:
     """The scan with its windows as rows; letters of the names in both cases, as its engine folds others too."""
