@@ -72,6 +72,12 @@ def test_runs_equal_brute_force(alphabet):
         assert [tuple(r) for r in runs.tolist()] == brute_runs(words)
 
 
+def test_candidates_without_runs():
+    words = np.arange(60)
+    words[30] = words[9]
+    assert [len(r) for r in periodic_runs.find_runs([words, words[:5]])] == [0, 0]
+
+
 def test_extensions_are_exact():
     draw = np.random.default_rng(5)
     words = np.concatenate([np.tile(draw.integers(0, 3, 50), 30), draw.integers(0, 3, 500), np.zeros(300, int), [7], np.zeros(400, int)])

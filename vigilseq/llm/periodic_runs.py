@@ -210,7 +210,8 @@ def find_runs(documents: list[np.ndarray]) -> list[np.ndarray]:
         back = extend(grammar, place - 1, place + period - 1, ahead=False)
         length = period + ahead + back
         kept = length >= np.maximum(MIN_WORDS, MIN_TIMES * period)
-        segments.append(np.unique(np.stack([(place - back)[kept], length[kept], period[kept]], axis=1), axis=0))
+        if kept.any():
+            segments.append(np.unique(np.stack([(place - back)[kept], length[kept], period[kept]], axis=1), axis=0))
     if not segments:
         return found
     # A stretch found at multiples of its period is kept at the smallest.
