@@ -2,55 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vigilseq import schema
 from vigilseq.functions import numeric as num
 from vigilseq.functions import text as txt
 from vigilseq.operators import detect, evaluate, leadtime, model, rows, sessions, splits, stats, vocab
 from vigilseq.plans import detection, logs, reports
+from vigilseq.plans.registry import QUERIES, query  # noqa: F401
 from vigilseq.sources import tables
 from vigilseq.sources.staging import stage, staging_path
 from vigilseq.streaming import first_alert
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-
 TRIALS = 1000
 ROW_EVENTS = 65_536  # events of a session in one result row
-LARGE = 1e12  # doubles from here on are compared as they are
 PERCENTS = [25, 50, 75, 90, 95, 99]
 
 
-def tidy(df: DataFrame) -> DataFrame:
-    """Result layout that engines agree on: bigint, double with six places, text, times in microseconds."""
-    columns = []
-    for field in df.schema.fields:
-        column, kind = F.col(f"`{field.name}`"), field.dataType
-        if isinstance(kind, (T.DoubleType, T.FloatType)):
-            column = F.when(F.abs(column) < LARGE, F.floor(column * 1e6 + 0.5) / 1e6).otherwise(column.cast("double"))
-        elif isinstance(kind, T.TimestampType):
-            column = F.unix_micros(column)
-        elif isinstance(kind, (T.IntegerType, T.ShortType, T.ByteType, T.BooleanType)):
-            column = column.cast("bigint")
-        elif isinstance(kind, T.ArrayType):
-            column = F.array_join(column.cast("array<string>"), " ")
-        columns.append(column.alias(field.name))
-    return df.select(*columns)
-
-
-def query(name: str) -> Callable[[Query], Query]:
-    def register(function: Query) -> Query:
-        QUERIES[name] = lambda spark, folder: tidy(function(spark, folder))
-        return function
-
-    return register
-
-
 def docs(spark, folder):
     return logs.table(spark, folder, "documents")
 

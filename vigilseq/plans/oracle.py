@@ -7,7 +7,8 @@ from vigilseq.functions import text as txt
 from vigilseq.operators.evaluate import COARSE_GRID
 from vigilseq.operators.vocab import PAD, SEP, UNK
 from vigilseq.plans import reports
-from vigilseq.plans.catalog import PERCENTS, LARGE, TRIALS
+from vigilseq.plans.catalog import PERCENTS, TRIALS
+from vigilseq.plans.registry import LARGE
 
 SQL: dict[str, str] = {}
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigilseq.functions.text import MASK_RULES, event_id, mask_template
+from vigilseq.operators.templates import match_templates
 from vigilseq.schema import LogSchema, canonical
 
 DEFAULT_THRESHOLD = 5.0  # fixed value of the reference, used when no tuned one exists
@@ -80,16 +81,20 @@ def events_from_raw(
     id_regex: str,
     rules: list[str] = MASK_RULES,
     keep_unlabeled: bool = False,
+    templates: DataFrame | None = None,
 ) -> DataFrame:
     """Events from raw lines (ts, tiebreak, line): one row per distinct block id in the line.
 
     ``labels`` is (session_id, label) per block.  Lines without a block id give no event.
+    With ``templates`` learned from lines under the same rules (``operators.templates``) a
+    line takes the one it fits; without, its masked text is its template.
     """
     ids = F.array_distinct(F.regexp_extract_all("line", F.lit(id_regex), F.lit(0)))
-    template = mask_template(F.col("line"), rules)
-    found = lines.select(
-        F.explode(ids).alias("session_id"), "ts", "tiebreak", template.alias("template")
-    ).withColumn("event", event_id(F.col("template")))
+    if templates is None:
+        lines = lines.withColumn("template", mask_template(F.col("line"), rules))
+    else:
+        lines = match_templates(lines, templates, "line", rules)
+    found = lines.select(F.explode(ids).alias("session_id"), "ts", "tiebreak", "template").withColumn("event", event_id(F.col("template")))
     out = found.join(labels.select("session_id", "label"), "session_id", "left" if keep_unlabeled else "inner")
     return out.select("session_id", "ts", "tiebreak", "event", "label", "template")
 
