@@ -8,13 +8,16 @@ character.  ``rank`` numbers the likeliest successors of a context by
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilseq.functions.numeric import perplexity
 from vigilseq.functions.text import null_event
+from vigilseq.sources.staging import stage
 
 JOINER = "\x01"
 BROADCAST_BYTES = 64 << 20  # largest model that is broadcast to every executor
@@ -28,31 +31,63 @@ def context_text(order: int) -> Column:
     return F.when(first.isNotNull(), F.concat_ws(JOINER, first, *[null_event(p) for p in rest]))
 
 
-def fit_next_event(contexts: DataFrame, order: int = 1) -> DataFrame:
-    """Count successors of every context of up to ``order`` events.
+def count_grams(contexts: DataFrame, order: int = 1, by: Sequence[str] = ()) -> DataFrame:
+    """(*by, order, ctx, next, cnt): successors of every context of up to ``order`` events.
 
     ``contexts`` are the training rows from ``with_previous``.  They are reduced
     to distinct patterns before anything is shuffled; all orders are then
-    derived from the patterns, not from the rows.
+    derived from the patterns, not from the rows.  Counts of several days, kept apart by
+    ``by``, add up to those of all.
     """
     previous = [f"prev{i}" for i in range(1, order + 1)]
-    patterns = contexts.groupBy(*previous, "event").agg(F.count(F.lit(1)).alias("cnt"))
+    patterns = contexts.groupBy(*by, *previous, "event").agg(F.count(F.lit(1)).alias("cnt"))
     per_order = F.array(
         *[F.struct(F.lit(k).alias("order"), context_text(k).alias("ctx")) for k in range(order + 1)]
     )
-    counts = (
-        patterns.select(F.explode(per_order).alias("o"), F.col("event").alias("next"), "cnt")
-        .select("o.order", "o.ctx", "next", "cnt")
+    return (
+        patterns.select(*by, F.explode(per_order).alias("o"), F.col("event").alias("next"), "cnt")
+        .select(*by, "o.order", "o.ctx", "next", "cnt")
         .filter("ctx is not null")
-        .groupBy("order", "ctx", "next")
+        .groupBy(*by, "order", "ctx", "next")
         .agg(F.sum("cnt").alias("cnt"))
     )
+
+
+def rank_grams(counts: DataFrame) -> DataFrame:
+    """Model table from the counts of all contexts."""
     sums = counts.groupBy("order", "ctx").agg(F.sum("cnt").alias("ctx_cnt"))
     likeliest = Window.partitionBy("order", "ctx").orderBy(F.desc("cnt"), "next")
     # The window holds the successors of a context: at most the vocabulary.
     return counts.join(sums, ["order", "ctx"]).withColumn("rank", F.row_number().over(likeliest))
 
 
+def fit_next_event(contexts: DataFrame, order: int = 1) -> DataFrame:
+    """Model of the training rows ``contexts``."""
+    return rank_grams(count_grams(contexts, order))
+
+
+def update_model(ngrams: DataFrame, added: DataFrame | None = None, removed: DataFrame | None = None) -> DataFrame:
+    """Model after more counts (order, ctx, next, cnt) came in and others were taken away.
+
+    Only contexts that the changes touch are summed and ranked anew; the rows of all others
+    pass through.  The result equals a fit on what is left.  Taking away more than was
+    counted is an error.  Stage or save the result before it is read several times.
+    """
+    names = ["order", "ctx", "next", "cnt"]
+    signs = [(df, sign) for df, sign in ((added, 1), (removed, -1)) if df is not None]
+    if not signs:
+        return ngrams
+    parts = [df.select("order", "ctx", "next", (F.col("cnt") * sign).alias("cnt")) for df, sign in signs]
+    change = reduce(DataFrame.unionByName, parts).groupBy("order", "ctx", "next").agg(F.sum("cnt").alias("cnt"))
+    change = stage(change.filter("cnt != 0"), "change")
+    touched = stage(change.select("order", "ctx").distinct(), "touched")
+    sums = ngrams.join(touched, ["order", "ctx"], "left_semi").select(*names).unionByName(change)
+    sums = sums.groupBy("order", "ctx", "next").agg(F.sum("cnt").alias("cnt"))
+    checked = F.when(F.col("cnt") >= 0, F.col("cnt")).otherwise(F.raise_error(F.lit("more was taken away than was counted")))
+    anew = rank_grams(sums.withColumn("cnt", checked).filter("cnt > 0"))
+    return ngrams.join(touched, ["order", "ctx"], "left_anti").unionByName(anew.select(*ngrams.columns))
+
+
 def topk_next(ngrams: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` likeliest next events of each context (limited before the shuffle by Catalyst)."""
     likeliest = Window.partitionBy("order", "ctx").orderBy(F.desc("cnt"), "next")

@@ -9,11 +9,13 @@ from vigilseq.functions.text import null_event
 from vigilseq.operators.detect import detect_threshold, detect_topk
 from vigilseq.operators.evaluate import ksigma_threshold
 from vigilseq.operators.leadtime import lead_to_end, lead_to_first_error, steps_before_error
-from vigilseq.operators.model import fit_next_event, score_events, session_loss
+from vigilseq.operators.model import count_grams, fit_next_event, rank_grams, score_events, session_loss
 from vigilseq.operators.sessions import sessionize_with_previous
 from vigilseq.operators.splits import hash_pct, split_name, test_after_calibration
+from vigilseq.operators.token_model import MAX_TOKENS, event_loss, token_rows
 from vigilseq.sources.staging import stage
 
+MICROS_PER_DAY = 86400 * 1_000_000
 CUTS = (80, 90)  # percent of the normal sessions up to which they train and validate
 
 
@@ -47,6 +49,17 @@ def fit(contexts: DataFrame, order: int = 1, normal_scope: str = "session") -> D
     return stage(fit_next_event(rows, order), "ngrams")
 
 
+def daily_grams(contexts: DataFrame, order: int = 1) -> DataFrame:
+    """Counts of the training rows per day, stored one folder per day; ``day`` is the number of days since 1970."""
+    rows = train_rows(contexts).withColumn("day", F.expr(f"unix_micros(ts) div {MICROS_PER_DAY}"))
+    return stage(count_grams(rows, order, ["day"]), "grams", "day")
+
+
+def model_of_days(daily: DataFrame) -> DataFrame:
+    """Staged model of the days in ``daily``."""
+    return stage(rank_grams(daily.groupBy("order", "ctx", "next").agg(F.sum("cnt").alias("cnt"))), "ngrams")
+
+
 def train_rows(contexts: DataFrame) -> DataFrame:
     """Rows of the train split; the hash alone is tested too, because it can be pushed below the windows."""
     return contexts.filter(hash_pct(F.col("session_id")) < CUTS[0]).filter("split = 'train'")
@@ -84,3 +97,20 @@ def threshold_detections(events: DataFrame, threshold: float, order: int = 1, sk
     contexts = stored_contexts(events, order)
     scored = score_events(contexts.filter("split = 'test'"), fit(contexts, order), order, skip=skip)
     return steps_before_error(lead_to_end(detect_threshold(scored, threshold, skip)))
+
+
+def token_scores(contexts: DataFrame, order: int = 2, k: int = 5, skip: int = 3, min_ctx: int = 1, max_tokens: int = MAX_TOKENS) -> DataFrame:
+    """Scored events whose loss is the mean over the tokens of their text, from stored contexts of the same order."""
+    tokens = token_rows(contexts, order)
+    known = tokens.filter("event is not null")
+    scored = score_events(tokens, fit(known, order), order, k, skip, min_ctx=min_ctx)
+    return event_loss(scored, max_tokens)
+
+
+def token_detections(events: DataFrame, threshold: float, order: int = 2, skip: int = 3, max_tokens: int = MAX_TOKENS) -> DataFrame:
+    """Test sessions flagged when the mean loss over the tokens of an event is above the threshold, with lead to the end."""
+    contexts = stored_contexts(events, order)
+    tokens = token_rows(contexts, order)
+    ngrams = fit(tokens.filter("event is not null"), order)
+    scored = event_loss(score_events(tokens.filter("split = 'test'"), ngrams, order, skip=skip), max_tokens)
+    return steps_before_error(lead_to_end(detect_threshold(scored, threshold, skip)))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from vigilseq.plans.oracle import CODED, LINES, put
-from vigilseq.plans.text_logs import MINING
+from vigilseq.plans.oracle import CODED, LINES, POS, RARE, WEEK_X, detected, ngrams, put, split
+from vigilseq.plans.text_logs import MINING, TOKEN_THRESHOLD, TOKENS
 
 ROUNDS = 6  # of merging; more than the given logs need
 
@@ -90,3 +90,64 @@ put(
         {matched('hit', 'more', 'found')}, rest AS (SELECT text FROM hit WHERE best IS NULL), {mined('new', 'rest', **MINING)},
         every AS (SELECT template, cnt FROM found UNION ALL SELECT best, count(*) FROM hit WHERE best IS NOT NULL GROUP BY 1 UNION ALL SELECT template, cnt FROM new)""",
 )
+
+TEXT_LOG = f"""{PLAIN}, ev AS (
+  SELECT c.user_id::VARCHAR || '-w' || (epoch_us(c.ts) // 604800000000)::VARCHAR AS session_id, c.ts, tiebreak,
+         CASE WHEN tiebreak % 11 > 0 THEN regexp_replace(line, '[0-9]+', '#', 'g') END AS event, {RARE} AS label
+  FROM coded AS c JOIN plain ON c.event_id = tiebreak)"""
+TOKEN_ROWS = f"""{TEXT_LOG}, {POS},
+  tl AS (SELECT * REPLACE (coalesce(event, '') AS event), list_concat(CASE WHEN pos > 0 THEN [chr(10)] ELSE [] END,
+      list_filter(string_split_regex(coalesce(event, ''), '[ \t]+'), lambda t: t <> '')) AS toks,
+      {split('session_id', 'session_label')} AS split FROM p),
+  tu AS (SELECT session_id, pos, split, len(toks) AS n_tokens, unnest(toks) AS event, generate_subscripts(toks, 1) AS sub FROM tl),
+  x AS (SELECT *, lag(event, 1) OVER w AS prev1, lag(event, 2) OVER w AS prev2 FROM tu WINDOW w AS (PARTITION BY session_id ORDER BY pos, sub))"""
+
+
+def token_losses(min_ctx: int, k: int, skip: int, most: int) -> str:
+    """CTE ``ls``: (session_id, pos, n_tokens, loss, in_topk) per event with tokens."""
+    return f"""{TOKEN_ROWS}, {ngrams("split = 'train'")}, ls0 AS (
+      SELECT session_id, pos, n_tokens, -ln((coalesce(c, 0) + 1.0)::DOUBLE / (n + v)::DOUBLE) AS loss, coalesce(r <= {k}, false) AS in_topk FROM (
+        SELECT session_id, pos, n_tokens, (SELECT count(*) + 1 FROM ng WHERE "order" = 0) AS v,
+          CASE WHEN k2.ctx IS NOT NULL THEN k2.ctx_cnt WHEN k1.ctx IS NOT NULL THEN k1.ctx_cnt
+               ELSE (SELECT sum(cnt) FROM ng WHERE "order" = 0) END AS n,
+          CASE WHEN k2.ctx IS NOT NULL THEN g2.cnt WHEN k1.ctx IS NOT NULL THEN g1.cnt ELSE g0.cnt END AS c,
+          CASE WHEN k2.ctx IS NOT NULL THEN g2.rank WHEN k1.ctx IS NOT NULL THEN g1.rank ELSE g0.rank END AS r
+        FROM (SELECT *, prev2 || chr(1) || prev1 AS pair FROM x) AS x
+        LEFT JOIN (SELECT DISTINCT ctx, ctx_cnt FROM ng WHERE "order" = 2 AND ctx_cnt >= {min_ctx}) AS k2 ON pair = k2.ctx
+        LEFT JOIN (SELECT DISTINCT ctx, ctx_cnt FROM ng WHERE "order" = 1 AND ctx_cnt >= {min_ctx}) AS k1 ON prev1 = k1.ctx
+        LEFT JOIN ng AS g2 ON g2."order" = 2 AND g2.ctx = pair AND g2.next = event
+        LEFT JOIN ng AS g1 ON g1."order" = 1 AND g1.ctx = prev1 AND g1.next = event
+        LEFT JOIN ng AS g0 ON g0."order" = 0 AND g0.next = event) AS a WHERE pos >= {max(1, skip)}),
+    ls AS (SELECT session_id, pos, any_value(n_tokens) AS n_tokens, CASE WHEN any_value(n_tokens) >= {most} THEN 0.0::DOUBLE ELSE avg(loss) END AS loss,
+      bool_and(in_topk) AS in_topk FROM ls0 GROUP BY 1, 2)"""
+
+
+put(
+    "g13_token_context",
+    "session_id:s pos:i n_context:i digest:s",
+    """SELECT session_id, pos, len(c) AS n_context, md5(array_to_string(c, ' ')) AS digest FROM (
+         SELECT session_id, pos, seen[greatest(len(seen) - 11, 1):] AS c FROM (
+           SELECT session_id, pos, coalesce(flatten(list(toks) OVER (PARTITION BY session_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), []) AS seen
+           FROM tl) AS a) AS b""",
+    TOKEN_ROWS,
+)
+put(
+    "n4_token_loss",
+    "session_id:s pos:i n_tokens:i loss:d in_topk:i",
+    "SELECT tl.session_id, tl.pos, len(toks) AS n_tokens, ls.loss, ls.in_topk FROM tl LEFT JOIN ls USING (session_id, pos)",
+    token_losses(20, 5, 2, TOKENS),
+)
+put(
+    "n7_detect_tokens",
+    "session_id:s label:i predicted:i alert_pos:i alert_loss:d max_loss:d lead_min:d",
+    "SELECT *, CASE WHEN predicted = 1 THEN (epoch_us(end_ts) - epoch_us(alert_ts)) / 6e7 ELSE 0.0 END AS lead_min FROM d0",
+    f"""{token_losses(1, 5, 3, 1024)}, s AS (SELECT tl.*, ls.loss FROM tl LEFT JOIN ls USING (session_id, pos) WHERE split = 'test'),
+        {detected("s", f"loss > {TOKEN_THRESHOLD}")}""",
+)
+put(
+    "n1_update_model",
+    "order:i ctx:s next:s cnt:i ctx_cnt:i rank:i",
+    "SELECT * FROM ng",
+    f"""{WEEK_X}, first AS (SELECT min(epoch_us(ts) // 86400000000) AS day FROM x WHERE split = 'train'),
+        {ngrams("split = 'train' AND epoch_us(ts) // 86400000000 > (SELECT day FROM first)")}""",
+)
