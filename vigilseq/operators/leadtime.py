@@ -253,7 +253,7 @@ def histogram(
 def ecdf(df: DataFrame, column: str) -> DataFrame:
     """Cumulative percent per distinct value."""
     counts = value_frequency(df.filter(F.col(column).isNotNull()), column)
-    placed = running_totals(counts, [], [column], {"_below": F.col("count")}, {"_n": F.sum("count")})
+    placed = running_totals(counts, [], [column], {"_below": F.col("count")}, {"_n": F.sum("count")}, summary=True)
     return placed.select(column, (100.0 * (F.col("_below") + F.col("count")) / F.col("_n")).alias("cum_pct"))
 
 

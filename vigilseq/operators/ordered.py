@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from vigilseq.sources.staging import stage
 
 CHUNK_ROWS = 65_536  # rows of one session that a look-back window holds
+SMALL_ROWS = 200_000  # rows of a summary that are ordered without ranges
 
 
 def _name(c: str | Column) -> Column:
@@ -46,6 +47,7 @@ def running_totals(
     totals: dict[str, Column] | None = None,
     previous: tuple[str, int] | None = None,
     pieces: int | None = None,
+    summary: bool = False,
 ) -> DataFrame:
     """Add per row the sum of ``running`` over the rows before it in its group.
 
@@ -54,9 +56,16 @@ def running_totals(
     is a column and a number n: its values in the n rows before become ``prev1`` (the
     nearest) to ``prevn``.  ``pieces`` is the number of ranges, by default the number
     of shuffle partitions.
+
+    ``summary`` says that ``df`` has been reduced to one row per distinct value.  It is
+    stored and counted, and up to ``SMALL_ROWS`` rows are ordered by windows at once.
     """
     keys, totals = list(keys), totals or {}
     look_back, depth = previous or ("", 0)
+    if summary:
+        df = stage(df, "summary")
+        if df.count() <= SMALL_ROWS:
+            return _by_windows(df, keys, order, running, totals, look_back, depth)
     values = {f"_v_{n}": c for n, c in running.items()}
     place = [_name(c) for c in [*keys, *order]]
     rows = df.withColumns(values)
@@ -71,6 +80,7 @@ def running_totals(
     ends = parts.groupBy("_piece").agg(F.min("_key").alias("_first"), F.max("_key").alias("_last"), last.alias("_sums"))
     ends = ends.select("_piece", "_first", "_last", *[F.col(f"_sums.{v}").alias(v) for v in values])
     along, alike = Window.orderBy("_piece"), Window.partitionBy("_last").orderBy("_piece")
+    ends = ends.coalesce(1)  # one row per piece: both windows need no more shuffles
     ends = ends.withColumns({v: F.sum(v).over(alike) for v in values})
     if depth:
         at_end = rows.join(F.broadcast(ends.select("_piece", "_last")), "_piece").filter(key.eqNullSafe(F.col("_last")))
@@ -88,8 +98,7 @@ def running_totals(
         *([F.lag("_near").over(along).alias("_near")] if depth else []),
         *[F.coalesce(F.lag(v).over(along), F.lit(0)).alias(f"_o_{n}") for n, v in zip(running, values)],
     ).filter("_goes_on")
-    # At most one row per piece: the groups that go on from the piece before.  Stored, as it is read several times.
-    offsets = stage(offsets, "offsets")
+    # At most one row per piece: the groups that go on from the piece before.
     out = rows.join(F.broadcast(offsets.withColumnRenamed("_piece", "_p")), F.col("_piece") == F.col("_p"), "left")
     goes_on = F.col("_goes_on") & key.eqNullSafe(F.col("_first"))
 
@@ -117,6 +126,16 @@ def running_totals(
     return out.select(*df.columns, *[f"prev{i}" for i in range(1, depth + 1)], *running, *totals)
 
 
+def _by_windows(
+    df: DataFrame, keys: list[str], order: Sequence[str | Column], running: dict[str, Column], totals: dict[str, Column], look_back: str, depth: int
+) -> DataFrame:
+    inside = Window.partitionBy(*keys).orderBy(*order)
+    group = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    added = {f"prev{i}": F.lag(look_back, i).over(inside) for i in range(1, depth + 1)}
+    added |= {n: _before(c, inside) for n, c in running.items()} | {n: c.over(group) for n, c in totals.items()}
+    return df.select(*df.columns, *[c.alias(n) for n, c in added.items()])
+
+
 def _reversed(c: str | Column) -> Column:
     """Descending order of a name; other columns are turned round by the caller's own descending form."""
     if not isinstance(c, str):
@@ -173,7 +192,7 @@ def quantiles(
     values = df.filter(F.col(column).isNotNull())
     counts = values.groupBy(*by, F.col(column).alias("_value")).agg(F.count(F.lit(1)).alias("_cnt"))
     placed = running_totals(
-        counts, by, ["_value"], {"_start": F.col("_cnt")}, {"_n": F.sum("_cnt")}, pieces=pieces
+        counts, by, ["_value"], {"_start": F.col("_cnt")}, {"_n": F.sum("_cnt")}, pieces=pieces, summary=pieces is None
     )
 
     def at(rank: Column) -> Column:

@@ -71,6 +71,7 @@ def prefix_counts(
         [order],
         {"b1": F.col("n1"), "b0": F.col("n0")},
         {"t1": F.sum("n1"), "t0": F.sum("n0")},
+        summary=True,
     )
 
 

@@ -18,7 +18,7 @@ BROADCAST_EVENTS = 500_000  # events of a vocabulary that are sent to every exec
 def fit_vocab(events: DataFrame) -> DataFrame:
     """Ids of the distinct events of normal rows, sorted by code point, from 3 on."""
     distinct = normal_rows(events).select("event").distinct()
-    numbered = running_totals(distinct, [], ["event"], {"at": F.lit(1)})
+    numbered = running_totals(distinct, [], ["event"], {"at": F.lit(1)}, summary=True)
     return numbered.select("event", (F.col("at") + FIRST_ID).cast("int").alias("token_id"))
 
 
@@ -36,7 +36,7 @@ def encode(positioned: DataFrame, vocab: DataFrame, add_sep: bool = False) -> Da
     With ``add_sep`` a separator stands between the events of a session, which
     needs ``n_events`` (see ``sessionize``); positions then count tokens.
     """
-    known = stage(vocab.select("event", "token_id"), "vocab")
+    known = vocab.select("event", "token_id")
     small = known.count() <= BROADCAST_EVENTS
     out = positioned.join(F.broadcast(known) if small else known, "event", "left").withColumn(
         "token_id", F.coalesce("token_id", F.lit(UNK_ID))
@@ -52,7 +52,7 @@ def encode(positioned: DataFrame, vocab: DataFrame, add_sep: bool = False) -> Da
 
 def decode(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     """Event text of each token id; unknown ids become ``<UNK>``."""
-    known = stage(with_special(vocab), "vocab")
+    known = with_special(vocab)
     small = known.count() <= BROADCAST_EVENTS
     return tokens.join(F.broadcast(known) if small else known, "token_id", "left").withColumn("event", F.coalesce("event", F.lit(UNK)))
 
@@ -64,8 +64,8 @@ def event_dictionary(events: DataFrame) -> DataFrame:
 
 def with_template(detections: DataFrame, dictionary: DataFrame, column: str) -> DataFrame:
     """Add the template of the event id in ``column``, null where it has none."""
-    named = dictionary.select(F.col("event").alias(column), F.col("template").alias(f"{column}_template"))
-    return detections.join(named, column, "left")
+    named = stage(dictionary.select(F.col("event").alias(column), F.col("template").alias(f"{column}_template")), "dictionary")
+    return detections.join(F.broadcast(named) if named.count() <= BROADCAST_EVENTS else named, column, "left")
 
 
 def event_labels(events: DataFrame) -> DataFrame:

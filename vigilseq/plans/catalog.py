@@ -15,6 +15,7 @@ from vigilseq.sources.staging import stage, staging_path
 from vigilseq.streaming import first_alert
 
 TRIALS = 1000
+FILES, RANGE_BYTES = 6, 1 << 14  # of logs written to be read back: files, and bytes of a range
 ROW_EVENTS = 65_536  # events of a session in one result row
 PERCENTS = [25, 50, 75, 90, 95, 99]
 
@@ -77,14 +78,15 @@ def s1_openstack(spark, folder):
 
 @query("s1_read_bgl")
 def s1_bgl(spark, folder):
-    """Times in whole seconds: rows of one second keep the order of the file."""
+    """Times in whole seconds: rows of one second keep the order of several files, each read in several ranges."""
     log = logs.user_log(spark, folder)
     hour = F.expr("unix_micros(ts) div 3600000000") * 3600
-    lines = log.select("session_id", hour.alias("timestamp"), "event", "label", "tiebreak").orderBy("tiebreak")
+    lines = log.select("session_id", hour.alias("timestamp"), "event", "label", "tiebreak")
+    lines = lines.repartitionByRange(FILES, "tiebreak").sortWithinPartitions("tiebreak")
     lines = lines.select(F.col("session_id").alias("node_id"), "timestamp", F.col("event").alias("EventTemplate"), "label")
     path = staging_path(spark, "bgl")
-    lines.coalesce(1).write.option("header", True).csv(path)
-    out = tables.read_events(spark, path, schema.BGL, "csv", schema.STRUCTS["bgl"])
+    lines.write.option("header", True).csv(path)
+    out = tables.read_events_in_order(spark, path, schema.BGL, schema.STRUCTS["bgl"], split_bytes=RANGE_BYTES)
     return positioned(out).select("session_id", "pos", "ts", "event", "label")
 
 
@@ -97,6 +99,34 @@ def s2(spark, folder):
     return out.groupBy("session_id").agg(*counted)
 
 
+def _flawed_lines(spark, folder):
+    """The day log as lines of CSV in which some rows lack a field, a session, a time or a label."""
+    key = F.col("tiebreak")
+    time = F.when(key % 10 == 0, F.lit("not a time")).when(key % 11 == 0, F.lit("")).otherwise(F.col("ts").cast("string"))
+    session = F.when(key % 13 == 0, F.lit("")).otherwise(F.col("session_id"))
+    label = F.when(key % 17 == 0, F.lit("2")).when(key % 19 == 0, F.lit("")).when(key % 23 == 0, F.lit("x")).otherwise(F.col("label").cast("string"))
+    more = F.when(key % 29 == 0, F.lit(",more")).otherwise(F.lit(""))
+    line = F.concat(F.concat_ws(",", session, time, F.concat(F.lit('"'), F.col("event"), F.lit(', ""k"""')), label), more)
+    path = staging_path(spark, "flawed")
+    logs.day_log(spark, folder).select(line).write.text(path)
+    return tables.read_checked(spark, path, schema.HDFS, schema.STRUCTS["hdfs"], header=False, split_bytes=RANGE_BYTES)
+
+
+@query("s2_kept_rows")
+def s2_kept(spark, folder):
+    return tables.kept_rows(_flawed_lines(spark, folder)).drop("tiebreak")
+
+
+@query("s2_rejected_rows")
+def s2_rejected(spark, folder):
+    """Rejected rows from the quarantine table, and how many there are of each reason."""
+    path = staging_path(spark, "quarantine")
+    tables.write_quarantine(_flawed_lines(spark, folder), path)
+    found = tables.read_quarantine(spark, path)
+    counts = found.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return found.join(F.broadcast(counts), "reason").select("reason", "line", "n")  # one row per reason
+
+
 @query("s3_events_from_raw")
 def s3(spark, folder):
     blocks = F.concat(F.lit("blk_"), F.col("session_id").cast("string"))
@@ -106,18 +136,18 @@ def s3(spark, folder):
 
 @query("s3_read_lines")
 def s3_lines(spark, folder):
-    """Two files of raw lines with times in whole hours, and a label file, read back in line order."""
+    """Two sets of files of raw lines with times in whole hours, and a label file, read back in line order."""
     hour = F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH:mm:ss")
     raw = logs.raw_lines(spark, folder).withColumn("text", F.concat_ws(" ", hour, "line"))
     block = F.regexp_extract("line", "blk_([0-9]+)", 1).cast("bigint")
     path = staging_path(spark, "lines")
     for part in range(2):
-        own = raw.filter(block % 2 == part).orderBy("tiebreak").select("text")
-        own.coalesce(1).write.mode("append").text(path)
+        own = raw.filter(block % 2 == part).repartitionByRange(FILES, "tiebreak").sortWithinPartitions("tiebreak")
+        own.select("text").write.text(f"{path}/half-{part}")
     blocks = F.concat(F.lit("blk_"), F.col("session_id").cast("string")).alias("BlockId")
     truth = F.when(F.col("label") == 1, "Anomaly").otherwise("Normal").alias("Label")
     sessions.session_labels(logs.user_log(spark, folder)).select(blocks, truth).write.option("header", True).csv(f"{path}-labels")
-    lines = tables.read_lines(spark, path, r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d", "yyyy-MM-dd HH:mm:ss")
+    lines = tables.read_ordered_lines(spark, path, r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d", "yyyy-MM-dd HH:mm:ss", RANGE_BYTES)
     lines = lines.withColumn("line", F.regexp_replace("line", r"^\S+ \S+ ", ""))
     labels = tables.read_labels(spark, f"{path}-labels", "BlockId", "Label")
     log = tables.events_from_raw(lines, labels, r"blk_-?[0-9]+")

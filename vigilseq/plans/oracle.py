@@ -192,6 +192,22 @@ put(
               max(ts) FILTER (tiebreak % 10 <> 0) AS last_ts FROM ev GROUP BY 1""",
     DAY,
 )
+FLAWED = f"""{DAY}, fl AS (
+  SELECT *, CASE WHEN tiebreak % 13 = 0 THEN '' ELSE session_id END AS s,
+    CASE WHEN tiebreak % 10 = 0 THEN 'not a time' WHEN tiebreak % 11 = 0 THEN '' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') ||
+      CASE WHEN epoch_us(ts) % 1000000 = 0 THEN '' ELSE '.' || rtrim(lpad((epoch_us(ts) % 1000000)::VARCHAR, 6, '0'), '0') END END AS t,
+    CASE WHEN tiebreak % 17 = 0 THEN '2' WHEN tiebreak % 19 = 0 THEN '' WHEN tiebreak % 23 = 0 THEN 'x' ELSE label::VARCHAR END AS y,
+    CASE WHEN tiebreak % 29 = 0 THEN ',more' ELSE '' END AS more FROM ev),
+  checked AS (SELECT *, s || ',' || t || ',"' || event || ', ""k""' || '"' || ',' || y || more AS line,
+    CASE WHEN more <> '' OR y = 'x' THEN 'malformed row' WHEN s = '' THEN 'no session' WHEN t = '' THEN 'no time'
+         WHEN t = 'not a time' THEN 'unreadable time' WHEN y NOT IN ('0', '1') THEN 'unknown label' END AS reason FROM fl)"""
+put(
+    "s2_kept_rows",
+    "session_id:s ts:t event:s label:i",
+    """SELECT session_id, ts, event || ', "k"' AS event, label FROM checked WHERE reason IS NULL""",
+    FLAWED,
+)
+put("s2_rejected_rows", "reason:s line:s n:i", "SELECT reason, line, count(*) OVER (PARTITION BY reason) AS n FROM checked WHERE reason IS NOT NULL", FLAWED)
 put(
     "s3_events_from_raw",
     "session_id:s tiebreak:i event:s label:i template:s",

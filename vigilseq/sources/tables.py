@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +12,9 @@ from pyspark.sql import types as T
 from vigilseq.functions.text import MASK_RULES, event_id, mask_template
 from vigilseq.operators.templates import match_templates
 from vigilseq.schema import LogSchema, canonical
+from vigilseq.sources.log_files import SPLIT_BYTES, ordered_lines
 
+CORRUPT = "_corrupt"
 DEFAULT_THRESHOLD = 5.0  # fixed value of the reference, used when no tuned one exists
 
 RESULT_FIELDS = "session_id string, label int, is_detected boolean, lead_time_minutes double, alert_loss double, final_log string"
@@ -54,6 +58,84 @@ def read_events(
     return canonical(reader.format(fmt).load(path), schema)
 
 
+def read_events_in_order(
+    spark: SparkSession,
+    path: str,
+    schema: LogSchema,
+    struct: T.StructType,
+    header: bool = True,
+    split_bytes: int = SPLIT_BYTES,
+) -> DataFrame:
+    """Event table from CSV files whose rows of equal time keep the order of files and lines.
+
+    Files are read in ranges of bytes, so a row must not hold line breaks.  With ``header``
+    the first line of every file is left out.
+    """
+    return canonical(_csv_lines(spark, path, struct, header, split_bytes).select("tiebreak", "row.*"), replace(schema, tiebreak="tiebreak"))
+
+
+def _csv_lines(spark: SparkSession, path: str, struct: T.StructType, header: bool, split_bytes: int) -> DataFrame:
+    """(file, offset, line, tiebreak, row) of CSV files; ``row`` holds the fields and ``_corrupt`` where they do not fit."""
+    lines = ordered_lines(spark, path, split_bytes).filter("line <> ''")
+    if header:
+        lines = lines.filter("offset > 0")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in struct.fields)
+    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    return lines.withColumn("row", F.from_csv("line", f"{fields}, {CORRUPT} string", options))
+
+
+def read_checked(
+    spark: SparkSession,
+    path: str,
+    schema: LogSchema,
+    struct: T.StructType,
+    header: bool = True,
+    split_bytes: int = SPLIT_BYTES,
+) -> DataFrame:
+    """Every row of CSV files as an event, with ``reason``, null where nothing is wrong, and ``file``, ``offset``, ``line``.
+
+    The first reason that holds is named: the row's fields do not fit the types or their
+    number, it has no session, no time, a time that cannot be read, or a label other than
+    0 and 1.  A row without event is kept, as events may be null.
+    """
+    rows = _csv_lines(spark, path, struct, header, split_bytes)
+    events = canonical(
+        rows.select("tiebreak", "row.*", "file", "offset", "line"), replace(schema, tiebreak="tiebreak", extra=(*schema.extra, schema.ts, CORRUPT, "file", "offset", "line"))
+    )
+    blank = lambda c: F.coalesce(F.trim(c.cast("string")), F.lit("")) == ""
+    reason = (
+        F.when(F.col(CORRUPT).isNotNull(), "malformed row")
+        .when(blank(F.col("session_id")), "no session")
+        .when(blank(F.col(schema.ts)), "no time")
+        .when(F.col("ts").isNull(), "unreadable time")
+        .when(F.col("label").isNull() | ~F.col("label").isin(0, 1), "unknown label")
+    )
+    return events.withColumn("reason", reason).drop(schema.ts, CORRUPT)
+
+
+def kept_rows(checked: DataFrame) -> DataFrame:
+    return checked.filter("reason is null").drop("reason", "file", "offset", "line")
+
+
+def rejected_rows(checked: DataFrame) -> DataFrame:
+    """(reason, file, offset, line) of the rows that are not kept, for a quarantine table."""
+    return checked.filter("reason is not null").select("reason", "file", "offset", "line")
+
+
+def write_quarantine(checked: DataFrame, path: str) -> None:
+    """Append the rejected rows, one folder per reason."""
+    rejected_rows(checked).write.partitionBy("reason").mode("append").parquet(path)
+
+
+def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("file string, offset bigint, line string, reason string").parquet(path)
+
+
+def read_ordered_lines(spark: SparkSession, path: str, ts_regex: str, ts_format: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """``read_lines`` with a ``tiebreak`` that is the order of files and lines, the same for every read."""
+    return _stamped(ordered_lines(spark, path, split_bytes), ts_regex, ts_format)
+
+
 def read_lines(spark: SparkSession, path: str, ts_regex: str, ts_format: str) -> DataFrame:
     """Raw log lines (ts, tiebreak, line); ``tiebreak`` follows the order of lines in their file.
 
@@ -61,6 +143,10 @@ def read_lines(spark: SparkSession, path: str, ts_regex: str, ts_format: str) ->
     files.  Files are read in splits, not as a whole.
     """
     rows = spark.read.text(path).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("tiebreak"))
+    return _stamped(rows, ts_regex, ts_format)
+
+
+def _stamped(rows: DataFrame, ts_regex: str, ts_format: str) -> DataFrame:
     stamp = F.nullif(F.regexp_extract("line", ts_regex, 0), F.lit(""))
     return rows.select(
         F.try_to_timestamp(stamp, F.lit(ts_format)).alias("ts"),

@@ -15,6 +15,7 @@ Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``)
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,6 +25,8 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from vigilseq.operators.model import ModelSize, score_events
+from vigilseq.operators.sessions import sessionize_with_previous
+from vigilseq.sources.staging import stage
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -130,6 +133,7 @@ def stream_first_alert(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()  # a large model is joined to its patterns and to its rows
+        batch.groupBy("session_id").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/left/batch={batch_id}")
         scored = score_events(batch, ngrams, order, k, skip, size=size)
         alerts = scored.filter((F.col("loss") > threshold) & (F.col("pos") >= skip))
         first = alerts.groupBy("session_id").agg(F.min(F.struct("pos", "ts", "event", "loss")).alias("alert"))
@@ -149,3 +153,29 @@ def read_first_alerts(spark: SparkSession, path: str) -> DataFrame:
     schema = "session_id string, alert struct<pos bigint, ts timestamp, event string, loss double>, batch bigint"
     alerts = spark.read.schema(schema).parquet(f"{path}/alerts")
     return alerts.groupBy("session_id").agg(F.min("alert").alias("alert")).select("session_id", "alert.*")
+
+
+def late_rows(spark: SparkSession, path: str, log: DataFrame, until: dt.datetime) -> DataFrame:
+    """(session_id, n_rows, n_late) of the sessions ended by ``until`` of which rows came behind the watermark.
+
+    ``log`` is the stream's input as a table.  The stream drops such rows; it writes how many
+    rows of each session left it, so the rest are late and none is unaccounted for.
+    """
+    left = spark.read.schema("session_id string, n bigint").parquet(f"{path}/left/*").groupBy("session_id").agg(F.sum("n").alias("n"))
+    ended = log.filter(F.col("session_end") <= F.lit(until)).groupBy(F.col("session_id").cast("string").alias("session_id"))
+    counts = ended.agg(F.count(F.lit(1)).alias("n_rows")).join(left, "session_id", "left")
+    late = counts.withColumn("n_late", F.col("n_rows") - F.coalesce("n", F.lit(0)))
+    return late.filter("n_late > 0").select("session_id", "n_rows", "n_late")
+
+
+def reconciled_alerts(
+    spark: SparkSession, path: str, log: DataFrame, until: dt.datetime, ngrams: DataFrame, threshold: float, order: int = 1, k: int = 5, skip: int = 3
+) -> DataFrame:
+    """First alerts of all sessions, those with late rows scored again from the whole ``log``."""
+    affected = stage(late_rows(spark, path, log, until).select("session_id"), "late")
+    rows = log.withColumn("session_id", F.col("session_id").cast("string")).join(affected, "session_id", "left_semi")
+    rows = rows.select("session_id", "ts", "tiebreak", F.coalesce("event", F.lit("")).alias("event"), F.lit(0).alias("label"))
+    scored = score_events(sessionize_with_previous(rows, order), ngrams, order, k, skip)
+    alerts = scored.filter((F.col("loss") > threshold) & (F.col("pos") >= skip))
+    again = alerts.groupBy("session_id").agg(F.min(F.struct("pos", "ts", "event", "loss")).alias("alert")).select("session_id", "alert.*")
+    return read_first_alerts(spark, path).join(affected, "session_id", "left_anti").unionByName(again)
