@@ -5,12 +5,14 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from vigilseq.llm import token_alignment
 from vigilseq.llm.catalog import QUERIES
 from vigilseq.llm.token_counts import FOLDER, load_vocabulary
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="tokenizer files not found")
+WHOLE = []  # the library's own reading of the byte-level file, loaded once
 GIVEN = "/root/testdata/sf0.001"
 
 
@@ -21,7 +23,10 @@ def tools():
 
 def whole_tokens(text, tools):
     """Ids and end offsets of both sides, the whole text encoded at once; None if the bytes differ."""
-    ids = tools.a.encode(" " + text, add_special_tokens=False).ids, tools.b.encode(text)
+    whole = Tokenizer.from_file(f"{FOLDER}/{token_alignment.BYTE_LEVEL}") if not WHOLE else WHOLE[0]
+    whole.encode_special_tokens = True
+    WHOLE[:] = [whole]
+    ids = whole.encode(" " + text, add_special_tokens=False).ids, tools.b.encode(text)
     found = []
     for own, spelled in zip(ids, (tools.a_bytes, tools.b_bytes)):
         if b"".join(spelled[i] for i in own) != (" " + text).encode():
@@ -85,6 +90,15 @@ def test_parts_are_encoded_like_the_whole(tools):
             assert tokens.ids[tokens.text == i].tolist() == (found[side][0] if found else []), repr(text)
 
 
+def test_ranks_give_the_ids_of_the_file(tools):
+    """Letters of all kinds, alone, beside digits, doubled, behind an apostrophe and before a line's end."""
+    points = [chr(c) for c in [*range(0x3000), *range(0x3000, 0x20000, 7)] if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f" a{c}b {c}{c} 1{c}2{c} {c}'s{c}\n{c}" for c in points[i : i + 500]) for i in range(0, len(points), 500)]
+    whole = Tokenizer.from_file(f"{FOLDER}/{token_alignment.BYTE_LEVEL}")
+    whole.encode_special_tokens = True
+    assert tools.a(texts) == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_overlaps_are_all_pairs_that_share_a_byte(tools):
     texts = random_texts(2, 60)
     a, b, _ = token_alignment.encode(texts, tools)

@@ -9,7 +9,7 @@ All tokens of one side of a group are linked with all of the other.
 Texts are cut at single spaces between two visible characters.  There the byte-level
 pattern starts a new word, and no piece of the other vocabulary goes on over a space (this
 is checked when it is loaded; otherwise texts are encoded whole), so the parts are encoded
-alone with the same result, each distinct one once per batch of ``words.SLICE_BYTES``.  A
+alone with the same result, each distinct one once per batch of ``SLICE_BYTES``.  A
 longer text is aligned that much at a time.
 
 A document's distinct pairs are stored with their times.  Documents per pair are a count
@@ -25,6 +25,7 @@ columns are kept, but a column named as one of the result gives way to it.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator, Sequence
@@ -34,17 +35,21 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import sentencepiece
+import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from vigilseq.llm.common import unused
-from vigilseq.llm.token_counts import FOLDER, load_vocabulary
-from vigilseq.llm.words import SLICE_BYTES, text_parts
+from vigilseq.llm.token_counts import FOLDER, PATTERN, load_vocabulary
+from vigilseq.llm.words import text_parts
 from vigilseq.sources.staging import stage
 
 BYTE_LEVEL = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
 SPACE = "▁"  # stands for a space in a piece
+SLICE_BYTES = 1 << 20  # text aligned at once, or one document
 CUT = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
 JOINED = 256  # parts encoded as one text
 LINKS = 1 << 21  # links spelled out at once
@@ -59,20 +64,35 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def byte_level_encoder(file: bytes):
+    """Function from texts to lists of ids by a byte-level vocabulary file, and the bytes of its entries.
+
+    A plain file, whose merges are numbered in their order and whose texts are cut by the
+    usual pattern, is encoded by its ranks, which gives the same ids in less time.
+    """
+    content, letters = json.loads(file), _byte_letters()
+    model, cut = content["model"], content["pre_tokenizer"] or {}
+    ids = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items()}
+    names = {i: token for token, i in ids.items()}
+    entries = [names.get(i, b"") for i in range(max(names) + 1)]
+    merged = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    plain = not content["normalizer"] and cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space")
+    plain = plain and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    if plain and merged == sorted(merged) and len(merged) + 256 == len(ids):
+        ranks = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ids, special_tokens={})
+        return lambda texts: [ranks.encode_ordinary(t) for t in texts], entries
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    whole = Tokenizer.from_str(file.decode())
+    whole.encode_special_tokens = True
+    return lambda texts: [e.ids for e in whole.encode_batch_fast(texts, add_special_tokens=False)], entries
+
+
 class Tokenizers:
     """Both tokenizers of a task, the bytes of their entries and the spellings of their ids."""
 
     def __init__(self, byte_level: bytes, pieces: bytes) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import sentencepiece
-        from tokenizers import Tokenizer
-
-        self.a = Tokenizer.from_str(byte_level.decode())
-        self.a.encode_special_tokens = True
+        self.a, self.a_bytes = byte_level_encoder(byte_level)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=pieces)
-        letters = _byte_letters()
-        entries = {i: t for t, i in self.a.get_vocab(with_added_tokens=False).items()}
-        self.a_bytes = [bytes(letters[c] for c in entries.get(i, "")) for i in range(max(entries) + 1)]
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(names)]
         self.local = not any(SPACE in p.lstrip(SPACE) for p in names)
@@ -94,19 +114,18 @@ class Tokenizers:
                 return
             at = cut.end()
 
-    def ids(self, parts: Sequence[str], inner: Sequence[bool]) -> list[tuple[np.ndarray, np.ndarray]]:
+    def ids(self, parts: Sequence[str], size: np.ndarray, inner: Sequence[bool]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per side the ids of distinct parts one after the other, and how many each part has.
 
-        ``inner`` parts begin and end at a visible character.  The byte-level tokenizer takes
+        ``size`` is a part's length in bytes with the space before it.  ``inner`` parts begin and end at a visible character.  The byte-level tokenizer takes
         ``JOINED`` of them as one text, whose tokens end where the parts end.
         """
-        size = np.array([len(p.encode()) + 1 for p in parts], np.int64)
         inside, alone = np.flatnonzero(inner), np.flatnonzero(~np.array(inner, bool))
         own = [parts[i] for i in inside]
         joined = [" " + " ".join(own[i : i + JOINED]) for i in range(0, len(own), JOINED)]
-        some = self._byte_level(joined)
+        some = _flat(self.a(joined))
         ends = np.searchsorted(np.cumsum(self.a_size[some[0]]), np.cumsum(size[inside])) + 1
-        rest = self._byte_level([" " + parts[i] for i in alone])
+        rest = _flat(self.a([" " + parts[i] for i in alone]))
         count = np.zeros(len(parts), np.int64)
         count[inside], count[alone] = np.diff(ends, prepend=0), rest[1]
         first = np.cumsum(count) - count
@@ -116,9 +135,6 @@ class Tokenizers:
         b = self.b.encode(list(parts), num_threads=1)
         return [(a, count), _flat(b)]
 
-    def _byte_level(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return _flat([e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)])
-
 
 def _flat(lists: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
     count = np.fromiter(map(len, lists), np.int64, len(lists))
@@ -166,14 +182,16 @@ def _summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def encode(texts: Sequence[str], tools: Tokenizers) -> tuple[Tokens, Tokens, np.ndarray]:
     """Tokens of both sides, and which texts their bytes give back.  Other texts and empty ones have none."""
     parts = [tools.parts(t) if t else [] for t in texts]
-    numbers: dict[str, int] = {}
-    which = np.fromiter((numbers.setdefault(p, len(numbers)) for own in parts for p in own), np.int64)
-    of = np.repeat(np.arange(len(texts)), [len(own) for own in parts])
-    names = list(numbers)
+    count = np.fromiter(map(len, parts), np.int64, len(parts))
+    names = list(dict.fromkeys(chain.from_iterable(parts)))
+    numbers = dict(zip(names, range(len(names))))
+    which = np.fromiter(map(numbers.__getitem__, chain.from_iterable(parts)), np.int64, int(count.sum()))
+    of = np.repeat(np.arange(len(texts)), count)
     outer = {p for own in parts for p in (own[:1] + own[-1:])}
-    known = tools.ids(names, [p not in outer for p in names])
-    whole = [b" " + p.encode() for p in names]
-    size = np.array([len(w) for w in whole], np.int64)
+    size = np.fromiter(map(len, map(str.encode, names)), np.int64, len(names)) + 1  # with the space
+    known = tools.ids(names, size, [p not in outer for p in names])
+    whole = "".join([" " + p for p in names]).encode()
+    starts = np.cumsum(size) - size
     kept = np.ones(len(texts), bool)
     sides = []
     for (flat, count), spelled, sizes in zip(known, (tools.a_bytes, tools.b_bytes), (tools.a_size, tools.b_size)):
@@ -181,9 +199,9 @@ def encode(texts: Sequence[str], tools: Tokenizers) -> tuple[Tokens, Tokens, np.
         ids, text = flat[_spread(first[which], times)], np.repeat(of, times)
         back = b"".join(map(spelled.__getitem__, flat.tolist()))
         bounds = np.concatenate(([0], np.cumsum(sizes[flat])))[np.append(first, len(flat))]
-        if back != b"".join(whole) or not np.array_equal(np.diff(bounds), size):
+        if back != whole or not np.array_equal(np.diff(bounds), size):
             # A part that comes back changed spoils its texts, unless the whole comes back all the same.
-            good = np.array([back[x:y] == w for x, y, w in zip(bounds, bounds[1:], whole)], bool)
+            good = np.array([back[x:y] == whole[a : a + n] for x, y, a, n in zip(bounds, bounds[1:], starts, size)], bool)
             for t in np.unique(of[~good[which]]).tolist():
                 kept[t] &= b"".join(map(spelled.__getitem__, ids[text == t].tolist())) == b" " + texts[t].encode()
         sides.append((ids, text, sizes[ids]))
@@ -206,9 +224,9 @@ def overlaps(a: Tokens, b: Tokens) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate([x[f"token_{side}"].to_numpy() for x in (of_a, of_b[later])]) for side in "ab")
 
 
-def _links(a: Tokens, b: Tokens, first_a: np.ndarray, first_b: np.ndarray, text: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _links(a: Tokens, b: Tokens, first_a: np.ndarray, first_b: np.ndarray, text: np.ndarray, height: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, pair, times) of the links of all groups, ``LINKS`` or one group at a time."""
-    n_a, n_b = np.diff(first_a), np.diff(first_b)
+    n_a, n_b, every = np.diff(first_a), np.diff(first_b), height * width
     total = np.cumsum(n_a * n_b)
     found = []
     at = 0
@@ -224,11 +242,9 @@ def _links(a: Tokens, b: Tokens, first_a: np.ndarray, first_b: np.ndarray, text:
             group = np.repeat(np.arange(at, upto), n_a[at:upto])
             reps = n_b[group]
             pair = np.repeat(a.ids[one], reps) * width + b.ids[_spread(first_b[group], reps)]
-            owner = np.repeat(text[group], reps)
-            order = np.lexsort((pair, owner))
-            pair, owner = pair[order], owner[order]
-            new = np.flatnonzero(np.concatenate(([True], (pair[1:] != pair[:-1]) | (owner[1:] != owner[:-1]))))
-            found.append((owner[new], pair[new], np.diff(np.append(new, len(pair)))))
+            keys = np.sort(np.repeat(text[group] * every, reps) + pair)
+            new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            found.append((keys[new] // every, keys[new] % every, np.diff(np.append(new, len(keys)))))
         at = upto
     if not found:
         return (np.zeros(0, np.int64),) * 3
@@ -260,7 +276,7 @@ def align(texts: Sequence[str], tools: Tokenizers) -> list[Aligned | None]:
     codes[np.arange(len(b.ids)) + first_a[group_b + 1]] = 2 * len(tools.a_bytes) + b.ids + after * len(tools.b_bytes)
     spelled = tools.spelling[codes]
 
-    owner, pair, times = _links(a, b, first_a, first_b, text, len(tools.b_bytes))
+    owner, pair, times = _links(a, b, first_a, first_b, text, len(tools.a_bytes), len(tools.b_bytes))
     n = len(texts)
     per_text = [np.bincount(a.text, minlength=n), np.bincount(b.text, minlength=n), np.bincount(text, minlength=n)]
     links = np.bincount(text, np.diff(first_a) * np.diff(first_b), n).astype(np.int64)
@@ -301,7 +317,7 @@ def align_documents(docs: DataFrame, text_col: str = "text", folder: str = FOLDE
         tools = None
         for batch in batches:
             tools = tools or Tokenizers(*files)
-            for low, high, texts in text_parts(batch.column(0)):
+            for low, high, texts in text_parts(batch.column(0), SLICE_BYTES):
                 decoded = [t.decode("utf-8", "replace") for t in texts]
                 if len(decoded) == 1 and len(texts[0]) > SLICE_BYTES:
                     found = [align_document(decoded[0], tools)]
@@ -360,8 +376,6 @@ def hashed_groups() -> Column:
 
 def document_alignment(docs: DataFrame, folder: str = FOLDER, frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) per document."""
-    import sentencepiece
-
     width = sentencepiece.SentencePieceProcessor(model_proto=load_vocabulary(folder, PIECES)).get_piece_size()
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row"))
     aligned = align_documents(rows, folder=folder).withColumn("groups_sha256", hashed_groups()).drop("groups")
