@@ -11,7 +11,7 @@ SCHEMA = "doc_id bigint, text string"
 
 
 def brute_force(rows, order):
-    """Plain trie with escapes and exclusions, byte by byte."""
+    """Plain trie with escapes and exclusions, byte by byte over the whole text."""
 
     def tokens(text):
         return [*(text or "").encode().lower().split(), b""]
@@ -21,11 +21,16 @@ def brute_force(rows, order):
 
     counts = Counter(t for key, text in rows if not held(key) for t in tokens(text))
     seen = defaultdict(Counter)
-    for word, n in counts.items():
-        text = b" " + word + b" "
-        for i in range(1, len(text)):
-            for k in range(min(i, order) + 1):
-                seen[text[i - k : i]][text[i]] += n
+
+    def stream(text):
+        return b" " + b"".join(word + b" " for word in tokens(text))
+
+    for key, text in rows:
+        if not held(key):
+            data = stream(text)
+            for i in range(1, len(data)):
+                for k in range(min(i, order) + 1):
+                    seen[data[i - k : i]][data[i]] += 1
 
     def byte(context, symbol):
         excluded, lp = set(), 0.0
@@ -45,9 +50,9 @@ def brute_force(rows, order):
                 return lp - math.log10(ppm.SYMBOLS - len(excluded))
             context = context[1:]
 
-    def word_score(word):
-        text = b" " + word + b" "
-        return sum(byte(text[max(0, i - order) : i], text[i]) for i in range(1, len(text)))
+    def text_score(text):
+        data = stream(text)
+        return sum(byte(data[max(0, i - order) : i], data[i]) for i in range(1, len(data)))
 
     n, v = sum(counts.values()), len(counts)
     out = []
@@ -55,7 +60,7 @@ def brute_force(rows, order):
         own = tokens(text)
         base = sum(math.log10((counts[t] + 0.5) / (n + 0.5 * (v + 1))) for t in own)
         known = sum(counts[t] > 0 for t in own)
-        out.append((key, held(key), len(own), known, n, base, sum(map(word_score, own))))
+        out.append((key, held(key), len(own), known, n, base, text_score(text)))
     return out
 
 
@@ -87,7 +92,39 @@ def test_scores_like_brute_force(spark, order):
 
 def test_small_chunks_give_the_same(spark):
     rows = ROWS + EDGES
-    same(scored(spark, rows, chunk_words=5, buckets=3, vocab_words=4), brute_force(rows, 3))
+    same(scored(spark, rows, chunk_words=5, buckets=3), brute_force(rows, 3))
+
+
+def test_small_steps_give_the_same(monkeypatch):
+    monkeypatch.setattr(ppm, "GRAM_BYTES", 40)
+    monkeypatch.setattr(ppm, "GRAM_ROWS", 10)
+    counts = ppm.GramCounts(5)
+    bodies = [ppm.body((text or "").encode().lower().split()) for _, text in ROWS]
+    for i, one in enumerate(bodies):
+        counts.add(one, i % 3 == 0)
+    gram, n = counts.close()
+    wanted = Counter({int(g): 0 for g in ppm.running_grams(bodies, 5)[1]})
+    wanted.update(ppm.running_grams([b for i, b in enumerate(bodies) if i % 3], 5)[1].tolist())
+    assert dict(zip(gram.tolist(), n.tolist())) == wanted
+
+
+def test_the_order_of_words_counts(spark):
+    rows = [(i, "the cat sat on the mat") for i in range(20)] + [(900, "the cat sat on the mat"), (901, "mat the on sat cat the")]
+    found = {r[0]: r for r in scored(spark, rows, 5)}
+    assert found[900][5] == found[901][5] and found[900][6] > found[901][6] + 1
+
+
+@pytest.mark.parametrize("order", range(7))
+def test_grams_reach_back_to_the_beginning(order):
+    bodies = [b"ab c ", b"", b"xyzuvw "]
+    of, gram = ppm.running_grams(bodies, order)
+    wanted = []
+    for number, one in enumerate(bodies):
+        data = b" " + one + b" "
+        for i in range(1, len(data)):
+            k = min(i, order)
+            wanted.append((number, k << ppm.LENGTH_AT | int.from_bytes(data[i - k : i + 1], "big")))
+    assert list(zip(of.tolist(), gram.tolist())) == wanted
 
 
 def test_nothing_to_learn_from_and_empty(spark):

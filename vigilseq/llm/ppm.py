@@ -1,26 +1,26 @@
-"""Document scores by prediction by partial matching over the bytes of tokens.
+"""Document scores by prediction by partial matching over the running bytes of a text.
 
-A text is read as its tokens: words in lower case, each closed by a space, then
-one empty word for its end.  The model is a trie of byte contexts.  A byte is
-predicted from the last ``order`` bytes, back to the space before its word.  If
-the context has not seen the byte, the model escapes to the context without its
-first byte, and so on, at last to all bytes not yet excluded:
+A text is read as its tokens: words in lower case, each closed by a space, then one empty
+word for its end.  The model is a trie of byte contexts.  A byte is predicted from the last
+``order`` bytes, which reach back over spaces into the words before, up to the beginning of
+the text.  If the context has not seen the byte, the model escapes to the context without
+its first byte, and so on, at last to all bytes not yet excluded:
 
 * escape estimation: a context with ``T`` bytes seen, ``D`` different ones, gives
   a seen byte ``n / (T + D)`` and the escape ``D / (T + D)``;
 * symbol exclusion: after an escape the bytes of the longer context are left out
   of ``T`` and ``D`` of the shorter one.
 
-Contexts end at the word, so a word's code length is the same wherever it stands.
-The trie is a table of (order, gram, count), built and scored by joins, with the
-scores of all (context, byte) pairs that occur.  Nothing of it is broadcast; it
-grows with the corpus.
+The trie is a table of (order, gram, count), a gram being a context and the byte after it,
+built and scored by joins, with the scores of all (context, byte) pairs that occur.  Nothing
+of it is broadcast; it grows with the corpus.
 
-Documents are cut in chunks with a bounded number of distinct words.  A chunk keeps
-word numbers with counts per document, and its word list, sorted, in ``BUCKETS`` parts by
-a hash of the word.  Only word lists are shuffled: a word that fills the corpus is one
-entry per chunk.  The lists of a bucket meet, are summed up and scored, and each chunk
-gets the counts and scores of its words back in the order it sent them.
+Documents are cut in chunks of bounded text and vocabulary.  A chunk keeps its documents as
+word numbers, its word list, sorted, in ``BUCKETS`` parts by a hash of the word, and its
+distinct grams with their counts in training texts.  Word lists and grams are shuffled, not
+positions: what fills the corpus is one entry per chunk.  The lists of a bucket meet and are
+summed up; grams are summed up, scored and joined back.  A chunk then spells its documents
+again and adds up the scores of their grams, and the smoothed frequencies of their words.
 
 Null and empty texts hold only the end token.  Documents without id are never
 held out.  Repeated ids and rows give one row each.  Columns other than id and
@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,10 +49,14 @@ LENGTH_AT = 56  # bit of a packed gram where the length of its context begins
 SYMBOLS = 256 - 6 + 1  # bytes that are not white space, and the space that closes a word
 CHUNK_WORDS = 500_000  # distinct words of a chunk
 CHUNK_BYTES = 48 << 20  # text of a chunk, or one document
+GRAM_BYTES = 2 << 20  # text whose grams are sorted at once, or one document
+GRAM_ROWS = 1 << 22  # grams of a chunk that wait to be merged
 BUCKETS = 1024  # parts of the vocabulary; one part must fit a task
-VOCAB_WORDS = 200_000  # distinct words scored at once, or those of one bucket
+DOC_BITS = 11
+DOCS_AT_ONCE = 1 << DOC_BITS  # documents whose grams are looked up at once
 
-CHUNKED = "kind int, chunk bigint, id bigint, held_out boolean, n_tokens bigint, bucket int, items binary, cnts binary"
+WORDS, DOCUMENTS, GRAMS = range(3)  # kinds of rows of a chunk
+CHUNKED = "kind int, chunk bigint, id bigint, held_out boolean, bucket int, items binary, cnts binary, gram bigint, n bigint"
 
 
 def _batch(schema: pa.Schema, rows: int, /, **columns: object) -> pa.RecordBatch:
@@ -73,63 +78,91 @@ def _schema(spec: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (part.split() for part in spec.split(","))])
 
 
+class GramCounts:
+    """Distinct grams of some texts with their counts in training texts."""
+
+    def __init__(self, order: int) -> None:
+        self.order = order
+        self.texts: dict[bool, list[bytes]] = {False: [], True: []}
+        self.size = 0
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, body: bytes, held_out: bool) -> None:
+        self.texts[held_out].append(body)
+        self.size += len(body)
+        if self.size >= GRAM_BYTES:
+            self._sort()
+
+    def _sort(self) -> None:
+        for held_out, bodies in self.texts.items():
+            if bodies:
+                gram, n = np.unique(running_grams(bodies, self.order)[1], return_counts=True)
+                self.parts.append((gram, np.zeros(len(gram), np.int64) if held_out else n))
+        self.texts, self.size = {False: [], True: []}, 0
+        if sum(len(g) for g, _ in self.parts[1:]) > GRAM_ROWS:
+            self._merge()
+
+    def _merge(self) -> None:
+        gram, n = (np.concatenate(x) for x in zip(*self.parts))
+        by = np.argsort(gram, kind="stable")
+        gram, n = gram[by], n[by]
+        first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
+        self.parts = [(gram[first], np.add.reduceat(n, first))]
+
+    def close(self) -> tuple[np.ndarray, np.ndarray]:
+        self._sort()
+        self._merge()
+        return self.parts[0]
+
+
 def chunk_documents(
-    docs: DataFrame, held_out: Column, id_col: str, text_col: str, chunk_words: int = CHUNK_WORDS, buckets: int = BUCKETS
+    docs: DataFrame, held_out: Column, id_col: str, text_col: str, order: int, chunk_words: int = CHUNK_WORDS, buckets: int = BUCKETS
 ) -> DataFrame:
-    """Rows of kind 0, the sorted words of a chunk and bucket with their counts in training texts, and of kind 1, documents.
+    """Rows of a chunk: its sorted words with their counts in training texts, a list per bucket; its documents; its grams.
 
     The words of a chunk are numbered by bucket, then by word.  A document holds the
-    differences of its sorted word numbers, and how often each occurs.
+    numbers of its words in their order; the end token is not stored.
     """
     schema = _schema(CHUNKED)
 
-    def closed(chunk: int, number: dict, rows: list) -> Iterator[pa.RecordBatch]:
+    def closed(chunk: int, number: dict, rows: list, grams: GramCounts) -> Iterator[pa.RecordBatch]:
         words = list(number)
         bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int32, len(words))
-        order = sorted(range(len(words)), key=lambda i: (bucket[i], words[i]))
+        by = sorted(range(len(words)), key=lambda i: (bucket[i], words[i]))
         place = np.empty(len(words), np.uint32)
-        place[order] = np.arange(len(words))
+        place[by] = np.arange(len(words))
         train = [ids for _, held, ids in rows if not held]
         counts = np.bincount(place[np.concatenate(train)], minlength=len(words)) if train else np.zeros(len(words), np.int64)
-        bounds = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets))
-        lists = [(b" ".join([words[i] for i in order[x:y]]), counts[x:y].astype(np.int64).tobytes()) for x, y in zip(bounds, bounds[1:])]
-        yield _batch(
-            schema,
-            len(lists),
-            kind=0,
-            chunk=chunk,
-            bucket=bucket[order][bounds[:-1]],
-            items=[x for x, _ in lists],
-            cnts=[x for _, x in lists],
-        )
+        counts[place[number[b""]]] = len(train)
+        bounds = np.flatnonzero(np.diff(bucket[by], prepend=-1, append=buckets))
+        lists = [(b" ".join([words[i] for i in by[x:y]]), counts[x:y].astype(np.int64).tobytes()) for x, y in zip(bounds, bounds[1:])]
+        items, cnts = zip(*lists)
+        yield _batch(schema, len(lists), kind=WORDS, chunk=chunk, bucket=bucket[by][bounds[:-1]], items=items, cnts=cnts)
         for at in range(0, len(rows), 5_000):
-            some = rows[at : at + 5_000]
-            items, cnts = [], []
-            for _, _, ids in some:
-                own, times = np.unique(place[ids], return_counts=True)
-                items.append(np.diff(own, prepend=np.uint32(0)).astype(np.uint32).tobytes())
-                cnts.append(times.astype(np.uint32).tobytes())
-            key, held, tokens = zip(*some)
-            yield _batch(
-                schema, len(some), kind=1, chunk=chunk, id=key, held_out=held, n_tokens=[len(t) for t in tokens], items=items, cnts=cnts
-            )
+            key, held, ids = zip(*rows[at : at + 5_000])
+            yield _batch(schema, len(key), kind=DOCUMENTS, chunk=chunk, id=key, held_out=held, items=[place[x].tobytes() for x in ids])
+        rows.clear()
+        gram, n = grams.close()
+        for at in range(0, len(gram), 200_000):
+            some = slice(at, at + 200_000)
+            yield _batch(schema, len(gram[some]), kind=GRAMS, chunk=chunk, gram=gram[some], n=n[some])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, number, rows, size = TaskContext.get().partitionId() << 24, {}, [], 0
+        chunk, number, rows, size, grams = TaskContext.get().partitionId() << 24, {b"": 0}, [], 0, GramCounts(order)
         for batch in batches:
             texts = (text for _, _, part in text_parts(batch.column(2)) for text in part)
             for key, out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts):
                 tokens = text.lower().split()
-                tokens.append(b"")
                 for word in set(tokens).difference(number):
                     number[word] = len(number)
                 rows.append((key, out, np.fromiter(map(number.__getitem__, tokens), np.uint32, len(tokens))))
+                grams.add(body(tokens), out)
                 size += len(text)
                 if len(number) >= chunk_words or size >= CHUNK_BYTES:
-                    yield from closed(chunk, number, rows)
-                    chunk, number, rows, size = chunk + 1, {}, [], 0
+                    yield from closed(chunk, number, rows, grams)
+                    chunk, number, rows, size, grams = chunk + 1, {b"": 0}, [], 0, GramCounts(order)
         if rows:
-            yield from closed(chunk, number, rows)
+            yield from closed(chunk, number, rows, grams)
 
     kept = docs.select(
         F.col(id_col).cast("bigint").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text")
@@ -137,68 +170,66 @@ def chunk_documents(
     return kept.mapInArrow(run, CHUNKED)
 
 
-def word_grams(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of each word, closing space included: the word's number and the gram.
+def body(tokens: list[bytes]) -> bytes:
+    """Words, each closed by a space; the space of the end token comes after."""
+    return b" ".join(tokens) + b" " if tokens else b""
+
 
-    A gram is its context's length, the context and the byte, packed in one integer with the byte last.
+def running_grams(bodies: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of each body and the space that ends it: the body's number and the gram.
+
+    A gram is its context's length, the context and the byte, packed in one integer with the
+    byte last.  A space before the body is its first context.
     """
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    data = np.frombuffer(b" " + b"  ".join(words) + b" ", np.uint8).astype(np.uint64)
-    starts = np.cumsum(lengths + 2) - (lengths + 2)
-    word = np.repeat(np.arange(len(words)), lengths + 1)
-    inside = np.arange(len(word)) - np.repeat(np.cumsum(lengths + 1) - (lengths + 1), lengths + 1) + 1
-    at = np.repeat(starts, lengths + 1) + inside
-    length = np.minimum(inside, order)
-    gram = data[at]
-    for back in range(1, order + 1):
-        here = length >= back
-        gram[here] |= data[at[here] - back] << np.uint64(8 * back)
-    return word, (gram | length.astype(np.uint64) << np.uint64(LENGTH_AT)).view(np.int64)
+    lengths = np.fromiter(map(len, bodies), np.int64, len(bodies)) + 1
+    data = np.frombuffer(bytes(7) + b" " + b"  ".join(bodies) + b" ", np.uint8)
+    # The eight bytes up to each place, the place's own byte last.
+    upto = np.lib.stride_tricks.as_strided(data, (len(data) - 7, 8), (1, 1)).view(">u8")[:, 0] if len(data) >= 8 else np.zeros(0, ">u8")
+    starts = np.cumsum(lengths + 1) - lengths  # the first byte after the space
+    own = np.ones(len(data) - 7, bool)
+    own[starts - 1] = False
+    gram = (upto[own].astype(np.uint64) & np.uint64((1 << 8 * (order + 1)) - 1)) | np.uint64(order << LENGTH_AT)
+    first = np.cumsum(lengths) - lengths
+    for length in range(1, order):  # bytes with less before them
+        at = first[lengths >= length] + length - 1
+        gram[at] = (gram[at] & np.uint64((1 << 8 * (length + 1)) - 1)) | np.uint64(length << LENGTH_AT)
+    return np.repeat(np.arange(len(bodies)), lengths), gram.view(np.int64)
 
 
-VOCAB = "kind int, part bigint, chunk bigint, bucket int, items binary, cnts binary, tokens bigint, types bigint, gram bigint, n bigint"
+SUMMED = "chunk bigint, bucket int, cnts binary, tokens bigint, types bigint"
 
 
-def gather_vocabulary(lists: DataFrame, order: int, vocab_words: int = VOCAB_WORDS) -> DataFrame:
-    """Add up the word lists of each bucket; some buckets make a part.
+def sum_vocabulary(lists: DataFrame) -> DataFrame:
+    """(chunk, bucket, cnts): the counts over all chunks of the words of each list, in the list's order.
 
-    Kind 0: the words of a part with their counts.  Kind 1: per word list, where its
-    words stand in the part.  Kind 2: the longest grams of a part with their counts.
+    One more row per bucket holds its ``tokens`` and distinct training words, ``types``.
     """
-    schema = _schema(VOCAB)
+    schema = _schema(SUMMED)
 
-    def closed(part: int, counts: dict, uses: list) -> Iterator[pa.RecordBatch]:
-        words, total = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
-        yield _batch(
-            schema, 1, kind=0, part=part, items=[b" ".join(words)], cnts=[total.tobytes()], tokens=int(total.sum()), types=int((total > 0).sum())
-        )
-        place = {word: i for i, word in enumerate(words)}
+    def closed(counts: dict, uses: list) -> Iterator[pa.RecordBatch]:
+        yield _batch(schema, 1, tokens=sum(counts.values()), types=sum(n > 0 for n in counts.values()))
         for at in range(0, len(uses), 1_000):
-            some = uses[at : at + 1_000]
-            found = [np.fromiter(map(place.__getitem__, names), np.uint32, len(names)).tobytes() for _, _, names in some]
-            yield _batch(schema, len(some), kind=1, part=part, chunk=[u[0] for u in some], bucket=[u[1] for u in some], items=found)
-        word, gram = word_grams(words, order)
-        distinct, which = np.unique(gram, return_inverse=True)
-        n = np.bincount(which, total[word], minlength=len(distinct)).astype(np.int64)
-        yield _batch(schema, len(distinct), kind=2, part=part, gram=distinct, n=n)
+            chunk, bucket, names = zip(*uses[at : at + 1_000])
+            found = [np.fromiter(map(counts.__getitem__, own), np.int64, len(own)).tobytes() for own in names]
+            yield _batch(schema, len(chunk), chunk=chunk, bucket=bucket, cnts=found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, counts, uses, last = TaskContext.get().partitionId() << 24, {}, [], None
+        counts, uses, last = {}, [], None
         for batch in batches:
             for chunk, bucket, items, cnts in zip(*(batch.column(c).to_pylist() for c in ("chunk", "bucket", "items", "cnts"))):
-                if bucket != last and len(counts) >= vocab_words:
-                    yield from closed(part, counts, uses)
-                    part, counts, uses = part + 1, {}, []
+                if bucket != last and uses:
+                    yield from closed(counts, uses)
+                    counts, uses = {}, []
                 last = bucket
                 names = items.split(b" ")
                 for word, n in zip(names, np.frombuffer(cnts, np.int64).tolist()):
                     counts[word] = counts.get(word, 0) + n
                 uses.append((chunk, bucket, names))
-        if counts:
-            yield from closed(part, counts, uses)
+        if uses:
+            yield from closed(counts, uses)
 
     placed = lists.select("chunk", "bucket", "items", "cnts").repartition("bucket").sortWithinPartitions("bucket")
-    return placed.mapInArrow(run, VOCAB)
+    return placed.mapInArrow(run, SUMMED)
 
 
 def trie(grams: DataFrame) -> DataFrame:
@@ -214,9 +245,9 @@ def trie(grams: DataFrame) -> DataFrame:
 
 
 def score_trie(nodes: DataFrame, order: int) -> DataFrame:
-    """(gram, lp): log10 probability of the byte after its context, for every row of a staged ``trie``.
+    """(gram, lp): log10 probability of the byte after its context, from a staged ``trie``.
 
-    Orders are scored from the shortest up.  ``lp`` is the score from this context
+    Contexts are those that bytes of a text have: full ones, and shorter ones at its beginning.  Orders are scored from the shortest up.  ``lp`` is the score from this context
     on; ``rest`` the score after it was escaped, with its bytes excluded.
     """
     context = Window.partitionBy("ctx")
@@ -259,43 +290,21 @@ def score_trie(nodes: DataFrame, order: int) -> DataFrame:
         )
         found = found.withColumn("rest", F.when(seen | (F.col("t") == 0), F.lit(0.0)).otherwise(rest)).withColumn("lp", lp)
         below = stage(found.select("gram", "n", "t", "d", "lp", "rest"), f"trie{k}")
-        tables.append(below.select(F.col("gram").bitwiseOR(F.lit(k << LENGTH_AT)).alias("gram"), "lp"))
+        reaches = F.shiftrightunsigned("gram", 8 * k).bitwiseAND(F.lit(255)) == ord(" ")
+        if k == order or k:  # a shorter context stands at the beginning of a text, after its space
+            own = below if k == order else below.filter(reaches)
+            tables.append(own.select(F.col("gram").bitwiseOR(F.lit(k << LENGTH_AT)).alias("gram"), "lp"))
     scores = tables[0]
     for table in tables[1:]:
         scores = scores.unionByName(table)
     return scores
 
 
-def score_words(vocab: DataFrame, order: int) -> DataFrame:
-    """(chunk, bucket, cnts, lps): counts and scores of the words of each word list, from a staged ``gather_vocabulary``."""
-    grams = vocab.filter("kind = 2").select("part", "gram", "n")
-    nodes = stage(trie(grams.select("gram", "n")), "trie", "k")
-    scored = grams.select(F.col("part").alias("of"), "gram").join(score_trie(nodes, order), "gram").select("of", "gram", "lp")
-
-    def attach(rows: pa.Table, found: pa.Table) -> pa.Table:
-        kind = rows.column("kind").to_numpy()
-        words = rows.filter(pa.array(kind == 0))
-        names = words.column("items")[0].as_py().split(b" ")
-        counts = np.frombuffer(words.column("cnts")[0].as_py(), np.int64)
-        word, gram = word_grams(names, order)
-        known = found.column("gram").to_numpy()
-        by = np.argsort(known)
-        lp = found.column("lp").to_numpy()[by][np.searchsorted(known[by], gram)]
-        total = np.bincount(word, lp, minlength=len(names))
-        uses = rows.filter(pa.array(kind == 1))
-        places = [np.frombuffer(x, np.uint32) for x in uses.column("items").to_pylist()]
-        return pa.table(
-            {
-                "chunk": uses.column("chunk"),
-                "bucket": uses.column("bucket"),
-                "cnts": pa.array([counts[p].tobytes() for p in places], pa.binary()),
-                "lps": pa.array([total[p].tobytes() for p in places], pa.binary()),
-            }
-        )
-
-    words = vocab.filter("kind < 2").select("kind", "part", "chunk", "bucket", "items", "cnts")
-    spec = "chunk bigint, bucket int, cnts binary, lps binary"
-    return words.groupBy("part").cogroup(scored.groupBy("of")).applyInArrow(attach, spec)
+def score_grams(grams: DataFrame, order: int) -> DataFrame:
+    """(chunk, gram, lp): scores of the staged grams (chunk, gram, n) of each chunk."""
+    total = grams.groupBy("gram").agg(F.sum("n").alias("n"))
+    nodes = stage(trie(total), "trie", "k")
+    return grams.select("chunk", "gram").join(score_trie(nodes, order), "gram").select("chunk", "gram", "lp")
 
 
 def score_documents(
@@ -306,7 +315,6 @@ def score_documents(
     order: int = ORDER,
     chunk_words: int = CHUNK_WORDS,
     buckets: int = BUCKETS,
-    vocab_words: int = VOCAB_WORDS,
 ) -> DataFrame:
     """Score every document with a model of the documents that are not ``held_out``.
 
@@ -315,39 +323,74 @@ def score_documents(
     """
     if not 0 <= order <= MAX_ORDER:
         raise ValueError(f"order must be from 0 to {MAX_ORDER}")
-    chunks = stage(chunk_documents(docs, held_out, id_col, text_col, chunk_words, buckets), "chunks", "kind")
-    vocab = stage(gather_vocabulary(chunks.filter("kind = 0"), order, vocab_words), "vocabulary", "kind")
-    size = vocab.filter("kind = 0").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
+    chunks = stage(chunk_documents(docs, held_out, id_col, text_col, order, chunk_words, buckets), "chunks", "kind")
+    summed = stage(sum_vocabulary(chunks.filter(F.col("kind") == WORDS)), "vocabulary")
+    size = summed.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     tokens, types = int(size[0]), int(size[1])
     below = float(tokens + 0.5 * (types + 1))
-    values = score_words(vocab, order).withColumnRenamed("chunk", "of")
+    scored = score_grams(chunks.filter(F.col("kind") == GRAMS).select("chunk", "gram", "n"), order)
 
-    def total(documents: pa.Table, found: pa.Table) -> pa.Table:
-        found = found.sort_by("bucket")
-        cnt = np.frombuffer(b"".join(found.column("cnts").to_pylist()), np.int64)
-        lp = np.frombuffer(b"".join(found.column("lps").to_pylist()), np.float64)
+    def total(rows: pa.Table, found: pa.Table) -> pa.Table:
+        words = found.filter(pc.is_valid(found.column("cnts"))).sort_by("bucket")
+        cnt = np.frombuffer(b"".join(words.column("cnts").to_pylist()), np.int64)
         base = np.log10((cnt + 0.5) / below)
-        known, base_score, score = [], [], []
-        for items, times in zip(documents.column("items").to_pylist(), documents.column("cnts").to_pylist()):
-            own = np.cumsum(np.frombuffer(items, np.uint32), dtype=np.int64)
-            times = np.frombuffer(times, np.uint32).astype(np.int64)
-            known.append(int(times[cnt[own] > 0].sum()))
-            base_score.append(float(base[own] @ times))
-            score.append(float(lp[own] @ times))
+        known = found.filter(pc.is_valid(found.column("gram")))
+        gram = known.column("gram").to_numpy()
+        by = np.argsort(gram)
+        gram, lp = gram[by], known.column("lp").to_numpy()[by]
+        kind = rows.column("kind")
+        lists = rows.filter(pc.equal(kind, WORDS)).sort_by("bucket")
+        names = [word for items in lists.column("items").to_pylist() for word in items.split(b" ")]
+        end = names.index(b"")
+        documents = rows.filter(pc.equal(kind, DOCUMENTS))
+        own = [np.frombuffer(x, np.uint32) for x in documents.column("items").to_pylist()]
+        # Numbers of all words, one document after the other.
+        numbers = np.concatenate(own) if own else np.zeros(0, np.uint32)
+        of = np.repeat(np.arange(len(own)), [len(x) for x in own])
+        n = len(own)
+        n_known = np.bincount(of, cnt[numbers] > 0, n).astype(np.int64) + (cnt[end] > 0)
+        base_score = np.bincount(of, base[numbers], n) + base[end]
+        score = np.zeros(n)
+        at = 0
+        while at < n:
+            bodies, size, first = [], 0, at
+            while at < n and size < GRAM_BYTES and at - first < DOCS_AT_ONCE:
+                bodies.append(body([names[i] for i in own[at].tolist()]))
+                size += len(bodies[-1])
+                at += 1
+            score[first:at] = _gram_scores(bodies, gram, lp, order)
         return pa.table(
             {
                 "id": documents.column("id"),
                 "held_out": documents.column("held_out"),
-                "n_tokens": documents.column("n_tokens"),
-                "n_known": pa.array(known, pa.int64()),
-                "train_tokens": pa.array(np.full(documents.num_rows, tokens)),
-                "base_score": pa.array(base_score, pa.float64()),
-                "score": pa.array(score, pa.float64()),
+                "n_tokens": pa.array(np.array([len(x) + 1 for x in own], np.int64)),
+                "n_known": pa.array(n_known),
+                "train_tokens": pa.array(np.full(n, tokens)),
+                "base_score": pa.array(base_score),
+                "score": pa.array(score),
             }
         )
 
-    whole = chunks.filter("kind = 1").select("chunk", "id", "held_out", "n_tokens", "items", "cnts")
-    return whole.groupBy("chunk").cogroup(values.groupBy("of")).applyInArrow(
+    whole = chunks.filter(F.col("kind") != GRAMS).select("kind", "chunk", "id", "held_out", "bucket", "items")
+    nothing = F.lit(None)
+    values = summed.filter("chunk is not null").select("chunk", "bucket", "cnts", nothing.cast("bigint").alias("gram"), nothing.cast("double").alias("lp"))
+    values = values.unionByName(scored.select("chunk", nothing.cast("int").alias("bucket"), nothing.cast("binary").alias("cnts"), "gram", "lp"))
+    return whole.groupBy("chunk").cogroup(values.withColumnRenamed("chunk", "of").groupBy("of")).applyInArrow(
         total,
         "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
     )
+
+
+def _gram_scores(bodies: list[bytes], gram: np.ndarray, lp: np.ndarray, order: int) -> np.ndarray:
+    """Sum of the scores of each body's grams, which are looked up in the order of their values."""
+    of, own = running_grams(bodies, order)
+    # Grams leave enough bits for the number of a body, so that both are sorted at once.
+    packed = own & ((1 << 8 * (order + 1)) - 1) | (own >> LENGTH_AT) << 8 * (order + 1)
+    if 8 * (order + 1) + 3 + DOC_BITS > 63:
+        return np.bincount(of, lp[np.searchsorted(gram, own)], len(bodies))
+    keys = np.sort(packed << DOC_BITS | of)
+    new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    times, keys = np.diff(np.append(new, len(keys))), keys[new]
+    own = keys >> DOC_BITS
+    own = own & ((1 << 8 * (order + 1)) - 1) | (own >> 8 * (order + 1)) << LENGTH_AT
+    return np.bincount(keys & ((1 << DOC_BITS) - 1), lp[np.searchsorted(gram, own)] * times, len(bodies))
