@@ -136,9 +136,11 @@ def _secret_sql() -> str:
     """The scan with its windows as rows; letters of the names in both cases, as its engine folds others too."""
     names = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in n) for n in ("password", "passwd", "secret", "token", "api_?key"))
     assign = secrets.ASSIGN.replace("(?i:password|passwd|secret|token|api_?key)", names).replace("'", "''")
-    allowed = " AND ".join(f"NOT regexp_matches(piece, '{p}')" for p in secrets.ALLOWED)
-    run = next(c.pattern for c in secrets.CLASSES if c.name == "entropy_base64")
+    runs = {"entropy_hex": "[A-Za-z0-9]+", "entropy_base64": next(c.pattern for c in secrets.CLASSES if c.name == "entropy_base64")}
     ctes, base, added = [], [], []
+    blanked = "piece"
+    for word in secrets.PLACEHOLDERS:
+        blanked = f"regexp_replace({blanked}, '(?i){word}', '{secrets.BLANK * len(word)}', 'g')"
 
     def found(name: str, pattern: str) -> str:
         """CTE of the matches of a pattern: (doc, start, piece)."""
@@ -156,16 +158,18 @@ def _secret_sql() -> str:
     ):
         ctes.append(found(name, pattern))
         base.append(f"SELECT doc, {kind} AS kind, start, start + length(piece) AS stop FROM {name} WHERE {more}")
-    ctes.append(found("runs", run))
     for kind, c in enumerate(secrets.CLASSES, 3):
+        ctes.append(found(c.name, runs[c.name]))
         whole = "regexp_full_match(piece, '[0-9a-fA-F]{20,}')" if c.name == "entropy_hex" else "true"
         added.append(
             f"""SELECT doc, {kind} AS kind, min(at_) AS start, max(at_) + {secrets.WINDOW} AS stop FROM (
               SELECT *, sum(opens) OVER (PARTITION BY doc, start ORDER BY at_) AS island FROM (
                 SELECT *, CASE WHEN at_ <= lag(at_) OVER (PARTITION BY doc, start ORDER BY at_) + {secrets.WINDOW} THEN 0 ELSE 1 END AS opens FROM (
-                  SELECT doc, start, start + i AS at_, piece, i FROM (SELECT doc, start, piece,
-                    unnest(range(0, length(piece) - {secrets.WINDOW - 1})) AS i FROM runs WHERE {whole} AND {allowed}) AS a) AS b
-                WHERE list_aggregate(string_split(substr(piece, i + 1, {secrets.WINDOW}), ''), 'entropy') >= {c.bits} - {secrets.TOLERANCE}) AS c) AS e
+                  SELECT doc, start, start + i AS at_, piece, i FROM (SELECT doc, start, {blanked} AS piece,
+                    unnest(range(0, length(piece) - {secrets.WINDOW - 1})) AS i FROM {c.name} WHERE {whole} AND NOT regexp_matches(piece, '{secrets.IDENTIFIER}')) AS a) AS b
+                WHERE list_aggregate(string_split(substr(piece, i + 1, {secrets.WINDOW}), ''), 'entropy') >= {c.bits} - {secrets.TOLERANCE}
+                  AND regexp_matches(substr(piece, i + 1, {secrets.WINDOW}), '[0-9]') AND regexp_matches(substr(piece, i + 1, {secrets.WINDOW}), '[A-Za-z]')
+                  AND NOT contains(substr(piece, i + 1, {secrets.WINDOW}), '{secrets.BLANK}')) AS c) AS e
             GROUP BY doc, start, island"""
         )
     label = "CASE kind " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(secrets.KINDS)) + " END"

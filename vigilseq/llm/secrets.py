@@ -5,8 +5,13 @@ To them the entropy scan adds spans: candidate strings of a character class are
 with a window of ``WINDOW`` characters.  The window's character counts are kept in an
 array; a step takes one character out, puts one in, and changes the sum of
 ``n log2 n`` by these two counts alone.  Windows with enough entropy are joined to spans.
-Candidates that match the allow list (plain words, numbers, paths of words, placeholders)
-are left out before, spans inside a span of a fixed form after.
+The allow list takes out single windows: those without a digit (words, paths of words),
+those of digits and signs alone (numbers, dates) and those that touch a placeholder word;
+the rest of their candidate is still scanned.  A candidate that is an identifier as a
+whole is left out, and so are spans inside a span of a fixed form.
+
+Candidates are read in pieces of ``PIECE`` windows, each as an array of symbols, so the work
+grows with the length of a candidate.
 
 All of it is column expressions on the row of a document: no shuffle, and no state beyond
 the row.  Texts that no pattern can match are passed over by one search per kind.
@@ -33,6 +38,7 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 
 WINDOW = 20
+PIECE = 512  # windows of a candidate that are scanned at once
 MARK = "\u0001"
 TOLERANCE = 1e-9  # rounding of the running sum
 
@@ -48,17 +54,15 @@ class CharacterClass:
 
 
 CLASSES = (
-    CharacterClass("entropy_hex", r"(?<![A-Za-z0-9+/_-])[0-9a-fA-F]{20,}(?![A-Za-z0-9+/_-])", "0123456789abcdefABCDEF", 3.0),
+    CharacterClass("entropy_hex", r"(?<![A-Za-z0-9])[0-9a-fA-F]{20,}(?![A-Za-z0-9])", "0123456789abcdefABCDEF", 3.0),
     CharacterClass(
         "entropy_base64", r"[A-Za-z0-9+/_-]{20,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 3.7
     ),
 )
-ALLOWED = (
-    r"^[^0-9]*$",  # words, also joined by signs
-    r"^[0-9_/+-]*$",  # numbers, dates
-    r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",  # identifiers that are no secrets
-    r"(?i)example|sample|placeholder|xxxx|0000",
-)
+IDENTIFIER = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"  # no secret
+PLACEHOLDERS = ("example", "sample", "placeholder")
+BLANK = "~"  # in place of a placeholder's letters; in no alphabet
+SIGNS = "+/_-"
 KINDS = ("assign", "access", "hex", *[c.name for c in CLASSES])
 
 
@@ -79,8 +83,7 @@ def _starts(lengths: Column) -> Column:
         F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / block).cast("int")),
         lambda j: total(F.slice(lengths, j * block + 1, block)),
     )
-    # A one-element transform binds a value once.
-    return F.flatten(F.transform(F.array(sums), lambda s: with_blocks(block, s)))
+    return _once(sums, lambda s: with_blocks(block, s))
 
 
 def _found(df: DataFrame, name: str, maybe: Column, pattern: str) -> DataFrame:
@@ -107,48 +110,95 @@ def _found(df: DataFrame, name: str, maybe: Column, pattern: str) -> DataFrame:
     ).drop("parts", "lengths", "starts")
 
 
-def window_spans(piece: Column, alphabet: str, bits: float, window: int = WINDOW) -> Column:
-    """Spans (begin, end) inside ``piece`` covered by windows of at least ``bits`` bits of entropy per character."""
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once; a one-element transform binds it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _grown(spans: Column, begin: Column, end: Column) -> Column:
+    """Spans with one more, joined to the last where it touches it."""
+    last = F.element_at(spans, -1)
+    own = F.struct(begin.cast("int").alias("begin"), end.cast("int").alias("end"))
+    wider = F.struct(last["begin"].alias("begin"), F.greatest(last["end"], end.cast("int")).alias("end"))
+    return (
+        F.when(F.size(spans) == 0, F.array(own))
+        .when(last["end"] >= begin, F.concat(F.slice(spans, F.lit(1), F.size(spans) - 1), F.array(wider)))
+        .otherwise(F.concat(spans, F.array(own)))
+    )
+
+
+NOTHING = -2  # leaves a window that is not full
+NO_SPANS = "cast(array() as array<struct<begin:int,end:int>>)"
+
+
+def window_spans(candidate: Column, alphabet: str, bits: float, window: int = WINDOW) -> Column:
+    """Spans (begin, end) inside ``candidate`` covered by windows of at least ``bits`` bits of entropy per character."""
+
+    def of_piece(text: Column, begin: Column) -> Column:
+        chars = F.slice(F.split(text, ""), F.lit(1), F.length(text))
+        symbols = F.transform(chars, lambda c: F.instr(F.lit(alphabet), c) - 1)
+        found = _once(symbols, lambda own: _piece_spans(own, alphabet, bits, window))
+        return F.transform(found, lambda s: F.struct((s["begin"] + begin).alias("begin"), (s["end"] + begin).alias("end")))
+
+    def of_pieces(pieces: Column) -> Column:
+        """A piece is read together with the beginning of the next, so that every window is in one piece."""
+        after = lambda i: F.left(F.coalesce(F.get(pieces, i + 1), F.lit("")), F.lit(window - 1))
+        return F.flatten(F.transform(pieces, lambda p, i: _once(F.concat(p, after(i)), lambda text: of_piece(text, i * PIECE))))
+
+    for word in PLACEHOLDERS:
+        candidate = F.regexp_replace(candidate, f"(?i){word}", BLANK * len(word))
+    spans = _once(F.regexp_extract_all(candidate, F.lit(f".{{1,{PIECE}}}"), F.lit(0)), of_pieces)
+    return F.aggregate(spans, F.expr(NO_SPANS), lambda done, s: _grown(done, s["begin"], s["end"]))
+
+
+def _piece_spans(symbols: Column, alphabet: str, bits: float, window: int) -> Column:
+    """Spans of a piece given by its symbols, -1 for a blank."""
     weights = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(window + 1)])
     most = F.lit((math.log2(window) - bits + TOLERANCE) * window)  # of the sum of n log2 n
+    zero = alphabet.index("0")
+
+    def digit(symbol: Column) -> Column:
+        return F.when((symbol >= zero) & (symbol < zero + 10), 1).otherwise(0)
+
+    def sign(symbol: Column) -> Column:
+        return F.when(symbol >= len(alphabet) - len(SIGNS), 1).otherwise(0) if alphabet.endswith(SIGNS) else F.lit(0)
 
-    def symbol(at: Column) -> Column:
-        return F.instr(F.lit(alphabet), F.substring(piece, at, 1)) - 1
+    def blank(symbol: Column) -> Column:
+        return F.when(symbol == -1, 1).otherwise(0)
 
     def step(state: Column, i: Column) -> Column:
-        into, out = symbol(i), F.when(i > window, symbol(i - window)).otherwise(F.lit(-1))
+        into = symbols[i - 1]
+        out = F.when(i > window, F.get(symbols, i - window - 1)).otherwise(F.lit(NOTHING))
 
         def moved(s: Column) -> Column:
             into, out, counts = s["into"], s["out"], s["state"]["counts"]
-            gone, come = F.when(out >= 0, counts[out]).otherwise(0), counts[into] - F.when(into == out, 1).otherwise(0)
+            gone = F.when(out >= 0, F.get(counts, out)).otherwise(0)
+            come = F.when(into >= 0, F.get(counts, into) - F.when(into == out, 1).otherwise(0)).otherwise(0)
             total = s["state"]["total"] + (weights[come + 1] - weights[come])
             total = total - F.when(out >= 0, weights[gone] - weights[gone - 1]).otherwise(0.0)
-            counts = F.transform(counts, lambda c, k: c + F.when(k == into, 1).otherwise(0) - F.when(k == out, 1).otherwise(0))
-            return F.struct(counts.alias("counts"), total.alias("total"), s["state"]["spans"].alias("spans"), s["i"].alias("i"))
+            changed = F.transform(counts, lambda c, k: c + F.when(k == into, 1).otherwise(0) - F.when(k == out, 1).otherwise(0))
+            return F.struct(
+                F.when(into == out, counts).otherwise(changed).alias("counts"),
+                total.alias("total"),
+                (s["state"]["digits"] + digit(into) - digit(out)).alias("digits"),
+                (s["state"]["signs"] + sign(into) - sign(out)).alias("signs"),
+                (s["state"]["blanks"] + blank(into) - blank(out)).alias("blanks"),
+                s["state"]["spans"].alias("spans"),
+                s["i"].alias("i"),
+            )
 
         def marked(s: Column) -> Column:
-            hit = (s["i"] >= window) & (s["total"] <= most)
-            begin = s["i"] - window
-            last = F.element_at(s["spans"], -1)
-            own = F.struct(begin.alias("begin"), s["i"].alias("end"))
-            grown = F.struct(last["begin"].alias("begin"), s["i"].alias("end"))
-            spans = (
-                F.when(~hit, s["spans"])
-                .when(F.size(s["spans"]) == 0, F.array(own))
-                .when(last["end"] >= begin, F.concat(F.slice(s["spans"], F.lit(1), F.size(s["spans"]) - 1), F.array(grown)))
-                .otherwise(F.concat(s["spans"], F.array(own)))
-            )
-            return F.struct(s["counts"].alias("counts"), s["total"].alias("total"), spans.alias("spans"))
+            plain = (s["digits"] == 0) | (s["digits"] + s["signs"] == window)
+            hit = (s["i"] >= window) & (s["total"] <= most) & ~plain & (s["blanks"] == 0)
+            spans = F.when(hit, _grown(s["spans"], s["i"] - window, s["i"])).otherwise(s["spans"])
+            return F.struct(*[s[c].alias(c) for c in ("counts", "total", "digits", "signs", "blanks")], spans.alias("spans"))
 
-        seen = F.array(F.struct(state.alias("state"), into.alias("into"), out.alias("out"), i.alias("i")))
-        return F.transform(F.transform(seen, moved), marked)[0]
+        seen = F.struct(state.alias("state"), into.alias("into"), out.alias("out"), i.alias("i"))
+        return _once(_once(seen, moved), marked)
 
-    start = F.struct(
-        F.array_repeat(F.lit(0), len(alphabet)).alias("counts"),
-        F.lit(0.0).alias("total"),
-        F.expr("cast(array() as array<struct<begin:int,end:int>>)").alias("spans"),
-    )
-    return F.aggregate(F.sequence(F.lit(1), F.length(piece)), start, step, lambda s: s["spans"])
+    none = [F.lit(0).alias(c) for c in ("digits", "signs", "blanks")]
+    start = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("total"), *none, F.expr(NO_SPANS).alias("spans"))
+    return F.aggregate(F.sequence(F.lit(1), F.size(symbols)), start, step, lambda s: s["spans"])
 
 
 def _of_kind(spans: Column, kind: int, start: str = "start", end: str = "end") -> Column:
@@ -180,7 +230,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classe
     out = out.withColumn("base", F.concat(*[_of_kind(F.col(k), i) for i, k in enumerate(KINDS[:3])]))
     added = []
     for number, c in enumerate(classes, 3):
-        secret = F.filter(c.name, lambda m: ~_any([m["piece"].rlike(p) for p in ALLOWED]))
+        secret = F.filter(c.name, lambda m: ~m["piece"].rlike(IDENTIFIER))
         spans = F.flatten(
             F.transform(
                 secret,
@@ -203,13 +253,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classe
     )
 
 
-def _any(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out | c
-    return out
-
-
 def secrets(docs: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) per document."""
     return scan(docs).select(
