@@ -65,6 +65,23 @@ def test_complete_with_the_radius_as_margin(spark, more):
     assert ordered(got) == ordered(brute_force(rows, 0.95))
 
 
+def test_other_lengths_do_not_narrow_the_search(spark):
+    """Planted pairs of short vectors are found beside one long vector and pairs of it."""
+    draw = np.random.default_rng(9)
+    rows, links = [], 0
+    for size, n in ((32, 150), (1024, 4), (7, 40)):
+        for _ in range(n):
+            one = draw.normal(size=size)
+            other = one + draw.normal(size=size) * 0.2
+            for v in (one, other):
+                rows.append((len(rows), v.astype(np.float32).tolist()))
+    wanted = brute_force(rows, 0.95)
+    links = sum(r[1] for r in wanted)
+    got = found(spark, rows)
+    assert all(g[1] <= w[1] for g, w in zip(ordered(got), ordered(wanted)))
+    assert links >= 300 and sum(r[1] for r in got) >= 0.97 * links
+
+
 def test_nothing_to_compare(spark):
     assert found(spark, []) == []
     assert found(spark, [(1, None), (2, [0.0])]) == [(1, 0, 1), (2, 0, 2)]

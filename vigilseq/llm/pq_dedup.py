@@ -16,8 +16,9 @@ Lists are numbered, and so are the blocks of lists with many vectors; a vector v
 only its own block and later ones, so each pair is looked at once.  A block reports per
 vector the number of partners and one link to its local component, never pairs.
 
-Centres and codewords come from a sample of at most ``SAMPLE`` vectors; their number is
-bounded (``MAX_LISTS``, 256 per subspace), and every vector is indexed.
+Vectors of each length have lists, codewords and a margin of their own.  Centres and
+codewords come from a sample of at most ``SAMPLE`` vectors and ``SAMPLE_NUMBERS`` numbers;
+their number is bounded (``MAX_LISTS``, 256 per subspace), and every vector is indexed.
 
 Vectors that are null, empty, zero or hold null or non-finite numbers link with nothing;
 nor do vectors of different length, or without id.  Repeated rows count as vectors of
@@ -41,6 +42,7 @@ from vigilseq.sources.staging import stage
 
 COSINE = 0.95
 SAMPLE = 16_384
+SAMPLE_NUMBERS = 1 << 21  # numbers in the vectors of a sample
 MAX_LISTS = 4_096
 SUBSPACE = 4  # numbers per byte of code
 BLOCK_ROWS = 2_048
@@ -88,29 +90,27 @@ def train(sample: np.ndarray, lists: int) -> Index:
     return Index(centres, words, np.ones(len(centres), np.int64))
 
 
-def units(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors in double precision, padded with zeros to ``size``, and the vectors' own lengths."""
+def units(column: pa.Array, size: int) -> np.ndarray:
+    """Unit vectors of one length in double precision, padded with zeros to ``size``."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    lengths = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    out = np.zeros((len(lengths), size))
-    row = np.repeat(np.arange(len(lengths)), lengths)
-    place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    out[row, place] = column.flatten().to_numpy(zero_copy_only=False)
+    numbers = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    out = np.zeros((len(column), size))
+    out[:, : numbers.shape[1]] = numbers
     out /= np.abs(out).max(axis=1, keepdims=True)  # no overflow in the square
-    return out / np.sqrt((out**2).sum(1, keepdims=True)), lengths
+    return out / np.sqrt((out**2).sum(1, keepdims=True))
 
 
-def probes(vectors: np.ndarray, index: Index, margin: float) -> tuple[np.ndarray, np.ndarray]:
-    """Own list of each vector, and which lists are near enough to visit."""
+def probes(vectors: np.ndarray, index: Index, margin: float, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Own list of each vector, and which lists are near enough to visit; ``apart`` are the distances between the lists."""
     gap = (index.centres.astype(np.float64) ** 2).sum(1)[None, :] - 2 * vectors @ index.centres.T
     own = gap.argmin(1)
-    apart = np.sqrt(np.maximum(_between(index.centres)[own], 1e-12))
-    return own, (gap - gap[np.arange(len(own)), own][:, None]) / (2 * apart) <= margin
+    return own, (gap - gap[np.arange(len(own)), own][:, None]) / (2 * apart[own]) <= margin
 
 
-def _between(centres: np.ndarray) -> np.ndarray:
+def distances(centres: np.ndarray) -> np.ndarray:
+    """Distance of each two centres, never quite zero; computed once per task."""
     square = (centres.astype(np.float64) ** 2).sum(1)
-    return np.maximum(square[:, None] + square[None, :] - 2 * centres.astype(np.float64) @ centres.T, 0)
+    return np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * centres.astype(np.float64) @ centres.T, 1e-12))
 
 
 def encode(rest: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,12 +149,13 @@ def _placed(nodes: DataFrame, index: Index, margin: float) -> DataFrame:
     names = ["list", "block", "base", "node", "times", "vector"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        apart = distances(index.centres)
         for batch in batches:
             if not batch.num_rows:
                 continue
             node = batch.column(0).to_numpy()
-            vectors, _ = units(batch.column(2), index.size)
-            own, visited = probes(vectors, index, margin)
+            vectors = units(batch.column(2), index.size)
+            own, visited = probes(vectors, index, margin, apart)
             visited &= np.arange(len(index.centres))[None, :] > own[:, None]
             block = np.abs(node) % index.blocks[own]
             row, to = np.nonzero(visited)
@@ -192,14 +193,13 @@ def _links(placed: DataFrame, index: Index, cosine: float) -> DataFrame:
         order = np.concatenate((np.flatnonzero(is_base), np.flatnonzero(~is_base)))
         n = int(is_base.sum())
         node, times = rows.column("node").to_numpy()[order], rows.column("times").to_numpy()[order]
-        vectors, lengths = units(rows.column("vector"), index.size)
-        vectors, lengths = vectors[order], lengths[order]
         if not n:
             return None
+        vectors = units(rows.column("vector"), index.size)[order]
         centre = index.centres[rows.column("list")[0].as_py()].astype(np.float64)
         links, root = np.zeros(len(node), np.int64), np.arange(len(node))
         for _, row, column in compare(vectors, vectors[:n], centre, index.words, cosine):
-            real = (row != column) & (lengths[row] == lengths[column])
+            real = row != column
             row, column = row[real], column[real]
             links += np.bincount(row, times[column], minlength=len(node)).astype(np.int64)
             query = row >= n  # pairs inside the block come from both sides
@@ -214,6 +214,33 @@ def _links(placed: DataFrame, index: Index, cosine: float) -> DataFrame:
     return sorted_rows.mapInArrow(run, "node bigint, links bigint, root bigint")
 
 
+def _links_of_length(
+    nodes: DataFrame, length: int, count: int, cosine: float, margin: float | None, lists: int | None, block_rows: int, sample: int
+) -> DataFrame:
+    """``_links`` of the ``count`` distinct vectors (node, times, vector) of one length, with lists, codes and margin of their own."""
+    size = -(-length // SUBSPACE) * SUBSPACE
+    radius = math.sqrt(max(0.0, 2 - 2 * cosine))
+    margin = DEVIATIONS * radius / math.sqrt(length) if margin is None else margin
+
+    drawn = nodes.orderBy(F.xxhash64("vector")).limit(max(1, min(sample, SAMPLE_NUMBERS // size))).select("vector").toArrow().column(0)
+    index = train(units(drawn, size).astype(np.float32), min(MAX_LISTS, lists or math.isqrt(count)))
+
+    def own_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        apart = distances(index.centres)
+        for batch in batches:
+            if batch.num_rows:
+                own, _ = probes(units(batch.column(0), size), index, margin, apart)
+                held = np.bincount(own, minlength=len(index.centres))
+                yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(held)), pa.array(held[held > 0])], ["list", "n"])
+
+    held = nodes.select("vector").mapInArrow(own_lists, "list bigint, n bigint").groupBy("list").agg(F.sum("n").alias("n"))
+    blocks = np.ones(len(index.centres), np.int64)
+    for row in held.collect():  # at most MAX_LISTS
+        blocks[row["list"]] = max(1, -(-row["n"] // block_rows))
+    index = Index(index.centres, index.words, blocks)
+    return _links(_placed(nodes, index, margin), index, cosine)
+
+
 def near_vectors(
     vectors: DataFrame,
     id_col: str = "vec_id",
@@ -233,30 +260,13 @@ def near_vectors(
     distinct = rows.filter("vector is not null").groupBy("vector").agg(F.count(F.lit(1)).alias("times"), F.min("id").alias("least"))
     nodes = stage(distinct.select(F.monotonically_increasing_id().alias("node"), "times", "vector", "least"), "vectors")
 
-    count, longest = nodes.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
-    if not count:
-        return rows.select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
-    size = -(-longest // SUBSPACE) * SUBSPACE
-    radius = math.sqrt(max(0.0, 2 - 2 * cosine))
-    margin = DEVIATIONS * radius / math.sqrt(longest) if margin is None else margin
-
-    drawn = nodes.orderBy(F.xxhash64("vector")).limit(sample).select("vector").toArrow().column(0)
-    index = train(units(drawn, size)[0].astype(np.float32), min(MAX_LISTS, lists or math.isqrt(count)))
-
-    def own_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                own, _ = probes(units(batch.column(0), size)[0], index, margin)
-                held = np.bincount(own, minlength=len(index.centres))
-                yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(held)), pa.array(held[held > 0])], ["list", "n"])
-
-    held = nodes.select("vector").mapInArrow(own_lists, "list bigint, n bigint").groupBy("list").agg(F.sum("n").alias("n"))
-    blocks = np.ones(len(index.centres), np.int64)
-    for row in held.collect():  # at most MAX_LISTS
-        blocks[row["list"]] = max(1, -(-row["n"] // block_rows))
-    index = Index(index.centres, index.words, blocks)
-
-    found = stage(_links(_placed(nodes.select("node", "times", "vector"), index, margin), index, cosine), "links")
+    found = None
+    for length, count in sorted(map(tuple, nodes.groupBy(F.size("vector")).count().filter("count > 1").collect())):  # a row per length
+        own = nodes.filter(F.size("vector") == length).select("node", "times", "vector")
+        links = stage(_links_of_length(own, length, count, cosine, margin, lists, block_rows, sample), "links")
+        found = links if found is None else found.unionByName(links)
+    if found is None:
+        found = nodes.limit(0).select("node", F.col("times").alias("links"), F.col("node").alias("root"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     joined = nodes.join(links, "node", "left").join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
