@@ -112,3 +112,17 @@ def test_held_out_accuracy(spark):
     hidden = docs.filter("doc_id % 2 = 1").withColumnRenamed("lang", "true").selectExpr("*", "cast(null as string) as lang")
     found = language.identify(language.document_evidence(hidden, "doc_id", "true"), languages, model).collect()
     assert sum(r["lang"] == r["true"] for r in found) >= 0.97 * len(found)
+
+
+def test_rare_languages_and_texts_with_many_copies(spark):
+    """A language of one row is known beside many others, and copies of one text do not fill the sample."""
+    rows = [(f"lorva {i} mintel", "aa") for i in range(300)] + [("ßtark wöhn", "bb")] * 600 + [(f"wöhn zilpf {i}", "bb") for i in range(30)] + [("ñoqui", "cc")]
+    languages, model = language.train(spark.createDataFrame(rows, "text string, label string"), sample=30)
+    assert languages == ["aa", "bb", "cc"] and model.shape[1] == 4
+    once, again = (language.train(spark.createDataFrame(x, "text string, label string"), sample=30)[1] for x in (rows, sorted(set(rows))))
+    assert np.array_equal(once, again)
+
+
+def test_no_labels(spark):
+    languages, model = language.train(spark.createDataFrame([("a", None)], "text string, label string"))
+    assert languages == [] and model.shape[1] == 1

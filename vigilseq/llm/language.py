@@ -7,7 +7,8 @@
 * Host: how often a language was best by text on the host, smoothed by its domain, which
   is smoothed by the whole table; the row's own vote is left out.
 
-The trigram model is fitted on at most ``SAMPLE`` labelled rows, drawn by hash.  All other
+The languages are the labels of all rows.  The trigram model is fitted on at most ``SAMPLE``
+distinct labelled texts, equally many of each language at most, drawn by hash.  All other
 counts are grouped aggregations over all rows: likelihoods of the declared language and
 of the suffix given the language, and the host priors.  They are written tables of one
 row per value, sent to the executors when small and joined otherwise.
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilseq.llm.common import look_up
@@ -32,7 +33,7 @@ from vigilseq.llm.words import text_parts
 from vigilseq.sources.staging import stage
 
 UNKNOWN = "und"
-SAMPLE = 20_000  # labelled rows that the trigram model is fitted on
+SAMPLE = 20_000  # distinct labelled texts that the trigram model is fitted on
 MAX_LANGUAGES = 256
 SLOTS = 1 << 16  # hashed trigrams
 ADD = 0.05  # smoothing of a slot
@@ -58,10 +59,17 @@ def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages, and log probabilities (slots, languages + 1), from rows (text, label)."""
+    flat = np.full((SLOTS, 1), -np.log(SLOTS))
     rows = labelled.filter("label is not null").withColumn("_draw", F.xxhash64("text", "label"))
-    last = rows.select("_draw").orderBy("_draw").limit(sample).agg(F.max("_draw")).first()[0]
-    if last is None:
-        return [], np.full((SLOTS, 1), -np.log(SLOTS), np.float32)
+    known = [r["label"] for r in rows.select("label").distinct().limit(MAX_LANGUAGES + 1).collect()]
+    if len(known) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages among the labels")
+    if not known:
+        return [], flat.astype(np.float32)
+    # The least hashes of each language; equal texts are one draw, however often they occur.
+    order = Window.partitionBy("label").orderBy("_draw")
+    draws = rows.select("label", "_draw").distinct().withColumn("_rank", F.row_number().over(order))
+    last = draws.filter(F.col("_rank") <= max(1, sample // len(known))).groupBy("label").agg(F.max("_draw").alias("_last"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -76,19 +84,17 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndar
             slots = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([label] * len(slots)), pa.array(slots), pa.array(own[slots])], ["label", "slot", "n"])
 
-    drawn = rows.filter(F.col("_draw") <= last).select("label", "text")
+    drawn = rows.join(F.broadcast(last), "label").filter(F.col("_draw") <= F.col("_last"))  # one row per language
+    drawn = drawn.groupBy("label", "_draw").agg(F.first("text").alias("text")).select("label", "text")
     counted = drawn.mapInArrow(count, "label string, slot bigint, n bigint").groupBy("label", "slot").agg(F.sum("n").alias("n"))
     table = counted.toArrow()  # at most slots x languages
-    languages = sorted(set(table.column("label").to_pylist()))
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages among the labels")
+    languages = sorted(known)
     number = {name: i for i, name in enumerate(languages)}
     counts = np.zeros((SLOTS, len(languages)))
     at = [number[x] for x in table.column("label").to_pylist()]
     counts[table.column("slot").to_numpy(), at] = table.column("n").to_numpy()
-    flat = np.full((SLOTS, 1), -np.log(SLOTS))
-    known = np.log((counts + ADD) / (counts.sum(0) + ADD * SLOTS))
-    return languages, np.concatenate((known, flat), axis=1).astype(np.float32)
+    fitted = np.log((counts + ADD) / (counts.sum(0) + ADD * SLOTS))
+    return languages, np.concatenate((fitted, flat), axis=1).astype(np.float32)
 
 
 def text_likelihoods(rows: DataFrame, model: np.ndarray) -> DataFrame:
