@@ -100,3 +100,29 @@ def test_the_state_store_is_asked_for(spark, session):
     )
     with pytest.raises(ValueError):
         first_alert.stream_contexts(stream, 1, "1 hour")
+
+
+def test_sessions_with_late_rows_are_reconciled(spark, session, tmp_path):
+    """Rows behind the watermark leave the stream's result; all are counted, and their sessions are scored again."""
+    rows = log_rows()
+    batch = spark.createDataFrame(rows, EVENTS)
+    contexts = sessions.with_previous(sessions.sessionize(batch), 1)
+    ngrams = stage(model.fit_next_event(contexts.filter("session_label = 0"), 1))
+    wanted = detect.detect_threshold(model.score_events(contexts, ngrams, 1, skip=3), 2.0, 3).filter("predicted = 1")
+    wanted = sorted((r["session_id"], r["alert_pos"], r["alert_event"]) for r in wanted.collect())
+
+    source, result = str(tmp_path / "in"), str(tmp_path / "out")
+    late = [r for r in rows if r[0] in ("s0", "s1") and r[2] in (1, 4)]
+    parts = [[r for r in rows if r not in late and r[2] < 8], [r for r in rows if r[2] >= 8], late, [("end", START + dt.timedelta(days=2), 0, "a", 0)]]
+    for part in parts:
+        spark.createDataFrame(ending(part, 1), STREAM).coalesce(1).write.mode("append").parquet(source)
+        stream = session.readStream.schema(STREAM).parquet(source)
+        query = first_alert.stream_first_alert(stream, ngrams, 2.0, result, skip=3, watermark="1 minute", availableNow=True)
+        query.awaitTermination()
+    log = spark.createDataFrame(ending(rows, 1), STREAM)
+    until = START + dt.timedelta(days=1)
+    counts = first_alert.late_rows(spark, result, log, until)
+    assert sorted(map(tuple, counts.collect())) == [("s0", 10, 2), ("s1", 10, 2)]
+    raw = sorted((r["session_id"], r["pos"], r["event"]) for r in first_alert.read_first_alerts(spark, result).collect())
+    found = first_alert.reconciled_alerts(spark, result, log, until, ngrams, 2.0, skip=3)
+    assert sorted((r["session_id"], r["pos"], r["event"]) for r in found.collect()) == wanted != raw
