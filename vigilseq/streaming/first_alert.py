@@ -30,6 +30,7 @@ from vigilseq.sources.staging import stage
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+SLOT_MS = 60_000  # waiting rows that are stored together
 STREAM_COLUMNS = ["session_id", "ts", "tiebreak", "event", "session_end"]
 
 
@@ -39,50 +40,70 @@ def _context_schema(order: int) -> str:
 
 
 class InOrder(StatefulProcessor):
-    """Rows of one session in time order, with position and the ``order`` events before."""
+    """Rows of one session in time order, with position and the ``order`` events before.
+
+    Waiting rows are kept by slots of ``SLOT_MS``, so a micro-batch reads and writes only the
+    slots that it adds rows to and those that the watermark has reached.
+    """
 
     def __init__(self, order: int) -> None:
         self.order = order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "micros bigint, tie bigint, event string")
-        self.open = handle.getValueState("open", "pos bigint, ends bigint, recent array<string>")
+        self.waiting = handle.getMapState("waiting", "slot bigint", "micros array<bigint>, tie array<bigint>, event array<string>")
+        self.open = handle.getValueState("open", "pos bigint, ends bigint, recent array<string>, slots array<bigint>")
+
+    def _session(self) -> tuple[int, int | None, list[str], set[int]]:
+        pos, ends, recent, slots = self.open.get() if self.open.exists() else (0, None, [], [])
+        return pos, ends, list(recent), set(slots)
+
+    def _rows(self, slot: int) -> list[tuple[int, int, str]]:
+        return list(zip(*self.waiting.getValue((slot,))))
+
+    def _keep(self, slot: int, rows: list[tuple[int, int, str]]) -> None:
+        self.waiting.updateValue((slot,), tuple(map(list, zip(*rows))))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        ends = None
+        pos, ends, recent, slots = self._session()
+        new: dict[int, list[tuple[int, int, str]]] = {}
         for pdf in rows:
             micros = pdf["ts"].to_numpy("datetime64[us]").astype("int64").tolist()
-            self.waiting.appendList(list(zip(micros, pdf["tiebreak"].tolist(), pdf["event"].tolist())))
-            ends = int(pdf["session_end"].to_numpy("datetime64[us]").astype("int64").max() // 1000)
-        pos, known, recent = self.open.get() if self.open.exists() else (0, None, [])
-        self.open.update((pos, ends if known is None else max(known, ends or known), list(recent)))
-        yield from self._leave(key[0], timerValues.getCurrentWatermarkInMs())
+            for row in zip(micros, pdf["tiebreak"].tolist(), pdf["event"].tolist()):
+                new.setdefault(row[0] // (1000 * SLOT_MS), []).append(row)
+            last = int(pdf["session_end"].to_numpy("datetime64[us]").astype("int64").max() // 1000)
+            ends = last if ends is None else max(ends, last)
+        for slot, own in new.items():
+            self._keep(slot, self._rows(slot) + own if slot in slots else own)
+        yield from self._leave(key[0], timerValues.getCurrentWatermarkInMs(), pos, ends, recent, slots | set(new))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._leave(key[0], timerValues.getCurrentWatermarkInMs())
+        if self.open.exists():  # rows of the same micro-batch may have ended the session before
+            yield from self._leave(key[0], timerValues.getCurrentWatermarkInMs(), *self._session())
 
-    def _leave(self, session: str, mark: int) -> Iterator[pd.DataFrame]:
+    def _leave(self, session: str, mark: int, pos: int, ends: int | None, recent: list[str], slots: set[int]) -> Iterator[pd.DataFrame]:
         """Emit what the watermark has passed; set the next timer, or forget an ended session."""
-        pos, ends, recent = self.open.get()
-        recent, ready, rest = list(recent), [], []
-        for row in sorted(tuple(r) for r in self.waiting.get()):
-            (ready if row[0] // 1000 < mark else rest).append(row)
-        out = []
-        for micros, _, event in ready:
-            out.append((session, pos, micros, event, *[recent[-i] if len(recent) >= i else None for i in range(1, self.order + 1)]))
-            pos, recent = pos + 1, (recent + [event])[-self.order :] if self.order else []
-        if rest:
-            if ready:
-                self.waiting.put(rest)
-        else:
-            self.waiting.clear()
-        if rest or ends is None or ends >= mark:
-            self.open.update((pos, ends, recent))
-            due = rest[0][0] // 1000 + 1 if rest else ends + 1
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(max(due, mark + 1))
+        out, due = [], None
+        for slot in sorted(slots):
+            if slot * SLOT_MS >= mark:
+                due = slot * SLOT_MS + 1
+                break
+            rows = sorted(self._rows(slot))
+            rest = [row for row in rows if row[0] // 1000 >= mark]
+            for micros, _, event in rows[: len(rows) - len(rest)]:
+                out.append((session, pos, micros, event, *[recent[-i] if len(recent) >= i else None for i in range(1, self.order + 1)]))
+                pos, recent = pos + 1, (recent + [event])[-self.order :] if self.order else []
+            if rest:
+                self._keep(slot, rest)
+                due = rest[0][0] // 1000 + 1
+                break
+            self.waiting.removeKey((slot,))
+            slots.discard(slot)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if slots or ends is None or ends >= mark:
+            self.open.update((pos, ends, recent, sorted(slots)))
+            self.handle.registerTimer(max(ends + 1 if due is None else due, mark + 1))
         else:
             self.open.clear()
         if out:
