@@ -77,6 +77,50 @@ def test_edge_rows(spark):
     assert mixing.replicate(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def plain_replicate(rows, hashes, seed=17):
+    """(doc_id, copy_no, rate) by plain sums and inversion; ``hashes`` are the engine's, by (part, id)."""
+    sizes = {}
+    for _, text, source in rows:
+        sizes[source] = sizes.get(source, 0) + len((text or "").encode())
+    weights = {s: n**mixing.TEMPERING for s, n in sizes.items()}
+    total, out = sum(sizes.values()), []
+    for key, _, source in rows:
+        rate = weights[source] / sum(weights.values()) * total / sizes[source]
+        parts = max(1, math.ceil(rate / mixing.MOST_PER_DRAW))
+        times = 0
+        for part in range(1, parts + 1):
+            uniform = (((hashes[part, key] % 2**64) >> 11) + 0.5) / 2**53
+            p = reached = math.exp(-rate / parts)
+            k = 0
+            while reached < uniform:
+                k += 1
+                p *= rate / parts / k
+                reached += p
+                times += 1
+        out += [(key, copy, rate) for copy in range(times)]
+    return out
+
+
+def test_equals_a_plain_version(spark):
+    rows = [(i, f"text {i} " * (1 + i % 5), "hot" if i % 3 else f"s{i % 40}") for i in range(900)] + [(900 + i, "x", "tiny") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    hashed = docs.select("doc_id", *[F.xxhash64(F.lit(part), F.lit(17), "doc_id", F.xxhash64("text")).alias(str(part)) for part in range(1, 200)])
+    hashes = {(part, r["doc_id"]): r[str(part)] for r in hashed.collect() for part in range(1, 200)}
+    got = sorted(tuple(r) for r in mixing.replicate(docs).select("doc_id", "copy_no", "rate").collect())
+    wanted = sorted(plain_replicate(rows, hashes))
+    assert [g[:2] for g in got] == [w[:2] for w in wanted]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in wanted])
+
+
+@pytest.mark.parametrize("limit", [100, 0])
+def test_columns_keep_their_values(spark, limit):
+    names = ["_source", "_salt", "_of", "_text", "_times", "_place", "_Text_"]
+    docs = spark.createDataFrame([(1, "some text", "a", *names)], ["doc_id", "text", "source", *names])
+    found = mixing.replicate(docs, spark.createDataFrame([("a", 1.0)], ["source", "weight"]), broadcast_sources=limit, seed=3)
+    assert found.columns == [*docs.columns, "copy_no", "rate"]
+    assert all([r[n] for n in names] == names for r in found.collect()) and found.count()
+
+
 def test_no_python_on_the_executors(docs):
     plan = mixing.replicate(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

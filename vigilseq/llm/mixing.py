@@ -24,6 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigilseq.llm.common import unused
 from vigilseq.sources.staging import stage
 
 TEMPERING = 0.7  # default target: shares to this power
@@ -87,20 +88,18 @@ def replicate(
 ) -> DataFrame:
     """Every document as often as it was drawn, with ``copy_no`` from 0 and the ``rate`` of its source."""
     names = [c for c in docs.columns if c not in ("copy_no", "rate")]
-    rates = stage(source_rates(docs, weights, source_col, text_col).select(F.col("source").alias("_source"), "rate"), "rates")
-    rows = docs.select(*names)
-    same = rows[source_col].eqNullSafe(rates["_source"])
+    of_rate, salt, of, hashed, times, place = (unused(c, names) for c in ("_source", "_salt", "_of", "_text", "_times", "_place"))
+    rates = stage(source_rates(docs, weights, source_col, text_col).select(F.col("source").alias(of_rate), "rate"), "rates")
+    rows = docs.select(*[docs[f"`{c}`"] for c in names])
+    same = rows[source_col].eqNullSafe(rates[of_rate])
     if rates.count() <= broadcast_sources:
         rated = rows.join(F.broadcast(rates), same)
     else:
-        salt = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(SALTS)).cast("int")
-        rows = rows.withColumn("_salt", salt)
-        spread = rates.withColumn("_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rated = rows.join(spread, rows[source_col].eqNullSafe(spread["_source"]) & (rows["_salt"] == spread["_of"]))
-    drawn = rated.withColumn("_text", F.xxhash64(text_col))
-    times = poisson(F.col("rate"), [F.lit(seed), F.col(id_col), F.col("_text")]).cast("int")
-    copies = drawn.withColumn("_times", times).filter("_times > 0")
-    copies = copies.withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
-    place = F.xxhash64(F.lit(seed + 1), id_col, "_text", "copy_no")
-    shuffled = copies.withColumn("_place", place).repartition("_place").sortWithinPartitions("_place")
-    return shuffled.select(*names, "copy_no", "rate")
+        rows = rows.withColumn(salt, F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(SALTS)).cast("int"))
+        spread = rates.withColumn(of, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rated = rows.join(spread, rows[source_col].eqNullSafe(spread[of_rate]) & (rows[salt] == spread[of]))
+    drawn = rated.withColumn(hashed, F.xxhash64(text_col))
+    copies = drawn.withColumn(times, poisson(F.col("rate"), [F.lit(seed), F.col(id_col), F.col(hashed)]).cast("int"))
+    copies = copies.filter(F.col(times) > 0).withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col(times) - 1)))
+    shuffled = copies.withColumn(place, F.xxhash64(F.lit(seed + 1), id_col, hashed, "copy_no"))
+    return shuffled.repartition(place).sortWithinPartitions(place).select(*[F.col(f"`{c}`") for c in names], "copy_no", "rate")
