@@ -100,3 +100,28 @@ def test_staged_tables_go_to_the_named_folder(spark, skewed):
     staged = staging.stage(skewed)
     assert all(named in f for f in staged.inputFiles())
     assert rows_of(staged) == rows_of(skewed)
+
+
+def test_small_tables_are_ordered_at_once_with_the_same_result(spark, skewed, tmp_path):
+    """A table that the optimizer knows to be small is not ranged; its rows are those of the ranged path."""
+    path = str(tmp_path / "log")
+    skewed.write.parquet(path)
+    small = spark.read.parquet(path)
+    assert ordered.estimated_bytes(small) < ordered.SMALL_BYTES < ordered.estimated_bytes(skewed)
+    arguments = (["session_id"], ["ts", "tiebreak"], {"at": F.lit(1), "errors": F.col("label")}, {"n": F.count(F.lit(1))}, ("event", 3))
+    at_once = ordered.running_totals(small, *arguments, small_bytes=ordered.SMALL_BYTES)
+    assert "_piece" not in at_once._jdf.queryExecution().toString()
+    ranged = ordered.running_totals(small, *arguments, pieces=7)
+    assert rows_of(at_once.select(ranged.columns)) == rows_of(ranged)
+
+
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_summaries_are_ordered_either_way(spark, skewed, monkeypatch, limit):
+    monkeypatch.setattr(ordered, "SMALL_ROWS", limit)
+    counts = skewed.groupBy("event").agg(F.count(F.lit(1)).alias("n"))
+    found = ordered.running_totals(counts, [], ["event"], {"before": F.col("n")}, {"all": F.sum("n")}, summary=True)
+    total, wanted = 0, []
+    for event, n in rows_of(counts):
+        wanted.append((event, n, total, 600))
+        total += n
+    assert rows_of(found) == wanted

@@ -23,6 +23,7 @@ from vigilseq.sources.staging import stage
 
 CHUNK_ROWS = 65_536  # rows of one session that a look-back window holds
 SMALL_ROWS = 200_000  # rows of a summary that are ordered without ranges
+SMALL_BYTES = 32 << 20  # estimated size of a log whose largest group may be one task's work
 
 
 def _name(c: str | Column) -> Column:
@@ -48,6 +49,7 @@ def running_totals(
     previous: tuple[str, int] | None = None,
     pieces: int | None = None,
     summary: bool = False,
+    small_bytes: int = 0,
 ) -> DataFrame:
     """Add per row the sum of ``running`` over the rows before it in its group.
 
@@ -59,6 +61,8 @@ def running_totals(
 
     ``summary`` says that ``df`` has been reduced to one row per distinct value.  It is
     stored and counted, and up to ``SMALL_ROWS`` rows are ordered by windows at once.
+    So is a ``df`` of at most ``small_bytes`` by the optimizer's estimate, unless the number
+    of pieces is given.
     """
     keys, totals = list(keys), totals or {}
     look_back, depth = previous or ("", 0)
@@ -66,6 +70,8 @@ def running_totals(
         df = stage(df, "summary")
         if df.count() <= SMALL_ROWS:
             return _by_windows(df, keys, order, running, totals, look_back, depth)
+    if small_bytes and pieces is None and estimated_bytes(df) <= small_bytes:
+        return _by_windows(df, keys, order, running, totals, look_back, depth)
     values = {f"_v_{n}": c for n, c in running.items()}
     place = [_name(c) for c in [*keys, *order]]
     rows = df.withColumns(values)
@@ -126,6 +132,11 @@ def running_totals(
     return out.select(*df.columns, *[f"prev{i}" for i in range(1, depth + 1)], *running, *totals)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Size of a frame by the statistics of its plan; nothing is run."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def _by_windows(
     df: DataFrame, keys: list[str], order: Sequence[str | Column], running: dict[str, Column], totals: dict[str, Column], look_back: str, depth: int
 ) -> DataFrame:

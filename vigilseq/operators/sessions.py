@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vigilseq.functions.numeric import minutes_between
 from vigilseq.operators.ordered import (
     CHUNK_ROWS,
+    SMALL_BYTES,
     chunk_window,
     drop_halo,
     running_totals,
@@ -20,7 +21,7 @@ from vigilseq.schema import EVENT_ORDER
 
 def with_position(events: DataFrame, pieces: int | None = None) -> DataFrame:
     """0-based position of each event in its session, by (ts, tiebreak)."""
-    return running_totals(events, ["session_id"], EVENT_ORDER, {"pos": F.lit(1)}, pieces=pieces)
+    return running_totals(events, ["session_id"], EVENT_ORDER, {"pos": F.lit(1)}, pieces=pieces, small_bytes=SMALL_BYTES)
 
 
 def sessionize(events: DataFrame) -> DataFrame:
@@ -41,6 +42,7 @@ def sessionize_with_previous(events: DataFrame, order: int, pieces: int | None =
         {"session_label": F.max("label"), "n_events": F.count(F.lit(1)), "_untimed": F.count_if(F.col("ts").isNull())},
         ("event", order),
         pieces,
+        small_bytes=SMALL_BYTES,
     )
     return (out.filter("_untimed = 0") if timed else out).drop("_untimed")
 
@@ -175,7 +177,7 @@ def pack_blocks(tokens: DataFrame, block: int, buckets: int) -> DataFrame:
     lengths = tokens.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_tokens"))
     lengths = lengths.withColumn("bucket", hash_bucket(F.col("session_id"), buckets))
     starts = running_totals(
-        lengths, ["bucket"], ["session_id"], {"start": F.col("n_tokens")}, {"total": F.sum("n_tokens")}
+        lengths, ["bucket"], ["session_id"], {"start": F.col("n_tokens")}, {"total": F.sum("n_tokens")}, small_bytes=SMALL_BYTES
     )
     placed = tokens.join(starts.select("session_id", "bucket", "start", "total"), "session_id")
     at = F.col("start") + F.col("pos")
@@ -216,7 +218,7 @@ def with_previous(positioned: DataFrame, order: int, chunk_rows: int = CHUNK_ROW
 
 def order_check(events: DataFrame, ordinal: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Sessions whose input order (by ``ordinal``) is not time order, with the number of steps back."""
-    numbered = running_totals(events, ["session_id"], [ordinal], {"pos": F.lit(1)})
+    numbered = running_totals(events, ["session_id"], [ordinal], {"pos": F.lit(1)}, small_bytes=SMALL_BYTES)
     out = with_halo(numbered, back=1, chunk_rows=chunk_rows)
     out = drop_halo(out.withColumn("_before", F.lag("ts").over(chunk_window())))
     return (
@@ -249,13 +251,13 @@ def gap_sessions(events: DataFrame, key: str, gap_seconds: int) -> DataFrame:
             F.max("label").alias("slot_label"),
         )
     )
-    numbered = running_totals(slots, [key], ["slot"], {"pos": F.lit(1)})
+    numbered = running_totals(slots, [key], ["slot"], {"pos": F.lit(1)}, small_bytes=SMALL_BYTES)
     halo = with_halo(numbered, back=1, keys=[key])
     halo = drop_halo(halo.withColumn("_hi", F.lag("hi").over(chunk_window([key]))))
     pause = F.unix_micros("lo") - F.unix_micros("_hi")
     opens = F.when(F.col("_hi").isNull() | (pause > gap_seconds * 1_000_000), 1).otherwise(0)
     marked = halo.withColumn("_opens", opens)
-    marked = running_totals(marked, [key], ["slot"], {"_earlier": F.col("_opens")})
+    marked = running_totals(marked, [key], ["slot"], {"_earlier": F.col("_opens")}, small_bytes=SMALL_BYTES)
     return (
         marked.withColumn("gap_no", F.col("_earlier") + F.col("_opens") - 1)
         .groupBy(key, "gap_no")
