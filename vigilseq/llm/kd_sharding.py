@@ -78,7 +78,8 @@ def kd_shards(rows: DataFrame, size: Column, dimensions: Sequence[str], shards:
     placed = running_totals(nodes.select("_kd_row", "_kd_first"), ["_kd_first"], ["_kd_row"], {"_kd_slot": F.lit(1).cast("bigint")})
     added = {"shard": "_kd_first", "slot": "_kd_slot", "size": "_kd_size"}
     kept = [c for c in rows.columns if c not in added]
-    return table.join(placed, "_kd_row").select(*kept, *[F.col(c).alias(name) for name, c in added.items()])
+    # As many rows on both sides at every size, so neither is ever sent to all executors.
+    return table.join(placed.hint("merge"), "_kd_row").select(*kept, *[F.col(c).alias(name) for name, c in added.items()])
 
 
 def _cut(nodes: DataFrame, axes: list[str]) -> DataFrame:
