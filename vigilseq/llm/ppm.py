@@ -49,8 +49,8 @@ LENGTH_AT = 56  # bit of a packed gram where the length of its context begins
 SYMBOLS = 256 - 6 + 1  # bytes that are not white space, and the space that closes a word
 CHUNK_WORDS = 500_000  # distinct words of a chunk
 CHUNK_BYTES = 48 << 20  # text of a chunk, or one document
-GRAM_BYTES = 2 << 20  # text whose grams are sorted at once, or one document
-GRAM_ROWS = 1 << 22  # grams of a chunk that wait to be merged
+GRAM_BYTES = 1 << 20  # text whose grams are sorted at once, or one document
+GRAM_ROWS = 1 << 21  # grams of a chunk that wait to be merged
 BUCKETS = 1024  # parts of the vocabulary; one part must fit a task
 DOC_BITS = 11
 DOCS_AT_ONCE = 1 << DOC_BITS  # documents whose grams are looked up at once
