@@ -55,10 +55,10 @@ def count_grams(contexts: DataFrame, order: int = 1, by: Sequence[str] = ()) ->
 
 def rank_grams(counts: DataFrame) -> DataFrame:
     """Model table from the counts of all contexts."""
-    sums = counts.groupBy("order", "ctx").agg(F.sum("cnt").alias("ctx_cnt"))
     likeliest = Window.partitionBy("order", "ctx").orderBy(F.desc("cnt"), "next")
+    whole = likeliest.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # The window holds the successors of a context: at most the vocabulary.
-    return counts.join(sums, ["order", "ctx"]).withColumn("rank", F.row_number().over(likeliest))
+    return counts.withColumns({"ctx_cnt": F.sum("cnt").over(whole), "rank": F.row_number().over(likeliest)})
 
 
 def fit_next_event(contexts: DataFrame, order: int = 1) -> DataFrame:
