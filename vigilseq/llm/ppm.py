@@ -50,7 +50,7 @@ SYMBOLS = 256 - 6 + 1  # bytes that are not white space, and the space that clos
 CHUNK_WORDS = 500_000  # distinct words of a chunk
 CHUNK_BYTES = 48 << 20  # text of a chunk, or one document
 GRAM_BYTES = 1 << 20  # text whose grams are sorted at once, or one document
-GRAM_ROWS = 1 << 21  # grams of a chunk that wait to be merged
+GRAM_ROWS = 1 << 20  # grams of a chunk that wait to be merged
 BUCKETS = 1024  # parts of the vocabulary; one part must fit a task
 DOC_BITS = 11
 DOCS_AT_ONCE = 1 << DOC_BITS  # documents whose grams are looked up at once
@@ -97,15 +97,17 @@ class GramCounts:
         for held_out, bodies in self.texts.items():
             if bodies:
                 gram, n = np.unique(running_grams(bodies, self.order)[1], return_counts=True)
-                self.parts.append((gram, np.zeros(len(gram), np.int64) if held_out else n))
+                self.parts.append((gram, np.zeros(len(gram), np.int32) if held_out else n.astype(np.int32)))
         self.texts, self.size = {False: [], True: []}, 0
         if sum(len(g) for g, _ in self.parts[1:]) > GRAM_ROWS:
             self._merge()
 
     def _merge(self) -> None:
-        gram, n = (np.concatenate(x) for x in zip(*self.parts))
-        by = np.argsort(gram, kind="stable")
-        gram, n = gram[by], n[by]
+        gram = np.concatenate([g for g, _ in self.parts])
+        by = np.argsort(gram, kind="stable")  # runs that are sorted already are only merged
+        gram = gram[by]
+        n = np.concatenate([n for _, n in self.parts])[by]
+        self.parts = []
         first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
         self.parts = [(gram[first], np.add.reduceat(n, first))]
 
@@ -126,26 +128,33 @@ def chunk_documents(
     schema = _schema(CHUNKED)
 
     def closed(chunk: int, number: dict, rows: list, grams: GramCounts) -> Iterator[pa.RecordBatch]:
-        words = list(number)
+        words = sorted(number)
         bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int32, len(words))
-        by = sorted(range(len(words)), key=lambda i: (bucket[i], words[i]))
+        by = np.argsort(bucket, kind="stable")  # by bucket, then by word
         place = np.empty(len(words), np.uint32)
-        place[by] = np.arange(len(words))
-        train = [ids for _, held, ids in rows if not held]
-        counts = np.bincount(place[np.concatenate(train)], minlength=len(words)) if train else np.zeros(len(words), np.int64)
-        counts[place[number[b""]]] = len(train)
+        place[np.fromiter(map(number.__getitem__, words), np.int64, len(words))[by]] = np.arange(len(words))
+        end = place[number[b""]]
+        number.clear()
+        counts = np.zeros(len(words), np.int64)
+        for _, held, ids in rows:
+            if not held:
+                np.add.at(counts, place[ids], 1)
+                counts[end] += 1
         bounds = np.flatnonzero(np.diff(bucket[by], prepend=-1, append=buckets))
-        lists = [(b" ".join([words[i] for i in by[x:y]]), counts[x:y].astype(np.int64).tobytes()) for x, y in zip(bounds, bounds[1:])]
-        items, cnts = zip(*lists)
-        yield _batch(schema, len(lists), kind=WORDS, chunk=chunk, bucket=bucket[by][bounds[:-1]], items=items, cnts=cnts)
-        for at in range(0, len(rows), 5_000):
-            key, held, ids = zip(*rows[at : at + 5_000])
+        items = [b" ".join([words[i] for i in by[x:y].tolist()]) for x, y in zip(bounds, bounds[1:])]
+        cnts = [counts[x:y].tobytes() for x, y in zip(bounds, bounds[1:])]
+        del words
+        yield _batch(schema, len(items), kind=WORDS, chunk=chunk, bucket=bucket[by][bounds[:-1]], items=items, cnts=cnts)
+        del items, cnts
+        for at in range(0, len(rows), 2_000):
+            key, held, ids = zip(*rows[at : at + 2_000])
             yield _batch(schema, len(key), kind=DOCUMENTS, chunk=chunk, id=key, held_out=held, items=[place[x].tobytes() for x in ids])
         rows.clear()
         gram, n = grams.close()
-        for at in range(0, len(gram), 200_000):
-            some = slice(at, at + 200_000)
+        for at in range(0, len(gram), 50_000):
+            some = slice(at, at + 50_000)
             yield _batch(schema, len(gram[some]), kind=GRAMS, chunk=chunk, gram=gram[some], n=n[some])
+        pa.default_memory_pool().release_unused()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, number, rows, size, grams = TaskContext.get().partitionId() << 24, {b"": 0}, [], 0, GramCounts(order)
@@ -334,36 +343,36 @@ def score_documents(
         words = found.filter(pc.is_valid(found.column("cnts"))).sort_by("bucket")
         cnt = np.frombuffer(b"".join(words.column("cnts").to_pylist()), np.int64)
         base = np.log10((cnt + 0.5) / below)
-        known = found.filter(pc.is_valid(found.column("gram")))
-        gram = known.column("gram").to_numpy()
-        by = np.argsort(gram)
-        gram, lp = gram[by], known.column("lp").to_numpy()[by]
+        known = found.select(["gram", "lp"])
+        known = known.filter(pc.is_valid(known.column("gram"))).sort_by("gram")
+        gram, lp = known.column("gram").to_numpy(), known.column("lp").to_numpy()
+        del known, words
         kind = rows.column("kind")
         lists = rows.filter(pc.equal(kind, WORDS)).sort_by("bucket")
         names = [word for items in lists.column("items").to_pylist() for word in items.split(b" ")]
         end = names.index(b"")
         documents = rows.filter(pc.equal(kind, DOCUMENTS))
-        own = [np.frombuffer(x, np.uint32) for x in documents.column("items").to_pylist()]
-        # Numbers of all words, one document after the other.
-        numbers = np.concatenate(own) if own else np.zeros(0, np.uint32)
-        of = np.repeat(np.arange(len(own)), [len(x) for x in own])
-        n = len(own)
-        n_known = np.bincount(of, cnt[numbers] > 0, n).astype(np.int64) + (cnt[end] > 0)
-        base_score = np.bincount(of, base[numbers], n) + base[end]
-        score = np.zeros(n)
+        items = documents.column("items").to_pylist()
+        n = len(items)
+        n_tokens, n_known, base_score, score = np.ones(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
         at = 0
         while at < n:
-            bodies, size, first = [], 0, at
+            own, size, first = [], 0, at
             while at < n and size < GRAM_BYTES and at - first < DOCS_AT_ONCE:
-                bodies.append(body([names[i] for i in own[at].tolist()]))
-                size += len(bodies[-1])
+                own.append(np.frombuffer(items[at], np.uint32))
+                size += 8 * len(own[-1])  # a word and its space, about
                 at += 1
-            score[first:at] = _gram_scores(bodies, gram, lp, order)
+            here = slice(first, at)
+            n_tokens[here] += [len(x) for x in own]
+            numbers, of = np.concatenate(own), np.repeat(np.arange(len(own)), n_tokens[here] - 1)
+            n_known[here] = np.bincount(of, cnt[numbers] > 0, len(own)) + (cnt[end] > 0)
+            base_score[here] = np.bincount(of, base[numbers], len(own)) + base[end]
+            score[here] = _gram_scores([body([names[i] for i in x.tolist()]) for x in own], gram, lp, order)
         return pa.table(
             {
                 "id": documents.column("id"),
                 "held_out": documents.column("held_out"),
-                "n_tokens": pa.array(np.array([len(x) + 1 for x in own], np.int64)),
+                "n_tokens": pa.array(n_tokens),
                 "n_known": pa.array(n_known),
                 "train_tokens": pa.array(np.full(n, tokens)),
                 "base_score": pa.array(base_score),
