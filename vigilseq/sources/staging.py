@@ -57,11 +57,11 @@ def scope(name: str) -> Iterator[None]:
         _scope.pop()
 
 
-def stage(df: DataFrame, name: str = "table", partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and return the written table."""
+def stage(df: DataFrame, name: str = "table", partition_by: str | None = None, compression: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and return the written table; ``compression`` is by default the session's."""
     spark = df.sparkSession
     path = staging_path(spark, name)
-    df.write.parquet(path, partitionBy=partition_by)
+    df.write.parquet(path, partitionBy=partition_by, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
