@@ -332,7 +332,7 @@ def score_documents(
     """
     if not 0 <= order <= MAX_ORDER:
         raise ValueError(f"order must be from 0 to {MAX_ORDER}")
-    chunks = stage(chunk_documents(docs, held_out, id_col, text_col, order, chunk_words, buckets), "chunks", "kind")
+    chunks = stage(chunk_documents(docs, held_out, id_col, text_col, order, chunk_words, buckets), "chunks", "kind", "zstd")
     summed = stage(sum_vocabulary(chunks.filter(F.col("kind") == WORDS)), "vocabulary")
     size = summed.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     tokens, types = int(size[0]), int(size[1])
