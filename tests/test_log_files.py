@@ -40,6 +40,49 @@ def test_files_in_the_order_of_their_names(spark, tmp_path):
     assert log_files.ordered_lines(spark, f"file://{tmp_path}/a.log", 2).rdd.getNumPartitions() == 2
 
 
+class Counted(io.BytesIO):
+    """A file that counts the bytes read from it."""
+
+    n_read = 0
+
+    def read(self, size=-1):
+        block = super().read(size)
+        self.n_read += len(block)
+        return block
+
+
+def test_small_ranges_read_little_behind_their_end():
+    file, split = Counted(b"a line of a log, as long as others\n" * 60_000), 1 << 14
+    size = len(file.getvalue())
+    for start in range(0, size, split):
+        assert sum(len(o) for o, _ in log_files.lines_of(file, start, min(start + split, size))) > 0
+    assert file.n_read < 3 * size
+
+
+def test_a_line_over_many_ranges_is_read_once():
+    file, split = Counted(b"x" * 4_000_000 + b"\nlast\n"), 1 << 14
+    size, found = len(file.getvalue()), []
+    for start in range(0, size, split):
+        for offsets, _ in log_files.lines_of(file, start, min(start + split, size)):
+            found += offsets
+    assert found == [0, 4_000_001] and file.n_read < 4 * size
+
+
+def test_ranges_do_not_grow_in_number(spark, tmp_path):
+    """Ten times the log has as many ranges, and as many files of rejected rows; large ranges stay as asked for."""
+    found = []
+    for name, n in (("small", 2_000), ("large", 20_000)):
+        (tmp_path / f"{name}.csv").write_text("".join(f"s{i},2024-01-01 00:00:01,a,{i % 3}\n" for i in range(n)))
+        checked = tables.read_checked(spark, str(tmp_path / f"{name}.csv"), schema.HDFS, schema.STRUCTS["hdfs"], header=False, split_bytes=1 << 11)
+        tables.write_quarantine(checked, str(tmp_path / name))
+        rejected = tables.read_quarantine(spark, str(tmp_path / name))
+        assert rejected.count() == n // 3
+        found.append((checked.rdd.getNumPartitions(), len(rejected.inputFiles())))
+    assert found[0] == found[1]
+    assert log_files.range_bytes(1 << 40, log_files.SPLIT_BYTES, 8) == log_files.range_bytes(100, log_files.SPLIT_BYTES, 8) == log_files.SPLIT_BYTES
+    assert log_files.range_bytes(1 << 40, 1 << 14, 8) == log_files.SPLIT_BYTES and log_files.range_bytes(100, 1 << 14, 8) == 1 << 14
+
+
 def test_what_cannot_be_read(spark, tmp_path):
     with pytest.raises(Exception, match="missing"):
         log_files.ordered_lines(spark, str(tmp_path / "missing")).collect()

@@ -3,7 +3,8 @@
 A partition is a range of bytes of one file.  A line belongs to the range in which it
 begins, so any split gives the same rows (file_no, offset, line): the file's number in the
 order of paths, and the line's first byte.  Both together are the order of a log that was
-rotated over files whose names sort by time.
+rotated over files whose names sort by time.  Small ranges grow with the log, so that their
+number, and that of the files written from them, does not.
 
 Files are opened through Arrow's file systems (local and shared folders, HDFS, S3, GCS).
 Compressed files cannot be split and are refused; read them with ``tables.read_lines``.
@@ -24,6 +25,9 @@ FORMAT = "ordered_lines"
 SCHEMA = "file string, file_no bigint, offset bigint, line string"
 SPLIT_BYTES = 128 << 20
 READ_BYTES = 4 << 20
+TAIL_BYTES = 1 << 14  # read at a time to find the end of a range's last line
+RANGES_PER_CORE = 4
+MAX_RANGES = 1 << 20  # where the reader is not told how many cores there are
 COMPRESSED = (".gz", ".bz2", ".zst", ".xz", ".lz4", ".snappy")
 OFFSET_BITS = 43  # a file has up to 8 TiB, and there are up to a million files
 
@@ -54,17 +58,23 @@ def log_files(path: str) -> list[tuple[str, int]]:
     return sorted((f.path, f.size) for f in visible)
 
 
+def range_bytes(total: int, split_bytes: int, ranges: int) -> int:
+    """Bytes of a range: ``split_bytes``, or more, up to ``SPLIT_BYTES``, where files of ``total`` bytes have over ``ranges`` of them."""
+    return max(split_bytes, min(SPLIT_BYTES, -(-total // ranges)))
+
+
 def lines_of(file, start: int, end: int, read_bytes: int = READ_BYTES) -> Iterator[tuple[list[int], list[bytes]]]:
     """Offsets and lines, a block at a time, of the lines that begin in ``[start, end)``.
 
-    Lines end at a line feed; a carriage return before it is left out.
+    Lines end at a line feed; a carriage return before it is left out.  Behind the range
+    only the rest of its last line is read.
     """
     at = max(0, start - 1)  # the byte before tells whether a line begins at ``start``
     file.seek(at)
     skip = start > 0
     held = b""
     while at < end or held:
-        block = file.read(read_bytes)
+        block = file.read(min(read_bytes, max(end - at - len(held), len(held), TAIL_BYTES)))
         data = held + block
         if not data:
             return
@@ -75,6 +85,8 @@ def lines_of(file, start: int, end: int, read_bytes: int = READ_BYTES) -> Iterat
         if skip and lines:
             at += len(lines.pop(0)) + 1
             skip = False
+        if skip and at + len(held) >= end:
+            return  # no line begins in the range
         offsets, kept = [], []
         for line in lines:
             if at >= end:
@@ -90,13 +102,14 @@ def lines_of(file, start: int, end: int, read_bytes: int = READ_BYTES) -> Iterat
 
 
 class LineReader(DataSourceReader):
-    def __init__(self, path: str, split_bytes: int) -> None:
-        self.path, self.split_bytes = path, split_bytes
+    def __init__(self, path: str, split_bytes: int, ranges: int) -> None:
+        self.path, self.split_bytes, self.ranges = path, split_bytes, ranges
 
     def partitions(self) -> Sequence[InputPartition]:
-        ranges = []
-        for number, (file, size) in enumerate(log_files(self.path)):
-            ranges += [Range(file, number, at, min(at + self.split_bytes, size)) for at in range(0, size, self.split_bytes)]
+        files, ranges = log_files(self.path), []
+        step = range_bytes(sum(size for _, size in files), self.split_bytes, self.ranges)
+        for number, (file, size) in enumerate(files):
+            ranges += [Range(file, number, at, min(at + step, size)) for at in range(0, size, step)]
         return ranges or [Range("", 0, 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
@@ -120,11 +133,16 @@ class OrderedLines(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> LineReader:
-        return LineReader(self.options["path"], int(self.options.get("splitbytes", SPLIT_BYTES)))
+        split_bytes = int(self.options.get("splitbytes", SPLIT_BYTES))
+        return LineReader(self.options["path"], split_bytes, int(self.options.get("ranges", MAX_RANGES)))
 
 
 def ordered_lines(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """(file, file_no, offset, line, tiebreak) of the files under a path; ``tiebreak`` is the order of files and lines."""
+    """(file, file_no, offset, line, tiebreak) of the files under a path; ``tiebreak`` is the order of files and lines.
+
+    Ranges have ``split_bytes`` as long as there are at most ``RANGES_PER_CORE`` of them for a core, see ``range_bytes``.
+    """
     spark.dataSource.register(OrderedLines)
-    rows = spark.read.format(FORMAT).option("splitBytes", split_bytes).load(path)
+    ranges = RANGES_PER_CORE * spark.sparkContext.defaultParallelism
+    rows = spark.read.format(FORMAT).options(splitBytes=split_bytes, ranges=ranges).load(path)
     return rows.withColumn("tiebreak", F.shiftleft("file_no", OFFSET_BITS) + F.col("offset"))
