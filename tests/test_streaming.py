@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +127,103 @@ def test_sessions_with_late_rows_are_reconciled(spark, session, tmp_path):
     raw = sorted((r["session_id"], r["pos"], r["event"]) for r in first_alert.read_first_alerts(spark, result).collect())
     found = first_alert.reconciled_alerts(spark, result, log, until, ngrams, 2.0, skip=3)
     assert sorted((r["session_id"], r["pos"], r["event"]) for r in found.collect()) == wanted != raw
+
+
+class Store:
+    """State of one group in memory, which counts the exchanges with it."""
+
+    def __init__(self):
+        self.calls, self.value, self.map, self.timers = 0, None, {}, set()
+
+    def getMapState(self, *_):
+        return self
+
+    def getValueState(self, *_):
+        return Value(self)
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.map[key]
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.map[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self.map[key]
+
+    def registerTimer(self, timer):
+        self.calls += 1
+        self.timers.add(timer)
+
+    def deleteTimer(self, timer):
+        self.calls += 1
+        self.timers.discard(timer)
+
+
+class Value:
+    def __init__(self, store):
+        self.store = store
+
+    def get(self):
+        self.store.calls += 1
+        return self.store.value
+
+    def update(self, value):
+        self.store.calls += 1
+        self.store.value = value
+
+    def clear(self):
+        self.store.calls += 1
+        self.store.value = None
+
+
+class Mark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def minutes(n):
+    return pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=n)
+
+
+def test_a_call_exchanges_little_with_the_state_store():
+    """Many sessions with rows minutes apart: exchanges do not grow with rows or sessions."""
+    store, steps = Store(), first_alert.InOrder(2)
+    steps.init(store)
+    rows = [(f"s{i % 50}", minutes(i), i, f"e{i}", minutes(1000)) for i in range(500)]
+    pdf = pd.DataFrame(rows, columns=first_alert.STREAM_COLUMNS)
+    assert list(steps.handleInputRows((0,), iter([pdf]), Mark(0))) == []
+    (out,) = steps.handleExpiredTimer((0,), Mark(minutes(400).value // 10**6), None)
+    assert len(out) == 400 and store.calls < 20
+    assert out[out.session_id == "s7"]["prev2"].tolist() == [None, None, *[f"e{i}" for i in range(7, 307, 50)]]
+
+
+@pytest.mark.parametrize("piece_rows", [1, 7, 4096])
+def test_pieces_of_waiting_rows_give_every_row_once_in_order(monkeypatch, piece_rows):
+    monkeypatch.setattr(first_alert, "PIECE_ROWS", piece_rows)
+    store, steps, found = Store(), first_alert.InOrder(1), []
+    steps.init(store)
+    wanted = [(f"s{i % 9}", minutes(i * 37 % 300), i, f"e{i}", minutes(200 + 40 * (i % 9))) for i in range(300)]
+    marks = [minutes(m).value // 10**6 for m in range(-60, 700, 30)]
+    for n, mark in enumerate(marks):
+        now = minutes(30 * n)
+        part = [r for r in wanted if now <= r[1] + pd.Timedelta(minutes=r[2] % 60) < now + pd.Timedelta(minutes=30)]
+        if part:
+            pdf = pd.DataFrame(part, columns=first_alert.STREAM_COLUMNS)
+            found += steps.handleInputRows((0,), iter([pdf]), Mark(mark))
+        for timer in [t for t in store.timers if t <= mark]:
+            found += steps.handleExpiredTimer((0,), Mark(mark), None)
+            store.deleteTimer(timer)
+        assert all(len(piece[0]) <= piece_rows for piece in store.map.values())
+    out = pd.concat(found)
+    for s in range(9):
+        own = sorted((r for r in wanted if r[0] == f"s{s}"), key=lambda r: (r[1], r[2]))
+        got = out[out.session_id == f"s{s}"]
+        assert got["pos"].tolist() == list(range(len(own))) and got["event"].tolist() == [r[3] for r in own]
+        assert got["prev1"].tolist() == [None, *[r[3] for r in own[:-1]]]
+    assert store.value is None and not store.map and not store.timers
