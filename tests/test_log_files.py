@@ -126,3 +126,15 @@ def test_rejected_rows_name_their_reason(spark, tmp_path):
     tables.write_quarantine(checked, path)
     assert tables.read_quarantine(spark, path).count() == len(bad)
     assert kept.count() + rejected.count() == len(good) + len(bad)
+
+
+def test_kept_rows_are_the_same_for_all_ranges(spark, tmp_path):
+    """Ranges of any size keep the same rows, in no more tasks than small files need."""
+    lines = [f"s{i % 7},2024-01-01 00:00:{i % 60:02d},event {i},{i % 3}" for i in range(3_000)]
+    (tmp_path / "log.csv").write_text("\n".join(lines) + "\n")
+    found, most = [], log_files.RANGES_PER_CORE * spark.sparkContext.defaultParallelism
+    for split in (64, 1 << 12, 1 << 20):
+        kept = tables.kept_rows(tables.read_checked(spark, str(tmp_path / "log.csv"), schema.HDFS, schema.STRUCTS["hdfs"], header=False, split_bytes=split))
+        assert kept.rdd.getNumPartitions() <= most
+        found.append([r["event"] for r in kept.orderBy("tiebreak").collect()])
+    assert found[0] == found[1] == found[2] == [f"event {i}" for i in range(3_000) if i % 3 < 2]
