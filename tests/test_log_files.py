@@ -5,6 +5,7 @@ import io
 import pytest
 
 from vigilseq import schema
+from vigilseq.plans import catalog, logs
 from vigilseq.sources import log_files, tables
 
 TEXT = b"first\r\n\nsecond line\nthird \xc3\xa9\xff\n" + b"x" * 300 + b"\nlast without end"
@@ -138,3 +139,10 @@ def test_kept_rows_are_the_same_for_all_ranges(spark, tmp_path):
         assert kept.rdd.getNumPartitions() <= most
         found.append([r["event"] for r in kept.orderBy("tiebreak").collect()])
     assert found[0] == found[1] == found[2] == [f"event {i}" for i in range(3_000) if i % 3 < 2]
+
+
+def test_a_large_log_is_written_to_more_files(spark, monkeypatch):
+    log = spark.range(1_000)
+    assert catalog._files(log) == catalog.FILES
+    monkeypatch.setattr(logs, "FILE_ROWS", 100)
+    assert catalog._files(log) == catalog.FILES + 10
